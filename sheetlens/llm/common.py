@@ -32,12 +32,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def same(left: DataFrame, right: DataFrame, *names: str):
-    """Null-safe equality of equally named columns, as a join condition."""
+def safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equality join on ``keys`` in which null equals null; the keys appear once, from ``left``."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(right[f"_right_{k}"])
+    return left.join(right, cond, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:

@@ -8,30 +8,105 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sheetlens.llm import exact_dedup, simhash_dedup
+from sheetlens.llm import (
+    chat,
+    exact_dedup,
+    fingerprints,
+    licenses,
+    mixing,
+    packing,
+    quality,
+    simhash_dedup,
+    toxicity,
+    warc,
+)
+from sheetlens.llm.common import work_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark)
+    warc.write_archives(_read(spark, sf_dir, "pages"), path)
+    return warc.page_digests(warc.captures(warc.read_records(spark, path, payloads=False)))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.tree_paths(_read(spark, sf_dir, "documents")))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(_read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_probability", "mix_sampled")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, *quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.digests(chat.windows(turns.unionByName(fixed)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_license_scan": op2_license_scan,
+    "op3_fingerprints": op3_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_mixing": op5_mixing,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest,
+                   strlen(coalesce(html, '')) AS size
+            FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keep FROM p)
+        SELECT page_id, url, size AS payload_bytes, digest AS payload_digest,
+               CASE WHEN size >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN size >= 1000 AND page_id <> keep THEN keep END AS refers_to
+        FROM m""",
     "op4_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
-from sheetlens.llm.common import materialize, same
+from sheetlens.llm.common import materialize
 from sheetlens.llm.graph import components
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
@@ -99,24 +99,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     they come in; an empty table gives an empty result; more columns of ``docs`` are ignored.
     """
     rows = materialize(docs.select("doc_id", _fingerprints(F.coalesce("text", F.lit(""))).alias("fp")))
-    return linked(rows, "doc_id").select(
+    return linked(rows).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def linked(rows: DataFrame, *more: str) -> DataFrame:
-    """``rows`` (doc_id, fp, more columns) with component_id."""
-    # A fingerprint whose rows have no id takes part under a number below all ids.
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    points = materialize(least.withColumn("node", F.coalesce("first_id", F.col("fp"))))
-    clash = points.where("first_id is null")
-    if not clash.isEmpty():
-        # Without ids, name such fingerprints apart from all ids: even numbers for ids, odd ones for the rest.
-        points = materialize(
-            points.orderBy(F.col("first_id").asc_nulls_last(), "fp").withColumn("node", F.monotonically_increasing_id())
-        )
+def linked(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fp, more columns) with component (a number for each group) and component_id (its least doc_id)."""
+    points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    if points.where("first_id is null").isEmpty():
+        points = points.withColumn("node", F.col("first_id"))
+    else:  # numbers in the order of the ids, and after them for fingerprints whose rows have none
+        order = [F.col("first_id").asc_nulls_last(), F.col("fp")]
+        points = materialize(points.orderBy(*order).withColumn("node", F.monotonically_increasing_id()))
     comp = components(links(points.select("fp", "node")))
     found = points.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     roots = points.select(F.col("node").alias("component"), F.col("first_id").alias("component_id"))
-    named = materialize(found.join(roots, "component").select("fp", "component_id"))
+    named = materialize(found.join(roots, "component").select("fp", "component", "component_id"))
     return rows.join(named, "fp")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates: doc_id, raw_sha256. It's the row with the smallest doc_id, then text hash;
+    rows with a null doc_id come last."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = materialize(rows.select("doc_id", F.sha2("text", 256).alias("raw_sha256"), _fingerprints("text").alias("fp")))
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "raw_sha256")).alias("first")
+    return linked(rows).groupBy("component").agg(first).select("first.doc_id", "first.raw_sha256")
