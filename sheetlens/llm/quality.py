@@ -46,9 +46,10 @@ def word_ids(text: str | None, known: dict[str, int]) -> np.ndarray:
     words = _TOKEN.findall(text or "")
     if len(known) > _CACHE_WORDS:
         known.clear()
-    for w in set(words) - known.keys():
-        known[w] = zlib.crc32(w.encode()) % BUCKETS
-    return np.array([known[w] for w in words], np.int64)
+    for w in set(words):
+        if w not in known:
+            known[w] = zlib.crc32(w.encode()) % BUCKETS
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def _contexts(ids: np.ndarray, doc: np.ndarray, total: np.ndarray) -> None:
