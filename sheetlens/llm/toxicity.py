@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from sheetlens.llm.common import materialize
 
 #: Labelled rows to train on, at most; a third of them toxic if there are as many.
-SAMPLE_ROWS, FEATURES, MIN_DOCS, FOLDS = 6000, 1024, 5, 3
+SAMPLE_ROWS, FEATURES, MIN_DOCS, FOLDS, STEPS = 6000, 512, 5, 3, 100
 PREFIXES = (4, 5, 6)
 #: Words that make a toxic training row an example of a category; the last category is the label itself.
 SEEDS = {
@@ -86,16 +86,16 @@ class Chain:
         return out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, l2: float = 2e-4) -> np.ndarray:
-    """Logistic regression by Adam; the last weight is the intercept."""
-    w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    weight = (weight / weight.sum()).astype(np.float32)
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS, l2: float = 2e-4) -> np.ndarray:
+    """Logistic regression by Adam in single precision; the last weight is the intercept."""
+    one = np.float32
+    w, m, v = (np.zeros(x.shape[1] + 1, one) for _ in range(3))
+    weight, y, columns = (weight / weight.sum()).astype(one), y.astype(one), np.ascontiguousarray(x.T)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -30, 30)))
-        e = weight * (p - y)
-        g = np.append(x.T @ e + l2 * w[:-1], e.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        e = weight * (_predict(x, w) - y)
+        g = np.append(columns @ e + one(l2) * w[:-1], e.sum())
+        m, v = one(0.9) * m + one(0.1) * g, one(0.99) * v + one(0.01) * g * g
+        w -= one(0.15) * (m / one(1 - 0.9**t)) / (np.sqrt(v / one(1 - 0.99**t)) + one(1e-8))
     return w
 
 
@@ -106,9 +106,9 @@ def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 def train(x: np.ndarray, targets: dict[str, np.ndarray], weight: np.ndarray, fold: np.ndarray, vocabulary: dict[str, int]) -> Chain:
     """A chain over the categories of ``targets`` in order. The threshold on the last one is the best by F1 out of fold."""
     chain, x = Chain(list(targets), vocabulary), x.astype(np.float32)
-    last = np.zeros(len(x))
+    last, y = np.zeros(len(x), np.float32), np.zeros(len(x))
     for y in targets.values():
-        last = np.zeros(len(x))
+        last = np.zeros(len(x), np.float32)
         for k in range(FOLDS):
             if (out := fold == k).any() and (~out).any():
                 last[out] = _predict(x[out], fit_linear(x[~out], y[~out], weight[~out]))
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     some = one.where("y = 1").orderBy(*order).limit(sample_rows // 3)
     some = some.unionByName(one.where("y = 0").orderBy(*order).limit(sample_rows - sample_rows // 3))
     seeded = [
-        (F.lower("text").rlike(r"\b(" + "|".join(words) + r")\b") & (F.col("y") == 1)).cast("int").alias(c)
+        (F.lower(F.coalesce("text", F.lit(""))).rlike(r"\b(" + "|".join(words) + r")\b") & (F.col("y") == 1)).cast("int").alias(c)
         for c, words in SEEDS.items()
     ]
 
@@ -162,13 +162,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     z = (F.col("t1") / n1 - (F.col("t") - F.col("t1")) / n0) / F.sqrt(p * (1 - p) + 1e-9)
     chosen = df.where(F.col("t") >= MIN_DOCS).orderBy(F.abs(z).desc(), "term").limit(FEATURES).collect()
     vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
-    held = F.filter(F.arrays_zip("terms", "counts"), lambda s: F.array_contains(F.lit(list(vocabulary)), s["terms"]))
-    got = rows.select("doc_id", "y", *SEEDS, "words", held.alias("s"))
-    got = got.select("doc_id", "y", *SEEDS, "words", F.col("s.terms").alias("terms"), F.col("s.counts").alias("counts")).toPandas()
-    got = got.sort_values("doc_id", ignore_index=True)
-    x = np.zeros((len(got), len(vocabulary)))
-    for i, (terms, counts, words) in enumerate(zip(got["terms"], got["counts"], got["words"])):
-        x[i, [vocabulary[t] for t in terms]] = _value(np.asarray(counts, float), words)
+
+    def sparse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            own = [[(vocabulary[t], n) for t, n in zip(ts, ns) if t in vocabulary] for ts, ns in zip(part["terms"], part["counts"])]
+            yield part.drop(columns=["terms", "counts"]).assign(at=[[k for k, _ in o] for o in own], n=[[n for _, n in o] for o in own])
+
+    schema = ", ".join(["doc_id long", "y int", *[f"{c} int" for c in SEEDS], "words long", "at array<int>", "n array<long>"])
+    got = rows.mapInPandas(sparse, schema).toPandas().sort_values("doc_id", ignore_index=True)
+    x = np.zeros((len(got), len(vocabulary)), np.float32)
+    for i, (at, n, words) in enumerate(zip(got["at"], got["n"], got["words"])):
+        x[i, np.asarray(at, int)] = _value(np.asarray(n, float), words)
     y = got["y"].to_numpy(float)
     weight = np.where(y == 1, totals[1] / n1, totals[0] / n0)
     fold = got["doc_id"].to_numpy() * 2654435761 % 2**32 * FOLDS // 2**32
