@@ -170,17 +170,11 @@ def spans(lines: DataFrame, phrases: list[str]) -> DataFrame:
         free = ~F.exists(acc, lambda s: (s["start"] <= end) & (p["at"] <= s["end"]))
         return F.when(fits & free, F.array_append(acc, F.struct(p["at"].alias("start"), end.alias("end")))).otherwise(acc)
 
-    tries = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size("words") - len(p) + 1, F.lit(1))),
-                    lambda at, p=p: F.struct(at.alias("at"), F.lit(len(p)).alias("n"), F.lit(p).alias("words")),
-                )
-                for p in lists
-            ]
-        )
-    )
+    def places(p: list[str]) -> Column:
+        last = F.greatest(F.size("words") - len(p) + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda at: F.struct(at.alias("at"), F.lit(len(p)).alias("n"), F.lit(p).alias("words")))
+
+    tries = F.flatten(F.array(*[places(p) for p in lists]))
     return lines.select("page", "line_no", F.explode(F.aggregate(tries, start, step)).alias("s")).select("page", "line_no", "s.start", "s.end")
 
 
