@@ -10,10 +10,12 @@ Spark numbers the pieces of each length and every piece then finds its run by bi
 from __future__ import annotations
 
 import functools
+import os
 import re
+import struct
 import zlib
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ CAPACITY, END_ID = 4096, 1
 #: Parts in which the pieces of one length are numbered, so that no length is one task.
 SALTS = 64
 BATCH_CHARS = 2_000_000
-_CACHE_WORDS = 400_000
+_CACHE_PARTS = 400_000
 #: Texts of these characters only are split here as the tokenizer's own pattern splits them; others go to it whole.
 _PLAIN = re.compile("[^\t-\r -~\xa1-\xff]")
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
@@ -41,36 +43,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Recent:
+    """A table of two generations of bounded size: what isn't met again leaves with the older one."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Those of ``keys`` that are in neither generation; after this, the others are in the new one."""
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, END_ID last.
 
-    Words repeat, and this tokenizer encodes each word by itself; so words of plain texts are encoded once and kept in a
-    table of bounded size.
+    This tokenizer lower-cases, splits by a pattern and encodes each part by itself. Parts repeat, so each is encoded once
+    and kept in a table of bounded size. New parts are encoded many at a time, with spaces between them: the last id of
+    each part is one of those that end a word.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.parts = _Recent(_CACHE_PARTS)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _apart(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            data = self.whole(" ".join(some))
+            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1)).tolist()
+            fits = len(cuts) == len(some)
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts)] if fits else [self.whole(p) for p in some]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = [
             None if _PLAIN.search(t) or any(s in t for s in self.special) else _SPLIT.findall(t.lower()) for t in texts
         ]
-        if len(self.words) > _CACHE_WORDS:
-            self.words.clear()
-        new = list(set().union(*[s for s in split if s]) - self.words.keys())
-        self.words.update(zip(new, self._ids(new)))
-        words, end = self.words, np.asarray([END_ID], "<u4").tobytes()
-        return [
-            (self._ids([t])[0] if s is None else b"".join([words[w] for w in s])) + end for t, s in zip(texts, split)
-        ]
+        new = self.parts.missing(set().union(*[s for s in split if s]))
+        known, end = self.parts.new, struct.pack("<I", END_ID)
+        known.update(zip(new, self._apart(new)))
+        return [(self.whole(t) if s is None else b"".join(map(known.__getitem__, s))) + end for t, s in zip(texts, split)]
 
 
 @functools.cache
