@@ -271,3 +271,20 @@ def page_measure(lines: DataFrame, instances: DataFrame, figures: DataFrame, sca
     a = totals(by_layer, ["page"], scale).withColumn("method", F.lit("layers"))
     b = totals(by_place, ["page"], scale).withColumn("method", F.lit("proximity"))
     return a.unionByName(b)
+
+
+def nearby_total(lines: DataFrame, dims: DataFrame, radius: float = 150.0, up: float = 100.0) -> DataFrame:
+    """Per dimension (page, dim_id, dx, dy) the length of all lines with an end or middle at most ``radius`` from the point
+    ``up`` above it."""
+    moved = dims.withColumn("dy", F.col("dy") - up)
+    met = near_point(lines, moved, "dx", "dy", ["dim_id"], radius, midpoint=True)
+    return met.groupBy("page", "dim_id").agg(F.count("*").alias("lines"), F.sum("length_pts").alias("total_pts"))
+
+
+def run_at_point(lines: DataFrame, points: DataFrame, x: str, y: str, point_id: str, radius: float = 50.0, tolerance: float = 5.0) -> DataFrame:
+    """Per point the run of its nearest line: lines and length."""
+    from_line = nearest_line(lines, points, x, y, point_id, radius)
+    with_runs = runs(lines, tolerance)
+    own = from_line.join(with_runs.select("page", "line_idx", "run"), ["page", "line_idx"])
+    sizes = with_runs.groupBy("page", "run").agg(F.count("*").alias("lines"), F.sum("length_pts").alias("total_pts"))
+    return own.join(sizes, ["page", "run"]).select("page", point_id, "run", "lines", "total_pts")

@@ -249,3 +249,12 @@ def problems(records: DataFrame, rss_limit: float = 6500.0, worker: str = "subpr
         )
     )
     return records.withColumn("problem", F.explode(found))
+
+
+def without_document(store: DataFrame, sha: str) -> DataFrame:
+    """The phase store without one document's phases."""
+    return store.where(F.col("sha") != sha)
+
+
+def not_expired(store: DataFrame, now: Column, keep_s: int) -> DataFrame:
+    return store.where(F.unix_timestamp("stored_at") >= F.unix_timestamp(now) - keep_s)

@@ -775,3 +775,46 @@ def sheet_sizes(spark, d):
 @query("SELECT doc_id, page_idx, ord, lower(regexp_replace(text, '[^0-9a-zA-Z]', '', 'g')) AS norm FROM fx_lines")
 def normal_forms(spark, d):
     return fx.lines(spark, d).select("doc_id", "page_idx", "ord", t.alnum_lower(F.col("text")).alias("norm"))
+
+
+# Edits, remaining measures
+
+
+@query("""SELECT e.page, e.source, e.ord, e.category, e.length_pts FROM (SELECT page, 'auto' AS source, line_idx AS ord, category, length_pts FROM edits
+    UNION ALL SELECT page, 'auto', line_idx, category, length_pts FROM mapped WHERE page NOT IN (SELECT page FROM edits) AND page % 4 <> 1) e""", mapped=MAPPED, edits=EDITS)
+def export_states(spark, d):
+    from sheetlens.operators import edits
+
+    e = _edits(spark, d).groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct(F.col("line_idx").cast("string"), "category"))).alias("line_assignments"))
+    none = {"categories": "map<string,struct<indicator:string,keyword:string,color:array<double>>>", "scale_override": "string", "min_line_pts": "string"}
+    none["user_drawn_lines"] = "array<struct<start:array<double>,end:array<double>,category:string>>"
+    states = e.select("*", *[F.lit(None).cast(t_).alias(n) for n, t_ in none.items()])
+    skipped = fx.read(spark, d, "supplier").select(F.col("s_suppkey").alias("page")).where("page % 4 = 1")
+    return edits.export_state(states, _mapped(spark, d), fx.vlines(spark, d), skipped)
+
+
+@query("""SELECT page, dim_id, count(*) AS lines, sum(length_pts) AS total_pts FROM dims JOIN fx_vlines USING (page) WHERE sqrt((x0 - dx) ** 2 + (y0 - dy + 100) ** 2) <= 150
+    OR sqrt((x1 - dx) ** 2 + (y1 - dy + 100) ** 2) <= 150 OR sqrt(((x0 + x1) / 2 - dx) ** 2 + ((y0 + y1) / 2 - dy + 100) ** 2) <= 150 GROUP BY page, dim_id""", dims=DIMS)
+def nearby_totals(spark, d):
+    dims = fx.instances(spark, d).select("page", F.col("inst_ord").alias("dim_id"), F.col("ix0").alias("dx"), F.col("iy0").alias("dy"))
+    return lines.nearby_total(fx.vlines(spark, d), dims)
+
+
+@query(None)
+def runs_at_instances(spark, d):
+    return lines.run_at_point(fx.vlines(spark, d), fx.instances(spark, d), "ix0", "iy0", "inst_ord")
+
+
+@query("""SELECT doc_id, count(*) FILTER (len(keywords) > 0) AS relevant, count(*) FILTER (len(keywords) = 0) AS other, 0::BIGINT AS broken FROM kw GROUP BY doc_id""", kw=PAGE_KW)
+def page_count_report(spark, d):
+    decided = pages.decide(_page_keywords(spark, d), fx.scores(spark, d).where("false"), [], "any_keyword")
+    broken = fx.pages(spark, d).where("false").select("doc_id", "page_idx")
+    return pages.page_counts(decided, broken)
+
+
+@query("""SELECT document, list_sort(list(page) FILTER (NOT skip))::VARCHAR AS relevant FROM (SELECT s_suppkey // 8 AS document, s_suppkey AS page, s_suppkey % 3 = 0 AS skip FROM supplier) GROUP BY document""")
+def document_results(spark, d):
+    k = F.col("s_suppkey")
+    p = fx.read(spark, d, "supplier").select(F.floor(k / 8).alias("document"), k.alias("page"), (k % 3 != 0).alias("relevant"), F.lit(False).alias("broken"), F.lit("fence").alias("trade"))
+    r = records.document_result(p).select("document", "relevant")
+    return r.select("document", F.when(F.size("relevant") > 0, F.concat(F.lit("["), F.array_join("relevant", ", "), F.lit("]"))).alias("relevant"))
