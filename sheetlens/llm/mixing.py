@@ -108,7 +108,8 @@ def mix(
 ) -> DataFrame:
     """``docs`` (doc_id, text, source, lang) with mix_topic, mix_tokens, mix_probability and mix_sampled.
 
-    All rows come back with all their columns; taking the sample is a filter on mix_sampled. Null sources and languages
+    All rows come back with all their columns, but for those that have one of these names or mix_source, mix_lang, mix_u;
+    taking the sample is a filter on mix_sampled. Null sources and languages
     are a value of their own, null text is empty and counts as one token. Whether a row is sampled depends on doc_id, text
     and seed, so repeated rows share it. An empty table gives an empty result.
     """
@@ -132,4 +133,5 @@ def mix(
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]), 11) / F.lit(float(1 << 53))
     out = marked.withColumn("mix_u", u).join(F.broadcast(p) if n <= BROADCAST_CELLS else p, keys)
     out = out.withColumn("mix_sampled", F.col("mix_u") < F.col("mix_probability"))
-    return out.select(*docs.columns, "mix_topic", "mix_tokens", "mix_probability", "mix_sampled")
+    made = ["mix_topic", "mix_tokens", "mix_probability", "mix_sampled"]
+    return out.select(*[c for c in docs.columns if c not in made], *made)

@@ -96,6 +96,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for control in (chat.OPEN, chat.CLOSE, chat.TEXT, chat.END_TEXT):
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+_CHAT_SQL = f"""
+    WITH said AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    written AS (
+        SELECT *, '{chat.OPEN}' || {_escaped("role")} || '{chat.TEXT}' || {_escaped("text")} || '{chat.END_TEXT}{chat.CLOSE}' AS body,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS n FROM said),
+    sized AS (
+        SELECT *, ceil(strlen(body) / 4)::BIGINT AS tok, length(body) AS chars, role = 'system' AND n = 0 AS first_system FROM written),
+    summed AS (SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY n) - tok AS before FROM sized),
+    heads AS (SELECT conv_id, tok AS sys_tok, chars AS sys_chars FROM summed WHERE first_system),
+    placed AS (
+        SELECT s.*, greatest({chat.BUDGET} - {chat.HISTORY} - coalesce(sys_tok, 0), {chat.BUDGET // 4})::BIGINT AS room,
+               greatest(before - coalesce(sys_tok, 0), 0)::BIGINT AS p FROM summed s LEFT JOIN heads USING (conv_id)),
+    dealt AS (
+        SELECT *, 2 * (p // room) + ((p + greatest(tok, 1) - 1) // room > p // room AND p > p // room * room
+               AND NOT first_system)::INT AS win FROM placed),
+    wins AS (SELECT conv_id, win, min(p) AS start FROM dealt GROUP BY conv_id, win),
+    history AS (
+        SELECT d.conv_id, sum(d.chars) AS chars FROM dealt d JOIN wins w ON w.conv_id = d.conv_id AND NOT d.first_system
+               AND d.p < w.start AND w.start <= d.p + {chat.HISTORY} GROUP BY d.conv_id),
+    fixed AS (
+        SELECT conv_id, sum(sys_chars) AS chars FROM heads JOIN wins USING (conv_id) WHERE win > 0 GROUP BY conv_id),
+    whole AS (
+        SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS turns,
+               coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars
+        FROM sized GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+           (w.chars + coalesce(h.chars, 0) + coalesce(f.chars, 0))::BIGINT AS formatted_chars
+    FROM whole w LEFT JOIN history h USING (conv_id) LEFT JOIN fixed f USING (conv_id)"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
         WITH p AS (
@@ -115,4 +154,5 @@ ORACLES: dict[str, str] = {
                row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op10_chat_formatting": _CHAT_SQL,
 }

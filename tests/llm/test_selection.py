@@ -132,6 +132,7 @@ def test_sample_meets_its_budget_and_shares(spark):
 def test_mixing_of_odd_tables(spark):
     rows = [(1, None, None, None, 0, "a"), (1, None, None, None, 0, "a"), (None, "", "s", "en", 0, "b"), (2, "x" * 100_000, "s", None, 0, None)]
     got = mixing.mix(spark.createDataFrame(rows, MIX)).collect()
+    assert mixing.mix(spark.createDataFrame(rows, MIX)).columns == [*MIX.replace(" long", "").replace(" string", "").split(", ")[:5], "mix_topic", "mix_tokens", "mix_probability", "mix_sampled"]
     assert len(got) == 4 and {r.mix_topic for r in got} == {"prose"}
     assert len({r.mix_sampled for r in got if r.doc_id == 1}) == 1
     assert mixing.mix(spark.createDataFrame([], MIX)).collect() == []
