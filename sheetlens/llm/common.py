@@ -1,35 +1,14 @@
-"""Shared helpers: durable intermediate tables and row-identity filters."""
+"""Shared helpers: durable intermediate tables, null-safe joins and row-identity filters."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetlens.plans.graph import shared_dir as work_dir
+from sheetlens.plans.graph import stored as materialize
 
-def work_dir(spark: SparkSession) -> str:
-    """A new path under the shared folder that the session names in ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (single-machine tests) a local folder is made and put into the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sheetlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/sheetlens/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage, fixes values that depend on the order of rows, and survives lost executors because every
-    executor can read the files.
-    """
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["keep_rows", "materialize", "safe_join", "work_dir"]
 
 
 def safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

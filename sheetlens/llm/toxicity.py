@@ -59,7 +59,7 @@ class Chain:
     vocabulary: dict[str, int] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
     threshold: float = 2.0
-    _known: dict[str, list[int]] = field(default_factory=dict, repr=False)
+    _known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         known, words = self._known, _WORD.findall((text or "").lower())
@@ -69,7 +69,7 @@ class Chain:
             if at is None:
                 if len(known) > _CACHE_WORDS:
                     known.clear()
-                at = known[w] = [self.vocabulary[f] for f in word_features(w) if f in self.vocabulary]
+                at = known[w] = tuple(self.vocabulary[f] for f in word_features(w) if f in self.vocabulary)
             for k in at:
                 counts[k] += n
         at, n = np.fromiter(counts.keys(), np.int64), np.fromiter(counts.values(), float)
