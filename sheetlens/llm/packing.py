@@ -217,8 +217,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     # A part of one length is ordered by what tells rows apart; rows equal in all of it may change places.
     number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     numbered = cut.withColumn("salt", salt).withColumn("rank", number - 1)
-    # At most capacity x salts rows of three numbers: bounded by parameters, not by data.
-    numbered = numbered.join(F.broadcast(starts), ["length", "salt"])
+    # The window has dealt the pieces by these keys already, so only the starts move.
+    numbered = numbered.join(starts, ["length", "salt"])
     keys = runs[:, 0] << 44 | runs[:, 1]
 
     @F.pandas_udf("sequence_id long, offset long")
