@@ -241,7 +241,8 @@ def page_digests(caps: DataFrame) -> DataFrame:
             F.col("response.type").alias("record_type"),
         )
     )
+    # Only revisits look for their response: most captures have nothing to refer to and stay where they are.
     target = flat.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
-    return flat.join(target, "refers_id", "left").select(
-        "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type"]
+    again = flat.where("refers_id is not null").join(target, "refers_id", "left").select(*names, "refers_to")
+    return flat.where("refers_id is null").select(*names, F.lit(None).cast("long").alias("refers_to")).unionByName(again)
