@@ -107,11 +107,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def linked(rows: DataFrame) -> DataFrame:
     """``rows`` (doc_id, fp, more columns) with component (a number for each group) and component_id (its least doc_id)."""
     points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    if points.where("first_id is null").isEmpty():
-        points = points.withColumn("node", F.col("first_id"))
-    else:  # numbers in the order of the ids, and after them for fingerprints whose rows have none
-        order = [F.col("first_id").asc_nulls_last(), F.col("fp")]
-        points = materialize(points.orderBy(*order).withColumn("node", F.monotonically_increasing_id()))
+    # Numbers in the order of the ids, and after them for fingerprints whose rows have none; an id can have several texts.
+    order = [F.col("first_id").asc_nulls_last(), F.col("fp")]
+    points = materialize(points.orderBy(*order).withColumn("node", F.monotonically_increasing_id()))
     comp = components(links(points.select("fp", "node")))
     found = points.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     roots = points.select(F.col("node").alias("component"), F.col("first_id").alias("component_id"))

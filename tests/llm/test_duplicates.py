@@ -159,6 +159,16 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert simhash_dedup.near_duplicates(table(spark, [])).collect() == []
 
 
+def test_near_duplicates_of_two_texts_under_one_id(spark):
+    rows = [(1, "a b c d e"), (1, "v w x y z"), (2, "a b c d e"), (3, "k l m n o")]
+    docs = table(spark, rows)
+    got = simhash_dedup.near_duplicates(docs).collect()
+    want = [(i, f"{fingerprint_brute(t):016x}", 3 if i == 3 else 1) for i, t in rows]
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted(want)
+    kept = keep_rows(docs, simhash_dedup.representatives(docs)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a b c d e"), (1, "v w x y z"), (3, "k l m n o")]
+
+
 def test_components_of_long_chains_and_stars(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(300)] + [(5000, 5000)]
