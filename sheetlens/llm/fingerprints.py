@@ -27,6 +27,8 @@ from xxhash import xxh3_128_digest
 from sheetlens.llm.common import materialize
 
 BITS, RADIUS = 256, 7
+#: Rows whose doc_id divides by this ask the index for their neighbours.
+QUERY_EVERY = 50
 _SLICE = 400
 
 
@@ -105,14 +107,16 @@ def _joined(text: pd.Series, following: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(got, columns=["edited_sha256", "edited_fp", "next_fp"], dtype=object)
 
 
-def edit_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_chars, its fingerprint, and how like it is to two other texts.
+def edit_likeness(docs: DataFrame, ranges: int | None = None, radius: int = RADIUS, every: int = QUERY_EVERY) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): n_chars, its fingerprint, how like it is to two other texts, and how many rows
+    the search finds near it.
 
     The next document is the one with the next smaller doc_id, for the last the one with the largest; rows with the same
     doc_id follow each other by their texts' hashes, null ids come last. The edited text is this text with its last
     floor(n_chars/2) code points replaced by the first as many of the next. Null text is empty, whose fingerprint is zero.
     One row alone is its own next. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex),
-    near_edited, near_next (share of equal bits).
+    near_edited, near_next (share of equal bits), n_within: for rows whose doc_id divides by ``every``, the number of other
+    rows within ``radius`` bits, by the search in permuted block tables over all rows; null for rows that don't ask.
 
     Texts move once, into ``ranges`` ranges of doc_id (as many as the session's shuffle partitions), which are read in
     order. Where ranges meet, one text of each side is joined in a second, small step.
@@ -133,6 +137,11 @@ def edit_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     met = ends.join(parts, "part").join(firsts, "next_part").withColumn("x", _joined("last_text", "following"))
     out = seen.where("last_text is null").select("doc_id", "n_chars", "fp", "edited_sha256", "edited_fp", "next_fp")
     out = out.unionByName(met.select("doc_id", "n_chars", "fp", "x.edited_sha256", "x.edited_fp", "x.next_fp"))
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    found = neighbour_counts(seen.where(asks).select("fp"), seen.select("fp"), radius)
+    # Only rows that ask look for their count; all others stay where they are.
+    told = out.where(asks).join(found, "fp").select(*out.columns, (F.col("n") - 1).alias("n_within"))
+    out = out.where(~asks).withColumn("n_within", F.lit(None).cast("long")).unionByName(told)
     return out.select(
         "doc_id",
         "n_chars",
@@ -141,6 +150,7 @@ def edit_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         F.lower(F.hex("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "n_within",
     )
 
 
@@ -157,19 +167,43 @@ def likeness(a: Column, b: Column) -> Column:
 def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs (query_id, id, bits) of ``queries`` and ``index`` (id, fp) at a distance of at most ``radius`` bits.
 
-    Exact for every radius below the number of bits. Equal fingerprints are looked up once: ids meet their fingerprint
-    again after the search. Null fingerprints match nothing.
+    Exact for every radius below the number of bytes (32). Equal fingerprints are looked up once: ids meet their
+    fingerprint again after the search. Null fingerprints match nothing; an empty side gives an empty result.
     """
+    met = _near(queries, index, radius)
+    out = met.join(queries.select(F.col("id").alias("query_id"), F.col("fp").alias("q")), "q")
+    return out.join(index.select("id", F.col("fp").alias("x")), "x").select("query_id", "id", "bits")
+
+
+def _near(queries: DataFrame, index: DataFrame, radius: int) -> DataFrame:
+    """Pairs (q, x, bits) of different fingerprints, or equal ones, within ``radius``, each once.
+
+    A pair is kept in the first table in which its leads agree. Distances are judged inside the join, so a lead that very
+    many fingerprints share gives rows for true pairs only; adaptive execution splits it.
+    """
+    size = BITS // 8
+    if not 0 <= radius < size:
+        raise ValueError(f"the radius is from 0 to {size - 1} bits")
     blocks = radius + 1
-    cut = [BITS * i // blocks for i in range(blocks + 1)]
+    cut = [size * i // blocks for i in range(blocks + 1)]
+    lead = lambda fp, i: F.substring(fp, cut[i] + 1, F.lit(cut[i + 1] - cut[i]))
 
     def tables(df: DataFrame, name: str) -> DataFrame:
-        text = F.concat(*[F.lpad(F.conv(F.hex(F.substring("fp", i + 1, F.lit(1))), 16, 2), 8, "0") for i in range(BITS // 8)])
-        keys = F.array(*[F.substring("bits", cut[i] + 1, F.lit(cut[i + 1] - cut[i])) for i in range(blocks)])
-        own = df.where("fp is not null").select("fp").distinct().withColumn("bits", text)
-        return own.select(F.col("fp").alias(name), F.posexplode(keys).alias("table", "lead"))
+        own = df.where("fp is not null").select("fp").distinct()
+        leads = F.array(*[lead(F.col("fp"), i) for i in range(blocks)])
+        return own.select(F.col("fp").alias(name), F.posexplode(leads).alias("table", "lead"))
 
-    met = tables(queries, "q").join(tables(index, "x"), ["table", "lead"]).select("q", "x").distinct()
-    met = met.withColumn("bits", distance(F.col("q"), F.col("x"))).where(F.col("bits") <= radius)
-    out = met.join(queries.select(F.col("id").alias("query_id"), F.col("fp").alias("q")), "q")
-    return out.join(index.select("id", F.col("fp").alias("x")), "x").select("query_id", "id", "bits")
+    q, x = F.col("q"), F.col("x")
+    first = F.coalesce(*[F.when(lead(q, i) == lead(x, i), i) for i in range(blocks)])
+    met = tables(queries, "q").join(tables(index, "x"), ["table", "lead"])
+    return met.where((distance(q, x) <= radius) & (first == F.col("table"))).select("q", "x", distance(q, x).alias("bits"))
+
+
+def neighbour_counts(asked: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """For each fingerprint of ``asked`` (fp): fp and n, the number of ``rows`` (fp) within ``radius`` bits of it.
+
+    Rows are counted per fingerprint first, so copies in any number aren't paired. Null fingerprints are left out.
+    """
+    points = materialize(rows.groupBy("fp").agg(F.count("*").alias("n")))
+    met = _near(asked, points, radius).join(points.withColumnRenamed("fp", "x"), "x")
+    return materialize(met.groupBy(F.col("q").alias("fp")).agg(F.sum("n").alias("n")))
