@@ -1,60 +1,111 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
-Each word has a fixed sparse index vector of a few +1 and -1. A word's context vector is the sum of the index vectors of
-its neighbours over the whole corpus; it's counted in whole numbers by all tasks and summed in blocks, so its size is set
-by parameters. A document is the mean and the spread of its words' index and context vectors. The network is trained on
+Each word has a fixed sparse index vector of a few +1 and -1, made from the word itself. A word's context vector is the
+sum of the index vectors of its neighbours over the whole corpus. Context vectors are kept in a count sketch: each word
+adds its sums, with a sign of its own, to one row of each of TABLES tables, and is read back as the median of these rows.
+So every word of every document counts and has a vector of its own, the size is set by parameters at any number of words,
+and what other words leave in a row shrinks with ROWS and is ruled out by the median; common words come out exactly but
+for small noise. A document is the mean and the spread of its words' index and context vectors. The network is trained on
 a bounded sample of labelled rows and its probabilities are calibrated by a temperature on rows that it wasn't trained on.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from sheetlens.llm.common import materialize
 
-#: Words are hashed into BUCKETS numbers; vectors have DIM entries, NONZERO of them set; WINDOW neighbours on each side.
-BUCKETS, DIM, NONZERO, WINDOW = 8192, 32, 6, 2
-BLOCKS = 16
+#: The sketch has TABLES tables of ROWS rows; vectors have DIM entries, NONZERO of them set; WINDOW neighbours on each side.
+TABLES, ROWS, DIM, NONZERO, WINDOW = 3, 8192, 32, 6, 2
+#: Parts of the sketch that are summed apart, and groups of tasks that are summed first.
+BLOCKS, GROUPS = 24, 64
 #: Labelled rows to train on, at most, half of either kind if there are as many.
 SAMPLE_ROWS, HIDDEN, EPOCHS = 9000, 48, 60
 FOLDS, HELD_OUT = 3, 1
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _CHUNK = 60_000
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
+
+
+class Words:
+    """Numbers for words as they come, with their hashes and index vectors; forgets all when it's full."""
+
+    def __init__(self, vectors: Sketch | None = None):
+        self.known: dict[str, int] = {}
+        self.sketch = vectors
+        self.index = np.zeros((1024, DIM), np.int8)
+        self.hashes = np.zeros((1024, TABLES), np.uint64)
+        self.vectors = np.zeros((1024 if vectors else 0, 2 * DIM), np.float32)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """Numbers of the tokens of ``text``: runs of letters and digits as written, runs of signs."""
+        words = _TOKEN.findall(text or "")
+        new = [w for w in set(words) if w not in self.known]
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def full(self) -> bool:
+        return len(self.known) > _CACHE_WORDS
+
+    def _add(self, new: list[str]) -> None:
+        at, n = len(self.known), len(new)
+        if at + n > len(self.index):
+            more = max(len(self.index), n)
+            grow = lambda a: np.concatenate([a, np.zeros((more, a.shape[1]), a.dtype)])
+            self.index, self.hashes = grow(self.index), grow(self.hashes)
+            self.vectors = grow(self.vectors) if self.sketch else self.vectors
+        self.known.update(zip(new, range(at, at + n)))
+        data = [w.encode() for w in new]
+        self.hashes[at : at + n] = np.array([[xxh3_64_intdigest(w, k) for k in range(TABLES)] for w in data], np.uint64)
+        self.index[at : at + n] = index_vectors(np.array([xxh3_64_intdigest(w, TABLES) for w in data], np.uint64))
+        if self.sketch:
+            self.vectors[at : at + n] = self.sketch.vectors(self.index[at : at + n], self.hashes[at : at + n])
+
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """NONZERO places of DIM, as a word's hash gives them, half of them +1 and half -1; places that meet add up."""
+    out = np.zeros((len(hashes), DIM), np.int8)
+    rows = np.arange(len(hashes))
+    for k in range(NONZERO):
+        out[rows, ((hashes >> np.uint64(10 * k)) % np.uint64(DIM)).astype(np.int64)] += (1, -1)[k % 2]
+    return out
 
 
-def _index_vectors() -> np.ndarray:
-    rng, out = np.random.default_rng(7), np.zeros((BUCKETS, DIM), np.int8)
-    for row in out:
-        row[rng.choice(DIM, NONZERO, replace=False)] = [1, -1] * (NONZERO // 2)
-    return out
+def _rows(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of table k, numbered through all tables, and signs."""
+    h = hashes[:, k]
+    return (h % np.uint64(ROWS)).astype(np.int64) + k * ROWS, np.where(h >> np.uint64(63), 1, -1)
 
 
-INDEX = _index_vectors()
+@dataclass
+class Sketch:
+    """Context vectors of all words: TABLES * ROWS rows of DIM whole numbers."""
 
+    sums: np.ndarray
 
-def word_ids(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """Numbers of the tokens of ``text``: runs of letters and digits as written, runs of signs."""
-    words = _TOKEN.findall(text or "")
-    if len(known) > _CACHE_WORDS:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = zlib.crc32(w.encode()) % BUCKETS
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    def vectors(self, index: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Index vectors beside context vectors, both of length one (zero where there is none)."""
+        found = []
+        for k in range(TABLES):
+            at, sign = _rows(hashes, k)
+            found.append(self.sums[at] * sign[:, None])
+        both = np.concatenate([index, np.median(np.stack(found), axis=0)], axis=1).astype(np.float32).reshape(-1, 2, DIM)
+        return (both / np.maximum(np.linalg.norm(both, axis=2, keepdims=True), 1e-9)).reshape(-1, 2 * DIM)
 
 
-def _contexts(ids: np.ndarray, doc: np.ndarray, total: np.ndarray) -> None:
+def _contexts(ids: np.ndarray, doc: np.ndarray, words: Words, total: np.ndarray) -> None:
     """Add to ``total`` the index vectors of the neighbours, within one document, of each token."""
-    own = INDEX[ids].astype(np.int16)
+    own = words.index[ids].astype(np.int16)
     around = np.zeros_like(own)
     for k in range(1, WINDOW + 1):
         same = (doc[k:] == doc[:-k])[:, None]
@@ -63,62 +114,70 @@ def _contexts(ids: np.ndarray, doc: np.ndarray, total: np.ndarray) -> None:
     order = np.argsort(ids, kind="stable")
     at = ids[order]
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    total[at[starts]] += np.add.reduceat(around[order], starts, axis=0, dtype=np.int64)
+    sums, hashes = np.add.reduceat(around[order], starts, axis=0, dtype=np.int64), words.hashes[at[starts]]
+    for k in range(TABLES):
+        rows, sign = _rows(hashes, k)
+        order = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
+        total[rows[order][first]] += np.add.reduceat((sums * sign[:, None])[order], first, axis=0)
 
 
-def _emit(total: np.ndarray) -> Iterator[pd.DataFrame]:
-    size = BUCKETS // BLOCKS
-    rows = [(b, part.tobytes()) for b in range(BLOCKS) if (part := total[b * size : (b + 1) * size]).any()]
+def _emit(total: np.ndarray, group: int) -> Iterator[pd.DataFrame]:
+    parts = np.array_split(total, BLOCKS)
+    rows = [(group, b, part.tobytes()) for b, part in enumerate(parts) if part.any()]
     if rows:
-        yield pd.DataFrame(rows, columns=["block", "data"])
+        yield pd.DataFrame(rows, columns=["part", "block", "data"])
 
 
-def context_vectors(docs: DataFrame) -> np.ndarray:
-    """Context vectors of all words over all of ``docs`` (text): BUCKETS x DIM whole numbers.
+def context_sketch(docs: DataFrame) -> Sketch:
+    """Context vectors of all words over all of ``docs`` (text).
 
-    A task sends its sums in BLOCKS blocks; each block is added up by one task, row after row in constant memory.
+    A task sends its sums in BLOCKS blocks. They are added up per block and group of tasks first, then per block, row after
+    row in constant memory, so that no task reads what all tasks of a large input send.
     """
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, known = np.zeros((BUCKETS, DIM), np.int64), {}
+        total, words = np.zeros((TABLES * ROWS, DIM), np.int64), Words()
         held: list[np.ndarray] = []
         size = 0
+
+        def flush() -> None:
+            _contexts(np.concatenate(held), np.repeat(np.arange(len(held)), list(map(len, held))), words, total)
+
         for part in parts:
             for text in part["text"]:
-                ids = word_ids(text, known)
+                if words.full():
+                    if size:
+                        flush()
+                        held, size = [], 0
+                    words = Words()
+                ids = words.ids(text)
                 for at in range(0, len(ids), _CHUNK):
                     held.append(ids[at : at + _CHUNK])
                     size += len(held[-1])
                     if size >= _CHUNK:
-                        _contexts(np.concatenate(held), np.repeat(np.arange(len(held)), list(map(len, held))), total)
+                        flush()
                         held, size = [], 0
         if size:
-            _contexts(np.concatenate(held), np.repeat(np.arange(len(held)), list(map(len, held))), total)
-        yield from _emit(total)
+            flush()
+        yield from _emit(total, TaskContext.get().partitionId() % GROUPS)
 
     def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for part in parts:
-            for block, data in zip(part["block"], part["data"]):
+            for group, block, data in zip(part["part"], part["block"], part["data"]):
                 found = np.frombuffer(data, np.int64)
-                sums[block] = sums[block] + found if block in sums else found
-        if sums:
-            yield pd.DataFrame([(b, s.tobytes()) for b, s in sums.items()], columns=["block", "data"])
-
-    schema = "block int, data binary"
-    parts = docs.select("text").mapInPandas(count, schema).repartition(BLOCKS, "block").mapInPandas(add, schema)
-    out = np.zeros((BUCKETS, DIM), np.int64)
-    size = BUCKETS // BLOCKS
+                sums[group, block] = sums[group, block] + found if (group, block) in sums else found
+        for (group, block), data in sums.items():
+            yield pd.DataFrame([(group, block, data.tobytes())], columns=["part", "block", "data"])
+
+    schema = "part int, block int, data binary"
+    parts = docs.select("text").mapInPandas(count, schema).repartition("part", "block").mapInPandas(add, schema)
+    parts = parts.withColumn("part", F.lit(0)).repartition(BLOCKS, "block").mapInPandas(add, schema)
+    out = np.array_split(np.zeros((TABLES * ROWS, DIM), np.int64), BLOCKS)
     for r in parts.collect():  # BLOCKS rows
-        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["data"], np.int64).reshape(size, DIM)
-    return out
-
-
-def word_vectors(contexts: np.ndarray) -> np.ndarray:
-    """Index vectors beside context vectors, both of length one (context zero where a word wasn't seen)."""
-    c = contexts.astype(np.float32)
-    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    return np.hstack([INDEX / np.float32(np.sqrt(NONZERO)), c]).astype(np.float32)
+        out[r["block"]][:] = np.frombuffer(r["data"], np.int64).reshape(-1, DIM)
+    return Sketch(np.concatenate(out))
 
 
 def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -184,11 +243,12 @@ def train(x: np.ndarray, y: np.ndarray, calibration: np.ndarray, hidden: int = H
     return net
 
 
-def _pooled_rows(df: DataFrame, vectors: np.ndarray, schema: str) -> DataFrame:
+def _pooled_rows(df: DataFrame, sketch: Sketch, schema: str) -> DataFrame:
     def pool(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        words = Words(sketch)
         for part in parts:
-            x = [pooled(word_ids(t, known), vectors).tobytes() for t in part["text"]]
+            words = Words(sketch) if words.full() else words
+            x = [pooled(ids, words.vectors).tobytes() for ids in map(words.ids, part["text"])]
             yield part.drop(columns="text").assign(x=pd.Series(x, index=part.index, dtype=object))
 
     return df.mapInPandas(pool, schema)
@@ -198,48 +258,53 @@ def fold(docs: DataFrame):
     return F.crc32(docs["doc_id"].cast("string")) % F.lit(FOLDS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, Network | None]:
-    """Word vectors over all of ``docs`` and a network trained on ``labels`` (doc_id, quality 0/1) outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Sketch, Network | None]:
+    """Context vectors over all of ``docs`` and a network trained on ``labels`` (doc_id, quality 0/1) outside the held-out fold.
 
     At most ``sample_rows`` labelled documents are used, chosen by a hash of doc_id, a fifth of them for the temperature.
-    Null labels are left out; of several labels the largest counts. Without labels of both kinds there is no network.
+    Null labels are left out; of several labels the largest counts, of several texts of one doc_id the last in order. ids
+    may have any type; more columns are ignored. Without labels of both kinds, as for empty documents, there is no network.
     """
-    vectors = word_vectors(context_vectors(docs))
+    sketch = context_sketch(docs)
     one = labels.where("quality is not null and doc_id is not null").where(fold(labels) != HELD_OUT)
     one = one.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     half = sample_rows // 2
     some = one.where("y = 1").orderBy(*order).limit(half).unionByName(one.where("y = 0").orderBy(*order).limit(half))
     # The sampled ids are bounded by sample_rows, so they are sent to the documents.
-    picked = docs.select("doc_id", "text").join(F.broadcast(materialize(some)), "doc_id").dropDuplicates(["doc_id"])
-    picked = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "y", F.coalesce("text", F.lit("")).alias("text"))
-    rows = _pooled_rows(picked, vectors, "doc_id long, y int, x binary").toPandas().sort_values("doc_id", ignore_index=True)
+    picked = docs.select("doc_id", "text").join(F.broadcast(materialize(some)), "doc_id")
+    picked = picked.groupBy("doc_id", "y").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
+    apart = (F.pmod(F.xxhash64(F.lit("temperature"), F.col("doc_id")), F.lit(5)) == 0).alias("apart")
+    picked = picked.select(F.xxhash64("doc_id").alias("key"), "y", apart, "text")
+    schema = "key long, y int, apart boolean, x binary"
+    rows = _pooled_rows(picked, sketch, schema).toPandas().sort_values(["key", "x"], ignore_index=True)
     if rows["y"].nunique() < 2:
-        return vectors, None
+        return sketch, None
     x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]])
     y = rows["y"].to_numpy(float)
     counts = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
-    net = train(x, y, rows["doc_id"].to_numpy() * 2654435761 % 2**32 % 5 == 0)
+    net = train(x, y, rows["apart"].to_numpy(bool))
     # The sample has as many rows of either kind as it can; the corpus has not.
     net.b2 += net.temperature * float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
-    return vectors, net
+    return sketch, net
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network | None) -> DataFrame:
+def score(docs: DataFrame, sketch: Sketch, net: Network | None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score (0 to 1), predicted (1 if score is at least 0.5).
 
     The whole text is read; null is empty and gets a score like any other. Without a network the score is 0.5. Repeated
-    rows come out as often as they come in; more columns are ignored.
+    rows come out as often as they come in; more columns are ignored; an empty table gives an empty result.
     """
 
     @F.pandas_udf("double")
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, int] = {}
+        words = Words(sketch)
         for part in parts:
             if net is None or not len(part):
                 yield pd.Series(np.full(len(part), 0.5))
             else:
-                x = np.stack([pooled(word_ids(t, known), vectors) for t in part])
+                words = Words(sketch) if words.full() else words
+                x = np.stack([pooled(ids, words.vectors) for ids in map(words.ids, part)])
                 yield pd.Series(net.probabilities(x).astype(float))
 
     out = docs.select("doc_id", (F.coalesce(fold(docs), F.lit(-1)) == HELD_OUT).alias("held_out"), probability("text").alias("score"))
