@@ -3,6 +3,9 @@
 Categories are predicted in order by linear models over word and word-prefix rates. Each later model also sees the
 probabilities of the earlier categories: in training those predicted out of fold, in use those of the full models.
 
+Labels say only whether a text is toxic, so the earlier categories are found in the data: the toxic training rows fall into
+KINDS groups by the direction of their features (k-means on the sphere), and each group is a category. The label comes last.
+
 The training rows are a bounded, stratified sample of the labelled rows; their features are chosen by statistics that
 Spark counts, so only the sample's chosen features reach the driver.
 """
@@ -25,11 +28,9 @@ from sheetlens.llm.common import materialize
 #: Labelled rows to train on, at most; a third of them toxic if there are as many.
 SAMPLE_ROWS, FEATURES, MIN_DOCS, FOLDS, STEPS = 6000, 512, 5, 3, 100
 PREFIXES = (4, 5, 6)
-#: Words that make a toxic training row an example of a category; the last category is the label itself.
-SEEDS = {
-    "insult": ("idiot", "moron", "clown", "loser"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting", "stupid"),
-}
+#: Groups of toxic training rows; each is a category before the label.
+KINDS = 2
+LABEL = "toxic"
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 300_000
 
@@ -103,6 +104,23 @@ def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
+def kinds(x: np.ndarray, number: int = KINDS, rounds: int = 20) -> np.ndarray:
+    """The group of each row of ``x``, by direction, larger groups first. Each start is the row least like those before."""
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = [unit.mean(0)]
+    for _ in range(number):
+        near = np.max(unit @ np.stack(centres).T, axis=1)
+        centres.append(unit[int(np.argmin(near))])
+    centre = np.stack(centres[1:])
+    own = np.zeros(len(x), int)
+    for _ in range(rounds):
+        own = np.argmax(unit @ centre.T, axis=1)
+        sums = np.stack([unit[own == k].sum(0) if (own == k).any() else centre[k] for k in range(number)])
+        centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    order = np.argsort(-np.bincount(own, minlength=number), kind="stable")
+    return np.argsort(order)[own]
+
+
 def train(x: np.ndarray, targets: dict[str, np.ndarray], weight: np.ndarray, fold: np.ndarray, vocabulary: dict[str, int]) -> Chain:
     """A chain over the categories of ``targets`` in order. The threshold on the last one is the best by F1 out of fold."""
     chain, x = Chain(list(targets), vocabulary), x.astype(np.float32)
@@ -127,10 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     """Train on ``labels`` (doc_id, toxic 0/1) of ``docs`` (doc_id, text).
 
     At most ``sample_rows`` labelled documents are used, toxic ones a third of them; which ones depends on a hash of
-    doc_id. Null labels are left out, a document labelled twice counts as toxic if any label says so. Without labels of
-    both kinds the chain gives probability 0 for every text.
+    doc_id. Null labels are left out, a document labelled twice counts as toxic if any label says so; of several texts of
+    one doc_id the last in order counts, null text is empty. ids may have any type; more columns are ignored. Without
+    labels of both values, as for empty documents, the chain gives probability 0 for every text.
     """
-    names = [*SEEDS, "toxic"]
+    names = [*[f"kind{k + 1}" for k in range(KINDS)], LABEL]
     one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     totals = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
     if set(totals) != {0, 1}:
@@ -138,10 +157,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = one.where("y = 1").orderBy(*order).limit(sample_rows // 3)
     some = some.unionByName(one.where("y = 0").orderBy(*order).limit(sample_rows - sample_rows // 3))
-    seeded = [
-        (F.lower(F.coalesce("text", F.lit(""))).rlike(r"\b(" + "|".join(words) + r")\b") & (F.col("y") == 1)).cast("int").alias(c)
-        for c, words in SEEDS.items()
-    ]
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -149,10 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
             yield part.drop(columns="text").assign(words=[n for _, n in got], terms=[list(c) for c, _ in got], counts=[list(c.values()) for c, _ in got])
 
     # The sampled ids are bounded by sample_rows, so they are sent to the documents.
-    picked = docs.select("doc_id", "text").join(F.broadcast(materialize(some)), "doc_id").dropDuplicates(["doc_id"])
-    picked = picked.select("doc_id", "y", *seeded, F.coalesce("text", F.lit("")).alias("text"))
-    schema = ", ".join(["doc_id long", "y int", *[f"{c} int" for c in SEEDS], "words long", "terms array<string>", "counts array<long>"])
-    rows = materialize(picked.withColumn("y", F.col("y").cast("int")).mapInPandas(count, schema))
+    picked = docs.select("doc_id", "text").join(F.broadcast(materialize(some)), "doc_id")
+    picked = picked.groupBy("doc_id", "y").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLDS)).cast("int").alias("fold")
+    picked = picked.select(F.xxhash64("doc_id").alias("key"), F.col("y").cast("int").alias("y"), fold, "text")
+    rows = materialize(picked.mapInPandas(count, "key long, y int, fold int, words long, terms array<string>, counts array<long>"))
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if set(n) != {0, 1}:
         return Chain(names)
@@ -168,15 +184,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
             own = [[(vocabulary[t], n) for t, n in zip(ts, ns) if t in vocabulary] for ts, ns in zip(part["terms"], part["counts"])]
             yield part.drop(columns=["terms", "counts"]).assign(at=[[k for k, _ in o] for o in own], n=[[n for _, n in o] for o in own])
 
-    schema = ", ".join(["doc_id long", "y int", *[f"{c} int" for c in SEEDS], "words long", "at array<int>", "n array<long>"])
-    got = rows.mapInPandas(sparse, schema).toPandas().sort_values("doc_id", ignore_index=True)
+    schema = "key long, y int, fold int, words long, at array<int>, n array<long>"
+    got = rows.mapInPandas(sparse, schema).toPandas().sort_values(["key", "words"], ignore_index=True)
     x = np.zeros((len(got), len(vocabulary)), np.float32)
     for i, (at, n, words) in enumerate(zip(got["at"], got["n"], got["words"])):
         x[i, np.asarray(at, int)] = _value(np.asarray(n, float), words)
     y = got["y"].to_numpy(float)
     weight = np.where(y == 1, totals[1] / n1, totals[0] / n0)
-    fold = got["doc_id"].to_numpy() * 2654435761 % 2**32 * FOLDS // 2**32
-    return train(x, {**{c: got[c].to_numpy(float) for c in SEEDS}, "toxic": y}, weight, fold, vocabulary)
+    kind = np.full(len(y), -1)
+    kind[y == 1] = kinds(x[y == 1])
+    targets = {name: (kind == k).astype(float) for k, name in enumerate(names[:-1])} | {LABEL: y}
+    return train(x, targets, weight, got["fold"].to_numpy(), vocabulary)
 
 
 def probabilities(chain: Chain):
