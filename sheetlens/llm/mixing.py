@@ -1,41 +1,51 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed per cell (source, language, topic). Raking scales the cells' weights to one marginal after the
-other until all of them meet their targets. A document is then sampled with a probability in proportion to its cell's
-weight per token, scaled so that the expected number of tokens is the budget and no probability exceeds one.
+other until all of them meet their targets; a cell never gives more tokens than it has, and what it can't give is asked of
+the others. A document is then sampled with the probability of its cell: the share of the cell's tokens that is wanted.
+
+Topics come from the corpus: of the words that at most COMMON of all documents hold, the TOPICS that most documents hold. A
+document's topic is the rarest of them that it holds.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlens.llm.common import materialize
+from sheetlens.llm.common import free_names, materialize
 
 MARGINS = ("source", "lang", "topic")
 #: A number a is a target share in proportion to tokens^a; a mapping gives shares by name, scaled over the names that occur.
-TARGETS: dict[str, float | dict[str, float]] = {
-    "source": 0.5,
-    "lang": 0.7,
-    "topic": {"prose": 0.92, "table": 0.03, "capitals": 0.025, "symbols": 0.025},
-}
-BUDGET, SEED, TOLERANCE, MAX_ROUNDS = 0.6, 11, 1e-4, 30
-NONE = "(none)"
+TARGETS: dict[str, float | dict[str, float]] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+BUDGET, SEED, TOLERANCE, MAX_ROUNDS = 0.5, 11, 1e-4, 200
+TOPICS, COMMON, TOPIC_LETTERS, OTHER = 32, 0.05, 5, "other"
 #: Cells up to this number are sent to the documents (some 100 bytes each); more are joined by a shuffle.
-BROADCAST_CELLS = 5000
+BROADCAST_CELLS = 20_000
+
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.split(F.coalesce(text, F.lit("")), " "))
 
-def topic_of(text: Column) -> Column:
-    """The form of a text as its topic: table, symbols, capitals or prose."""
-    t = F.coalesce(text, F.lit(""))
-    signs = [F.contains(t, F.lit(s)) for s in ("###", "$$$", "%%%", "&&&", "***")]
-    any_sign = signs[0] | signs[1] | signs[2] | signs[3] | signs[4]
-    return (
-        F.when(any_sign, "symbols")
-        .when(F.contains(t, F.lit(" | ")), "table")
-        .when(F.contains(t, F.lit("!! ")), "capitals")
-        .otherwise("prose")
-    )
+
+def topic_words(docs: DataFrame, topics: int = TOPICS, common: float = COMMON) -> list[str]:
+    """The ``topics`` words that most of ``docs`` (text) hold, of those that at most ``common`` of them hold; rarest first.
+
+    Words stand between spaces and have TOPIC_LETTERS small letters or more. All documents are counted, in partial sums.
+    """
+    total = docs.count()
+    word = docs.select(F.explode(_words(F.col("text"))).alias("word")).where(F.length("word") >= TOPIC_LETTERS)
+    per = word.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") <= common * total) & F.col("word").rlike(r"^\p{Ll}+$"))
+    found = per.orderBy(F.desc("n"), "word").limit(topics).collect()  # ``topics`` rows
+    return [r["word"] for r in sorted(found, key=lambda r: (r["n"], r["word"]))]
+
+
+def topic_of(text: Column, words: list[str]) -> Column:
+    if not words:
+        return F.lit(OTHER)
+    return F.coalesce(F.get(F.array_intersect(F.lit(words), _words(text)), F.lit(0)), F.lit(OTHER))
 
 
 def tokens_of(text: Column) -> Column:
@@ -43,12 +53,17 @@ def tokens_of(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
 
 
+def _named(value: str | None) -> str:
+    """A margin's value so that null is one of its own, unlike any text."""
+    return "" if value is None else "=" + value
+
+
 def _shares(cells: DataFrame, margin: str, target: float | dict[str, float]) -> DataFrame:
     """Target shares by value, over the values that occur; values that a mapping lacks keep their share of tokens."""
     sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t"))
     total = F.lit(float(cells.agg(F.sum("tokens")).first()[0]))
     if isinstance(target, dict):
-        named = F.create_map(*[F.lit(x) for kv in target.items() for x in kv]) if target else None
+        named = F.create_map(*[F.lit(x) for k, v in target.items() for x in (_named(k), v)]) if target else None
         raw = F.coalesce(named[F.col(margin)], F.col("t") / total) if named is not None else F.col("t") / total
     else:
         raw = F.pow("t", F.lit(float(target)))
@@ -58,46 +73,57 @@ def _shares(cells: DataFrame, margin: str, target: float | dict[str, float]) ->
 
 
 def rake(
-    cells: DataFrame, targets: dict[str, float | dict[str, float]], tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS
-) -> DataFrame:
-    """``cells`` (margins and tokens) with ``weight``: cell weights of the same total whose marginal shares are the targets.
-
-    Stops when every share is within ``tolerance`` of its target or after ``max_rounds`` (marginals that contradict each
-    other through empty cells have no exact solution). Sums are partial per task, so the largest value of a margin is no
-    single task's work.
+    cells: DataFrame,
+    targets: dict[str, float | dict[str, float]],
+    budget: float = BUDGET,
+    tolerance: float = TOLERANCE,
+    max_rounds: int = MAX_ROUNDS,
+) -> tuple[DataFrame, float]:
+    """``cells`` (margins and tokens) with ``weight``, the tokens that each is expected to give, and the largest difference
+    that is left between a marginal share of the weights and its target.
+
+    A cell can't give more tokens than it has. Each step multiplies the free weights of a margin's value so that, together
+    with the cells that give all they have, they meet the target; a cell is full while its free weight is at least its
+    tokens. The total is ``budget`` (a share of all tokens). Rounds end when every share is within ``tolerance`` of its
+    target, or when another round doesn't bring them nearer (targets that no weights meet, as through empty or full
+    cells), or after ``max_rounds``; the difference tells which. Sums are partial per task, so the largest value of a
+    margin is no single task's work.
     """
-    total = cells.agg(F.sum("tokens")).first()[0]
+    total = float(cells.agg(F.sum("tokens")).first()[0])
+    wanted = budget * total
     shares = {m: _shares(cells, m, t) for m, t in targets.items()}
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(max_rounds):
-        worst = 0.0
+    weight, full = F.least("free", "tokens"), F.col("free") >= F.col("tokens")
+    out, gap, best = cells.withColumn("free", F.col("tokens") * F.lit(float(budget))), 0.0, float("inf")
+
+    def sums(df: DataFrame, m: str, share: DataFrame) -> DataFrame:
+        per = df.groupBy(m).agg(
+            F.sum(weight).alias("now"), F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)).alias("held"),
+            F.coalesce(F.sum(F.when(~full, F.col("free"))), F.lit(0.0)).alias("loose"),
+        )
+        return per.join(share, m)
+
+    for done in range(max_rounds):
         for m, share in shares.items():
-            now = materialize(out.groupBy(m).agg(F.sum("weight").alias("s")).join(share, m))
-            worst = max(worst, now.agg(F.max(F.abs(F.col("s") / F.lit(float(total)) - F.col("share")))).first()[0] or 0.0)
-            factor = now.select(m, (F.col("share") * F.lit(float(total)) / F.col("s")).alias("factor"))
-            out = materialize(out.join(factor, m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"))
-        if worst <= tolerance:
-            break
-    return out
-
-
-def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """Raked ``cells`` with ``probability``: min(1, c * weight / tokens), c such that the expected tokens are ``budget``
-    (a share of all tokens)."""
-    rate = F.col("weight") / F.col("tokens")
-    wanted = budget * float(cells.agg(F.sum("tokens")).first()[0])
-    c, full = 0.0, -1
-    for _ in range(200):
-        capped = F.lit(c) * rate >= 1
-        r = cells.agg(
-            F.coalesce(F.sum(F.when(capped, F.col("tokens"))), F.lit(0)).alias("t"),
-            F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0.0)).alias("w"),
-            F.count_if(capped).alias("n"),
-        ).first()
-        if r["n"] == full or not r["w"]:
+            goal = F.col("share") * F.lit(wanted)
+            # Full cells give no more: the loose ones fill the target, or all shrink where it is below what the full ones give.
+            fill = (F.col("loose") > 0) & (goal > F.col("held"))
+            factor = F.when(fill, F.try_divide(goal - F.col("held"), "loose"))
+            factor = F.coalesce(factor, F.least(F.try_divide(goal, "now"), F.lit(1.0)), F.lit(1.0))
+            step = sums(out, m, share).select(m, factor.alias("factor"))
+            out = out.join(step, m).withColumn("free", F.col("free") * F.col("factor")).drop("factor")
+        out = materialize(out)
+        off = [sums(out, m, s).agg(F.max(F.abs(F.col("now") / F.lit(wanted) - F.col("share"))).alias("gap")) for m, s in shares.items()]
+        gap = max(r["gap"] or 0.0 for r in functools.reduce(DataFrame.unionByName, off).collect())  # a row for each margin
+        if gap <= tolerance or (done % 10 == 9 and gap > 0.99 * best):
             break
-        full, c = r["n"], max(0.0, wanted - r["t"]) / r["w"]
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(c) * rate))
+        if done % 10 == 9:
+            best = gap
+    return out.select(*cells.columns, weight.cast("double").alias("weight")), gap
+
+
+def probabilities(cells: DataFrame) -> DataFrame:
+    """Raked ``cells`` with ``probability``: the share of its tokens that a cell is to give."""
+    return cells.withColumn("probability", F.col("weight") / F.col("tokens"))
 
 
 def mix(
@@ -105,33 +131,37 @@ def mix(
     targets: dict[str, float | dict[str, float]] | None = None,
     budget: float = BUDGET,
     seed: int = SEED,
+    topics: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` (doc_id, text, source, lang) with mix_topic, mix_tokens, mix_probability and mix_sampled.
+    """``docs`` (doc_id, text, source, lang) with mix_topic, mix_tokens, mix_probability, mix_gap and mix_sampled.
 
-    All rows come back with all their columns, but for those that have one of these names or mix_source, mix_lang, mix_u;
-    taking the sample is a filter on mix_sampled. Null sources and languages
-    are a value of their own, null text is empty and counts as one token. Whether a row is sampled depends on doc_id, text
-    and seed, so repeated rows share it. An empty table gives an empty result.
+    All rows come back with all their columns, but for those that have one of these names; taking the sample is a filter on
+    mix_sampled. mix_gap is the largest difference between a marginal share and its target that raking left, the same in
+    all rows. Null sources and languages are a value of their own, null text is empty and counts as one token. Whether a
+    row is sampled depends on doc_id, text and seed, so repeated rows share it. An empty table gives an empty result.
+    ``topics`` are the topic words, rarest first; by default they are counted in ``docs``.
     """
     targets = TARGETS if targets is None else targets
-    marked = docs.withColumns(
-        {
-            "mix_source": F.coalesce(docs["source"], F.lit(NONE)),
-            "mix_lang": F.coalesce(docs["lang"], F.lit(NONE)),
-            "mix_topic": topic_of(docs["text"]),
-            "mix_tokens": tokens_of(docs["text"]),
-        }
-    )
-    keys = [f"mix_{m}" for m in MARGINS]
-    cells = materialize(marked.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")))
+    topics = topic_words(docs) if topics is None else topics
+    keys = free_names(docs, *MARGINS)
+    topic, tokens, u = free_names(docs, "topic_word", "tokens", "u")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    marked = docs.withColumns({topic: topic_of(docs["text"], topics), tokens: tokens_of(docs["text"])})
+    marked = marked.withColumns(dict(zip(keys, (named(docs["source"]), named(docs["lang"]), named(F.col(topic))))))
+    cells = materialize(marked.groupBy(*keys).agg(F.sum(tokens).alias("tokens")))
     n = cells.count()
     if not n:
-        p = cells.select(*keys, F.lit(0.0).alias("mix_probability"))
+        p = cells.select(*keys, F.lit(0.0).alias("mix_probability"), F.lit(0.0).alias("mix_gap"))
     else:
-        raked = rake(cells, {f"mix_{m}": t for m, t in targets.items()})
-        p = materialize(probabilities(raked, budget).select(*keys, F.col("probability").alias("mix_probability")))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]), 11) / F.lit(float(1 << 53))
-    out = marked.withColumn("mix_u", u).join(F.broadcast(p) if n <= BROADCAST_CELLS else p, keys)
-    out = out.withColumn("mix_sampled", F.col("mix_u") < F.col("mix_probability"))
-    made = ["mix_topic", "mix_tokens", "mix_probability", "mix_sampled"]
-    return out.select(*[c for c in docs.columns if c not in made], *made)
+        raked, gap = rake(cells, dict(zip(keys, (targets.get(m, 1.0) for m in MARGINS))), budget)
+        p = probabilities(raked).select(*keys, F.col("probability").alias("mix_probability"), F.lit(gap).alias("mix_gap"))
+        p = materialize(p)
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]), 11) / F.lit(float(1 << 53))
+    made = ["mix_topic", "mix_tokens", "mix_probability", "mix_gap", "mix_sampled"]
+    kept = [c for c in docs.columns if c.lower() not in made]
+    marked = marked.withColumn(u, hashed).select(*[docs[c] for c in kept], *keys, topic, tokens, u)
+    out = marked.join(F.broadcast(p) if n <= BROADCAST_CELLS else p, keys)
+    return out.select(
+        *kept, F.col(topic).alias("mix_topic"), F.col(tokens).alias("mix_tokens"), "mix_probability", "mix_gap",
+        (F.col(u) < F.col("mix_probability")).alias("mix_sampled"),
+    )
