@@ -1,8 +1,13 @@
-"""License scan: TF-IDF cosine of passages to license templates, and inheritance from the nearest ancestor directory.
+"""License scan: TF-IDF cosine of headers and license files to templates, and inheritance from the nearest ancestor directory.
 
-Every line of every file is a passage. Weights are term frequency times inverse document frequency over all files. Only
-lines that share a telling term with a template are scored; telling terms are chosen so that a line without any of them
-can't reach the threshold, so no match is lost.
+Templates are short notices and whole license texts. The passages of a file that are compared with a template are runs of
+as many words as the template has, wherever lines break. A passage lies so that one of its telling words stands where the
+template has it; telling terms are those without which no passage can reach the threshold, so a passage that reaches it
+holds one, and a copy of the template, wrapped or inside a longer line, is always among the passages. Words that no
+template has count as if no file had them.
+
+Before passages are made, files are ruled out by the terms that they hold at all: a cosine is at most the length of the
+part of the template's vector that the file's words cover.
 """
 
 from __future__ import annotations
@@ -16,21 +21,75 @@ from pyspark.sql import functions as F
 
 from sheetlens.llm.common import materialize
 
-THRESHOLD = 0.7
-#: Notices by which well-known licenses are given.
+THRESHOLD = 0.75
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS"
+AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. """
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _gnu(name: str, version: str, program: str = "This program") -> str:
+    return (
+        f"{program} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the "
+        f"Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    )
+
+
+def _cc(name: str) -> str:
+    return f"This work is licensed under a Creative Commons {name} International License."
+
+
+#: Notices by which well-known licenses are given, and whole texts.
 TEMPLATES: tuple[tuple[str, str], ...] = (
+    ("AGPL-3.0", _gnu("GNU Affero General Public License", "3")),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("BSD-2-Clause", _BSD_2 + _BSD_END),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_END),
+    ("CC-BY-4.0", _cc("Attribution 4.0")),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", _cc("Attribution-NonCommercial 4.0")),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", _cc("Attribution-ShareAlike 4.0")),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("GPL-2.0", _gnu("GNU General Public License", "2")),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", _gnu("GNU General Public License", "3")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("ISC", _ISC),
+    ("LGPL-2.1", _gnu("GNU Lesser General Public License", "2.1", "This library")),
+    ("LGPL-3.0", _gnu("GNU Lesser General Public License", "3")),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "This project is licensed under the terms of the MIT license."),
+    ("MIT", _MIT),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 LICENSE_FILES = r"(?i)^(licen[sc]e|copying|notice)(\.(txt|md|rst))?$"
 _SPLIT = r"[^\p{L}\p{N}]+"
@@ -40,20 +99,18 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), _SPLIT)
 
 
-def _terms(text: str) -> Counter[str]:
-    return Counter(w for w in re.split(r"[\W_]+", text.lower()) if w)
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
-def telling_terms(vectors: list[dict[str, float]], threshold: float) -> set[str]:
-    """Terms such that what remains of each (unit) template vector is shorter than ``threshold``."""
-    out: set[str] = set()
-    for v in vectors:
-        left = 1.0
-        for term, w in sorted(v.items(), key=lambda x: (-x[1], x[0])):
-            if math.sqrt(max(left, 0.0)) < threshold - 1e-9:
-                break
-            out.add(term)
-            left -= w * w
+def telling_terms(vector: dict[str, float], threshold: float) -> list[str]:
+    """Terms, the heaviest first, such that what remains of the (unit) vector without them is shorter than ``threshold``."""
+    out, left = [], 1.0
+    for term, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        if math.sqrt(max(left, 0.0)) < threshold - 1e-9:
+            break
+        out.append(term)
+        left -= w * w
     return out
 
 
@@ -62,11 +119,13 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, t
 
     ``how`` is header (a passage of the file itself), file (the same in a license file), inherited (from the license file
     in the nearest ancestor directory, its own directory included, named in ``source_dir``) or null with a null license.
-    A file's own license is the template of its best passage at ``threshold`` or more; ties go to the name first in
-    order, then to the first line. Of several license files in a directory the best score counts, then name and path.
-    Null text is empty; a null path inherits nothing. Repeated rows come out as often as they come in.
+    A file's own license is the template of its best passage at ``threshold`` or more; ties go to the longer template, then
+    to the name first in order, then to the first line. ``line`` is where the passage begins. Of several license files in a
+    directory the best score counts, then name and path. Null text is empty; a null path inherits nothing. Repeated rows
+    come out as often as they come in; more columns are ignored; an empty table gives an empty result.
     """
-    known = sorted(set().union(*[_terms(t) for _, t in templates]))
+    said = [_words(t) for _, t in templates]
+    known = sorted(set().union(*said))
     text = F.coalesce(F.col("text"), F.lit(""))
     seen = files.select(F.array_intersect(words(text), F.lit(known)).alias("t"))
     found = seen.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()  # known terms at most
@@ -75,45 +134,61 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, t
     idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in known}
     unknown = math.log(1 + total) + 1
     vectors = []
-    for _, t in templates:
-        v = {w: n * idf[w] for w, n in _terms(t).items()}
+    for terms in said:
+        v = {w: n * idf[w] for w, n in Counter(terms).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         vectors.append({w: x / norm for w, x in v.items()})
-    telling = F.lit(sorted(telling_terms(vectors, threshold)))
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("line"), words(line).alias("words")))
-    base = materialize(
-        files.select(
-            F.monotonically_increasing_id().alias("row"),
-            "doc_id",
-            "path",
-            F.filter(lines, lambda s: F.arrays_overlap(s["words"], telling)).alias("passages"),
-        )
-    )
-    terms = base.select("row", F.explode("passages").alias("p")).select("row", "p.line", F.explode("p.words").alias("term"))
-    terms = terms.where("term <> ''").groupBy("row", "line", "term").agg(F.count("*").alias("tf"))
+    telling = [telling_terms(v, threshold) for v in vectors]
+
+    def by_template(rows: list[dict]) -> Column:
+        return F.create_map(*[x for i, v in enumerate(rows) for x in (F.lit(i), F.create_map(*[F.lit(y) for kv in v.items() for y in kv]))])
+
+    # Squares of the weights as whole numbers, so that sums don't depend on their order.
+    squares = by_template([{t: round(x * x * 1e9) for t, x in v.items()} for v in vectors])
+    least = math.floor(threshold * threshold * 1e9) - max(map(len, vectors))
+
+    def covered(own: Column, square: Column) -> Column:
+        """Whether the template's terms among ``own`` reach the threshold."""
+        return F.aggregate(own, F.lit(0).cast("long"), lambda s, t: s + F.coalesce(square[t], F.lit(0))) >= least
+
+    own = F.array_intersect(words(text), F.lit(known))
+    base = files.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", "text", own.alias("own"))
+    some = F.arrays_overlap("own", F.lit(sorted({w for ts in telling for w in ts})))
+    every = F.sequence(F.lit(0), F.lit(len(templates) - 1))
+    tries = F.when(some, F.filter(every, lambda i: covered(F.col("own"), squares[i]))).otherwise(F.array().cast("array<int>"))
+    base = base.select("row", "doc_id", "path", tries.alias("tries"), "text")
+    line = lambda l, i: F.transform(F.filter(words(l), lambda w: w != ""), lambda w: F.struct(w.alias("w"), i.alias("line")))
+    spread = F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line))
+    # Only files that may hold a template keep their words.
+    base = materialize(base.select("row", "doc_id", "path", "tries", F.when(F.size("tries") > 0, spread).alias("words")))
     spark = files.sparkSession
     # Templates are a parameter: some hundred rows.
+    anchors = by_template([{t: said[i].index(t) for t in ts} for i, ts in enumerate(telling)])
+    sizes = F.array(*[F.lit(len(ts)) for ts in said])
+    cand = base.where(F.size("tries") > 0).select("row", "words", F.explode("tries").alias("id"))
+    cand = cand.withColumn("at", anchors[F.col("id")]).withColumn("size", sizes[F.col("id")])
+    starts = F.transform("words", lambda w, k: F.when(F.map_contains_key("at", w["w"]), F.greatest(k - F.col("at")[w["w"]], F.lit(0))))
+    cand = cand.withColumn("start", F.explode(F.array_distinct(F.array_compact(starts))))
+    window = F.slice("words", F.col("start") + 1, F.col("size"))
+    windows = cand.select("row", "id", window.alias("p")).select("row", "id", F.get("p.line", F.lit(0)).alias("line"), F.col("p.w").alias("p"))
+    enough = covered(F.array_distinct("p"), squares[F.col("id")])
+    windows = materialize(windows.where(enough).distinct().withColumn("window", F.monotonically_increasing_id()))
     weights = F.array(
-        *[F.struct(F.lit(i).alias("id"), F.lit(w).alias("term"), F.lit(x).alias("x")) for i, v in enumerate(vectors) for w, x in v.items()]
+        *[F.struct(F.lit(i).alias("id"), F.lit(w).alias("term"), F.lit(x).alias("t")) for i, v in enumerate(vectors) for w, x in v.items()]
     )
     table = spark.range(1).select(F.explode(weights).alias("w")).select("w.*")
     idfs = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for kv in idf.items() for x in kv]))).toDF("term", "idf")
-    weighed = terms.join(F.broadcast(idfs), "term", "left")
-    weighed = materialize(weighed.withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown))).select("row", "line", "term", "x"))
-    norms = weighed.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(F.broadcast(table.withColumnRenamed("x", "t")), "term").groupBy("row", "line", "id").agg(F.sum(F.col("x") * F.col("t")).alias("dot"))
-    names = F.array(*[F.lit(n) for n, _ in templates])
-    scored = dots.join(norms, ["row", "line"]).select(
-        "row", "line", names[F.col("id")].alias("license"), F.round(F.col("dot") / F.col("norm"), 6).alias("score")
+    tf = windows.select("window", "id", F.explode("p").alias("term")).groupBy("window", "id", "term").agg(F.count("*").alias("tf"))
+    weighed = tf.join(F.broadcast(idfs), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    scored = weighed.join(F.broadcast(table), ["id", "term"], "left").groupBy("window").agg(
+        (F.sum(F.col("x") * F.coalesce("t", F.lit(0.0))) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("score")
     )
-    own = (
-        scored.where(F.col("score") >= threshold)
-        .groupBy("row")
-        .agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "line")).alias("best"))
-        .select("row", F.col("best.license").alias("own"), (-F.col("best.s")).alias("score"), F.col("best.line").alias("line"))
-    )
-    flat = materialize(base.select("row", "doc_id", "path").join(own, "row", "left"))
-    return inherit(flat)
+    scored = materialize(scored.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold))
+    names = F.array(*[F.lit(n) for n, _ in templates])
+    best = F.min(F.struct((-F.col("score")).alias("s"), (-sizes[F.col("id")]).alias("n"), names[F.col("id")].alias("license"), "line"))
+    own = windows.select("window", "row", "id", "line").join(scored, "window").groupBy("row").agg(best.alias("b"))
+    own = own.select("row", F.col("b.license").alias("own"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line"))
+    return inherit(materialize(base.select("row", "doc_id", "path").join(own, "row", "left")))
 
 
 def inherit(files: DataFrame) -> DataFrame:
