@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 from sheetlens.llm.common import materialize
 
 CAPACITY, END_ID = 4096, 1
-#: Parts in which the pieces of one length are numbered, so that no length is one task.
-SALTS = 64
+#: Pieces of one length that are numbered together, about; a length with more is numbered in parts, so that none is one task.
+PART_PIECES = 50_000
 BATCH_CHARS = 2_000_000
 _CACHE_PARTS = 400_000
 #: Texts of these characters only are split here as the tokenizer's own pattern splits them; others go to it whole.
@@ -166,6 +166,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
     Runs (length, first, number, bin, per_bin, offset): pieces ``first`` to ``first + number - 1`` of this length go into
     bins ``bin``, ``bin + 1``, ... , ``per_bin`` into each from ``offset`` on.
+
+    Their number doesn't grow with that of the pieces. A length opens one group of bins and splits at most one in three; a
+    run adds a new length to a group, and a bin has room for at most d different lengths, d (d + 1) / 2 <= capacity. So
+    there are at most d * (3 * lengths + 1) runs: 1.1 million (53 MB) for 4096 lengths, if all that happened at once.
     """
     tree, open_bins, runs, bins = CapacityTree(capacity), defaultdict(deque), [], 0
     for length in sorted(histogram, reverse=True):
@@ -199,17 +203,20 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return runs
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
     """Pack all ``docs`` (doc_id, text) into sequences of at most ``capacity`` ids.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null text is empty and packs as its
-    end id alone. Repeated rows and null doc_ids are packed as often as they come. An empty table gives an empty result.
+    end id alone. Repeated rows and null doc_ids are packed as often as they come; more columns are ignored. An empty
+    table gives an empty result.
     """
     cut = materialize(pieces(docs, tokenizer, capacity))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts))
-    counts = materialize(cut.groupBy("length", salt.alias("salt")).agg(F.count("*").alias("n")))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs = np.array(sorted(plan(histogram, capacity)), np.int64).reshape(-1, 6)
+    many = {n: -(-c // part_pieces) for n, c in histogram.items() if c > part_pieces}
+    parts = F.coalesce(F.create_map(*[F.lit(x) for kv in many.items() for x in kv])[F.col("length")], F.lit(1)) if many else F.lit(1)
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), parts)
+    counts = materialize(cut.groupBy("length", salt.alias("salt")).agg(F.count("*").alias("n")))
     before = F.coalesce(
         F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
