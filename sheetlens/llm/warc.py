@@ -1,7 +1,7 @@
 """WARC archives: write captures as request, response or revisit, and metadata records; read them back and assemble each
 capture through the records' concurrent-to identifiers.
 
-Archives are WARC 1.1 in gzip, several files per run, each with a bounded number of records. Writing is a plain text sink
+Archives are WARC 1.1 in gzip, several files per run, each with a bounded number of bytes. Writing is a plain text sink
 whose line separator is the blank line that ends a record. Reading is framed by Content-Length alone, so a payload may
 hold anything, other records included.
 """
@@ -20,7 +20,12 @@ from pyspark.sql import functions as F
 from sheetlens.llm.common import materialize
 
 MIN_REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 6000
+#: Bytes of one archive file before it's compressed, at most, unless a single capture is larger.
+FILE_BYTES = 64 << 20
+#: Captures are written apart by size, so that the number of records bounds a file's bytes: up to each of these, and above.
+SIZE_CLASSES = (16 << 10, 256 << 10, 4 << 20)
+#: What a capture's three records have besides payload and url, at most.
+_HEAD_BYTES = 2000
 #: Payload bytes that a reader hands on at once.
 PART_BYTES = 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -54,15 +59,15 @@ def write_archives(
 
     Of payloads that are equal and have at least ``min_revisit_bytes``, the one with the largest page_id (of repeated rows
     the one last read) becomes the response, the others revisit it. Smaller payloads are always responses. A null html is
-    an empty payload, a null url leaves the header out, line breaks in a url are percent-encoded. Rows are told apart by
-    their position in ``pages``, so repeated and null page_ids give a capture each.
+    an empty payload, a null url leaves the header out, line breaks in a url are percent-encoded. Rows get a number that is
+    written with them before anything depends on it, so repeated and null page_ids give a capture each. More columns are
+    ignored; an empty table gives archives without records.
     """
     text = F.coalesce("html", F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", text.alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
-    ids = materialize(rows.select("row", "page_id", "digest", "size"))
+    rows = materialize(rows.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html")))
     groups = (
-        ids.where(F.col("size") >= min_revisit_bytes)
+        rows.where(F.col("size") >= min_revisit_bytes)
         .groupBy("digest")
         .agg(F.max(F.struct("page_id", "row")).alias("keep"), F.count("*").alias("n"))
         .where("n > 1")
@@ -113,10 +118,15 @@ def write_archives(
         ],
         F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)),
     )
-    records = marked.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option(
-        "maxRecordsPerFile", RECORDS_PER_FILE
-    ).text(path)
+    records = F.explode(F.array(request, response, metadata)).alias("value")
+    whole = F.col("size") + 6 * F.coalesce(F.octet_length(uri), F.lit(0)) + _HEAD_BYTES
+    kind = sum((F.when(whole > c, 1).otherwise(0) for c in SIZE_CLASSES), F.lit(0))
+    there = {r["kind"] for r in rows.select(kind.alias("kind")).distinct().collect()}  # a row for each class
+    for k in sorted(there | {0}):
+        most = max(1, FILE_BYTES // SIZE_CLASSES[k]) if k < len(SIZE_CLASSES) else 1
+        some = marked.where(kind == k).select(records)
+        some = some.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip")
+        some.option("maxRecordsPerFile", 3 * most).text(path)
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -171,7 +181,8 @@ def _row(h: dict[str, str], block: bytes, payloads: bool) -> tuple:
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record of the archives under ``path``; without ``payloads`` the bytes stay behind in the reader.
 
-    Files are read whole, one at a time; records inside are read in turn and handed on in bounded parts.
+    Files are read whole, one at a time; records inside are read in turn and handed on in bounded parts. Null where a
+    header is missing; a file that breaks off inside a record is an error.
     """
     names = [x.split()[0] for x in _RECORD.split(", ")]
 
@@ -197,36 +208,26 @@ def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, response, request, metadata.
 
     Records meet under the identifier that requests and metadata name as concurrent to theirs. A capture may lack a request
-    or metadata (null struct); records whose response is missing give no row. Of several requests for one response the
-    greatest fields stay.
+    or metadata (null struct); records whose response is missing give no row. Of several requests for one response the one
+    with the greatest record_id stays, as a whole; the same goes for metadata and for responses that share their
+    identifier. Records without an identifier are left out; more columns are ignored; an empty table gives an empty result.
     """
-
-    def of(kind: Column, *names: str) -> list[Column]:
-        return [F.max(F.when(kind, F.col(n))) for n in names]
-
-    main = F.col("type").isin("response", "revisit")
-    request, meta = F.col("type") == "request", F.col("type") == "metadata"
-    own = ["type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "http_length"]
+    own = ["record_id", "type", "refers_to", "target_uri", "date", "payload_digest", "http_length"]
     own += ["payload_bytes", "payload_sha1", "payload"]
-    aggs = [c.alias(f"r_{n}") for n, c in zip(own, of(main, *own))]
-    aggs += [c.alias(f"q_{n}") for n, c in zip(("record_id", "block"), of(request, "record_id", "block"))]
-    aggs += [c.alias(f"m_{n}") for n, c in zip(("record_id", "block"), of(meta, "record_id", "block"))]
-    met = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(*aggs)
-
-    def struct(prefix: str, names: list[str]) -> Column:
-        s = F.struct(*[F.col(f"{prefix}_{n}").alias(n) for n in names])
-        return F.when(F.col(f"{prefix}_record_id").isNotNull(), s)
-
-    return met.where("r_record_id is not null").select(
-        "capture_id",
-        F.struct(*[F.col(f"r_{n}").alias(n) for n in own]).alias("response"),
-        struct("q", ["record_id", "block"]).alias("request"),
-        struct("m", ["record_id", "block"]).alias("metadata"),
+    kinds = {"response": (F.col("type").isin("response", "revisit"), own)}
+    kinds |= {n: (F.col("type") == n, ["record_id", "block"]) for n in ("request", "metadata")}
+    met = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
+        *[F.max(F.when(is_it & F.col("record_id").isNotNull(), F.struct(*names))).alias(n) for n, (is_it, names) in kinds.items()]
     )
+    return met.where("response is not null")
 
 
 def page_digests(caps: DataFrame) -> DataFrame:
-    """Per capture: page_id, url, payload_bytes, payload_digest, record_type, refers_to (the page_id that it revisits)."""
+    """Per capture: page_id, url, payload_bytes, payload_digest, record_type, refers_to (the page_id that it revisits).
+
+    A capture without metadata has a null page_id; one whose response isn't there refers to null. An empty table gives an
+    empty result.
+    """
     page_id = F.nullif(F.trim(F.regexp_extract("metadata.block", r"page-id: ?([^\r]*)", 1)), F.lit("")).cast("long")
     flat = materialize(
         caps.select(
