@@ -27,17 +27,20 @@ def scan_brute(rows, threshold=licenses.THRESHOLD):
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     templates = [(name, vec(t)) for name, t in licenses.TEMPLATES]
     own = []
+    said = [words(t) for _, t in licenses.TEMPLATES]
     for _, _, text in rows:
         best = None
-        for k, line in enumerate((text or "").split("\n")):
-            v = vec(line)
-            for name, t in templates:
-                dot = sum(x * t.get(w, 0) for w, x in v.items())
-                if dot:
-                    s = round(dot / norm(v) / norm(t), 6)
-                    if s >= threshold:
-                        best = min(best or (1, "", 0), (-s, name, k))
-        own.append(best)
+        where = [(w, k) for k, line in enumerate((text or "").split("\n")) for w in words(line)]
+        for (name, v), terms in zip(templates, said):
+            told = licenses.telling_terms({w: x / norm(v) for w, x in v.items()}, threshold)
+            starts = {max(0, k - terms.index(w)) for k, (w, _) in enumerate(where) if w in told}
+            for at in starts:
+                part = where[at : at + len(terms)]
+                x = vec(" ".join(w for w, _ in part))
+                s = round(sum(n * v.get(w, 0) for w, n in x.items()) / norm(x) / norm(v), 6)
+                if s >= threshold:
+                    best = min(best or (1, 0, "", 0), (-s, -len(terms), name, part[0][1]))
+        own.append(best and (best[0], best[2], best[3]))
     given = {}
     for (_, path, _), o in zip(rows, own):
         if path is not None and o and re.search(licenses.LICENSE_FILES[4:].replace("(?i)", ""), path.split("/")[-1], re.I):
@@ -46,39 +49,59 @@ def scan_brute(rows, threshold=licenses.THRESHOLD):
     out = []
     for (i, path, _), o in zip(rows, own):
         license_ = o[1] if o else None
-        how = None
+        how, score, source, line = None, -o[0] if o else None, None, o[2] if o else None
         if o:
             how = "file" if path is not None and re.match(r"(licen[sc]e|copying|notice)(\.(txt|md|rst))?$", path.split("/")[-1], re.I) else "header"
         elif path is not None:
             d = path.rpartition("/")[0]
             while True:
                 if d in given:
-                    license_, how = given[d][1], "inherited"
+                    license_, how, score, source = given[d][1], "inherited", -given[d][0], d
                     break
                 if not d:
                     break
                 d = d.rpartition("/")[0]
-        out.append((i, license_, how))
+        out.append((i, license_, how, score and round(score, 5), source, line))
     return sorted(out, key=repr)
 
 
 def test_license_scan_equals_brute_force(spark):
-    apache, mit, gpl = (licenses.TEMPLATES[k][1] for k in (0, 9, 7))
+    text = lambda name, k=0: [t for n, t in licenses.TEMPLATES if n == name][k]
+    apache, mit, gpl = text("Apache-2.0"), text("MIT"), text("GPL-3.0", 1)
+    wrapped = "\n * ".join(text("GPL-3.0").split(" of "))
     rows = [
         (1, "a/LICENSE", mit), (2, "a/b/c.txt", "nothing here"), (3, "a/b/COPYING.md", "see\n" + gpl), (4, "a/b/d/e.txt", None),
         (5, "a/x.txt", "plain words of the text\n" + apache + "\nmore"), (6, "z/y.txt", ""), (7, "a/b/d/LICENSE", "no notice in it"), (8, None, apache),
         (9, None, "none"), (10, "top.txt", "the of and"), (11, "LICENCE", "Released under the MIT License"), (12, "a/b/NOTICE", apache), (13, "", "x"),
         (14, "q/w.txt", "This work is licensed under the GNU General Public License, version 2 or later as we said"), (14, "q/w.txt", "the of"), (15, "long/t.txt", "word " * 30000),
+        (16, "k/LICENSE", "Copyright (c) 2020 Some One\n\n" + text("MIT", 2).replace(". ", ".\n")), (17, "k/a.c", wrapped),
+        (18, "l/a.c", "text before " * 20 + text("MIT") + " and text after" * 20), (19, "k/BSD.txt", text("BSD-2-Clause")),
     ]
     got = licenses.scan(files(spark, rows)).collect()
-    assert sorted([(r.doc_id, r.license, r.how) for r in got], key=repr) == scan_brute(rows)
+    got = [(r.doc_id, r.license, r.how, r.score and round(r.score, 5), r.source_dir, r.line) for r in got]
+    assert sorted(got, key=repr) == scan_brute(rows)
+    named = {r[0]: r[1] for r in got}
+    assert (named[16], named[17], named[18], named[19]) == ("MIT", "GPL-3.0", "MIT", "BSD-2-Clause")
     assert licenses.scan(files(spark, [])).collect() == []
 
 
+def test_each_template_names_its_own_license(spark):
+    rows = [(k, f"p{k}/a.txt", "before it\n" + t.replace(", ", ",\n") + " after") for k, (_, t) in enumerate(licenses.TEMPLATES)]
+    df = files(spark, rows).selectExpr("*", "'x' AS row", "1 AS own")
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert got == {k: n for k, (n, _) in enumerate(licenses.TEMPLATES)}
+
+
+def test_tree_paths_put_license_files_above(spark):
+    docs = spark.createDataFrame([(i, "t", "s", "en") for i in (0, 100, 1100, 1101, 2345)] + [(None, None, None, None)], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.path for r in licenses.tree_paths(docs).collect()}
+    assert got == {0: "s/p0/LICENSE", 100: "s/p0/d1/LICENSE", 1100: "s/p1/d1/LICENSE", 1101: "s/p1/d1/f1101.txt", 2345: "s/p2/d3/f2345.txt", None: None}
+
+
 def test_telling_terms_lose_no_match():
     vectors = [{"a": 0.8, "b": 0.6}, {"b": 1.0}]
-    told = licenses.telling_terms(vectors, 0.7)
     for v in vectors:
+        told = licenses.telling_terms(v, 0.7)
         assert math.sqrt(sum(w * w for t, w in v.items() if t not in told)) < 0.7
 
 
@@ -96,44 +119,91 @@ def mix_table(spark, n=3000):
     return spark.createDataFrame(rows, MIX)
 
 
-def test_raking_meets_every_marginal(spark):
+def bounded_brute(raked, targets, budget, rounds=2000):
+    """Weights that meet the targets, none over its cell's tokens, found by bisection for one margin after the other."""
+    tokens, free = raked.tokens.to_numpy(float), raked.tokens.to_numpy(float) * budget
+    wanted = tokens.sum() * budget
+    for _ in range(rounds):
+        for m, t in targets.items():
+            have = raked.groupby(m).tokens.sum()
+            share = have**t if not isinstance(t, dict) else have.index.to_series().map(t)
+            for v, goal in (share / share.sum() * wanted).items():
+                own = (raked[m] == v).to_numpy()
+                lo, hi = 0.0, 1e6
+                for _ in range(100):
+                    mid = (lo + hi) / 2
+                    lo, hi = (mid, hi) if np.minimum(tokens[own], free[own] * mid).sum() < goal else (lo, mid)
+                free[own] *= hi
+    return np.minimum(tokens, free)
+
+
+@pytest.mark.parametrize("budget, steep", [(0.3, 0.8), (0.6, 0.4)])
+def test_raking_meets_every_marginal(spark, budget, steep):
     docs = mix_table(spark)
-    p = docs.select("source", "lang", mixing.topic_of(docs["text"]).alias("topic"), mixing.tokens_of(docs["text"]).alias("tokens"))
+    p = docs.select("source", "lang", (docs["doc_id"] % 4).cast("string").alias("topic"), mixing.tokens_of(docs["text"]).alias("tokens"))
     cells = p.groupBy("source", "lang", "topic").sum("tokens").withColumnRenamed("sum(tokens)", "tokens")
-    targets = {"source": 0.5, "lang": {"en": 0.4, "de": 0.3, "fr": 0.3}, "topic": 0.8}
-    raked = mixing.rake(cells, targets, 1e-7).toPandas()
+    cells = cells.selectExpr("source", "'=' || lang AS lang", "topic", "tokens")
+    targets = {"source": steep, "lang": {"en": 0.6, "de": 0.25, "fr": 0.15}, "topic": 0.8}
+    raked, gap = mixing.rake(cells, targets, budget, 1e-6)
+    raked = raked.toPandas()
     total = raked.tokens.sum()
-    assert abs(raked.weight.sum() - total) < 1e-4 * total
-    for m, t in targets.items():
-        tokens = raked.groupby(m).tokens.sum()
-        want = tokens**t if not isinstance(t, dict) else tokens.index.to_series().map(t)
-        want = want / want.sum()
-        assert np.allclose(raked.groupby(m).weight.sum() / total, want, atol=1e-5)
-    # brute force
-    w = raked.tokens.to_numpy(float)
-    for _ in range(300):
-        for m, t in targets.items():
-            tokens = raked.groupby(m).tokens.sum()
-            want = tokens**t if not isinstance(t, dict) else tokens.index.to_series().map(t)
-            now = raked.assign(w=w).groupby(m).w.sum()
-            w = w * raked[m].map(want / want.sum() * total / now).to_numpy()
-    assert np.allclose(w, raked.weight, rtol=1e-4)
+    assert gap <= 1e-6 and abs(raked.weight.sum() - budget * total) < 1e-4 * total and (raked.weight <= raked.tokens).all()
+    if budget > 0.5:
+        assert (raked.weight == raked.tokens).any()  # some cells give all they have
+    named = targets | {"lang": {"=" + k: v for k, v in targets["lang"].items()}}
+    assert np.allclose(bounded_brute(raked, named, budget, 100), raked.weight, rtol=2e-3, atol=1e-3 * total / len(raked))
+
+
+def test_raking_says_what_it_cannot_meet(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("b", "x", 900)], "source string, lang string, tokens long")
+    raked, gap = mixing.rake(cells, {"source": {}, "lang": 1.0}, 0.5)
+    assert gap < 1e-4
+    raked, gap = mixing.rake(cells.selectExpr("'=' || source AS source", "lang", "tokens"), {"source": {"a": 0.5, "b": 0.5}, "lang": 1.0}, 0.5)
+    assert abs(gap - 0.3) < 0.01 and {r.source: round(r.weight) for r in raked.collect()} == {"=a": 100, "=b": 400}  # the language's total is met, the sources' shares are not
 
 
 def test_sample_meets_its_budget_and_shares(spark):
     docs = mix_table(spark)
-    got = mixing.mix(docs, {"source": 0.5, "lang": {"en": 0.5, "de": 0.3, "fr": 0.2}, "topic": 1.0}, 0.5).toPandas()
-    assert len(got) == 3000 and got.mix_probability.between(0, 1).all()
-    expected = (got.mix_probability * got.mix_tokens).sum() / got.mix_tokens.sum()
-    assert abs(expected - 0.5) < 0.01
+    got = mixing.mix(docs, {"source": 0.5, "lang": {"en": 0.6, "de": 0.25, "fr": 0.15}, "topic": 1.0}, 0.5).toPandas()
+    assert len(got) == 3000 and got.mix_probability.between(0, 1).all() and got.mix_gap.iloc[0] < 1e-3
+    expected = got.assign(e=got.mix_probability * got.mix_tokens)
+    assert abs(expected.e.sum() / got.mix_tokens.sum() - 0.5) < 0.01
+    assert np.allclose(expected.groupby("lang").e.sum() / expected.e.sum(), [0.25, 0.6, 0.15], atol=2e-3)
     assert abs(got[got.mix_sampled].mix_tokens.sum() / got.mix_tokens.sum() - 0.5) < 0.05
+    # the decision, row by row
+    for r in docs.join(mixing.mix(docs).select("doc_id", "mix_probability", "mix_sampled"), "doc_id").collect()[:500]:
+        h = sample_hash(11, r.doc_id, r.text)
+        assert r.mix_sampled == (((h & (1 << 64) - 1) >> 11) / (1 << 53) < r.mix_probability)
+
+
+def sample_hash(seed, doc_id, text):
+    """XXH64 of an int, a long and a text, each seeded by the one before, as Spark chains them."""
+    import struct
+
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    h = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), h)
+    return xxhash.xxh64_intdigest(text.encode(), h)
+
+
+def test_topics_are_the_corpus_words(spark):
+    texts = ["alpha words here", "alpha other words", "gamma words", "delta Words,", "words delta alpha gamma", "", None, "xx yy"] + ["words"] * 12
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = mixing.topic_words(docs, 3, 0.2)
+    assert words == ["delta", "gamma", "alpha"]
+    got = [r.t for r in docs.select(mixing.topic_of(docs["text"], words).alias("t")).collect()]
+    assert got[:8] == ["alpha", "alpha", "gamma", "delta", "delta", "other", "other", "other"]
+    assert mixing.topic_words(docs.where("false")) == []
 
 
 def test_mixing_of_odd_tables(spark):
-    rows = [(1, None, None, None, 0, "a"), (1, None, None, None, 0, "a"), (None, "", "s", "en", 0, "b"), (2, "x" * 100_000, "s", None, 0, None)]
-    got = mixing.mix(spark.createDataFrame(rows, MIX)).collect()
-    assert mixing.mix(spark.createDataFrame(rows, MIX)).columns == [*MIX.replace(" long", "").replace(" string", "").split(", ")[:5], "mix_topic", "mix_tokens", "mix_probability", "mix_sampled"]
-    assert len(got) == 4 and {r.mix_topic for r in got} == {"prose"}
+    rows = [(1, None, None, None, 0, "a"), (1, None, None, None, 0, "a"), (None, "", "(none)", "en", 0, "b"), (2, "x" * 100_000, "s", None, 0, None)]
+    df = spark.createDataFrame(rows, MIX).selectExpr("*", "'mine' AS mix_source", "'too' AS _u", "0 AS _tokens")
+    got = mixing.mix(df).collect()
+    made = ["mix_topic", "mix_tokens", "mix_probability", "mix_gap", "mix_sampled"]
+    assert mixing.mix(df).columns == ["doc_id", "text", "source", "lang", "n_chars", "mix_source", "_u", "_tokens", *made]
+    assert len(got) == 4 and {r.mix_topic for r in got} == {"other"} and {r.mix_source for r in got} == {"mine"}
     assert len({r.mix_sampled for r in got if r.doc_id == 1}) == 1
     assert mixing.mix(spark.createDataFrame([], MIX)).collect() == []
 
@@ -162,7 +232,15 @@ def test_toxicity_on_rows_it_has_not_seen(spark):
     assert len(got) == 400
     right = sum(got[i].toxic == (i % 5 == 0) for i in range(1, 400, 2))
     assert right >= 195
-    assert chain.names == ["insult", "contempt", "toxic"] and len(chain.weights[2]) == len(chain.vocabulary) + 3
+    assert chain.names == ["kind1", "kind2", "toxic"] and len(chain.weights[2]) == len(chain.vocabulary) + 3
+    for r in docs.limit(40).collect():  # the chain by hand
+        found = Counter(f for w in re.findall(r"[^\W\d_]+", r.text.lower()) for f in toxicity.word_features(w))
+        n, out = len(re.findall(r"[^\W\d_]+", r.text.lower())), []
+        for w in chain.weights:
+            z = sum(w[k] * math.log1p(200 * found[f] / n) for f, k in chain.vocabulary.items() if found[f])
+            z += sum(w[len(chain.vocabulary) + k] * p for k, p in enumerate(out)) + w[-1]
+            out.append(1 / (1 + math.exp(-z)))
+        assert np.allclose([got[r.doc_id][f"p_{n}"] for n in chain.names], out, atol=1e-5)
     odd = spark.createDataFrame([(None, None, "x"), (1, "", "x"), (1, "", "x"), (2, "w1 " * 100_000, "x")], docs.schema)
     assert [r.toxic for r in toxicity.score(odd, chain).collect()] == [False] * 4
     assert toxicity.score(odd.where("false"), chain).collect() == []
@@ -170,6 +248,27 @@ def test_toxicity_on_rows_it_has_not_seen(spark):
     assert clean.columns == docs.columns and clean.count() == sum(not r.toxic for r in got.values())
 
 
+def test_kinds_are_groups_by_direction():
+    x = np.array([[3, 0.1, 0], [0.2, 0, 5], [1, 0, 0], [9, 1, 0], [0, 0.1, 1]])
+    assert toxicity.kinds(x).tolist() == [0, 1, 0, 0, 1]
+    assert toxicity.kinds(np.ones((1, 3))).tolist() == [0]
+
+
+def test_classifiers_bear_odd_ids(spark):
+    docs, labels = classifier_table(spark)
+    from pyspark.sql import functions as F
+
+    twice = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).withColumn("quality", F.lit(5))
+    twice = twice.unionByName(twice.limit(50).withColumn("text", F.lit(None).cast("string")))
+    named = labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert toxicity.score(twice, toxicity.fit(twice, named)).count() == 450
+    a, b = ({r.doc_id: r.score for r in quality.score(twice, *quality.fit(twice.repartition(k), named)).collect()} for k in (1, 3))
+    assert a == b
+    empty = docs.where("false")
+    assert toxicity.score(docs, toxicity.fit(empty, labels)).where("toxic").count() == 0
+    assert quality.score(docs, *quality.fit(empty, labels)).where("score <> 0.5").count() == 0
+
+
 def test_classifiers_without_labels(spark):
     docs, labels = classifier_table(spark, 20)
     for some in (labels.where("false"), labels.where("toxic = 0 AND quality = 1")):
@@ -199,18 +298,46 @@ def test_quality_never_learns_from_held_out_labels(spark):
     assert a == {r.doc_id: r.score for r in quality.score(docs, *quality.fit(docs, turned)).collect()}
 
 
-def test_contexts_equal_brute_force(spark):
-    texts = ["a b c a", "b", "", None, "c c d !!"]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
-    want = np.zeros((quality.BUCKETS, quality.DIM), np.int64)
-    known = {}
+def brute_contexts(texts):
+    want, index = {}, {}
     for t in texts:
-        ids = quality.word_ids(t, known)
-        for k, i in enumerate(ids):
-            for j in range(max(0, k - quality.WINDOW), min(len(ids), k + quality.WINDOW + 1)):
+        words = re.findall(r"[^\W_]+|[^\w\s]+|_+", t or "")
+        for w in words:
+            index[w] = quality.index_vectors(np.array([quality.xxh3_64_intdigest(w.encode(), quality.TABLES)], np.uint64))[0].astype(int)
+        for k, w in enumerate(words):
+            for j in range(max(0, k - quality.WINDOW), min(len(words), k + quality.WINDOW + 1)):
                 if j != k:
-                    want[i] += quality.INDEX[ids[j]]
-    assert (quality.context_vectors(docs) == want).all()
+                    want[w] = want.get(w, 0) + index[words[j]]
+    return want, index
+
+
+def test_contexts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "_CACHE_WORDS", 3)
+    texts = ["a b c a", "b", "", None, "c c d !!", "e f " * 20]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    want, index = brute_contexts(texts)
+    words = quality.Words(quality.context_sketch(docs))
+    for w, own in index.items():
+        (k,) = words.ids(w)
+        v = words.vectors[k]
+        assert np.allclose(v[: quality.DIM], own / np.linalg.norm(own), atol=1e-6)
+        c = want.get(w, np.zeros(quality.DIM))
+        assert np.allclose(v[quality.DIM :], c / max(np.linalg.norm(c), 1e-9), atol=1e-6)
+
+
+def test_quality_scores_equal_brute_force(spark):
+    docs, labels = classifier_table(spark, 120)
+    sketch, net = quality.fit(docs, labels)
+    rows = docs.collect()
+    want, index = brute_contexts([r.text for r in rows])
+    unit = lambda v: np.asarray(v, float) / max(np.linalg.norm(v), 1e-9)
+    for r, got in list(zip(rows, quality.score(docs, sketch, net).collect()))[:30]:
+        words = re.findall(r"[^\W_]+|[^\w\s]+|_+", r.text)
+        v = np.array([np.r_[unit(index[w]), unit(want[w])] for w in words])
+        more = [np.linalg.norm(v.mean(0)), len(set(words)) / len(words), np.log(max(Counter(words).values()) / len(words)), np.log1p(len(words))]
+        x = np.r_[v.mean(0), v.std(0), more]
+        hidden = np.tanh((x - net.shift) / net.scale @ net.w1 + net.b1)
+        assert abs(got.score - 1 / (1 + math.exp(-(hidden @ net.w2 + net.b2) / net.temperature))) < 1e-3
 
 
 def test_pipeline_stages_against_brute_force(spark):
@@ -231,15 +358,21 @@ def test_pipeline_stages_against_brute_force(spark):
     assert b == {i: a[i] for i in best.values()}
     a, b = map(text, steps["SimHash near-dedup"])
     fps = {i: simhash_dedup.fingerprint(t.encode()) for i, t in a.items()}
-    group = {i: i for i in a}
-    moved = True
-    while moved:
-        moved = False
-        for i in a:
-            for j in a:
-                if bin(fps[i] ^ fps[j]).count("1") <= 2 and group[j] < group[i]:
-                    group[i], moved = group[j], True
-    assert b == {i: t for i, t in a.items() if group[i] == i}
+    of = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for i, t in a.items()}
+    near = lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 2 or len(of[i] & of[j]) >= 0.8 * len(of[i] | of[j]) > 0
+    assert not [(i, j) for i in b for j in b if i < j and near(i, j)]
+    reached = set(b)  # whoever goes is linked to one that stays
+    while new := {j for j in a for i in reached if near(i, j)} - reached:
+        reached |= new
+    assert reached == set(a)
+    before, after = steps["mixing sources to target weights"]
+    mixed = {r.doc_id: r for r in mixing.mix(before).collect()}
+    assert set(text(after)) == {i for i, r in mixed.items() if r.mix_sampled}
+    cells = defaultdict(int)
+    for r in mixed.values():
+        cells[r.source, r.lang, r.mix_topic, r.mix_probability] += r.mix_tokens
+    whole, given = sum(cells.values()), sum(n * k[3] for k, n in cells.items())
+    assert abs(given / whole - mixing.BUDGET) < 0.05
     before, after = steps["toxicity"]
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     gone = set(text(before)) - set(text(after))

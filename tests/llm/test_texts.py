@@ -64,6 +64,25 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, fp string, part string")
 
 
+def test_neighbours_are_counted_as_by_brute_force(spark):
+    """The whole of op3's search: rows whose id divides by 50 against all rows."""
+    rng = random.Random(8)
+    base = [rng.choice("abcdefghijkl") + rng.choice("mnop") for _ in range(2000)]
+    rows = []
+    for i in range(220):
+        own = list(base) if i % 3 else [rng.choice("qrstuv") for _ in range(60)]
+        for _ in range(i % 7 // 2):
+            own[rng.randrange(len(own))] = "x"
+        rows.append((i if i < 200 else 50, " ".join(own)))
+    rows += [(None, rows[1][1]), (1000, None), (1050, ""), (1051, "")]
+    fps = [int.from_bytes(fingerprints.simhash(t)) for _, t in rows]
+    want = sorted(
+        [(i, sum(bin(f ^ g).count("1") <= 7 for g in fps) - 1 if i is not None and i % 50 == 0 else None) for (i, _), f in zip(rows, fps)], key=repr
+    )
+    got = sorted([(r.doc_id, r.n_within) for r in fingerprints.edit_likeness(docs(spark, rows)).collect()], key=repr)
+    assert got == want and max(n or 0 for _, n in got) > 60
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 9])
 def test_edit_likeness_equals_brute_force(spark, ranges):
     rng = random.Random(2)
@@ -149,6 +168,13 @@ def test_plan_is_best_fit_decreasing(case):
     assert sorted(capacity - sum(n for _, n in own) for own in fill.values()) == best_fit(sizes, capacity)
 
 
+def test_runs_are_bounded_whatever_the_number_of_pieces():
+    rng = random.Random(1)
+    for top in (10, 10_000, 10**9, 10**13):
+        histogram = {n: rng.randint(1, top) for n in range(1, 4097)}
+        assert len(packing.plan(histogram)) <= 90 * (3 * 4096 + 1)
+
+
 @given(st.lists(st.text(st.characters(max_codepoint=0x2FF) | st.sampled_from(" \n\t'.,!’“İΣ\u00a0\u0301日"), max_size=60), max_size=5))
 @settings(max_examples=200, deadline=None)
 def test_encoder_gives_the_tokenizers_ids(texts):
@@ -162,7 +188,7 @@ def test_packing_loses_nothing(spark):
     rows = [(i, " ".join(rng.choice(["fence", "gate", "wall"]) for _ in range(rng.randint(0, 400)))) for i in range(80)]
     rows += [(900, None), (901, ""), (902, "post " * 9000), (903, "post " * 4095), (904, "post " * 4096), (905, "a"), (905, "a"), (None, "b"), (906, "<|endoftext|> x")]
     e = packing._encoder(packing.default_tokenizer())
-    got = packing.pack(docs(spark, rows)).collect()
+    got = packing.pack(docs(spark, rows), part_pieces=7).collect()
     want = Counter()
     for i, t in rows:
         ids = e.tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
