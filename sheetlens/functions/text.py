@@ -72,12 +72,14 @@ def letter_similarity(a: Column, b: Column) -> Column:
 
 
 def variants(keyword: str) -> list[str]:
-    """Spellings of a phrase: hyphen and space, singular and plural, two words as one."""
+    """Spellings of a phrase: hyphen and space, for phrases of several words singular and plural, two words as one."""
     k = keyword.lower().strip()
+    words = k.split()
     out = {k, k.replace("-", " "), k.replace(" ", "-")}
-    for v in list(out):
-        out.add(v[:-1] if v.endswith("s") else v + "s")
-    if len(k.split()) == 2:
+    if len(words) >= 2:
+        other = " ".join([*words[:-1], words[-1][:-1] if words[-1].endswith("s") else words[-1] + "s"])
+        out |= {other, other.replace(" ", "-")}
+    if len(words) == 2:
         out.add(k.replace(" ", ""))
     return sorted(out)
 
