@@ -67,6 +67,12 @@ def export_state(states: DataFrame, auto: DataFrame, lines: DataFrame, skipped:
     return a.unionByName(d).unionByName(rest.select("page", F.lit("auto").alias("source"), F.col("line_idx").alias("ord"), "category", "length_pts"))
 
 
+def page_scales(states: DataFrame, scales: DataFrame) -> DataFrame:
+    """``scales`` (page, document and maybe verified_scale, text_scale) with scale_override, the users' own, for
+    ``reports.page_scales``."""
+    return scales.join(overrides(states).select("page", "scale_override"), "page", "left")
+
+
 def drawable(pages: DataFrame, *items: DataFrame) -> DataFrame:
     """Pages that any of ``items`` (page, x0..y1) has a whole box or line on."""
     keys = None

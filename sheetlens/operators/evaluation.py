@@ -95,6 +95,27 @@ def length_accuracy(found_ft: Column, gold_ft: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.abs(found_ft - gold_ft) / gold_ft)
 
 
+def detection_metrics(regions: DataFrame, gold: DataFrame, margin: float = 100.0) -> DataFrame:
+    """Per page: region precision and recall (one-to-one matches), length accuracy and error of the totals.
+
+    ``regions``: page, region, length_ft, bx0..by1; ``gold``: page, gold_id, length_ft, gx0..gy1; gold without a length is
+    left out. Without gold a page scores zero.
+    """
+    sound = gold.where("length_ft is not null")
+    m = region_matches(regions, sound, margin).groupBy("page").agg(F.count("*").alias("matched"))
+    d = regions.groupBy("page").agg(F.count("*").alias("regions"), F.sum("length_ft").alias("found_ft"))
+    n = sound.groupBy("page").agg(F.count("*").alias("golds"), F.sum("length_ft").alias("gold_ft"))
+    out = d.join(n, "page", "full").join(m, "page", "left").na.fill(0)
+    share = lambda of: F.coalesce(F.try_divide("matched", of), F.lit(0.0))
+    known = F.col("gold_ft") > 0
+    acc = F.when(known, length_accuracy(F.col("found_ft"), F.col("gold_ft"))).otherwise(0.0)
+    err = F.when(known, F.abs(F.col("found_ft") - F.col("gold_ft")) / F.col("gold_ft") * 100).otherwise(0.0)
+    return out.select(
+        "page", "regions", "golds", "matched", share("regions").alias("precision"), share("golds").alias("recall"),
+        acc.alias("length_accuracy"), err.alias("length_error_pct"),
+    )
+
+
 def method_metrics(results: DataFrame) -> DataFrame:
     """Mean accuracy, error and recall per method; best marks the highest mean accuracy. ``results``: method, found_ft,
     gold_ft, matched, golds."""
@@ -114,7 +135,12 @@ def best_source_item(gold: DataFrame, items: DataFrame, least: float = 0.3) -> D
 
 
 def coverage(gold: DataFrame, matches: DataFrame) -> DataFrame:
-    """Per source: gold boxes, matches, average IoU, share matched."""
-    n = gold.agg(F.count("*").alias("golds"))
-    per = matches.groupBy("source").agg(F.count("*").alias("matched"), F.round(F.avg("iou"), 6).alias("avg_iou"))
+    """Per source: gold boxes, matches, average IoU, share matched, and the different codes among what was matched.
+
+    ``gold``: page, gold_id and content, whose short contents with a digit are codes; ``matches``: page, gold_id, source, iou.
+    """
+    n = gold.agg(F.count("*").alias("golds"))  # one row
+    code = F.when(content_class(F.col("content")) == "code", F.trim("content")).alias("code")
+    met = matches.join(gold.select("page", "gold_id", code), ["page", "gold_id"])
+    per = met.groupBy("source").agg(F.count("*").alias("matched"), F.round(F.avg("iou"), 6).alias("avg_iou"), F.countDistinct("code").alias("codes"))
     return per.crossJoin(n).withColumn("coverage", F.round(F.col("matched") / F.col("golds"), 6))

@@ -38,6 +38,19 @@ def segmented(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("segment", F.when((F.col("chunk_type") == "figure") & ~legend, "figure").otherwise("legend"))
 
 
+#: Chunk types that are drawings, and words that tell a legend in the whole text.
+DRAWINGS, WHOLE_TEXT_WORDS = ("figure", "architectural_drawing"), "legend|keynote"
+
+
+def segmented_three(chunks: DataFrame) -> DataFrame:
+    """By an earlier rule, on the whole text: drawings without a legend word are figures, what else has a type or a legend
+    word is legend, and chunks without a type and such a word are other."""
+    kind = F.lower(F.coalesce("chunk_type", F.lit("")))
+    legend = F.lower(F.coalesce("chunk_text", F.lit(""))).rlike(WHOLE_TEXT_WORDS)
+    segment = F.when(legend, "legend").when(kind.isin(*DRAWINGS), "figure").when(kind != "", "legend").otherwise("other")
+    return chunks.withColumn("segment", segment)
+
+
 def split_words(blocks: DataFrame) -> DataFrame:
     """Blocks (page, ord, text, x0..y1) as words, each with a share of the width by its length."""
     words = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
@@ -156,6 +169,14 @@ def chunk_text(tokens: DataFrame, chunks: DataFrame) -> DataFrame:
     return tokens_in(tokens, chunks).groupBy("page", "chunk_ord").agg(F.array_join(said, " ").alias("text"))
 
 
+def region_text(read: DataFrame, words: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The text of each legend chunk: first what was read from the image inside it, then the native words, each in order."""
+    legend = segmented(chunks).where("segment = 'legend'").drop("segment")
+    both = read.withColumn("_rank", F.lit(0)).unionByName(words.withColumn("_rank", F.lit(1)))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "tok_ord", "text"))), lambda s: s["text"])
+    return tokens_in(both, legend).groupBy("page", "chunk_ord").agg(F.array_join(said, " ").alias("text"))
+
+
 def item_sizes(tokens: DataFrame) -> DataFrame:
     x, y = g.center(g.box("t"))
     return tokens.select("page", "tok_ord", "text", (F.col("tx1") - F.col("tx0")).alias("width"), (F.col("ty1") - F.col("ty0")).alias("height"), x.alias("cx"), y.alias("cy"), g.area(g.box("t")).alias("area"))

@@ -11,7 +11,8 @@ from sheetlens.functions import text as t
 from sheetlens.plans.fold import greedy_keep
 from sheetlens.plans.spatial import grid_join
 
-EMPTY_MARKS = ("", ".", "-", "*", "•", "·")
+#: What stands for no indicator.
+EMPTY_MARKS = ("", ".", "-", "*", "•", "·", "(bullet point)", "bullet point")
 LEGEND_MARGIN, NEAR, SAME_BOX = 20.0, 30.0, 5.0
 
 
@@ -99,10 +100,11 @@ def located(entries: DataFrame, lines: DataFrame, target: Column, margin: float
 
 
 def located_entries(entries: DataFrame, lines: DataFrame) -> DataFrame:
-    """Description boxes: by full text, else its first four words, else page-wide. attempt tells which."""
+    """Description boxes: by full text, else its first four words, else page-wide by full text. attempt tells which."""
     words = F.array_join(F.slice(F.split("description", r"\s+"), 1, 4), " ")
     wide = entries.withColumn("cx1", F.lit(9999.0))
-    tries = [located(entries, lines, F.col("description")), located(entries, lines, words), located(wide, lines, words)]
+    whole = F.col("description")
+    tries = [located(entries, lines, whole), located(entries, lines, words), located(wide, lines, whole)]
     out = None
     for i, found in enumerate(tries):
         one = found.withColumn("attempt", F.lit(i))
@@ -110,6 +112,13 @@ def located_entries(entries: DataFrame, lines: DataFrame) -> DataFrame:
     return out.groupBy("page", "leg_ord").agg(F.min(F.struct("attempt", "x0", "y0", "x1", "y1")).alias("m")).select("page", "leg_ord", "m.*")
 
 
+def located_indicators(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """Indicator boxes: in the entry's chunk, else page-wide."""
+    wide = located(entries.withColumn("cx1", F.lit(9999.0)), lines, F.col("indicator")).withColumn("attempt", F.lit(1))
+    both = located(entries, lines, F.col("indicator")).withColumn("attempt", F.lit(0)).unionByName(wide)
+    return both.groupBy("page", "leg_ord").agg(F.min(F.struct("attempt", "x0", "y0", "x1", "y1")).alias("m")).select("page", "leg_ord", "m.*")
+
+
 def without_own_description(indicator_boxes: DataFrame, description_boxes: DataFrame, near: float = SAME_BOX) -> DataFrame:
     """Indicator boxes that aren't within ``near`` of their entry's description box."""
     d = description_boxes.select("page", "leg_ord", F.col("x0").alias("dx0"), F.col("y0").alias("dy0"))
@@ -118,34 +127,40 @@ def without_own_description(indicator_boxes: DataFrame, description_boxes: DataF
 
 
 def row_matches(rows: DataFrame, targets: list[str]) -> DataFrame:
-    """Text lines (page, line_no, words: ordered array of text and box) where a token holds the target or neighbouring
-    tokens together are the target: box of the words that match."""
-    norm = lambda c: t.alnum_lower(c)
-    out = None
-    for i, target in enumerate(targets):
-        want = F.lit("".join(ch for ch in target.lower() if ch.isascii() and ch.isalnum()))
-        n = F.size("words")
-        spans = F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), n),
-                lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), n - a + 1)), lambda k: F.slice("words", a, k)),
-            )
-        )
-        hit = F.filter(spans, lambda s: norm(F.array_join(F.transform(s, lambda w: w["text"]), "")) == want)
-        one = F.filter("words", lambda w: F.contains(norm(w["text"]), want))
-        pick = F.when(F.size(hit) > 0, F.get(hit, F.lit(0))).when(F.size(one) > 0, one)
-        low = lambda f: F.array_min(F.transform("_w", lambda w: w[f]))
-        high = lambda f: F.array_max(F.transform("_w", lambda w: w[f]))
-        r = rows.withColumn("_w", pick).where("_w is not null").select(
-            "page", "line_no", F.lit(i).alias("target"), low("x0").alias("x0"), low("y0").alias("y0"), high("x1").alias("x1"), high("y1").alias("y1")
-        )
-        out = r if out is None else out.unionByName(r)
-    return out
-
+    """Text lines (page, line_no, words: ordered array of text and box) where neighbouring words together are the target,
+    whatever their number, or else a word holds it: box of the words that match.
 
-def phrase_tokens(tokens: DataFrame, phrase: str) -> DataFrame:
-    """Places where neighbouring tokens of a page, in order, are the words of ``phrase``: box, without repeats at two decimals."""
+    Only letters and digits count, so words without any are passed over. Every word that is left gives a letter or digit at
+    least, so no run is longer than the target.
+    """
+    norm = lambda c: t.alnum_lower(c)
+    wanted = ["".join(ch for ch in target.lower() if ch.isascii() and ch.isalnum()) for target in targets]
+    told = F.filter(F.transform("words", lambda w: F.struct(norm(w["text"]).alias("n"), w.alias("w"))), lambda x: x["n"] != "")
+    r = rows.select("page", "line_no", told.alias("told"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("target"), F.lit(w).alias("want")) for i, w in enumerate(wanted) if w])
+    r = r.select("page", "line_no", "told", F.explode(pairs).alias("t")).select("page", "line_no", "told", "t.*")
+    r = r.where(F.contains(F.array_join(F.transform("told", lambda x: x["n"]), ""), F.col("want")))
+    n = F.size("told")
+    run = lambda a: F.filter(
+        F.transform(F.sequence(F.lit(1), F.least(F.length("want"), n - a + 1)), lambda k: F.slice("told", a, k)),
+        lambda s: F.array_join(F.transform(s, lambda x: x["n"]), "") == F.col("want"),
+    )
+    hits = F.flatten(F.transform(F.sequence(F.lit(1), n), run))
+    one = F.filter("told", lambda x: F.contains(x["n"], F.col("want")))
+    r = r.withColumn("hit", F.get(hits, F.lit(0))).withColumn("one", one)
+    r = r.withColumn("_w", F.when(F.col("hit").isNotNull(), F.col("hit")).when(F.size("one") > 0, F.col("one"))).where("_w is not null")
+    low = lambda f: F.array_min(F.transform("_w", lambda x: x["w"][f]))
+    high = lambda f: F.array_max(F.transform("_w", lambda x: x["w"][f]))
+    return r.select("page", "line_no", "target", low("x0").alias("x0"), low("y0").alias("y0"), high("x1").alias("x1"), high("y1").alias("y1"))
+
+
+def phrase_tokens(tokens: DataFrame, phrase: str, regions: DataFrame | None = None) -> DataFrame:
+    """Places where neighbouring tokens of a page, in order, are the words of ``phrase``: box, without repeats at two
+    decimals. With ``regions`` (page, rx0..ry1) only tokens with their centre in one count."""
     words = phrase.lower().split()
+    if regions is not None:
+        x, y = g.center(g.box("t"))
+        tokens = grid_join(tokens, regions, (x, y, x, y), g.box("r"), g.point_in_box(x, y, g.box("r")), ["page"], 0.0, 100.0, "left_semi", large=True)
     w = Window.partitionBy("page").orderBy("tok_ord")
     nth = lambda c, i: F.lead(c, i).over(w) if i else F.col(c)
     same = F.lit(True)
@@ -157,6 +172,17 @@ def phrase_tokens(tokens: DataFrame, phrase: str) -> DataFrame:
     return hit.where("hit").drop("hit").distinct()
 
 
+def indicator_words(read: DataFrame, words: DataFrame, indicator: str) -> DataFrame:
+    """Tokens that hold ``indicator`` as a whole word, those read from the image first and the native ones only on pages
+    where no such is found: page, source, box, without repeats at two decimals."""
+    edge = r"[\p{L}\p{N}_]"
+    pattern = rf"(?<!{edge})\Q{indicator}\E(?!{edge})"
+    box = [F.round(f"t{c}", 2).alias(c) for c in ("x0", "y0", "x1", "y1")]
+    of = lambda df, s: df.where(F.col("text").rlike(pattern)).select("page", F.lit(s).alias("source"), *box).distinct()
+    first = of(read, "ocr")
+    return first.unionByName(of(words, "words").join(first.select("page").distinct(), "page", "left_anti"))
+
+
 def spans(lines: DataFrame, phrases: list[str]) -> DataFrame:
     """Keyword spans on lines (page, line_no, words array<string>): start, end. Longer phrases take their words first, and
     no word belongs to two spans."""
@@ -185,6 +211,48 @@ def widened_spans(found: DataFrame, lines: DataFrame, context: int = 2) -> DataF
     )
 
 
+def span_boxes(found: DataFrame, tokens: DataFrame, pad: float = 1.0, most_height: float = 1.6, gap: float = 0.9, most_width: float = 200.0) -> DataFrame:
+    """Boxes of spans (page, line_no, start, end) over their line's tokens (page, line_no, k from one, text, tx0..ty1).
+
+    A span is cut where the space between two tokens is wider than 2.5 * ``gap`` median letters of the line, and again
+    before a token that would make a part wider than ``most_width`` in token widths. A part's box is that of its tokens,
+    at most ``most_height`` median heights high around its middle, widened by ``pad``: page, line_no, start, part, text, box.
+    """
+    line = ["page", "line_no"]
+    letters = (F.col("tx1") - F.col("tx0")) / F.length("text")
+    medians = tokens.groupBy(*line).agg(
+        F.coalesce(F.median(F.when(F.length("text") > 0, letters)), F.lit(8.0)).alias("letter"),
+        F.median(F.greatest(F.lit(1.0), F.col("ty1") - F.col("ty0"))).alias("high"),
+    )
+    t = tokens.withColumn("before", F.lag("tx1").over(Window.partitionBy(*line).orderBy("k")))
+    t = found.join(t, line).where("k BETWEEN start AND end").join(medians, line)
+    span = Window.partitionBy(*line, "start", "end").orderBy("k")
+    cut = (F.col("k") > F.col("start")) & (F.col("tx0") - F.col("before") > gap * 2.5 * F.col("letter"))
+    t = t.withColumn("seg", F.sum(cut.cast("int")).over(span))
+    item = F.struct("k", "text", *[F.col(f"t{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    keys = [*line, "start", "end", "seg"]
+    per = t.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("high").alias("high"))  # a span's tokens
+    width = lambda a: F.array_max(F.transform(a, lambda x: x["x1"])) - F.array_min(F.transform(a, lambda x: x["x0"]))
+    start = F.struct(F.lit(0).alias("part"), F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("parts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        w = x["x1"] - x["x0"]
+        new = (F.size(acc["parts"]) > 0) & (acc["sum"] + w > most_width)
+        part = acc["part"] + new.cast("int")
+        return F.struct(part.alias("part"), F.when(new, w).otherwise(acc["sum"] + w).alias("sum"), F.array_append(acc["parts"], part).alias("parts"))
+
+    parts = F.when(width(F.col("items")) > most_width, F.aggregate("items", start, step, lambda a: a["parts"])).otherwise(F.transform("items", lambda x: F.lit(0)))
+    one = per.withColumn("z", F.explode(F.arrays_zip(F.col("items").alias("x"), parts.alias("part")))).select(*keys, "high", "z.part", "z.x")
+    box = one.groupBy(*keys, "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x.k", "x.text"))), lambda s: s["text"]), " ").alias("text"),
+        F.min("x.x0").alias("x0"), F.min("x.y0").alias("y0"), F.max("x.x1").alias("x1"), F.max("x.y1").alias("y1"), F.first("high").alias("high"),
+    )
+    half = F.least(F.col("y1") - F.col("y0"), most_height * F.col("high")) / 2
+    mid = (F.col("y0") + F.col("y1")) / 2
+    number = F.row_number().over(Window.partitionBy(*line, "start").orderBy("seg", "part")) - 1
+    return box.select(*line, "start", number.alias("part"), "text", (F.col("x0") - pad).alias("x0"), (mid - half - pad).alias("y0"), (F.col("x1") + pad).alias("x1"), (mid + half + pad).alias("y1"))
+
+
 def known_layers(answers: DataFrame, layers: DataFrame) -> DataFrame:
     """Layer names from answers (page, name): those that exist, else those that hold or are held by the name."""
     j = answers.join(layers, "page")
@@ -196,14 +264,14 @@ def known_layers(answers: DataFrame, layers: DataFrame) -> DataFrame:
     return out.select("page", "layer").distinct()
 
 
-def known_names(answers: DataFrame, known: DataFrame, fallback_first: bool = False) -> DataFrame:
-    """Answers (name) to known names (known, known_ord): equal in any case, else containing either way, else with
-    ``fallback_first`` the first known name, else none."""
+def known_names(answers: DataFrame, known: DataFrame, fallback_first: bool = False, by: tuple[str, ...] = ("document",)) -> DataFrame:
+    """Answers (``by``, name) to the known names (``by``, known, known_ord) of their own document or page: equal in any
+    case, else containing either way, else with ``fallback_first`` the first known name, else none."""
+    by = list(by)
     a, b = F.lower("name"), F.lower("known")
     rank = F.when(a == b, 0).when(F.contains(a, b) | F.contains(b, a), 1)
-    met = answers.join(known, rank.isNotNull()).withColumn("rank", rank)
-    best = met.groupBy("name").agg(F.min(F.struct("rank", "known_ord", "known")).alias("m")).select("name", F.col("m.known").alias("known"))
+    met = answers.select(*by, "name").distinct().join(known, by).withColumn("rank", rank)
     if not fallback_first:
-        return best
-    first = known.agg(F.min(F.struct("known_ord", "known")).alias("f")).select(F.col("f.known").alias("first"))
-    return answers.select("name").distinct().join(best, "name", "left").crossJoin(first).select("name", F.coalesce("known", "first").alias("known"))
+        met = met.where("rank is not null")
+    best = met.groupBy(*by, "name").agg(F.min(F.struct(F.coalesce("rank", F.lit(2)).alias("rank"), "known_ord", "known")).alias("m"))
+    return best.select(*by, "name", F.col("m.known").alias("known"))

@@ -13,6 +13,7 @@ from sheetlens.functions import geometry as g
 from sheetlens.plans.graph import connected
 from sheetlens.plans.spatial import grid_join
 
+#: Words in the names of layers that matter, and the limits beyond which a page isn't measured.
 LAYER_WORDS = ("FENC", "WALL", "BARRIER", "GUARD", "RAIL", "GATE", "PERIM", "BNDY", "BOUND")
 MORE_LAYER_WORDS = (*LAYER_WORDS, "PROP", "ESMT")
 MAX_FIGURES, MAX_LAYERS, MAX_LINES, MAX_PAGE_LINES = 12, 200, 5000, 15000
@@ -115,20 +116,35 @@ def nearest_line(lines: DataFrame, points: DataFrame, x: str, y: str, point_id:
 def runs(lines: DataFrame, tolerance: float = 2.0, keys: tuple[str, ...] = ("page",), same: Column | None = None) -> DataFrame:
     """``lines`` with run: the least line_idx of the lines that ends closer than ``tolerance`` connect, within ``keys``.
 
-    ``same`` is a further condition on a pair, over the columns of ``lines`` with the prefixes a_ and b_.
+    ``same`` is a further condition on a pair, over the columns of ``lines`` with the prefixes a_ and b_. Without it, ends
+    in one square whose diagonal is shorter than ``tolerance`` are connected whatever else: they are linked to the first of
+    them, so any number of ends at one place gives as many links. Then only ends of neighbouring squares are compared.
     """
     ends = endpoints(lines)
-    a = ends.select(*[F.col(c).alias(f"a_{c}") for c in ends.columns], *[F.col(k).alias(f"k_{k}") for k in keys])
-    b = ends.select(*[F.col(c).alias(f"b_{c}") for c in ends.columns], *[F.col(k).alias(f"k_{k}") for k in keys])
-    near = g.distance(F.col("a_px"), F.col("a_py"), F.col("b_px"), F.col("b_py")) < tolerance
-    cond = near & (F.col("a_line_idx") < F.col("b_line_idx"))
-    cond = cond if same is None else cond & same
-    pt = lambda s: (F.col(f"{s}_px"), F.col(f"{s}_py"), F.col(f"{s}_px"), F.col(f"{s}_py"))
-    ks = [f"k_{k}" for k in keys]
-    met = grid_join(a, b, pt("a"), pt("b"), cond, ks, tolerance, max(tolerance, 5.0))
-    edges = met.select(*[F.col(f"k_{k}").alias(k) for k in keys], F.col("a_line_idx").alias("a"), F.col("b_line_idx").alias("b")).distinct()
-    comp = connected(edges, list(keys))
-    found = comp.withColumnsRenamed({"node": "line_idx", "component": "run"})
+    if same is None:
+        small = tolerance / 1.5
+        sub = ends.withColumns({"_sx": F.floor(F.col("px") / small), "_sy": F.floor(F.col("py") / small)})
+        # Equal places need one point only.
+        points = sub.groupBy(*keys, "_sx", "_sy", "px", "py").agg(F.min("line_idx").alias("first"))
+        firsts = sub.groupBy(*keys, "_sx", "_sy").agg(F.min("line_idx").alias("head"))
+        inner = sub.join(firsts, [*keys, "_sx", "_sy"]).where(F.col("line_idx") != F.col("head"))
+        inner = inner.select(*keys, F.col("head").alias("a"), F.col("line_idx").alias("b"))
+        spread = points.withColumn("_d", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("_e", F.explode(F.sequence(F.lit(-2), F.lit(2))))
+        spread = spread.where("_d > 0 OR (_d = 0 AND _e > 0)")  # each pair of squares once
+        a = spread.select(*keys, (F.col("_sx") + F.col("_d")).alias("_sx"), (F.col("_sy") + F.col("_e")).alias("_sy"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("first").alias("other"))
+        near = g.distance(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) < tolerance
+        met = points.join(a, [*keys, "_sx", "_sy"]).where(near & (F.col("first") != F.col("other")))
+        outer = met.select(*keys, F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
+        edges = inner.unionByName(outer).distinct()
+    else:
+        a = ends.select(*[F.col(c).alias(f"a_{c}") for c in ends.columns], *[F.col(k).alias(f"k_{k}") for k in keys])
+        b = ends.select(*[F.col(c).alias(f"b_{c}") for c in ends.columns], *[F.col(k).alias(f"k_{k}") for k in keys])
+        near = g.distance(F.col("a_px"), F.col("a_py"), F.col("b_px"), F.col("b_py")) < tolerance
+        cond = near & (F.col("a_line_idx") < F.col("b_line_idx")) & same
+        pt = lambda s: (F.col(f"{s}_px"), F.col(f"{s}_py"), F.col(f"{s}_px"), F.col(f"{s}_py"))
+        met = grid_join(a, b, pt("a"), pt("b"), cond, [f"k_{k}" for k in keys], tolerance, max(tolerance, 5.0))
+        edges = met.select(*[F.col(f"k_{k}").alias(k) for k in keys], F.col("a_line_idx").alias("a"), F.col("b_line_idx").alias("b")).distinct()
+    found = connected(edges, list(keys)).withColumnsRenamed({"node": "line_idx", "component": "run"})
     return lines.join(found, [*keys, "line_idx"], "left").withColumn("run", F.coalesce("run", "line_idx"))
 
 
@@ -171,23 +187,30 @@ def length_histogram(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def skip_reasons(pages: DataFrame) -> DataFrame:
-    """``pages`` (counts of instances, figures, layers, lines, page_lines) with skip_reason; null where nothing forbids it."""
+    """``pages`` (counts of instances, figures, layers, lines, page_lines) with skip_reason; null where nothing forbids it.
+
+    ``lines`` are those on telling layers. The limit for all lines of a page holds only where it has no such layer, as
+    only then they are all looked at.
+    """
     reason = (
         F.when(F.col("instances") == 0, "no instances")
         .when(F.col("figures") > MAX_FIGURES, "too many figures")
         .when(F.col("layers") > MAX_LAYERS, "too many layers")
-        .when(F.col("page_lines") > MAX_PAGE_LINES, "too many lines on the page")
         .when(F.col("lines") > MAX_LINES, "too many lines")
+        .when((F.col("lines") == 0) & (F.col("page_lines") > MAX_PAGE_LINES), "too many lines on the page")
     )
     return pages.withColumn("skip_reason", reason)
 
 
-def page_counts(lines: DataFrame, instances: DataFrame, chunks: DataFrame) -> DataFrame:
-    a = lines.groupBy("page").agg(F.count("*").alias("page_lines"), F.countDistinct("layer").alias("layers"))
+def page_counts(lines: DataFrame, instances: DataFrame, chunks: DataFrame, words: tuple[str, ...] = LAYER_WORDS) -> DataFrame:
+    """Per page: page_lines, lines (on layers that hold one of ``words``), layers, instances, figures."""
+    telling = F.coalesce(F.upper("layer").rlike("|".join(words)), F.lit(False))
+    a = lines.groupBy("page").agg(
+        F.count("*").alias("page_lines"), F.countDistinct("layer").alias("layers"), F.count_if(telling).alias("lines")
+    )
     b = instances.groupBy("page").agg(F.count("*").alias("instances"))
     c = chunks.groupBy("page").agg(F.count_if(F.col("chunk_type") == "figure").alias("figures"))
-    out = a.join(b, "page", "left").join(c, "page", "left").na.fill(0)
-    return out.withColumn("lines", F.col("page_lines"))
+    return a.join(b, "page", "left").join(c, "page", "left").na.fill(0)
 
 
 def large_figures(chunks: DataFrame, least: float = 100.0) -> DataFrame:
@@ -195,8 +218,8 @@ def large_figures(chunks: DataFrame, least: float = 100.0) -> DataFrame:
 
 
 def dimension_candidates(texts: DataFrame, low: float = 2.0, high: float = 500.0) -> DataFrame:
-    """Texts that begin with a number of feet in range: ``texts`` with value_ft. Only the start is anchored."""
-    v = F.regexp_extract("text", r"^(\d+\.?\d*)\s*['\"\-LF]*", 1).try_cast("double")
+    """Texts that begin with a number of feet in range: ``texts`` with value_ft. Whatever follows the number is ignored."""
+    v = F.regexp_substr("text", F.lit(r"^[0-9]+(\.[0-9]*)?")).try_cast("double")
     return texts.withColumn("value_ft", v).where(F.col("value_ft").between(low, high))
 
 
@@ -255,22 +278,51 @@ def not_already_in(found: DataFrame, final: DataFrame) -> DataFrame:
     return new.groupBy("page", *names).agg(F.min("found_id").alias("found_id")).select("page", "found_id")
 
 
-def page_measure(lines: DataFrame, instances: DataFrame, figures: DataFrame, scale: float, margin: float = 80.0) -> DataFrame:
+def page_measure(
+    lines: DataFrame,
+    instances: DataFrame,
+    figures: DataFrame,
+    scale: float,
+    dims: DataFrame | None = None,
+    margin: float = 80.0,
+    words: tuple[str, ...] = LAYER_WORDS,
+) -> DataFrame:
     """The whole flow per page: skipped pages out; lines of telling layers in figures if there are any, else lines by
-    length near instances; per page method, segments and feet.
+    length near instances; per page method (layers, proximity), segments and lengths. With ``dims`` (as for
+    ``dimension_lines``) their lines that aren't counted yet come as a method of their own, dimensions.
 
     ``figures`` has cx0..cy1, ``instances`` ix0..iy1.
     """
-    ok = skip_reasons(page_counts(lines, instances, figures)).where("skip_reason is null").select("page")
+    ok = skip_reasons(page_counts(lines, instances, figures, words)).where("skip_reason is null").select("page")
     own = lines.join(ok, "page", "left_semi")
-    named = with_layer_words(own)
+    named = with_layer_words(own, words)
     figs = large_figures(figures.where("chunk_type = 'figure'"))
     by_layer = in_boxes(named, figs, g.box("c"))
     rest = own.join(named.select("page").distinct(), "page", "left_anti")
     by_place = near_box(rest.where("length_pts between 10 and 200"), instances, g.box("i"), [], margin).distinct()
-    a = totals(by_layer, ["page"], scale).withColumn("method", F.lit("layers"))
-    b = totals(by_place, ["page"], scale).withColumn("method", F.lit("proximity"))
-    return a.unionByName(b)
+    out = totals(by_layer, ["page"], scale).withColumn("method", F.lit("layers"))
+    out = out.unionByName(totals(by_place, ["page"], scale).withColumn("method", F.lit("proximity")))
+    if dims is None:
+        return out
+    ends = ["page", "line_idx", "length_pts", "x0", "y0", "x1", "y1"]
+    found = dimension_lines(own, dims.join(ok, "page", "left_semi"), scale).select("page", "line_idx").distinct()
+    found = own.join(found, list(_LINE)).select(*ends).withColumnRenamed("line_idx", "found_id")
+    counted = by_layer.select(*_LINE).unionByName(by_place.select(*_LINE))
+    new = not_already_in(found, own.join(counted, list(_LINE), "left_semi"))
+    more = found.join(new, ["page", "found_id"], "left_semi")
+    return out.unionByName(totals(more, ["page"], scale).withColumn("method", F.lit("dimensions")))
+
+
+def page_measure_totals(measures: DataFrame) -> DataFrame:
+    """Per page over ``page_measure``: method (layers if it has any), segments and feet of it, and those of dimensions."""
+    is_dim = F.col("method") == "dimensions"
+    return measures.groupBy("page").agg(
+        F.min(F.when(~is_dim, F.col("method"))).alias("method"),
+        F.coalesce(F.sum(F.when(~is_dim, F.col("segments"))), F.lit(0)).alias("segments"),
+        F.coalesce(F.sum(F.when(~is_dim, F.col("total_feet"))), F.lit(0.0)).alias("total_feet"),
+        F.coalesce(F.sum(F.when(is_dim, F.col("segments"))), F.lit(0)).alias("dimension_segments"),
+        F.coalesce(F.sum(F.when(is_dim, F.col("total_feet"))), F.lit(0.0)).alias("dimension_feet"),
+    )
 
 
 def nearby_total(lines: DataFrame, dims: DataFrame, radius: float = 150.0, up: float = 100.0) -> DataFrame:

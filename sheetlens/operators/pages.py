@@ -62,9 +62,22 @@ def decide(pages: DataFrame, scores: DataFrame, high: list[str], policy: str = "
     return j.select(*PAGE, yes.alias("relevant"), how.alias("method"), F.size("keywords").alias("keyword_count"))
 
 
+#: What an earlier rule took for too little text, and for too much image.
+FEW_MATCHES, FEW_TOKENS, IMAGE_SHARE = 5, 40, 0.05
+
+
 def needs_reading(pages: DataFrame, policy: str = "short_text") -> DataFrame:
-    """Pages to read as images: fewer than 50 native characters, or every page."""
-    return pages if policy == "all" else pages.where(F.length(F.trim("text")) < MIN_NATIVE_CHARS)
+    """Pages to read as images: fewer than 50 native characters (``short_text``), every page (``all``), or by an earlier
+    rule (``sparse``) few keyword matches, few tokens or much image (columns matches, tokens, image_share; a missing share
+    is none)."""
+    if policy == "all":
+        return pages
+    if policy == "sparse":
+        image = F.coalesce("image_share", F.lit(0.0)) >= IMAGE_SHARE
+        return pages.where((F.col("matches") < FEW_MATCHES) | (F.col("tokens") < FEW_TOKENS) | image)
+    if policy != "short_text":
+        raise ValueError(f"no policy {policy!r}")
+    return pages.where(F.length(F.trim("text")) < MIN_NATIVE_CHARS)
 
 
 def merged_text(native: DataFrame, read: DataFrame) -> DataFrame:
@@ -95,6 +108,13 @@ def first_keyword(tokens: DataFrame, keywords: list[str]) -> DataFrame:
     return tokens.withColumn("keyword", first).where("keyword is not null")
 
 
+def keyword_mentions(chunks: DataFrame, keywords: list[str]) -> DataFrame:
+    """Chunks (id and more, text) with each keyword that their text holds, a chunk and keyword once."""
+    low = F.lower("text")
+    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k.lower())), F.lit(k)) for k in dict.fromkeys(keywords)]))
+    return chunks.withColumn("keyword", F.explode(hits)).dropDuplicates(["id", "keyword"])
+
+
 def keyword_first(lines: DataFrame, keywords: list[str], others: int = 50) -> DataFrame:
     """Of each page all lines with a keyword and the first ``others`` without."""
     has = F.lower("text").rlike("|".join(t.keyword_pattern(k) for k in keywords))
@@ -117,11 +137,26 @@ def spec_corpus(pages: DataFrame, per_page: int = 6000, total: int = 20000) -> D
     return pages.groupBy("doc_id").agg(F.substring(joined, 1, total).alias("corpus"))
 
 
-def model_rows(responses: DataFrame, schema: str) -> DataFrame:
-    """Rows of the outermost JSON array in a model's noisy answer that have a non-empty id: the columns of ``schema``."""
-    raw = F.regexp_extract("response", r"(?s)\[.*\]", 0)
-    out = responses.select(*[c for c in responses.columns if c != "response"], F.explode(F.from_json(raw, f"array<struct<{schema}>>")).alias("r"))
-    return out.select(*[c for c in responses.columns if c != "response"], "r.*").where(F.coalesce(F.col("id").cast("string"), F.lit("")) != "")
+def model_rows(responses: DataFrame, schema: str, inside: str = "results") -> DataFrame:
+    """Rows with a non-empty id in a model's noisy answer: the columns of ``schema``.
+
+    The answer's JSON is its outermost object, whose field ``inside`` holds the rows, or else its outermost array; whichever
+    begins first. Text around it is ignored; answers without sound JSON give no rows.
+    """
+    rest = [c for c in responses.columns if c != "response"]
+    a, o = F.instr("response", "["), F.instr("response", "{")
+    array = (a > 0) & ((o == 0) | (a < o))
+    raw = F.when(array, F.regexp_extract("response", r"(?s)\[.*\]", 0)).otherwise(F.regexp_extract("response", r"(?s)\{.*\}", 0))
+    rows = F.when(array, F.from_json(raw, f"array<struct<{schema}>>")).otherwise(F.from_json(raw, f"struct<`{inside}`:array<struct<{schema}>>>")[inside])
+    out = responses.select(*rest, F.explode(rows).alias("r")).select(*rest, "r.*")
+    return out.where(F.coalesce(F.trim(F.col("id").cast("string")), F.lit("")) != "")
+
+
+def model_object(responses: DataFrame, schema: str) -> DataFrame:
+    """The outermost JSON object in a model's noisy answer: the columns of ``schema``, null without sound JSON."""
+    rest = [c for c in responses.columns if c != "response"]
+    raw = F.regexp_extract("response", r"(?s)\{.*\}", 0)
+    return responses.select(*rest, F.from_json(raw, schema).alias("r")).select(*rest, "r.*")
 
 
 def fill_missing(requested: DataFrame, answers: DataFrame, key: str, column: str, default: Column) -> DataFrame:

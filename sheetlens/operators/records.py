@@ -7,8 +7,11 @@ from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 from pyspark.sql.window import Window
 
+from sheetlens.plans.graph import stored
+
 TELEMETRY = (
     "ts double, kind string, pid long, label string, name string, wall_s double, cpu_s double, rss_delta_mb double, "
     "peak_rss_mb double, rss_mb double, session_id string, status string, worker string, page_idx long"
@@ -25,7 +28,15 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def spend_records(spark: SparkSession, path: str) -> DataFrame:
-    return json_lines(spark, path, SPEND).withColumn("ts", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")))
+    return json_lines(spark, path, SPEND).withColumn("ts", F.timestamp_micros(F.round(F.col("ts") * 1_000_000).cast("long")))
+
+
+def of_day(records: DataFrame, day: str, date: str | None, today: Column | None = None) -> DataFrame:
+    """Records of one day: ``date`` (yyyy-mm-dd), or today's if it's not given; "all" gives every day's."""
+    if date == "all":
+        return records
+    wanted = F.lit(date).cast("date") if date else (F.current_date() if today is None else today)
+    return records.where(F.col(day) == wanted)
 
 
 def recent_days(records: DataFrame, day: str, n: int) -> DataFrame:
@@ -62,12 +73,13 @@ def owned(rows: DataFrame, documents: DataFrame, user: Column) -> DataFrame:
 
 
 def fallback_documents(documents: DataFrame, jobs: DataFrame) -> DataFrame:
-    """``documents`` and jobs that are no document's latest job, in the shape of documents."""
-    known = documents_with_latest_job(documents, jobs).where("job_id is not null").select("job_id")
-    rest = jobs.join(known, "job_id", "left_anti")
-    return documents.select("document", "created_at", F.lit("document").alias("kind")).unionByName(
-        rest.select(F.col("job_id").alias("document"), "created_at", F.lit("job").alias("kind"))
-    )
+    """``documents`` and the jobs that are no document's latest job, in the shape of documents, newest first: document,
+    created_at, status, kind (document or job), latest_job."""
+    known = documents_with_latest_job(documents, jobs)
+    rest = jobs.join(known.where("job_id is not null").select("job_id"), "job_id", "left_anti")
+    own = known.select("document", "created_at", "status", F.lit("document").alias("kind"), F.col("job_id").alias("latest_job"))
+    more = rest.select(F.col("job_id").alias("document"), "created_at", "status", F.lit("job").alias("kind"), F.col("job_id").alias("latest_job"))
+    return own.unionByName(more).orderBy(F.desc("created_at"), F.desc("document"), "kind")
 
 
 def orphans(jobs: DataFrame, results: DataFrame, now: Column, age_s: int = 3600) -> DataFrame:
@@ -92,15 +104,26 @@ def backfilled(page_results: DataFrame, jobs: DataFrame, default: str = "fence")
     return j.withColumn("job_id", F.coalesce("job_id", "_job")).withColumn("trade", trade).drop("_job")
 
 
+def _cumulated(df: DataFrame, value: str, size: str, keys: list[str], ranges: int = 64) -> DataFrame:
+    """``df`` with before: the sum of ``size`` over the rows of the same ``keys`` with a smaller ``value``.
+
+    Values are dealt out in ranges of about equal numbers of rows, whatever they are; a range is summed by one task, and
+    the ranges' sums by key, a row each, are put in front.
+    """
+    dealt = stored(df.repartitionByRange(ranges, value).withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part", *keys).agg(F.sum(size).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = sums.select("_part", *keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inner = dealt.withColumn("_in", F.coalesce(F.sum(size).over(within), F.lit(0)))
+    return inner.join(starts, ["_part", *keys]).withColumn("before", F.col("_start") + F.col("_in")).drop("_part", "_start", "_in")
+
+
 def queue_positions(jobs: DataFrame) -> DataFrame:
-    """Queued jobs in order with a position from one. Ranges of the order are numbered apart and put together by their
-    sizes, so that no task has the whole queue."""
-    q = jobs.where("status = 'queued'").withColumn("bucket", F.date_trunc("month", "created_at"))
-    sizes = q.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per month
-    starts = sizes.select("bucket", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("created_at", "job_id"))
-    return q.withColumn("rank", rank).join(starts, "bucket").select("job_id", "user_id", "created_at", (F.col("before") + F.col("rank")).alias("position"))
+    """Queued jobs in order of created_at, then job_id, with a position from one. No task has the whole queue."""
+    q = jobs.where("status = 'queued'").select("job_id", "user_id", "created_at", F.struct("created_at", "job_id").alias("_at"), F.lit(1).alias("_one"))
+    out = _cumulated(q, "_at", "_one", [])
+    return out.select("job_id", "user_id", "created_at", (F.col("before") + 1).alias("position"))
 
 
 def after_restart(jobs: DataFrame) -> DataFrame:
@@ -119,42 +142,70 @@ def stale_failed(jobs: DataFrame, now: Column, age_s: int = STALE_S) -> DataFram
     return jobs.withColumn("status", F.when(stale, "failed").otherwise(F.col("status")))
 
 
-def recent_jobs(jobs: DataFrame, now: Column, keep_s: int) -> DataFrame:
-    """Jobs that are active or haven't expired."""
-    active = F.col("status").isin("queued", "running")
-    return jobs.where(active | (F.unix_timestamp("created_at") >= F.unix_timestamp(now) - keep_s))
+#: States of a job that isn't done.
+ACTIVE = ("queued", "running", "phases_ready")
+
+
+def recent_jobs(jobs: DataFrame, now: Column) -> DataFrame:
+    """Jobs that are active or expire (expires_at) after ``now``, newest first."""
+    keep = F.col("status").isin(*ACTIVE) | (F.col("expires_at") > now)
+    return jobs.where(keep).orderBy(F.desc("created_at"), F.desc("job_id"))
+
+
+def active_jobs(jobs: DataFrame) -> DataFrame:
+    """Queued and running jobs, newest first."""
+    return jobs.where(F.col("status").isin("queued", "running")).orderBy(F.desc("created_at"), F.desc("job_id"))
+
+
+def failed_since(jobs: DataFrame, since: Column) -> DataFrame:
+    """Jobs that failed at ``since`` or later."""
+    return jobs.where((F.col("status") == "failed") & (F.col("completed_at") >= since))
 
 
 def job_counts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("user_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("queued", "running", "completed")])
 
 
-def nearest_rank(values: str, keys: list[str], df: DataFrame, p: int) -> DataFrame:
-    """The value of rank round(p/100 * (n-1)), half to even, from zero; per ``keys``, as column p<p>."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(values)) - 1
-    at = F.bround(F.lit(p / 100) * (F.col("_n") - 1), 0)
-    r = df.where(F.col(values).isNotNull()).withColumn("_n", n).withColumn("_r", rank)
-    return r.where(F.col("_r") == at).select(*keys, F.col(values).alias(f"p{p}"))
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Per ``keys`` the values of rank round(p/100 * (n-1)), half to even, from zero, for each name and p of ``wanted``.
+
+    Equal values are counted first, then counts are cumulated in ranges of values, so that a label with very many records
+    is no single task's work. Keys without a value are left out.
+    """
+    per = stored(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")))
+    n = stored(per.groupBy(*keys).agg(F.sum("_n").alias("_all")))
+    placed = _cumulated(per, value, "_n", keys).join(n, keys)
+    at = lambda p: F.bround(F.lit(p / 100) * (F.col("_all") - 1), 0)
+    hit = lambda p: (F.col("before") <= at(p)) & (at(p) < F.col("before") + F.col("_n"))
+    return placed.groupBy(*keys).agg(*[F.max(F.when(hit(p), F.col(value))).alias(name) for name, p in wanted.items()])
 
 
 def timed_report(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Per label: n, p50 and p95 of wall_s, maximum and sum, largest sum first."""
+    """Per label of timed records: n, p50 and p95 of wall_s, sum of cpu_s, p95 of rss_delta_mb and of peak_rss_mb; the
+    largest sum of cpu_s first. Values of a field that no record has are null."""
     t = records.where("kind = 'timed'")
-    out = t.groupBy(*keys).agg(F.count("*").alias("n"), F.max("wall_s").alias("most"), F.round(F.sum("wall_s"), 4).alias("wall_sum"))
-    for p in (50, 95):
-        out = out.join(nearest_rank("wall_s", keys, t, p), keys)
-    return out
+    out = t.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.round(F.sum("cpu_s"), 6), F.lit(0.0)).alias("cpu_sum"))
+    for value, wanted in (("wall_s", {"wall_p50": 50, "wall_p95": 95}), ("rss_delta_mb", {"rss_delta_p95": 95}), ("peak_rss_mb", {"peak_rss_p95": 95})):
+        out = out.join(nearest_ranks(t, keys, value, wanted), keys, "left")
+    return out.orderBy(F.desc("cpu_sum"), *[F.desc(k) for k in keys])
 
 
 def event_counts(records: DataFrame) -> DataFrame:
     return records.where("kind = 'event'").groupBy("label").agg(F.count("*").alias("n"))
 
 
-def checkpoint_stats(records: DataFrame) -> DataFrame:
-    return records.where("kind = 'checkpoint'").groupBy("label").agg(
-        F.count("*").alias("n"), F.round(F.avg("wall_s"), 6).alias("mean"), F.max("wall_s").alias("most")
-    )
+def checkpoint_report(records: DataFrame) -> DataFrame:
+    """Per checkpoint label: n and p50, p95, maximum of rss_mb (missing ones count as 0), in order of label."""
+    c = records.where("kind = 'checkpoint'").select("label", F.coalesce("rss_mb", F.lit(0.0)).alias("rss_mb"))
+    n = c.groupBy("label").agg(F.count("*").alias("n"), F.max("rss_mb").alias("rss_max"))
+    return n.join(nearest_ranks(c, ["label"], "rss_mb", {"rss_p50": 50, "rss_p95": 95}), "label").orderBy("label")
+
+
+def checkpoint_memory(records: DataFrame) -> DataFrame:
+    """Per checkpoint label: mean and maximum of rss_mb and how many records have it, the largest maximum first."""
+    c = records.where("kind = 'checkpoint'")
+    out = c.groupBy("label").agg(F.round(F.avg("rss_mb"), 6).alias("mean"), F.max("rss_mb").alias("most"), F.count("rss_mb").alias("n"))
+    return out.orderBy(F.desc("most"), "label")
 
 
 def headline(records: DataFrame) -> DataFrame:
@@ -179,17 +230,38 @@ def phase_stats(runs: DataFrame, n: int = 20) -> DataFrame:
     return one.groupBy("phase").agg(F.round(F.avg("s"), 6).alias("mean"), F.median("s").alias("median"), F.max("s").alias("most"), F.count("*").alias("n"))
 
 
+#: Phases whose times a table of runs shows.
+RUN_PHASES = ("1a", "1b", "1c", "2", "3")
+
+
+def recent_runs(spend: DataFrame, n: int = 20, phases: tuple[str, ...] = RUN_PHASES) -> DataFrame:
+    """The ``n`` latest summaries of runs, newest first, with the seconds of each phase as a column."""
+    last = spend.where("provider = 'run_summary'").orderBy(F.desc("ts"), "user_id").limit(n)
+    times = [F.col("phase_wall_s")[k].alias(f"phase_{k}_s") for k in phases]
+    return last.select(*[c for c in last.columns if c != "phase_wall_s"], *times)
+
+
 def eta(jobs: DataFrame, history: DataFrame, now: Column) -> DataFrame:
-    """Seconds left: by the live rate; else by the upper middle of the last five runs of the same hash; else null.
-    ``jobs``: job_id, pdf_hash, started_at, pct; ``history``: pdf_hash, ts, wall_s."""
+    """Seconds left and where they come from: the live rate of the phase, then the phases after it in proportion; else the
+    upper middle of the last five runs of the same hash; else what the overall share done says, from 5 % on; else null.
+
+    ``jobs``: job_id, pdf_hash, started_at, phase, phase_started_at, done and total (pages of the phase), pct (overall);
+    ``history``: pdf_hash, ts, wall_s.
+    """
     w = Window.partitionBy("pdf_hash").orderBy(F.desc("ts"), F.desc("wall_s"))
-    last = history.withColumn("r", F.row_number().over(w)).where("r <= 5")
-    mid = last.groupBy("pdf_hash").agg(F.array_sort(F.collect_list("wall_s")).alias("a"))
+    last = history.where("wall_s > 0").withColumn("r", F.row_number().over(w)).where("r <= 5")
+    mid = last.groupBy("pdf_hash").agg(F.array_sort(F.collect_list("wall_s")).alias("a"))  # five at most
     mid = mid.select("pdf_hash", F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("usual"))
-    elapsed = (F.unix_timestamp(now) - F.unix_timestamp("started_at")).cast("double")
-    live = F.when((F.col("pct") > 0) & (F.col("pct") < 100) & (elapsed >= 1), (100 - F.col("pct")) * elapsed / F.col("pct"))
-    rest = F.greatest(F.col("usual") - elapsed, F.lit(0.0))
-    return jobs.join(mid, "pdf_hash", "left").select("job_id", F.coalesce(live, rest).alias("eta_s"))
+    since = lambda c: (F.unix_timestamp(now) - F.unix_timestamp(c)).cast("double")
+    elapsed, inside = since("started_at"), since("phase_started_at")
+    band = lambda k: F.coalesce(*[F.when(F.col("phase") == n, F.lit(float(b[k]))) for n, b in PHASES.items()])
+    left = F.greatest(F.lit(0.0), (F.col("total") - F.col("done")) * inside / F.col("done"))
+    later = left * F.greatest(F.lit(0.0), 100 - band(1)) / F.greatest(band(1) - band(0), F.lit(1e-6))
+    live = F.when((F.col("done") >= 2) & (F.col("total") > 0) & (inside >= 1), left + later)
+    rest = F.when(F.col("usual").isNotNull(), F.greatest(F.col("usual") - elapsed, F.lit(0.0)))
+    share = F.when(F.col("pct") >= 5, F.greatest(elapsed / (F.col("pct") / 100) - elapsed, F.lit(0.0)))
+    source = F.when(live.isNotNull(), "live").when(rest.isNotNull(), "history").when(share.isNotNull(), "share")
+    return jobs.join(mid, "pdf_hash", "left").select("job_id", F.coalesce(live, rest, share).alias("eta_s"), source.alias("source"))
 
 
 def within_phase(phase: Column, pct: Column) -> Column:
@@ -204,8 +276,21 @@ def upserted(rows: DataFrame, keys: list[str], order: str, tie: str) -> DataFram
     return latest(rows, keys, order, tie)
 
 
-def json_safe(c: Column) -> Column:
-    return F.replace(c, F.lit("\x00"), F.lit(""))
+def _clean(c: Column, kind: DataType) -> Column:
+    if isinstance(kind, StringType):
+        return F.replace(c, F.lit("\x00"), F.lit(""))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _clean(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: _clean(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_clean(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
+def json_safe(df: DataFrame) -> DataFrame:
+    """``df`` without NUL characters in any text, at any depth of its arrays, maps (their values) and structs."""
+    return df.select(*[_clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
 
 
 def slim(chunks: DataFrame, most: int = 800) -> DataFrame:
@@ -214,6 +299,32 @@ def slim(chunks: DataFrame, most: int = 800) -> DataFrame:
     return chunks.withColumn("truncated", long).withColumn("text", F.when(long, F.concat(F.substring("text", 1, most), F.lit("…"))).otherwise(F.col("text")))
 
 
+def slim_result(pages: DataFrame, most: int = 800) -> DataFrame:
+    """Page results without what a viewer doesn't show: the raw layout answer (ade_chunks), the second copy of measurements
+    (unified_measurements), the vector lines inside measurements (all_fence_lines), and long texts of definitions and
+    instances, which are cut and flagged."""
+
+    def cut(c: Column) -> Column:
+        def one(x: Column) -> Column:
+            long = F.coalesce(F.length(x["text"]) > most, F.lit(False))
+            text = F.when(long, F.concat(F.substring(x["text"], 1, most), F.lit("…"))).otherwise(x["text"])
+            return x.withField("text", text).withField("text_truncated", long)
+
+        return F.transform(c, one)
+
+    out = pages.drop("ade_chunks", "unified_measurements")
+    out = out.withColumns({n: cut(F.col(n)) for n in ("definitions", "instances") if n in out.columns})
+    if "measurements" in out.columns and "all_fence_lines" in out.schema["measurements"].dataType.names:
+        out = out.withColumn("measurements", F.col("measurements").dropFields("all_fence_lines"))
+    return out
+
+
+def iso_time(seconds: Column) -> Column:
+    """Seconds since 1970 as ISO 8601 text in UTC; null stays null."""
+    at = F.timestamp_micros((seconds * 1_000_000).cast("long"))
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def document_result(pages: DataFrame) -> DataFrame:
     """Per document the page lists (relevant, other, broken) and the trade first named. ``pages``: document, page,
     relevant, broken, trade."""

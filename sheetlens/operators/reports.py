@@ -11,21 +11,24 @@ from sheetlens.functions import geometry as g
 FALLBACK, PALETTE_SIZE, MIN_LINE_PTS, MAX_ASSIGNED = "Auto-detected", 8, 10.0, 5000
 
 
-def category_of_layer(lines: DataFrame, layer_map: DataFrame) -> DataFrame:
-    """``lines`` with category by ``layer_map`` (map_layer, category, map_ord): exact name, else the first name that holds
-    or is held by the layer. Unmatched lines go; with an empty map all lines are Auto-detected.
+def category_of_layer(lines: DataFrame, layer_map: DataFrame, by: tuple[str, ...] = ("page",)) -> DataFrame:
+    """``lines`` with category by the ``layer_map`` (``by``, map_layer, category, map_ord) of their page or document: exact
+    name, else the first name that holds or is held by the layer. Unmatched lines go; where there is no map at all, lines
+    are Auto-detected.
 
-    Layers, not lines, are matched; the map is a page profile of a few rows, but its size is left to the optimizer.
+    Layers, not lines, are matched, and only with names of their own page or document.
     """
-    names = lines.select(F.coalesce("layer", F.lit("")).alias("layer")).distinct()
+    by = list(by)
+    names = lines.select(*by, F.coalesce("layer", F.lit("")).alias("layer")).distinct()
     exact = F.col("layer") == F.col("map_layer")
     part = (F.col("layer") != "") & (F.col("map_layer") != "") & (F.contains("layer", "map_layer") | F.contains("map_layer", "layer"))
-    met = names.join(layer_map, exact | part)
-    best = met.groupBy("layer").agg(F.min(F.struct((~exact).alias("far"), "map_ord", "category")).alias("m"))
-    if layer_map.isEmpty():
-        return lines.withColumn("category", F.lit(FALLBACK))
-    chosen = best.select("layer", F.col("m.category").alias("category"))
-    return lines.join(chosen, "layer")
+    met = names.join(layer_map, by).where(exact | part)
+    best = met.groupBy(*by, "layer").agg(F.min(F.struct((~exact).alias("far"), "map_ord", "category")).alias("m"))
+    best = best.select(*by, "layer", F.col("m.category").alias("_category"))
+    mapped = layer_map.select(*by).distinct().withColumn("_mapped", F.lit(True))
+    out = lines.withColumn("layer", F.coalesce("layer", F.lit(""))).join(mapped, by, "left").join(best, [*by, "layer"], "left")
+    out = out.withColumn("category", F.when(F.col("_mapped").isNull(), FALLBACK).otherwise(F.col("_category")))
+    return out.where("category is not null").select(*lines.columns, "category")
 
 
 def page_scales(scale: DataFrame) -> DataFrame:
@@ -83,6 +86,28 @@ def export_rows(numbered: DataFrame, scales: DataFrame) -> DataFrame:
     return numbered.join(scales, "page").select("document", "page", "number", "category", "source", ft.alias("ft"), F.bround("length_pts", 1).alias("pts"), "scale")
 
 
+#: The fields of a specification that a report of measurements shows.
+SPEC_FIELDS = ("height", "post_type", "post_spacing", "material", "gauge", "mesh_size", "detail_page", "full_details")
+
+
+def measurement_rows(rows: DataFrame, places: DataFrame, specs: DataFrame, named: DataFrame) -> DataFrame:
+    """``export_rows`` as a report shows them: page from one, number, category, type, feet, points, scale, the middle of the
+    line and the fields of its category's specification (empty where it has none).
+
+    ``places``: page, source, ord, number, x0..y1 of the lines; ``named``: document, category, name as ``lookup_specs`` gives
+    them; ``specs``: document, name, fields (map).
+    """
+    mid = lambda a, b: F.bround((F.col(a) + F.col(b)) / 2, 1)
+    at = places.select("page", "number", mid("x0", "x1").alias("mid_x"), mid("y0", "y1").alias("mid_y"))
+    spec = named.join(specs, ["document", "name"]).select("document", "category", "fields")
+    out = rows.join(at, ["page", "number"], "left").join(spec, ["document", "category"], "left")
+    kind = F.when(F.col("source") == "user", "Manual").otherwise("Auto")
+    return out.select(
+        "document", (F.col("page") + 1).alias("page_number"), "number", "category", kind.alias("type"), "ft", "pts", "scale", "mid_x", "mid_y",
+        *[F.coalesce(F.col("fields")[k], F.lit("")).alias(k) for k in SPEC_FIELDS],
+    )
+
+
 def category_sheet(rows: DataFrame) -> DataFrame:
     """Per category the sum of the rows' rounded feet, rounded again, and their number."""
     return rows.groupBy("category").agg(F.bround(F.sum("ft"), 2).alias("ft"), F.count("*").alias("lines"))
@@ -103,13 +128,16 @@ def category_colors(legend: DataFrame, keys: list[str]) -> DataFrame:
     return first.withColumn("position", at).select(*keys, "category", "position", (F.col("position") % PALETTE_SIZE).alias("color"))
 
 
-def lookup_specs(categories: DataFrame, specs: DataFrame) -> DataFrame:
-    """Each category's spec (name, spec_ord): exact, then case-insensitive, then containing either way; first in order."""
+def lookup_specs(categories: DataFrame, specs: DataFrame, by: tuple[str, ...] = ("document",)) -> DataFrame:
+    """Each category's spec (``by``, name, spec_ord) in its own document: exact, then case-insensitive, then containing
+    either way; first in order."""
+    by = list(by)
     a, b = F.lower("category"), F.lower("name")
     exact, same = F.col("category") == F.col("name"), a == b
     rank = F.when(exact, 0).when(same, 1).when(F.contains(a, b) | F.contains(b, a), 2)
-    met = categories.join(specs, rank.isNotNull()).withColumn("rank", rank)
-    return met.groupBy("category").agg(F.min(F.struct("rank", "spec_ord", "name")).alias("m")).select("category", F.col("m.name").alias("name"))
+    met = categories.join(specs, by).withColumn("rank", rank).where("rank is not null")
+    best = met.groupBy(*by, "category").agg(F.min(F.struct("rank", "spec_ord", "name")).alias("m"))
+    return best.select(*by, "category", F.col("m.name").alias("name"))
 
 
 def export_assignments(edits: DataFrame, lines: DataFrame, most: int = MAX_ASSIGNED) -> DataFrame:
@@ -121,9 +149,11 @@ def export_assignments(edits: DataFrame, lines: DataFrame, most: int = MAX_ASSIG
 
 
 def layer_overview(lines: DataFrame) -> DataFrame:
-    """Per page and layer: lines, length and the category that most of them have (the first in order of name)."""
-    per = lines.groupBy("page", "layer", "category").agg(F.count("*").alias("n"), F.sum("length_pts").alias("pts"))
-    first = F.min(F.struct((-F.col("n")).alias("neg"), "category"))
+    """Per page and layer: lines, length and the category that most of them have; ties go to the one whose line comes first."""
+    per = lines.groupBy("page", "layer", "category").agg(
+        F.count("*").alias("n"), F.sum("length_pts").alias("pts"), F.min("line_idx").alias("at")
+    )
+    first = F.min(F.struct((-F.col("n")).alias("neg"), "at", "category"))
     return per.groupBy("page", "layer").agg(F.sum("n").alias("lines"), F.sum("pts").alias("pts"), first.alias("f")).select(
         "page", "layer", "lines", "pts", F.col("f.category").alias("category")
     )

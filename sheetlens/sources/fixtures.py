@@ -89,15 +89,40 @@ def legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's own legend: the indicators on it, whose meaning differs from page to page."""
+    own = instances(spark, sf_dir).select("page", "indicator").distinct()
+    k = F.substring("indicator", 3, F.lit(9)).cast("long")
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.col("n_name").alias("keyword"))
+    own = own.select("page", "indicator", k.alias("leg_ord"), ((k + F.col("page")) % 25).alias("nation"))
+    return own.join(n, "nation").select("page", "indicator", "keyword", "leg_ord")
+
+
+def named_vlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vlines`` on layers of which some are named after a nation, whether or not it's in the page's legend."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.col("n_name").alias("name"))
+    v = vlines(spark, sf_dir).withColumn("nation", (F.col("length_pts") / 4 + F.col("page")).cast("long") % 60)
+    v = v.join(n, "nation", "left").withColumn("layer", F.concat_ws(" ", "layer", F.replace("name", F.lit("_"), F.lit(""))))
+    return v.select("page", "line_idx", "x0", "y0", "x1", "y1", "length_pts", "layer")
+
+
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legend(spark, sf_dir).select(F.concat_ws(": ", "indicator", "keyword").alias("category"), "leg_ord")
 
 
 def layer_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layer names to categories: one exact, one that is part of layer names."""
-    c = categories(spark, sf_dir)
-    name = F.when(F.col("leg_ord") == 0, "A-F").when(F.col("leg_ord") == 1, "N")
-    return c.select(name.alias("map_layer"), "category", F.col("leg_ord").alias("map_ord")).where("map_layer is not null")
+    """Each page's own layer names to its categories: exact ones, parts of layer names, and names that hold them; every
+    seventh page has no map."""
+    c = page_legend(spark, sf_dir).where("page % 7 <> 0")
+    k = F.col("leg_ord") % 5
+    name = F.when(k == 0, "A-F").when(k == 1, "N").when(k == 2, "the R-F layer").when(k == 3, "N-O").otherwise("none of them")
+    return c.select("page", name.alias("map_layer"), F.concat_ws(": ", "indicator", "keyword").alias("category"), F.col("leg_ord").alias("map_ord"))
+
+
+def telling_vlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vlines`` with words in some layers' names, none on every third page."""
+    word = F.when(F.col("layer") == "A-F", "C-FENCE-").when((F.col("layer") == "R-F") & (F.col("page") % 2 == 0), "x-Wall-").otherwise("")
+    return vlines(spark, sf_dir).withColumn("layer", F.concat(F.when(F.col("page") % 3 == 0, "").otherwise(word), F.col("layer")))
 
 
 def scale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,10 +166,12 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 3
+    k, e = F.col("event_id") % 3, F.col("event_id")
     return read(spark, sf_dir, "events").select(
         "event_id", "ts", F.col("event_type").alias("label"), F.col("value").alias("wall_s"), F.col("user_id").alias("session"),
         F.when(k == 0, "timed").when(k == 1, "checkpoint").otherwise("event").alias("kind"),
+        _d(e % 97).alias("cpu_s"), F.when(e % 5 != 0, _d(e % 89 - 40)).alias("rss_delta_mb"), _d(1000 + e % 7001).alias("peak_rss_mb"),
+        F.when(e % 4 != 0, _d(500 + e % 6500)).alias("rss_mb"),
     )
 
 

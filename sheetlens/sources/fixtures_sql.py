@@ -27,8 +27,15 @@ VIEWS: dict[str, str] = {
         (37 * c_custkey % 592 + 20)::DOUBLE AS ix1, (53 * c_custkey % 782 + 10)::DOUBLE AS iy1 FROM customer""",
     "fx_legend": "SELECT 'F-' || n_nationkey AS indicator, n_name AS keyword, n_nationkey::BIGINT AS leg_ord FROM nation",
     "fx_categories": "SELECT indicator || ': ' || keyword AS category, leg_ord FROM fx_legend",
-    "fx_layer_map": """SELECT CASE leg_ord WHEN 0 THEN 'A-F' ELSE 'N' END AS map_layer, category, leg_ord AS map_ord
-        FROM fx_categories WHERE leg_ord < 2""",
+    "fx_page_legend": """SELECT DISTINCT i.page, i.indicator, n.n_name AS keyword, substr(i.indicator, 3)::BIGINT AS leg_ord FROM fx_instances i
+        JOIN nation n ON n.n_nationkey = (substr(i.indicator, 3)::BIGINT + i.page) % 25""",
+    "fx_named_vlines": """SELECT v.page, line_idx, x0, y0, x1, y1, length_pts, concat_ws(' ', layer, replace(n_name, '_', '')) AS layer FROM fx_vlines v
+        LEFT JOIN nation n ON n.n_nationkey = (length_pts / 4 + page)::BIGINT % 60""",
+    "fx_layer_map": """SELECT page, CASE leg_ord % 5 WHEN 0 THEN 'A-F' WHEN 1 THEN 'N' WHEN 2 THEN 'the R-F layer' WHEN 3 THEN 'N-O'
+        ELSE 'none of them' END AS map_layer, indicator || ': ' || keyword AS category, leg_ord AS map_ord
+        FROM fx_page_legend WHERE page % 7 <> 0""",
+    "fx_telling_vlines": """SELECT page, line_idx, x0, y0, x1, y1, length_pts, CASE WHEN page % 3 = 0 THEN '' WHEN layer = 'A-F' THEN 'C-FENCE-'
+        WHEN layer = 'R-F' AND page % 2 = 0 THEN 'x-Wall-' ELSE '' END || layer AS layer FROM fx_vlines""",
     "fx_scale": """SELECT s_suppkey AS page, s_suppkey // 8 AS document,
         CASE WHEN s_suppkey % 5 <> 0 THEN (120 * (1 + s_suppkey % 4))::DOUBLE END AS verified_scale FROM supplier""",
     "fx_chunks": """SELECT s_suppkey AS page, q::BIGINT AS chunk_ord, CASE WHEN q % 2 = 0 THEN 'figure' ELSE 'text' END AS chunk_type,
@@ -42,7 +49,9 @@ VIEWS: dict[str, str] = {
         THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderdate AS created_at,
         o_orderpriority AS trade FROM orders""",
     "fx_telemetry": """SELECT event_id, ts, event_type AS label, value AS wall_s, user_id AS session, CASE event_id % 3 WHEN 0
-        THEN 'timed' WHEN 1 THEN 'checkpoint' ELSE 'event' END AS kind FROM events""",
+        THEN 'timed' WHEN 1 THEN 'checkpoint' ELSE 'event' END AS kind, (event_id % 97)::DOUBLE AS cpu_s,
+        CASE WHEN event_id % 5 <> 0 THEN (event_id % 89 - 40)::DOUBLE END AS rss_delta_mb, (1000 + event_id % 7001)::DOUBLE AS peak_rss_mb,
+        CASE WHEN event_id % 4 <> 0 THEN (500 + event_id % 6500)::DOUBLE END AS rss_mb FROM events""",
     "fx_spend": """SELECT event_id, ts, user_id, event_type AS provider, event_id % 1000 AS tokens_in, value AS cost_usd
         FROM events""",
     "fx_page_flags": """SELECT doc_id // 8 AS document, (doc_id % 8)::INT AS page_idx, quality = 1 AS is_gt, toxic = 1 AS is_pred
@@ -63,4 +72,5 @@ def over(sql: str, **more: str) -> str:
     for text in (*more.values(), sql):
         visit(text)
     parts = [f"{n} AS ({VIEWS[n]})" for n in need] + [f"{n} AS ({t})" for n, t in more.items()]
-    return f"WITH {', '.join(parts)} {sql}" if parts else sql
+    recursive = "RECURSIVE " if any(re.search(rf"\bUNION\b.*\b(FROM|JOIN) {n}\b", t, re.S) for n, t in more.items()) else ""
+    return f"WITH {recursive}{', '.join(parts)} {sql}" if parts else sql

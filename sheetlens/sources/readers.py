@@ -21,6 +21,7 @@ DRAWINGS = (
     "page long, rotation int, mediabox_w double, mediabox_h double, "
     "drawings array<struct<layer:string,color:array<double>,width:double,dashes:string,items:array<struct<kind:string,x0:double,y0:double,x1:double,y1:double>>>>"
 )
+#: Annotations that are drawn, not said.
 VISUAL_ONLY = ("Highlight", "Underline", "Squiggly", "StrikeOut", "Ink", "Line", "Square", "Circle", "Polygon", "PolyLine", "Stamp")
 #: What marks a page as relevant to a trade.
 FENCE_KEYWORDS = (
