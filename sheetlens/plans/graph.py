@@ -12,9 +12,13 @@ MAX_ROUNDS = 100
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the session names in ``spark.checkpoint.dir``; a local one only where it's unset."""
+    """A new path in the folder that the session names in ``spark.checkpoint.dir``. Where it's unset, a local folder does on
+    one machine; on a cluster, whose executors don't share such a folder, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sheetlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sheetlens/{uuid.uuid4().hex}"
