@@ -33,10 +33,12 @@ def query(sql: str | None = None, **ctes: str):
 
 # Lengths by category
 
-MAPPED = """SELECT v.page, v.line_idx, v.length_pts, v.layer, m.category FROM fx_vlines v JOIN (
-    SELECT layer, arg_min(category, (CASE WHEN layer = map_layer THEN 0 ELSE 1000 END) + map_ord) AS category
-    FROM (SELECT DISTINCT layer FROM fx_vlines) l, fx_layer_map m
-    WHERE layer = map_layer OR contains(layer, map_layer) OR contains(map_layer, layer) GROUP BY layer) m USING (layer)"""
+MAPPED = """SELECT v.page, v.line_idx, v.length_pts, v.layer, CASE WHEN p.mapped IS NULL THEN 'Auto-detected' ELSE m.category END AS category
+    FROM fx_vlines v LEFT JOIN (SELECT DISTINCT page, true AS mapped FROM fx_layer_map) p ON p.page = v.page LEFT JOIN (
+    SELECT l.page, l.layer, arg_min(category, (CASE WHEN layer = map_layer THEN 0 ELSE 1000 END) + map_ord) AS category
+    FROM (SELECT DISTINCT page, layer FROM fx_vlines) l JOIN fx_layer_map m ON m.page = l.page
+    WHERE layer = map_layer OR contains(layer, map_layer) OR contains(map_layer, layer) GROUP BY l.page, l.layer) m
+    ON m.page = v.page AND m.layer = v.layer WHERE p.mapped IS NULL OR m.category IS NOT NULL"""
 SCALED = "SELECT page, document, coalesce(verified_scale, 360.0) AS scale FROM fx_scale"
 PER_PAGE = """SELECT s.document, m.page, m.category, round_even(sum(m.length_pts), 1) AS pts,
     round_even(sum(m.length_pts) / (864.0 / any_value(s.scale)), 2) AS ft, count(*) AS auto_lines, 0::BIGINT AS manual_lines
@@ -75,12 +77,12 @@ def document_category_feet(spark, d):
 
 
 @query(
-    """SELECT document, page, sum(CASE WHEN category = 'F-0: ALGERIA' THEN ft END) AS "F-0: ALGERIA",
-    sum(CASE WHEN category = 'F-1: ARGENTINA' THEN ft END) AS "F-1: ARGENTINA" FROM per_page GROUP BY document, page""",
+    """SELECT document, page, sum(CASE WHEN category = 'Auto-detected' THEN ft END) AS "Auto-detected",
+    sum(CASE WHEN category = 'F-5: IRAQ' THEN ft END) AS "F-5: IRAQ" FROM per_page GROUP BY document, page""",
     mapped=MAPPED, scaled=SCALED, per_page=PER_PAGE,
 )
 def page_category_matrix(spark, d):
-    return reports.page_category_matrix(_per_page(spark, d), ["F-0: ALGERIA", "F-1: ARGENTINA"])
+    return reports.page_category_matrix(_per_page(spark, d), ["Auto-detected", "F-5: IRAQ"])
 
 
 EDITS = """SELECT page, line_idx, CASE WHEN line_idx % 2 = 0 THEN 'Chain Link' ELSE 'Wood' END AS category, length_pts,
@@ -142,28 +144,47 @@ def grand_totals(spark, d):
     return reports.with_grand_total(export_rows(spark, d))
 
 
-@query("""SELECT page, category, position, position % 8 AS color FROM (SELECT page, category, row_number() OVER (PARTITION BY page
-    ORDER BY leg_ord) - 1 AS position FROM fx_categories, (SELECT s_suppkey AS page FROM supplier))""")
+@query("""SELECT page, category, position, position % 8 AS color FROM (SELECT page, indicator || ': ' || keyword AS category, row_number() OVER
+    (PARTITION BY page ORDER BY leg_ord) - 1 AS position FROM fx_page_legend)""")
 def category_colors(spark, d):
-    legend_ = fx.legend(spark, d).crossJoin(fx.read(spark, d, "supplier").select(F.col("s_suppkey").alias("page")))
-    return reports.category_colors(legend_, ["page"])
+    return reports.category_colors(fx.page_legend(spark, d), ["page"])
 
 
-@query("""SELECT p_brandless AS category, name FROM (SELECT DISTINCT o_orderpriority AS p_brandless FROM orders) c JOIN
-    (VALUES ('urgent', 0), ('3-MEDIUM', 1), ('high', 2)) s(name, ord) ON contains(lower(p_brandless), lower(name))""")
+SPECS = """SELECT c_custkey AS document, CASE (c_custkey + i) % 4 WHEN 0 THEN 'urgent' WHEN 1 THEN '3-MEDIUM' WHEN 2 THEN 'high' ELSE '4-Not Specified' END AS name,
+    i::INT AS spec_ord FROM customer, range(3) r(i)"""
+NAMED = """SELECT document, category, arg_min(name, rank * 10 + spec_ord) AS name FROM (SELECT c.document, category, name, spec_ord, CASE WHEN category = name THEN 0
+    WHEN lower(category) = lower(name) THEN 1 WHEN contains(lower(category), lower(name)) OR contains(lower(name), lower(category)) THEN 2 END AS rank
+    FROM (SELECT DISTINCT o_custkey AS document, o_orderpriority AS category FROM orders) c JOIN specs s ON s.document = c.document) WHERE rank IS NOT NULL
+    GROUP BY document, category"""
+
+
+def _specs(spark, d):
+    k = (F.col("document") + F.col("spec_ord")) % 4
+    c = fx.read(spark, d, "customer").select(F.col("c_custkey").alias("document"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("spec_ord"))
+    return c.select("document", F.when(k == 0, "urgent").when(k == 1, "3-MEDIUM").when(k == 2, "high").otherwise("4-Not Specified").alias("name"), "spec_ord")
+
+
+@query("SELECT document, category, name FROM named", specs=SPECS, named=NAMED)
 def category_specs(spark, d):
-    specs = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("spec_ord")) for i, n in enumerate(("urgent", "3-MEDIUM", "high"))])).alias("s")).select("s.*")
-    cats = fx.read(spark, d, "orders").select(F.col("o_orderpriority").alias("category")).distinct()
-    return reports.lookup_specs(cats, specs)
+    cats = fx.read(spark, d, "orders").select(F.col("o_custkey").alias("document"), F.col("o_orderpriority").alias("category")).distinct()
+    return reports.lookup_specs(cats, _specs(spark, d))
+
 
+@query("""SELECT document, name, arg_min(known, rank * 100 + known_ord) AS known FROM (SELECT a.document, a.name, k.known, k.known_ord, CASE WHEN lower(a.name) = lower(known) THEN 0
+    WHEN contains(lower(a.name), lower(known)) OR contains(lower(known), lower(a.name)) THEN 1 ELSE 2 END AS rank FROM (SELECT DISTINCT o_custkey AS document, o_orderpriority AS name FROM orders) a
+    JOIN (SELECT document, name AS known, spec_ord AS known_ord FROM specs) k ON k.document = a.document) GROUP BY document, name""", specs=SPECS)
+def known_categories(spark, d):
+    known = _specs(spark, d).select("document", F.col("name").alias("known"), F.col("spec_ord").alias("known_ord"))
+    answers = fx.read(spark, d, "orders").select(F.col("o_custkey").alias("document"), F.col("o_orderpriority").alias("name"))
+    return legend.known_names(answers, known, fallback_first=True)
 
-@query("""SELECT page, layer, sum(n)::BIGINT AS lines, sum(pts) AS pts, arg_min(category, -n * 1000 + r) AS category FROM (
-    SELECT *, row_number() OVER (PARTITION BY page, layer ORDER BY category) AS r FROM (
-    SELECT page, layer, category, count(*) AS n, sum(length_pts) AS pts FROM tagged GROUP BY page, layer, category)) GROUP BY page, layer""",
-    tagged="SELECT page, layer, length_pts, CASE line_idx % 3 WHEN 0 THEN 'Chain Link' ELSE 'Wood' END AS category FROM fx_vlines",
+
+@query("""SELECT page, layer, sum(n)::BIGINT AS lines, sum(pts) AS pts, arg_min(category, -n * 1000000 + first_line) AS category FROM (
+    SELECT page, layer, category, count(*) AS n, sum(length_pts) AS pts, min(line_idx) AS first_line FROM tagged GROUP BY page, layer, category) GROUP BY page, layer""",
+    tagged="SELECT page, line_idx, layer, length_pts, CASE line_idx % 2 WHEN 0 THEN 'Wood' ELSE 'Chain Link' END AS category FROM fx_vlines",
 )
 def layer_overview(spark, d):
-    v = fx.vlines(spark, d).withColumn("category", F.when(F.col("line_idx") % 3 == 0, "Chain Link").otherwise("Wood"))
+    v = fx.vlines(spark, d).withColumn("category", F.when(F.col("line_idx") % 2 == 0, "Wood").otherwise("Chain Link"))
     return reports.layer_overview(v)
 
 
@@ -257,15 +278,48 @@ ORACLES["connected_runs"] = ORACLES["connected_runs"].replace("WITH ", "WITH REC
 )
 
 
-@query(None)
+def with_reach(edges: str, **ctes: str) -> dict[str, str]:
+    """CTEs that end in ``reached`` (page, line_idx, run) over ``edges`` (page, a, b), both ways round, of fx_vlines."""
+    reach = "SELECT page, a AS start, b AS node FROM edges UNION SELECT r.page, r.start, e.b FROM reach r JOIN edges e ON e.page = r.page AND e.a = r.node"
+    reached = """SELECT v.page, v.line_idx, v.layer, v.length_pts, v.x0, v.y0, v.x1, v.y1, least(v.line_idx, coalesce(min(r.node), v.line_idx)) AS run FROM fx_vlines v
+        LEFT JOIN reach r ON r.page = v.page AND r.start = v.line_idx
+        GROUP BY v.page, v.line_idx, v.layer, v.length_pts, v.x0, v.y0, v.x1, v.y1"""
+    return {**ctes, "edges": edges, "reach": reach, "reached": reached}
+
+
+def near_ends(far: float, more: str = "") -> str:
+    return f"""SELECT DISTINCT a.page, a.line_idx AS a, b.line_idx AS b FROM ends a JOIN ends b ON a.page = b.page AND a.line_idx <> b.line_idx
+        AND abs(a.px - b.px) < {far} AND sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) < {far} {more}"""
+
+
+@query("""SELECT page, layer, sum(n)::BIGINT AS segments, sum(pts) / 72 * 360 / 12 AS feet, count(*) AS runs, array_to_string(list(pts::BIGINT ORDER BY pts DESC, run)[1:10], ',') AS top_runs
+    FROM (SELECT page, layer, run, count(*) AS n, sum(length_pts) AS pts FROM reached GROUP BY page, layer, run) GROUP BY page, layer""",
+    **with_reach(near_ends(2, "AND a.layer = b.layer"), ends=ENDS))
 def layer_run_measures(spark, d):
-    return lines.layer_measures(lines.runs(fx.vlines(spark, d), 2.0, ("page", "layer")), 360.0)
+    m = lines.layer_measures(lines.runs(fx.vlines(spark, d), 2.0, ("page", "layer")), 360.0)
+    return m.withColumn("top_runs", F.array_join(F.col("top_runs").cast("array<bigint>"), ","))
+
+
+@query("""SELECT r.page, r.line_idx, r.run FROM reached r WHERE (r.page, r.run) IN (SELECT s.page, s.run FROM reached s JOIN fx_instances i ON i.page = s.page AND i.inst_ord % 1000 = s.line_idx)""",
+    **with_reach(near_ends(5), ends=ENDS))
+def runs_from_seeds(spark, d):
+    seeds = fx.instances(spark, d).select("page", (F.col("inst_ord") % 1000).alias("line_idx"))
+    return lines.run_from(lines.runs(fx.vlines(spark, d), 5.0), seeds).select("page", "line_idx", "run")
+
+
+_WORDS_SQL = " OR ".join(f"contains(upper(layer), '{w}')" for w in lines.LAYER_WORDS)
 
 
-@query("""SELECT page, 'F' AS word, count(DISTINCT layer) AS layers FROM fx_vlines WHERE contains(layer, 'F') GROUP BY page""")
+@query(f"SELECT page, count(DISTINCT layer) AS layers, count(*) AS lines FROM fx_telling_vlines WHERE {_WORDS_SQL} GROUP BY page")
 def telling_layers(spark, d):
-    v = lines.with_layer_words(fx.vlines(spark, d), ("F",))
-    return v.groupBy("page").agg(F.lit("F").alias("word"), F.countDistinct("layer").alias("layers"))
+    v = lines.with_layer_words(fx.telling_vlines(spark, d))
+    return v.groupBy("page").agg(F.countDistinct("layer").alias("layers"), F.count("*").alias("lines"))
+
+
+@query("SELECT word, count(DISTINCT layer) AS layers, count(*) AS lines, sum(length_pts) AS total_pts FROM fx_telling_vlines JOIN (VALUES " + ", ".join(f"('{w}')" for w in lines.MORE_LAYER_WORDS) + """) w(word)
+    ON contains(upper(layer), word) GROUP BY word""")
+def layer_word_counts(spark, d):
+    return lines.layer_word_counts(fx.telling_vlines(spark, d))
 
 
 @query("""SELECT v.page, v.line_idx FROM fx_vlines v WHERE EXISTS (SELECT 1 FROM fx_chunks c WHERE c.page = v.page AND chunk_type = 'figure' AND
@@ -318,75 +372,169 @@ def new_dimension_lines(spark, d):
     return lines.not_already_in(_found(spark, d), final)
 
 
-@query("""SELECT l.page, page_lines, layers, coalesce(instances, 0) AS instances, coalesce(figures, 0) AS figures, page_lines AS lines,
-    CASE WHEN coalesce(instances, 0) = 0 THEN 'no instances' END AS skip_reason FROM (SELECT page, count(*) AS page_lines, count(DISTINCT layer) AS layers FROM fx_vlines GROUP BY page) l
-    LEFT JOIN (SELECT page, count(*) AS instances FROM fx_instances GROUP BY page) i USING (page)
-    LEFT JOIN (SELECT page, count(*) FILTER (chunk_type = 'figure') AS figures FROM fx_chunks GROUP BY page) c USING (page)""")
+# Pages put together to ever larger sheets, so that all limits are met: sheet n holds pages 2^n - 1 to 2^(n+1) - 2.
+SHEET = "floor(log2({} + 1))::BIGINT"
+SHEETS = f"""SELECT sheet AS page, CASE WHEN sheet = 2 THEN layer || x0 WHEN sheet % 2 = 1 AND layer < 'N-P' THEN layer || ' Fence' ELSE layer END AS layer
+    FROM (SELECT {SHEET.format("page")} AS sheet, layer, x0::INT AS x0 FROM fx_vlines)"""
+
+
+@query(f"""SELECT l.page, page_lines, layers, lines, coalesce(instances, 0) AS instances, coalesce(figures, 0) AS figures, CASE WHEN coalesce(instances, 0) = 0 THEN 'no instances'
+    WHEN figures > 12 THEN 'too many figures' WHEN layers > 200 THEN 'too many layers' WHEN lines > 5000 THEN 'too many lines'
+    WHEN lines = 0 AND page_lines > 15000 THEN 'too many lines on the page' END AS skip_reason FROM (
+    SELECT page, count(*) AS page_lines, count(DISTINCT layer) AS layers, count(*) FILTER ({_WORDS_SQL}) AS lines FROM sheets GROUP BY page) l
+    LEFT JOIN (SELECT {SHEET.format("page")} AS page, count(*) AS instances FROM fx_instances WHERE {SHEET.format("page")} <> 1 GROUP BY 1) i ON i.page = l.page
+    LEFT JOIN (SELECT {SHEET.format("page")} AS page, count(*) FILTER (chunk_type = 'figure') AS figures FROM fx_chunks WHERE {SHEET.format("page")} = 3 OR page + 1 = 2 ** {SHEET.format("page")}
+    GROUP BY 1) c ON c.page = l.page""", sheets=SHEETS)
 def skip_guards(spark, d):
-    return lines.skip_reasons(lines.page_counts(fx.vlines(spark, d), fx.instances(spark, d), fx.chunks(spark, d)))
+    sheet = F.floor(F.log2(F.col("page") + 1))
+    name = F.when(F.col("page") == 2, F.concat("layer", F.col("x0").cast("int").cast("string")))
+    name = name.when((F.col("page") % 2 == 1) & (F.col("layer") < "N-P"), F.concat("layer", F.lit(" Fence"))).otherwise(F.col("layer"))
+    v = fx.vlines(spark, d).withColumn("page", sheet).withColumn("layer", name)
+    i = fx.instances(spark, d).withColumn("page", sheet).where("page <> 1")
+    c = fx.chunks(spark, d).withColumn("sheet", sheet).where("sheet = 3 OR page + 1 = power(2, sheet)").withColumn("page", F.col("sheet"))
+    return lines.skip_reasons(lines.page_counts(v, i, c)).select("page", "page_lines", "layers", "lines", "instances", "figures", "skip_reason")
 
 
-@query(None)
+DIM_FOUND = """SELECT page, dim_id, line_idx FROM (SELECT *, row_number() OVER (PARTITION BY page, dim_id ORDER BY score, line_idx) AS r
+    FROM (SELECT page, dim_id, line_idx, abs(length_pts - value_ft * 12 / 360 * 72) / (value_ft * 12 / 360 * 72) + dist / 150 * 0.3 AS score FROM (
+    SELECT d.*, line_idx, length_pts, least(sqrt((x0 - dx) ** 2 + (y0 - dy) ** 2), sqrt((x1 - dx) ** 2 + (y1 - dy) ** 2),
+    sqrt(((x0 + x1) / 2 - dx) ** 2 + ((y0 + y1) / 2 - dy) ** 2)) AS dist FROM dims d JOIN fx_telling_vlines v USING (page) WHERE length_pts >= 5) WHERE dist <= 150))
+    WHERE r = 1 AND score < 1.0"""
+COUNTED = f"""SELECT v.page, v.line_idx, v.length_pts, x0, y0, x1, y1, 'layers' AS method FROM fx_telling_vlines v WHERE ({_WORDS_SQL}) AND EXISTS (SELECT 1 FROM fx_chunks c WHERE c.page = v.page
+    AND chunk_type = 'figure' AND ((x0 BETWEEN cx0 - 50 AND cx1 + 50 AND y0 BETWEEN cy0 - 50 AND cy1 + 50) OR (x1 BETWEEN cx0 - 50 AND cx1 + 50 AND y1 BETWEEN cy0 - 50 AND cy1 + 50)))
+    UNION ALL SELECT v.page, v.line_idx, v.length_pts, x0, y0, x1, y1, 'proximity' FROM fx_telling_vlines v WHERE length_pts BETWEEN 10 AND 200 AND v.page NOT IN (
+    SELECT page FROM fx_telling_vlines WHERE {_WORDS_SQL}) AND EXISTS (SELECT 1 FROM fx_instances i WHERE i.page = v.page AND ((x0 BETWEEN ix0 - 80 AND ix1 + 80
+    AND y0 BETWEEN iy0 - 80 AND iy1 + 80) OR (x1 BETWEEN ix0 - 80 AND ix1 + 80 AND y1 BETWEEN iy0 - 80 AND iy1 + 80)))"""
+MORE_DIMS = """SELECT page, any_value(length_pts) AS length_pts, 'dimensions' AS method FROM (SELECT DISTINCT v.page, v.line_idx, v.x0, v.y0, v.x1, v.y1, v.length_pts FROM fx_telling_vlines v
+    JOIN dim_found f ON f.page = v.page AND f.line_idx = v.line_idx) x WHERE NOT EXISTS (SELECT 1 FROM counted c WHERE c.page = x.page AND c.x0 = x.x0 AND c.y0 = x.y0 AND c.x1 = x.x1
+    AND c.y1 = x.y1) GROUP BY page, x0, y0, x1, y1"""
+PAGE_MEASURES = """SELECT page, method, count(*) AS segments, sum(length_pts) AS total_pts, sum(length_pts) / 72 AS total_inches, sum(length_pts) / 72 * 360 AS scaled_inches,
+    sum(length_pts) / 72 * 360 / 12 AS total_feet FROM (SELECT page, length_pts, method FROM counted UNION ALL SELECT page, length_pts, method FROM more_dims)
+    WHERE page IN (SELECT page FROM fx_instances) GROUP BY page, method"""
+_FLOW = {"dims": DIMS, "dim_found": DIM_FOUND, "counted": COUNTED, "more_dims": MORE_DIMS, "measures": PAGE_MEASURES}
+
+
+def _dims(spark, d):
+    return fx.instances(spark, d).select("page", F.col("inst_ord").alias("dim_id"), F.col("ix0").alias("dx"), F.col("iy0").alias("dy"), (10.0 + F.col("inst_ord") % 60).alias("value_ft"))
+
+
+@query("SELECT * FROM measures", **_FLOW)
 def page_measures(spark, d):
-    return lines.page_measure(fx.vlines(spark, d), fx.instances(spark, d), fx.chunks(spark, d), 360.0)
+    return lines.page_measure(fx.telling_vlines(spark, d), fx.instances(spark, d), fx.chunks(spark, d), 360.0, _dims(spark, d))
+
+
+@query("""SELECT page, min(method) FILTER (method <> 'dimensions') AS method, coalesce(sum(segments) FILTER (method <> 'dimensions'), 0)::BIGINT AS segments,
+    coalesce(sum(total_feet) FILTER (method <> 'dimensions'), 0) AS total_feet, coalesce(sum(segments) FILTER (method = 'dimensions'), 0)::BIGINT AS dimension_segments,
+    coalesce(sum(total_feet) FILTER (method = 'dimensions'), 0) AS dimension_feet FROM measures GROUP BY page""", **_FLOW)
+def page_measure_totals(spark, d):
+    return lines.page_measure_totals(page_measures(spark, d))
 
 
 # Votes and clusters
 
 NEAREST = """SELECT page, line_idx, layer, indicator FROM (SELECT v.page, v.line_idx, v.layer, i.indicator, row_number() OVER (PARTITION BY v.page, v.line_idx ORDER BY
-    (((ix0 + ix1) / 2 - (x0 + x1) / 2) ** 2 + ((iy0 + iy1) / 2 - (y0 + y1) / 2) ** 2), i.inst_ord) AS r FROM fx_vlines v JOIN fx_instances i USING (page)
+    (((ix0 + ix1) / 2 - (x0 + x1) / 2) ** 2 + ((iy0 + iy1) / 2 - (y0 + y1) / 2) ** 2), i.inst_ord) AS r FROM fx_named_vlines v JOIN fx_instances i USING (page)
     WHERE ((ix0 + ix1) / 2 - (x0 + x1) / 2) ** 2 + ((iy0 + iy1) / 2 - (y0 + y1) / 2) ** 2 < 6400) WHERE r = 1"""
+BY_TOKEN = r"""SELECT page, layer, min(cat) AS by_token FROM (SELECT DISTINCT l.page, l.layer, t.cat FROM (SELECT DISTINCT page, layer FROM fx_named_vlines) l JOIN (
+    SELECT page, indicator || ': ' || keyword AS cat, regexp_replace(unnest(string_split(upper(keyword), ' ')), '[^\p{L}\p{N}]', '', 'g') AS token FROM fx_page_legend) t ON t.page = l.page
+    WHERE length(token) >= 5 AND contains(upper(layer), token)) GROUP BY page, layer HAVING count(*) = 1"""
 VOTES = """SELECT s.page, s.layer, w.indicator, coalesce(w.votes, 0) AS votes, coalesce(w.total_votes, 0)::BIGINT AS total_votes, s.line_count,
-    round_even(coalesce(w.total_votes, 0) / s.line_count, 3) AS participation,
-    CASE WHEN w.votes >= 3 AND w.votes / w.total_votes >= 0.5 AND w.total_votes / s.line_count >= 0.05 THEN w.indicator || ': ' || g.keyword END AS category,
-    CASE WHEN w.votes >= 3 AND w.votes / w.total_votes >= 0.5 AND w.total_votes / s.line_count >= 0.05 THEN 'indicator-vote' ELSE 'none' END AS decided_by
-    FROM (SELECT page, layer, count(*) AS line_count FROM fx_vlines GROUP BY page, layer) s LEFT JOIN (
+    round_even(coalesce(w.total_votes, 0) / s.line_count, 3) AS participation, CASE WHEN ok THEN w.indicator || ': ' || g.keyword ELSE by_token END AS category,
+    CASE WHEN ok THEN 'indicator-vote' WHEN by_token IS NOT NULL THEN 'layer-token' ELSE 'none' END AS decided_by
+    FROM (SELECT page, layer, count(*) AS line_count FROM fx_named_vlines GROUP BY page, layer) s LEFT JOIN (
     SELECT *, row_number() OVER (PARTITION BY page, layer ORDER BY votes DESC, first_line) AS r, sum(votes) OVER (PARTITION BY page, layer) AS total_votes FROM (
     SELECT page, layer, indicator, count(*) AS votes, min(line_idx) AS first_line FROM nearest GROUP BY page, layer, indicator)) w
-    ON w.page = s.page AND w.layer = s.layer AND w.r = 1 LEFT JOIN fx_legend g ON g.indicator = w.indicator"""
+    ON w.page = s.page AND w.layer = s.layer AND w.r = 1 LEFT JOIN fx_page_legend g ON g.page = s.page AND g.indicator = w.indicator
+    LEFT JOIN by_token b ON b.page = s.page AND b.layer = s.layer,
+    LATERAL (SELECT coalesce(w.votes >= 3 AND w.votes / w.total_votes >= 0.5 AND w.total_votes / s.line_count >= 0.05, false) AS ok)"""
+_VOTED = {"nearest": NEAREST, "by_token": BY_TOKEN, "votes": VOTES}
 
 
 def _votes(spark, d):
-    return voting.layer_votes(fx.vlines(spark, d), fx.instances(spark, d), fx.legend(spark, d))
+    return voting.layer_votes(fx.named_vlines(spark, d), fx.instances(spark, d), fx.page_legend(spark, d))
 
 
 @query("SELECT page, line_idx, indicator FROM nearest", nearest=NEAREST)
 def nearest_indicators(spark, d):
-    return voting.nearest_indicator(fx.vlines(spark, d), fx.instances(spark, d)).select("page", "line_idx", "indicator")
+    return voting.nearest_indicator(fx.named_vlines(spark, d), fx.instances(spark, d)).select("page", "line_idx", "indicator")
 
 
-@query("SELECT * FROM votes", nearest=NEAREST, votes=VOTES)
+@query("SELECT * FROM votes", **_VOTED)
 def layer_votes(spark, d):
     return _votes(spark, d)
 
 
-@query("""SELECT page, coalesce(sum(line_count) FILTER (decided_by = 'indicator-vote'), 0)::BIGINT AS by_indicator, 0::BIGINT AS by_layer,
+@query("""SELECT page, coalesce(sum(line_count) FILTER (decided_by = 'indicator-vote'), 0)::BIGINT AS by_indicator,
+    coalesce(sum(line_count) FILTER (decided_by = 'layer-token'), 0)::BIGINT AS by_layer,
     coalesce(sum(line_count) FILTER (decided_by = 'none'), 0)::BIGINT AS unassigned, sum(line_count)::BIGINT AS total, count(*) AS layers, count(category) AS layers_assigned
-    FROM votes GROUP BY page""", nearest=NEAREST, votes=VOTES)
+    FROM votes GROUP BY page""", **_VOTED)
 def vote_stats(spark, d):
     return voting.vote_stats(_votes(spark, d))
 
 
-@query("""SELECT v.page, v.line_idx, w.category FROM fx_vlines v JOIN votes w USING (page, layer) WHERE w.category IS NOT NULL""", nearest=NEAREST, votes=VOTES)
+@query("""SELECT v.page, v.line_idx, w.category FROM fx_named_vlines v JOIN votes w USING (page, layer) WHERE w.category IS NOT NULL""", **_VOTED)
 def voted_assignments(spark, d):
-    return voting.assignments(fx.vlines(spark, d), _votes(spark, d))
+    return voting.assignments(fx.named_vlines(spark, d), _votes(spark, d))
+
+
+DIRECTED = """SELECT page, layer, line_idx, x0 AS px, y0 AS py, y0 = y1 AS flat FROM fx_vlines UNION ALL SELECT page, layer, line_idx, x1, y1, y0 = y1 FROM fx_vlines"""
+SHAPES = """SELECT page, run, lines, pts, bx0, by0, bx1, by1, greatest(w, h) / (least(w, h) + 0.01) AS aspect, CASE WHEN w > 3 * h THEN 'horizontal' WHEN h > 3 * w THEN 'vertical'
+    ELSE 'mixed' END AS orientation FROM (SELECT *, bx1 - bx0 AS w, by1 - by0 AS h FROM (SELECT page, run, count(*) AS lines, sum(length_pts) AS pts, min(least(x0, x1)) AS bx0,
+    min(least(y0, y1)) AS by0, max(greatest(x0, x1)) AS bx1, max(greatest(y0, y1)) AS by1 FROM reached GROUP BY page, run))"""
+_CLUSTERS = with_reach(near_ends(8, "AND a.flat = b.flat"), ends=DIRECTED)
 
 
-@query(None)
+@query("SELECT * FROM shapes WHERE lines >= 2 AND pts >= 50 AND aspect >= 1", **_CLUSTERS, shapes=SHAPES)
 def cluster_regions(spark, d):
     return voting.fence_like(voting.cluster_shapes(voting.clusters(fx.vlines(spark, d), 8.0, 15.0)), 2, 50.0, 1.0)
 
 
-@query(None)
-def indicator_regions(spark, d):
+@query("""SELECT s.page, s.run, arg_min(indicator, inst_ord) AS indicator FROM shapes s JOIN fx_instances i ON i.page = s.page AND sqrt(((bx0 + bx1) / 2 - (ix0 + ix1) / 2) ** 2
+    + ((by0 + by1) / 2 - (iy0 + iy1) / 2) ** 2) <= 100 GROUP BY s.page, s.run""", **_CLUSTERS, shapes=SHAPES)
+def clusters_near_indicators(spark, d):
+    return voting.clusters_near(voting.cluster_shapes(voting.clusters(fx.vlines(spark, d), 8.0, 15.0)), fx.instances(spark, d))
+
+
+PRESETS = {"wide": (8.0, 15.0, 2, 100.0, 2.0), "narrow": (3.0, 15.0, 2, 50.0, 1.0)}
+
+
+@query("SELECT * FROM (SELECT *, 'wide' AS method FROM shapes WHERE lines >= 2 AND pts >= 100 AND aspect >= 2)", **_CLUSTERS, shapes=SHAPES)
+def preset_regions(spark, d):
+    return voting.preset_regions(fx.vlines(spark, d), {"wide": PRESETS["wide"]})
+
+
+FIRST = """SELECT page, line_idx, min(inst_ord) AS inst_ord FROM fx_vlines JOIN fx_instances USING (page) WHERE
+    sqrt((x0 - (ix0 + ix1) / 2) ** 2 + (y0 - (iy0 + iy1) / 2) ** 2) <= 150 OR sqrt((x1 - (ix0 + ix1) / 2) ** 2 + (y1 - (iy0 + iy1) / 2) ** 2) <= 150
+    OR sqrt(((x0 + x1) / 2 - (ix0 + ix1) / 2) ** 2 + ((y0 + y1) / 2 - (iy0 + iy1) / 2) ** 2) <= 150 GROUP BY page, line_idx"""
+CLAIMS = """SELECT page, inst_ord, list(struct_pack(run := run, n := n) ORDER BY run) AS runs, row_number() OVER (PARTITION BY page ORDER BY inst_ord) AS seq FROM (
+    SELECT DISTINCT f.page, f.inst_ord, r.run, z.n FROM first_lines f JOIN reached r ON r.page = f.page AND r.line_idx = f.line_idx JOIN (
+    SELECT page, run, count(*) AS n FROM reached GROUP BY page, run) z ON z.page = r.page AND z.run = r.run) GROUP BY page, inst_ord"""
+WALK = """SELECT page, 0::BIGINT AS seq, []::BIGINT[] AS taken, NULL::BIGINT AS inst_ord, 0::BIGINT AS lines FROM claims GROUP BY page UNION ALL
+    SELECT c.page, c.seq, CASE WHEN n >= 3 THEN list_concat(w.taken, list_transform(free, lambda x: x.run)) ELSE w.taken END, c.inst_ord, CASE WHEN n >= 3 THEN n ELSE 0 END
+    FROM walk w JOIN claims c ON c.page = w.page AND c.seq = w.seq + 1, LATERAL (SELECT list_filter(c.runs, lambda x: NOT list_contains(w.taken, x.run)) AS free) a,
+    LATERAL (SELECT coalesce(list_sum(list_transform(free, lambda x: x.n)), 0)::BIGINT AS n) b"""
+_CLAIMED = {**with_reach(near_ends(6), ends=ENDS), "first_lines": FIRST, "claims": CLAIMS, "walk": WALK}
+
+
+def _claimed(spark, d):
     v = lines.runs(fx.vlines(spark, d), 6.0)
     first = voting.first_indicator_lines(fx.vlines(spark, d), fx.instances(spark, d))
-    return voting.indicator_regions(v, first.join(v.select("page", "line_idx", "run"), ["page", "line_idx"]).select("page", "inst_ord", "run"))
+    seeds = first.join(v.select("page", "line_idx", "run"), ["page", "line_idx"]).select("page", "inst_ord", "run")
+    return v, seeds, voting.indicator_regions(v, seeds)
 
 
-@query("""SELECT page, line_idx, min(inst_ord) AS inst_ord FROM fx_vlines JOIN fx_instances USING (page) WHERE
-    sqrt((x0 - (ix0 + ix1) / 2) ** 2 + (y0 - (iy0 + iy1) / 2) ** 2) <= 150 OR sqrt((x1 - (ix0 + ix1) / 2) ** 2 + (y1 - (iy0 + iy1) / 2) ** 2) <= 150
-    OR sqrt(((x0 + x1) / 2 - (ix0 + ix1) / 2) ** 2 + ((y0 + y1) / 2 - (iy0 + iy1) / 2) ** 2) <= 150 GROUP BY page, line_idx""")
+@query("SELECT page, inst_ord, lines FROM walk WHERE lines > 0", **_CLAIMED)
+def indicator_regions(spark, d):
+    return _claimed(spark, d)[2]
+
+
+@query("""SELECT page, run, lines, pts FROM (SELECT page, run, count(*) AS lines, sum(length_pts) AS pts FROM reached r WHERE NOT EXISTS (SELECT 1 FROM walk w JOIN claims c ON c.page = w.page
+    AND c.inst_ord = w.inst_ord AND w.lines > 0 WHERE w.page = r.page AND list_contains(list_transform(c.runs, lambda x: x.run), r.run)) GROUP BY page, run) WHERE lines >= 1 AND pts >= 80""", **_CLAIMED)
+def unclaimed_regions(spark, d):
+    return voting.unclaimed_regions(*_claimed(spark, d), (1, 80.0, 0.0)).select("page", "run", "lines", "pts")
+
+
+@query("SELECT * FROM first_lines", first_lines=FIRST)
 def first_indicator_lines(spark, d):
     return voting.first_indicator_lines(fx.vlines(spark, d), fx.instances(spark, d)).select("page", "line_idx", "inst_ord")
 
@@ -443,9 +591,23 @@ def pages_to_read(spark, d):
     return pages.needs_reading(fx.pages(spark, d)).select("doc_id", "page_idx")
 
 
-@query("SELECT doc_id, page_idx, trim(text) <> '' AS ok, CASE WHEN trim(text) = '' THEN 'no contents' END AS reason FROM fx_pages")
+SICK = """SELECT doc_id, CASE WHEN page_key % 13 = 5 THEN -1 ELSE page_idx END AS page_idx, page_key, text, CASE WHEN page_key % 11 = 3 THEN 0 ELSE width END AS width, height FROM fx_pages"""
+
+
+def _sick(spark, d):
+    p, k = fx.pages(spark, d), F.col("page_key")
+    return p.withColumn("page_idx", F.when(k % 13 == 5, -1).otherwise(F.col("page_idx"))).withColumn("width", F.when(k % 11 == 3, 0.0).otherwise(F.col("width")))
+
+
+@query("""SELECT doc_id, page_key, reason IS NULL AS ok, reason FROM (SELECT doc_id, page_key, CASE WHEN page_idx < 0 THEN 'page index out of range' WHEN width <= 0 THEN 'no size'
+    WHEN trim(text) = '' THEN 'no contents' END AS reason FROM sick)""", sick=SICK)
 def page_health(spark, d):
-    return pages.health(fx.pages(spark, d)).select("doc_id", "page_idx", "ok", "reason")
+    return pages.health(_sick(spark, d)).select("doc_id", "page_key", "ok", "reason")
+
+
+@query("SELECT page_key, CASE WHEN page_idx < 0 THEN 'page index out of range' WHEN width <= 0 THEN 'no size' ELSE 'no contents' END AS reason FROM sick WHERE page_idx < 0 OR width <= 0 OR trim(text) = ''", sick=SICK)
+def broken_pages(spark, d):
+    return pages.split_broken(pages.health(_sick(spark, d)))[1].select("page_key", "reason")
 
 
 @query(f"""SELECT doc_id, page_idx, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx, has ORDER BY ord) AS r FROM (
@@ -518,10 +680,17 @@ def chunk_texts(spark, d):
     return layout.chunk_text(_tokens(spark, d), fx.chunks(spark, d))
 
 
-@query("""SELECT page, tok_ord, arg_min(chunk_ord, chunk_ord) AS chunk_ord FROM tokens JOIN fx_chunks USING (page) WHERE (tx0 + tx1) / 2 BETWEEN cx0 AND cx1 AND (ty0 + ty1) / 2 BETWEEN cy0 AND cy1
-    GROUP BY page, tok_ord""", tokens=TOKENS)
+NESTED = """SELECT page, chunk_ord, cx0, cy0, cx1, cy1 FROM fx_chunks UNION ALL SELECT page, 9, 0, 0, 612, 792 FROM fx_chunks WHERE chunk_ord = 0 UNION ALL
+    SELECT page, chunk_ord + 10, cx0 + 50 + page % 9, cy0 + 50, cx1 - 60, cy1 - 70 FROM fx_chunks"""
+
+
+@query("""SELECT page, tok_ord, arg_min(chunk_ord, (cx1 - cx0) * (cy1 - cy0) * 100 + chunk_ord) AS chunk_ord FROM tokens JOIN nested USING (page) WHERE (tx0 + tx1) / 2 BETWEEN cx0 AND cx1
+    AND (ty0 + ty1) / 2 BETWEEN cy0 AND cy1 GROUP BY page, tok_ord""", tokens=TOKENS, nested=NESTED)
 def smallest_chunks(spark, d):
-    return layout.smallest_chunk(_tokens(spark, d), fx.chunks(spark, d))
+    c = fx.chunks(spark, d).select("page", "chunk_ord", *[f"c{k}" for k in ("x0", "y0", "x1", "y1")])
+    whole = c.where("chunk_ord = 0").select("page", F.lit(9).cast("long").alias("chunk_ord"), *[F.lit(float(v)).alias(n) for n, v in (("cx0", 0), ("cy0", 0), ("cx1", 612), ("cy1", 792))])
+    inner = c.select("page", (F.col("chunk_ord") + 10).alias("chunk_ord"), (F.col("cx0") + 50 + F.col("page") % 9).alias("cx0"), (F.col("cy0") + 50).alias("cy0"), (F.col("cx1") - 60).alias("cx1"), (F.col("cy1") - 70).alias("cy1"))
+    return layout.smallest_chunk(_tokens(spark, d), c.unionByName(whole).unionByName(inner))
 
 
 OVERLAP = """SELECT page, tok_ord, chunk_ord, chunk_type, i / ((tx1 - tx0) * (ty1 - ty0)) AS token_overlap, i / (306.0 * 396) AS chunk_overlap,
@@ -549,12 +718,13 @@ def token_rows(spark, d):
     return layout.text_rows(_tokens(spark, d)).select("page", "tok_ord", "line_no")
 
 
-READ = "SELECT page, tok_ord, text, tx0 + tok_ord % 3 AS tx0, ty0, tx1 + tok_ord % 3 AS tx1, ty1 FROM tokens WHERE tok_ord % 2 = 0"
+READ = """SELECT page, tok_ord, CASE tok_ord % 4 WHEN 1 THEN lower(text) WHEN 2 THEN text || 'x' ELSE text END AS text, tx0 + tok_ord % 3 * 4 AS tx0, ty0, tx1 + tok_ord % 3 * 4 AS tx1, ty1 FROM tokens"""
 
 
 def _read_tokens(spark, d):
-    k = F.col("tok_ord") % 3
-    return _tokens(spark, d).where("tok_ord % 2 = 0").withColumn("tx0", F.col("tx0") + k).withColumn("tx1", F.col("tx1") + k)
+    k, n = F.col("tok_ord") % 3 * 4, F.col("tok_ord") % 4
+    text = F.when(n == 1, F.lower("text")).when(n == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    return _tokens(spark, d).withColumn("text", text).withColumn("tx0", F.col("tx0") + k).withColumn("tx1", F.col("tx1") + k)
 
 
 @query("""SELECT page, tok_ord, text, tx0 FROM tokens UNION ALL SELECT page, min(tok_ord), text, min_by(tx0, tok_ord) FROM read_ r WHERE NOT EXISTS (SELECT 1 FROM tokens t WHERE t.page = r.page
@@ -563,14 +733,31 @@ def merged_tokens(spark, d):
     return layout.merged_tokens(_tokens(spark, d), _read_tokens(spark, d)).select("page", "tok_ord", "text", "tx0")
 
 
-@query("""SELECT r.page, r.tok_ord FROM read_ r WHERE NOT EXISTS (SELECT 1 FROM tokens t WHERE t.page = r.page AND t.text = r.text AND t.tok_ord % 2 = 1) AND NOT EXISTS
-    (SELECT 1 FROM tokens t WHERE false)""", tokens=TOKENS, read_=READ)
+HAVE = "SELECT page, tok_ord, CASE tok_ord % 5 WHEN 0 THEN text WHEN 1 THEN 'zzzz' ELSE text || '?' END AS text, tx0, ty0, tx1, ty1 FROM tokens"
+
+
+@query("""SELECT r.page, r.tok_ord FROM read_ r WHERE NOT EXISTS (SELECT 1 FROM have p WHERE p.page = r.page AND p.text = r.text) AND NOT EXISTS (SELECT 1 FROM have p WHERE p.page = r.page
+    AND p.tx0 < r.tx1 AND r.tx0 < p.tx1 AND p.ty0 < r.ty1 AND r.ty0 < p.ty1 AND (least(p.tx1, r.tx1) - greatest(p.tx0, r.tx0)) * (least(p.ty1, r.ty1) - greatest(p.ty0, r.ty0)) / 200 > 0.3
+    AND len(list_intersect(list_distinct(string_split(lower(p.text), '')), list_distinct(string_split(lower(r.text), '')))) / greatest(len(list_distinct(string_split(lower(p.text), ''))),
+    len(list_distinct(string_split(lower(r.text), '')))) > 0.7)""", tokens=TOKENS, read_=READ, have=HAVE)
 def tokens_without_repeats(spark, d):
-    have = _tokens(spark, d).where("tok_ord % 2 = 1").withColumn("tx0", F.col("tx0") + 2000).withColumn("tx1", F.col("tx1") + 2000)
-    return layout.without_repeats(_read_tokens(spark, d), have).select("page", "tok_ord")
+    have = _tokens(spark, d).withColumn("text", F.when(F.col("tok_ord") % 5 == 0, F.col("text")).when(F.col("tok_ord") % 5 == 1, "zzzz").otherwise(F.concat("text", F.lit("?"))))
+    return layout.without_repeats(_read_tokens(spark, d), have, 0.3, 0.7).select("page", "tok_ord")
+
 
+_OVER = "(least(p.tx1, r.tx1) - greatest(p.tx0, r.tx0)) * (least(p.ty1, r.ty1) - greatest(p.ty0, r.ty0))"
+_CHARS = "list_distinct(string_split(lower(trim({})), ''))"
+_SIM = f"""CASE WHEN lower(trim(p.text)) = lower(trim(r.text)) THEN 1.0 WHEN contains(lower(trim(p.text)), lower(trim(r.text))) OR contains(lower(trim(r.text)), lower(trim(p.text))) THEN 0.8
+    ELSE len(list_intersect({_CHARS.format("p.text")}, {_CHARS.format("r.text")})) / len(list_distinct(list_concat({_CHARS.format("p.text")}, {_CHARS.format("r.text")}))) END"""
+USED = f"""SELECT r.page, r.tok_ord AS r_ord, min(p.tok_ord) AS tok_ord FROM tokens p JOIN read_ r ON r.page = p.page AND p.tx0 < r.tx1 AND r.tx0 < p.tx1 AND p.ty0 < r.ty1 AND r.ty0 < p.ty1
+    WHERE {_OVER} / least((p.tx1 - p.tx0) * (p.ty1 - p.ty0), (r.tx1 - r.tx0) * (r.ty1 - r.ty0)) >= 0.3 AND {_SIM} >= 0.7 GROUP BY r.page, r.tok_ord"""
 
-@query(None)
+
+@query("""SELECT p.page, 'pdf' AS source, p.tok_ord, CASE WHEN coalesce(length(j.said) > length(p.text), false) THEN j.said ELSE p.text END AS text, least(p.tx0, j.mx0) AS x0, least(p.ty0, j.my0) AS y0,
+    greatest(p.tx1, j.mx1) AS x1, greatest(p.ty1, j.my1) AS y1, j.page IS NOT NULL AS merged FROM tokens p LEFT JOIN (SELECT u.page, u.tok_ord, min(r.tx0) AS mx0, min(r.ty0) AS my0,
+    max(r.tx1) AS mx1, max(r.ty1) AS my1, arg_min(r.text, -length(r.text) * 1000000000 + u.r_ord) AS said FROM used u JOIN read_ r ON r.page = u.page AND r.tok_ord = u.r_ord GROUP BY u.page, u.tok_ord) j
+    ON j.page = p.page AND j.tok_ord = p.tok_ord UNION ALL SELECT r.page, 'ocr', r.tok_ord, r.text, r.tx0, r.ty0, r.tx1, r.ty1, false FROM read_ r WHERE (r.page, r.tok_ord) NOT IN (
+    SELECT page, r_ord FROM used)""", tokens=TOKENS, read_=READ, used=USED)
 def merged_readings(spark, d):
     return layout.merged_readings(_tokens(spark, d), _read_tokens(spark, d))
 
@@ -580,10 +767,22 @@ def item_sizes(spark, d):
     return layout.item_sizes(_tokens(spark, d))
 
 
-@query("SELECT page, tok_ord, text AS indicator FROM tokens", tokens=TOKENS)
+CODES = """SELECT page, inst_ord AS tok_ord, CASE WHEN k % 2 = 0 THEN 'F-' || k ELSE '0' || k || '.0' || k % 7 END AS code, CASE WHEN k % 2 = 0 THEN CASE f WHEN 0 THEN 'F-' || k WHEN 1 THEN '(F-' || k || ')'
+    WHEN 2 THEN '[F' || k || ']' WHEN 3 THEN ' F' || k ELSE 'F--' || k END ELSE CASE f WHEN 0 THEN '0' || k || '.0' || k % 7 WHEN 1 THEN k || '.' || k % 7 WHEN 2 THEN '(00' || k || '.' || k % 7 || ')'
+    WHEN 3 THEN '[' || k || '.00' || k % 7 || ']' ELSE k || ' ' || k % 7 END END AS text, f FROM (SELECT page, inst_ord, substr(indicator, 3)::BIGINT AS k, inst_ord % 5 AS f FROM fx_instances)"""
+
+
+@query("SELECT page, tok_ord, code AS indicator FROM codes WHERE f < 4", codes=CODES)
 def matched_indicators(spark, d):
-    odd = F.when(F.col("tok_ord") % 2 == 1, F.concat(F.lit("("), F.col("text"), F.lit(")"))).otherwise(F.col("text"))
-    return legend.matched_tokens(_tokens(spark, d).withColumn("text", odd), fx.legend(spark, d)).select("page", "tok_ord", "indicator")
+    k, f = F.substring("indicator", 3, F.lit(9)).cast("long"), F.col("inst_ord") % 5
+    code = lambda k: F.when(k % 2 == 0, F.concat(F.lit("F-"), k)).otherwise(F.concat(F.lit("0"), k, F.lit(".0"), k % 7))
+    c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    even = F.when(f == 0, c("F-", k)).when(f == 1, c("(F-", k, ")")).when(f == 2, c("[F", k, "]")).when(f == 3, c(" F", k)).otherwise(c("F--", k))
+    odd = F.when(f == 0, code(k)).when(f == 1, c(k, ".", k % 7)).when(f == 2, c("(00", k, ".", k % 7, ")")).when(f == 3, c("[", k, ".00", k % 7, "]")).otherwise(c(k, " ", k % 7))
+    i = fx.instances(spark, d)
+    tokens = i.select("page", F.col("inst_ord").alias("tok_ord"), F.when(k % 2 == 0, even).otherwise(odd).alias("text"))
+    own = fx.page_legend(spark, d).withColumn("indicator", code(F.col("leg_ord")))
+    return legend.matched_tokens(tokens, own, ["page"]).select("page", "tok_ord", "indicator")
 
 
 @query("""SELECT page, tok_ord FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM fx_chunks c WHERE c.page = t.page AND contains(chunk_text, 'LEGEND') AND (tx0 + tx1) / 2 BETWEEN cx0 - 20 AND cx1 + 20
@@ -593,24 +792,39 @@ def tokens_outside_legend(spark, d):
     return legend.outside_legend(_tokens(spark, d), boxes).select("page", "tok_ord")
 
 
-@query(None)
+KEEP_FIRST = "CASE WHEN len(list_filter(a, lambda k: {clash})) > 0 THEN a ELSE list_concat(a, x) END"
+
+
+@query(f"""SELECT page, indicator, k.tok_ord, k.cx, k.cy FROM (SELECT page, text AS indicator, unnest(list_reduce(list([struct_pack(tok_ord := tok_ord, cx := (tx0 + tx1) / 2, cy := (ty0 + ty1) / 2)]
+    ORDER BY tok_ord), lambda a, x: {KEEP_FIRST.format(clash="abs(k.cx - x[1].cx) < 120 AND abs(k.cy - x[1].cy) < 120")})) AS k FROM tokens GROUP BY page, text)""", tokens=TOKENS)
 def instances_apart(spark, d):
     x, y = g.center(g.box("t"))
     items = _tokens(spark, d).select("page", F.col("text").alias("indicator"), "tok_ord", x.alias("cx"), y.alias("cy"))
     return legend.apart(items, ["page", "indicator"], "tok_ord", "cx", "cy", 120.0)
 
 
-@query(None)
+_IOU = "greatest(least(k.x1, x[1].x1) - greatest(k.x0, x[1].x0), 0) * greatest(least(k.y1, x[1].y1) - greatest(k.y0, x[1].y0), 0)"
+
+
+@query(f"""SELECT page, k.tok_ord, k.x0, k.y0, k.x1, k.y1 FROM (SELECT page, unnest(list_reduce(list([struct_pack(tok_ord := tok_ord, x0 := tx0 - 40, y0 := ty0 - 40, x1 := tx1 + 40, y1 := ty1 + 40)]
+    ORDER BY tok_ord), lambda a, x: {KEEP_FIRST.format(clash=f"({_IOU}) / (18000 - ({_IOU})) >= 0.2")})) AS k FROM tokens GROUP BY page)""", tokens=TOKENS)
 def distinct_boxes(spark, d):
-    b = _tokens(spark, d).select((F.col("page") % 4).alias("page"), "tok_ord", *[F.col(f"t{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    b = _tokens(spark, d).select("page", "tok_ord", *[(F.col(f"t{c}") + m).alias(c) for c, m in (("x0", -40), ("y0", -40), ("x1", 40), ("y1", 40))])
     return legend.distinct_boxes(b, ["page"], "tok_ord", 0.2)
 
 
-@query("""SELECT page, indicator, keyword, leg_ord FROM (SELECT l.*, s_suppkey AS page, row_number() OVER (PARTITION BY s_suppkey, indicator, upper(keyword) ORDER BY length(n_comment) DESC, leg_ord) AS r
-    FROM (SELECT *, keyword AS n_comment FROM fx_legend) l, supplier WHERE indicator <> keyword) WHERE r = 1""")
+ENTRIES = """SELECT page, indicator, keyword, 'about ' || keyword AS description, leg_ord FROM fx_page_legend UNION ALL SELECT page, indicator, lower(keyword), '', leg_ord FROM fx_page_legend
+    UNION ALL SELECT page, keyword, keyword, 'no code', leg_ord FROM fx_page_legend UNION ALL SELECT page, 'Indicator Code', keyword, 'a heading', leg_ord FROM fx_page_legend"""
+
+
+@query("""SELECT page, indicator, keyword, leg_ord FROM (SELECT *, row_number() OVER (PARTITION BY page, indicator, upper(keyword) ORDER BY length(description) DESC, leg_ord) AS r
+    FROM entries WHERE indicator <> keyword AND lower(indicator) <> 'indicator code') WHERE r = 1""", entries=ENTRIES)
 def cleaned_legend(spark, d):
-    l = fx.legend(spark, d).withColumn("description", F.col("keyword")).crossJoin(fx.read(spark, d, "supplier").select(F.col("s_suppkey").alias("page")))
-    return legend.cleaned(l.unionByName(l.withColumn("keyword", F.lower("keyword")).withColumn("description", F.lit("")))).select("page", "indicator", "keyword", "leg_ord")
+    l = fx.page_legend(spark, d).withColumn("description", F.concat(F.lit("about "), "keyword"))
+    more = [l.withColumn("keyword", F.lower("keyword")).withColumn("description", F.lit("")), l.withColumn("indicator", F.col("keyword")), l.withColumn("indicator", F.lit("Indicator Code"))]
+    for m in more:
+        l = l.unionByName(m)
+    return legend.cleaned(l).select("page", "indicator", "keyword", "leg_ord")
 
 
 # Evaluation
@@ -622,12 +836,29 @@ def box_candidates(spark, d):
     return evaluation.candidates(fx.pred(spark, d), fx.gold(spark, d)).select("page", "pred_id", "gold_id")
 
 
-@query(None)
+BOXES = """SELECT page, pred_id, gold_id, i / (400 - i) AS iou FROM (SELECT page, pred_id, gold_id, (least(px1, gx1) - greatest(px0, gx0)) * (least(py1, gy1) - greatest(py0, gy0)) AS i
+    FROM fx_pred JOIN fx_gold USING (page) WHERE px0 < gx1 AND gx0 < px1 AND py0 < gy1 AND gy0 < py1) WHERE i / (400 - i) >= 0.1"""
+OPTIONS = """SELECT page, pred_id, list(struct_pack(iou := iou, gold_id := gold_id) ORDER BY -iou, gold_id) AS options, row_number() OVER (PARTITION BY page ORDER BY pred_id) AS seq
+    FROM boxes GROUP BY page, pred_id"""
+MATCHED = """SELECT page, 0::BIGINT AS seq, []::BIGINT[] AS used, NULL::BIGINT AS pred_id, NULL::STRUCT(iou DOUBLE, gold_id BIGINT) AS pick FROM options_ GROUP BY page UNION ALL
+    SELECT o.page, o.seq, CASE WHEN free IS NULL THEN m.used ELSE list_append(m.used, free.gold_id) END, o.pred_id, free FROM matched m JOIN options_ o ON o.page = m.page AND o.seq = m.seq + 1,
+    LATERAL (SELECT list_filter(o.options, lambda x: NOT list_contains(m.used, x.gold_id))[1] AS free) f"""
+_MATCH = {"boxes": BOXES, "options_": OPTIONS, "matched": MATCHED}
+
+
+@query("SELECT page, pred_id, pick.gold_id AS gold_id, pick.iou AS iou FROM matched WHERE pick IS NOT NULL", **_MATCH)
 def box_matches(spark, d):
     return evaluation.box_matches(fx.pred(spark, d), fx.gold(spark, d))
 
 
-@query(None)
+_PRF = """CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE coalesce(tp / nullif(tp + fp, 0), 0.0) END::DOUBLE AS precision, CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE coalesce(tp / nullif(tp + fn, 0), 0.0) END::DOUBLE AS recall,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0) END::DOUBLE AS f1"""
+
+
+@query(f"""SELECT page, tp, fp, fn, {_PRF}, coalesce(iou_sum / nullif(tp, 0), 0.0) AS avg_iou FROM (SELECT page, sum(tp)::BIGINT AS tp, (sum(preds) - sum(tp))::BIGINT AS fp, (sum(golds) - sum(tp))::BIGINT AS fn,
+    sum(iou_sum) AS iou_sum FROM (SELECT coalesce(p.page, g.page) AS page, coalesce(preds, 0) AS preds, coalesce(golds, 0) AS golds, coalesce(tp, 0) AS tp, coalesce(iou_sum, 0) AS iou_sum FROM (
+    SELECT page, count(*) AS preds FROM fx_pred GROUP BY page) p FULL JOIN (SELECT page, count(*) AS golds FROM fx_gold GROUP BY page) g ON g.page = p.page LEFT JOIN (SELECT page, count(*) AS tp,
+    sum(pick.iou) AS iou_sum FROM matched WHERE pick IS NOT NULL GROUP BY page) m ON m.page = coalesce(p.page, g.page)) GROUP BY ROLLUP (page))""", **_MATCH)
 def box_metrics(spark, d):
     return evaluation.box_metrics(fx.pred(spark, d), fx.gold(spark, d))
 
@@ -688,10 +919,10 @@ def job_counts(spark, d):
     return records.job_counts(fx.jobs(spark, d))
 
 
-@query("SELECT job_id FROM fx_jobs j WHERE status = 'completed' AND job_id % 7 <> 0")
+@query("SELECT job_id FROM fx_jobs j WHERE status = 'completed' AND created_at < TIMESTAMP '1998-06-15 11:00:00' AND job_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def orphaned_jobs(spark, d):
-    results = fx.jobs(spark, d).where("job_id % 7 = 0").select("job_id")
-    return records.orphans(fx.jobs(spark, d), results, F.lit("2100-01-01").cast("timestamp")).select("job_id")
+    results = fx.read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("job_id"))
+    return records.orphans(fx.jobs(spark, d), results, F.lit("1998-06-15 12:00:00").cast("timestamp")).select("job_id")
 
 
 @query("""SELECT job_id, CASE WHEN status = 'running' THEN CASE WHEN job_id % 5 >= 2 THEN 'failed' ELSE 'queued' END ELSE status END AS status,
@@ -702,10 +933,26 @@ def jobs_after_restart(spark, d):
     return records.after_restart(j)
 
 
-@query("""SELECT label, n, most, p50, p95 FROM (SELECT label, count(*) AS n, max(wall_s) AS most, list_sort(list(wall_s))[round_even(0.5 * (count(*) - 1), 0)::BIGINT + 1] AS p50,
-    list_sort(list(wall_s))[round_even(0.95 * (count(*) - 1), 0)::BIGINT + 1] AS p95 FROM fx_telemetry WHERE kind = 'timed' GROUP BY label)""")
+def _rank(value: str, p: int, where: str = "true") -> str:
+    own = f"FILTER ({value} IS NOT NULL AND {where})"
+    return f"(list_sort(list({value}) {own}))[round_even({p / 100} * (count(*) {own} - 1), 0)::BIGINT + 1]"
+
+
+@query(f"""SELECT label, count(*) AS n, round(sum(cpu_s), 6) AS cpu_sum, {_rank("wall_s", 50)} AS wall_p50, {_rank("wall_s", 95)} AS wall_p95, {_rank("rss_delta_mb", 95)} AS rss_delta_p95,
+    {_rank("peak_rss_mb", 95)} AS peak_rss_p95 FROM fx_telemetry WHERE kind = 'timed' GROUP BY label""")
 def timed_report(spark, d):
-    return records.timed_report(fx.telemetry(spark, d), ["label"]).select("label", "n", "most", "p50", "p95")
+    return records.timed_report(fx.telemetry(spark, d), ["label"])
+
+
+@query(f"""SELECT label, count(*) AS n, {_rank("coalesce(rss_mb, 0)", 50)} AS rss_p50, {_rank("coalesce(rss_mb, 0)", 95)} AS rss_p95, max(coalesce(rss_mb, 0)) AS rss_max
+    FROM fx_telemetry WHERE kind = 'checkpoint' GROUP BY label""")
+def checkpoint_report(spark, d):
+    return records.checkpoint_report(fx.telemetry(spark, d))
+
+
+@query("SELECT label, round(avg(rss_mb), 6) AS mean, max(rss_mb) AS most, count(rss_mb) AS n FROM fx_telemetry WHERE kind = 'checkpoint' GROUP BY label")
+def checkpoint_memory(spark, d):
+    return records.checkpoint_memory(fx.telemetry(spark, d))
 
 
 @query("SELECT label, count(*) AS n FROM fx_telemetry WHERE kind = 'event' GROUP BY label")
@@ -746,7 +993,13 @@ def progress_changes(spark, d):
     return live.progress_changes(e).select("event_id", "label", "session")
 
 
-@query(None)
+NUMBERED_PAGES = "SELECT doc_id, page_idx, length(text)::DOUBLE AS bytes, row_number() OVER (PARTITION BY doc_id ORDER BY page_idx) AS seq FROM fx_pages"
+BATCHES = """SELECT doc_id, 0::BIGINT AS seq, NULL::INT AS page_idx, 0::DOUBLE AS bytes, 0::INT AS batch, 0::DOUBLE AS total, 0 AS n, false AS closed FROM numbered GROUP BY doc_id UNION ALL
+    SELECT p.doc_id, p.seq, p.page_idx, p.bytes, b.batch + fresh::INT, CASE WHEN fresh THEN p.bytes ELSE b.total + p.bytes END, CASE WHEN fresh THEN 1 ELSE b.n + 1 END, p.bytes > 5000
+    FROM batches b JOIN numbered p ON p.doc_id = b.doc_id AND p.seq = b.seq + 1, LATERAL (SELECT b.n > 0 AND (p.bytes > 5000 OR b.closed OR b.total + p.bytes > 6000 OR b.n >= 3) AS fresh) f"""
+
+
+@query("SELECT doc_id, page_idx, bytes, batch FROM batches WHERE seq > 0", numbered=NUMBERED_PAGES, batches=BATCHES)
 def page_batches(spark, d):
     from sheetlens.plans.fold import packed
 
@@ -800,21 +1053,31 @@ def nearby_totals(spark, d):
     return lines.nearby_total(fx.vlines(spark, d), dims)
 
 
-@query(None)
+@query("""SELECT n.page, n.inst_ord, r.run, z.lines, z.total_pts FROM (SELECT page, inst_ord, line_idx FROM (SELECT *, row_number() OVER (PARTITION BY page, inst_ord ORDER BY dist, line_idx) AS r FROM (
+    SELECT page, inst_ord, line_idx, sqrt((ix0 - greatest(least(ix0, x1), x0)) ** 2 + (iy0 - greatest(least(iy0, y1), y0)) ** 2) AS dist FROM fx_vlines JOIN fx_instances USING (page))
+    WHERE dist <= 50) WHERE r = 1) n JOIN reached r ON r.page = n.page AND r.line_idx = n.line_idx JOIN (SELECT page, run, count(*) AS lines, sum(length_pts) AS total_pts FROM reached
+    GROUP BY page, run) z ON z.page = r.page AND z.run = r.run""", **with_reach(near_ends(5), ends=ENDS))
 def runs_at_instances(spark, d):
     return lines.run_at_point(fx.vlines(spark, d), fx.instances(spark, d), "ix0", "iy0", "inst_ord")
 
 
-@query("""SELECT doc_id, count(*) FILTER (len(keywords) > 0) AS relevant, count(*) FILTER (len(keywords) = 0) AS other, 0::BIGINT AS broken FROM kw GROUP BY doc_id""", kw=PAGE_KW)
+@query(f"""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(relevant, 0) AS relevant, coalesce(other, 0) AS other, coalesce(broken, 0) AS broken FROM (SELECT doc_id, count(*) FILTER (yes) AS relevant,
+    count(*) FILTER (NOT yes) AS other FROM (SELECT k.doc_id, len(keywords) > 0 OR coalesce(is_relevant, false) AS yes FROM kw k LEFT JOIN {_SCORE} s USING (doc_id, page_idx)) GROUP BY doc_id) a
+    FULL JOIN (SELECT doc_id, count(*) AS broken FROM sick WHERE page_idx < 0 OR width <= 0 OR trim(text) = '' GROUP BY doc_id) b ON b.doc_id = a.doc_id""", kw=PAGE_KW, sick=SICK)
 def page_count_report(spark, d):
-    decided = pages.decide(_page_keywords(spark, d), fx.scores(spark, d).where("false"), [], "any_keyword")
-    broken = fx.pages(spark, d).where("false").select("doc_id", "page_idx")
-    return pages.page_counts(decided, broken)
+    decided = pages.decide(_page_keywords(spark, d), fx.scores(spark, d), [], "any_keyword")
+    return pages.page_counts(decided, pages.split_broken(pages.health(_sick(spark, d)))[1])
 
 
-@query("""SELECT document, list_sort(list(page) FILTER (NOT skip))::VARCHAR AS relevant FROM (SELECT s_suppkey // 8 AS document, s_suppkey AS page, s_suppkey % 3 = 0 AS skip FROM supplier) GROUP BY document""")
+@query("""SELECT document, array_to_string(list_sort(list(page) FILTER (NOT broken AND relevant)), ',') AS relevant, array_to_string(list_sort(list(page) FILTER (NOT broken AND NOT relevant)), ',') AS other,
+    array_to_string(list_sort(list(page) FILTER (broken)), ',') AS broken, arg_min(trade, page) FILTER (trade IS NOT NULL) AS trade FROM (SELECT s_suppkey // 8 AS document, s_suppkey AS page,
+    s_acctbal > 3000 AS relevant, s_nationkey % 4 = 1 AS broken, CASE WHEN s_nationkey % 3 > 0 THEN 'trade ' || s_nationkey END AS trade FROM supplier) GROUP BY document""")
 def document_results(spark, d):
     k = F.col("s_suppkey")
-    p = fx.read(spark, d, "supplier").select(F.floor(k / 8).alias("document"), k.alias("page"), (k % 3 != 0).alias("relevant"), F.lit(False).alias("broken"), F.lit("fence").alias("trade"))
-    r = records.document_result(p).select("document", "relevant")
-    return r.select("document", F.when(F.size("relevant") > 0, F.concat(F.lit("["), F.array_join("relevant", ", "), F.lit("]"))).alias("relevant"))
+    p = fx.read(spark, d, "supplier").select(F.floor(k / 8).alias("document"), k.alias("page"), (F.col("s_acctbal") > 3000).alias("relevant"), (F.col("s_nationkey") % 4 == 1).alias("broken"),
+        F.when(F.col("s_nationkey") % 3 > 0, F.concat(F.lit("trade "), F.col("s_nationkey").cast("string"))).alias("trade"))
+    r, lists = records.document_result(p), ("relevant", "other", "broken")
+    return r.select("document", *[F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c) for c in lists], "trade")
+
+
+from sheetlens import queries_more  # noqa: E402, F401  the queries on readers, model answers and records
