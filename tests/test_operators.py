@@ -94,7 +94,8 @@ def test_text_forms(spark):
         t.snippet(F.lit("abc fence def"), "fence", 2).alias("j"),
     )
     assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g, r.h, r.i, r.j) == ("2.3", "0.A1.0", "2.9", "f1b", "01185", 0.8, True, False, False, "c fence d")
-    assert t.variants("chain-link") == ["chain link", "chain links", "chain-link", "chain-links"]
+    assert t.variants("chain-link") == ["chain link", "chain-link"]
+    assert t.variants("screen wall") == ["screen wall", "screen walls", "screen-wall", "screen-walls", "screenwall"]
     assert len(t.code_patterns()) == 19
 
 
@@ -139,18 +140,110 @@ def test_export_takes_known_indices_up_to_the_cap(spark):
 
 
 def test_unmapped_lines_are_auto_detected_only_without_a_map(spark):
-    df = line_table(spark, [(0, 0, 20, 0, "X"), (0, 0, 20, 0, "FENCE-1")])
-    maps = spark.createDataFrame([("FENCE", "Fence", 0)], "map_layer string, category string, map_ord long")
-    assert [r.category for r in reports.category_of_layer(df, maps).collect()] == ["Fence"]
-    assert {r.category for r in reports.category_of_layer(df, maps.where("false")).collect()} == {"Auto-detected"}
+    one = line_table(spark, [(0, 0, 20, 0, "X"), (0, 0, 20, 0, "FENCE-1")])
+    df = one.unionByName(one.withColumn("page", F.lit(2).cast("long"))).unionByName(one.withColumn("page", F.lit(3).cast("long")))
+    maps = spark.createDataFrame([(1, "FENCE", "Fence", 0), (2, "the X and more", "Wall", 0), (2, "FENCE-1", "Gate", 1)], "page long, map_layer string, category string, map_ord long")
+    got = {(r.page, r.layer): r.category for r in reports.category_of_layer(df, maps).collect()}
+    assert got == {(1, "FENCE-1"): "Fence", (2, "X"): "Wall", (2, "FENCE-1"): "Gate", (3, "X"): "Auto-detected", (3, "FENCE-1"): "Auto-detected"}
+    assert {r.category for r in reports.category_of_layer(one, maps.where("false")).collect()} == {"Auto-detected"}
+    assert "Cartesian" not in plan(reports.category_of_layer(df, maps)) and "NestedLoop" not in plan(reports.category_of_layer(df, maps))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_votes_need_enough_and_a_name(spark):
-    df = line_table(spark, [(0, 0, 10, 0, "L")] * 3 + [(500, 500, 510, 500, "BARRIER-9")])
-    inst = spark.createDataFrame([(1, 0, "F-1", 0.0, 0.0, 10.0, 10.0)], "page long, inst_ord long, indicator string, ix0 double, iy0 double, ix1 double, iy1 double")
-    leg = spark.createDataFrame([("F-1", "CHAIN LINK", 0), ("F-2", "Barrier rail", 1)], "indicator string, keyword string, leg_ord long")
-    got = {r.layer: (r.category, r.decided_by) for r in voting.layer_votes(df, inst, leg).collect()}
-    assert got == {"L": ("F-1: CHAIN LINK", "indicator-vote"), "BARRIER-9": ("F-2: Barrier rail", "layer-token")}
+    one = line_table(spark, [(0, 0, 10, 0, "L")] * 3 + [(500, 500, 510, 500, "BARRIER-9")])
+    df = one.unionByName(one.withColumn("page", F.lit(2).cast("long")))
+    inst = spark.createDataFrame([(p, p, "F-1", 0.0, 0.0, 10.0, 10.0) for p in (1, 2)], "page long, inst_ord long, indicator string, ix0 double, iy0 double, ix1 double, iy1 double")
+    rows = [(1, "F-1", "CHAIN LINK", 0), (1, "F-2", "Barrier rail", 1), (2, "F-1", "WOOD", 0), (2, "F-3", "barrier gate", 1), (2, "F-4", "low barrier", 2)]
+    leg = spark.createDataFrame(rows, "page long, indicator string, keyword string, leg_ord long")
+    got = {(r.page, r.layer): (r.category, r.decided_by) for r in voting.layer_votes(df, inst, leg).collect()}
+    assert got == {
+        (1, "L"): ("F-1: CHAIN LINK", "indicator-vote"), (1, "BARRIER-9"): ("F-2: Barrier rail", "layer-token"),
+        (2, "L"): ("F-1: WOOD", "indicator-vote"), (2, "BARRIER-9"): (None, "none"),
+    }
+    by_doc = voting.layer_votes(df.withColumn("document", F.col("page") * 10), inst, leg.withColumnRenamed("page", "document").withColumn("document", F.col("document") * 10), by=("document",))
+    assert {(r.page, r.layer): (r.category, r.decided_by) for r in by_doc.collect()} == got
+
+
+def test_limits_count_telling_lines_where_there_are_some(spark):
+    n = lambda page, layer, count: spark.range(count).select(F.lit(page).cast("long").alias("page"), F.lit(layer).alias("layer"))
+    parts = [n(1, "x", 6000), n(2, "FENCE", 3), n(2, "x", 16000), n(3, "x", 15001), n(4, "wall", 5001)]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    inst = spark.createDataFrame([(p,) for p in (1, 2, 3, 4)], "page long")
+    chunks = spark.createDataFrame([(1, "figure")], "page long, chunk_type string")
+    got = {r.page: r.skip_reason for r in lines.skip_reasons(lines.page_counts(df, inst, chunks)).collect()}
+    assert got == {1: None, 2: None, 3: "too many lines on the page", 4: "too many lines"}
+
+
+def test_crowded_ends_give_few_links(spark):
+    rows = [(0.1 * (i % 5), 0.1 * (i // 5 % 5), 100 + 10 * i, 50.0) for i in range(150)]
+    df = line_table(spark, rows)
+    got = lines.runs(df, 2.0).select("run").distinct().collect()
+    assert len(got) == 1
+    rng = __import__("random").Random(5)
+    spread = [(rng.uniform(0, 40), rng.uniform(0, 40), rng.uniform(0, 40), rng.uniform(0, 40)) for _ in range(60)]
+    found = {r.line_idx: r.run for r in lines.runs(line_table(spark, spread), 2.5).collect()}
+    ends = [((a, b), (c, d)) for a, b, c, d in spread]
+    want = list(range(60))
+    moved = True
+    while moved:
+        moved = False
+        for i in range(60):
+            for j in range(60):
+                if want[j] < want[i] and any(((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5 < 2.5 for p in ends[i] for q in ends[j]):
+                    want[i], moved = want[j], True
+    assert [found[i] for i in range(60)] == want
+
+
+def test_ranks_equal_sorting(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, float(rng.randint(0, 30)) if rng.random() < 0.9 else None) for k in "abc" for _ in range(rng.randint(1, 200))] + [("d", None)]
+    got = records.nearest_ranks(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p50": 50, "p95": 95}).collect()
+    for r in got:
+        own = sorted(v for k, v in rows if k == r.k and v is not None)
+        assert (r.p50, r.p95) == tuple(own[round(p / 100 * (len(own) - 1))] for p in (50, 95))
+    assert len(got) == 3
+
+
+def test_large_boxes_lie_on_coarser_grids(spark):
+    rows = [(1, i, (i * 37 % 300) * 1.0, (i * 53 % 300) * 1.0, [3.0, 90.0, 5000.0, 400_000.0][i % 4]) for i in range(40)]
+    a = spark.createDataFrame([(p, i, x, y, x + w, y + w) for p, i, x, y, w in rows], "page long, aid long, ax0 double, ay0 double, ax1 double, ay1 double")
+    b = a.withColumnsRenamed({c: c.replace("a", "b", 1) for c in ("aid", "ax0", "ay0", "ax1", "ay1")})
+    box = lambda s: tuple(F.col(f"{s}{c}") for c in ("x0", "y0", "x1", "y1"))
+    touch = g.boxes_touch(box("a"), box("b"))
+    key = lambda df: sorted((r.aid, r.bid) for r in df.collect())
+    assert key(grid_join(a, b, box("a"), box("b"), touch, ["page"], 0.0, 1.0, large=True)) == key(a.join(b, "page").where(touch))
+
+
+def test_span_boxes_split_on_gaps_and_width(spark):
+    tok = [(1, 0, k + 1, x, at, 0.0, at + w, 10.0) for k, (x, at, w) in enumerate([("chain", 0.0, 50.0), ("link", 55.0, 40.0), ("far", 300.0, 30.0), ("wide", 335.0, 150.0), ("more", 490.0, 100.0)])]
+    t_ = spark.createDataFrame(tok, "page long, line_no long, k int, text string, tx0 double, ty0 double, tx1 double, ty1 double")
+    found = spark.createDataFrame([(1, 0, 1, 5)], "page long, line_no long, start int, end int")
+    got = legend.span_boxes(found, t_, pad=0.0).orderBy("part").collect()
+    assert [(r.text, r.x0, r.x1, r.y0, r.y1) for r in got] == [("chain link", 0.0, 95.0, 0.0, 10.0), ("far wide", 300.0, 485.0, 0.0, 10.0), ("more", 490.0, 590.0, 0.0, 10.0)]
+
+
+def test_folders_are_shared_off_one_machine(spark):
+    from sheetlens.plans.graph import shared_dir
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+    Session.conf = Conf({"spark.master": "local[2]"})
+    assert shared_dir(Session()).startswith("file://")
 
 
 def test_clusters_keep_directions_apart(spark):
@@ -171,8 +264,10 @@ def test_page_rules(spark):
 
 
 def test_model_answers_are_found_in_noise(spark):
-    df = spark.createDataFrame([(1, 'Sure!\n[{"id": "a", "v": "x"}, {"id": "", "v": "y"}] done'), (2, "nothing")], "page long, response string")
-    assert [(r.page, r.id, r.v) for r in pages.model_rows(df, "id string, v string").collect()] == [(1, "a", "x")]
+    said = ['Sure!\n[{"id": "a", "v": "x"}, {"id": "", "v": "y"}] done', "nothing", 'ok {"results": [{"id": "b", "v": "z"}]}.', '{"results": [{"id": 1']
+    df = spark.createDataFrame(list(enumerate(said)), "page long, response string")
+    assert sorted((r.page, r.id, r.v) for r in pages.model_rows(df, "id string, v string").collect()) == [(0, "a", "x"), (2, "b", "z")]
+    assert {r.page: r.n for r in pages.model_object(spark.createDataFrame([(1, 'x {"n": 4} y')], "page long, response string"), "n int").collect()} == {1: 4}
 
 
 def test_layout_answers_start_at_zero_or_one(spark):
@@ -215,9 +310,11 @@ def test_phrases_and_spans(spark):
 
 
 def test_names_from_answers(spark):
-    known = spark.createDataFrame([("Chain Link", 0), ("Wood Fence", 1)], "known string, known_ord long")
-    ans = spark.createDataFrame([("chain link",), ("wood",), ("steel",)], "name string")
-    assert {r.name: r.known for r in legend.known_names(ans, known, True).collect()} == {"chain link": "Chain Link", "wood": "Wood Fence", "steel": "Chain Link"}
+    known = spark.createDataFrame([(1, "Chain Link", 0), (1, "Wood Fence", 1), (2, "Steel Gate", 0)], "document long, known string, known_ord long")
+    ans = spark.createDataFrame([(d, n) for d in (1, 2) for n in ("chain link", "wood", "steel")], "document long, name string")
+    got = {(r.document, r.name): r.known for r in legend.known_names(ans, known, True).collect()}
+    assert got == {(1, "chain link"): "Chain Link", (1, "wood"): "Wood Fence", (1, "steel"): "Chain Link", (2, "chain link"): "Steel Gate", (2, "wood"): "Steel Gate", (2, "steel"): "Steel Gate"}
+    assert legend.known_names(ans, known).count() == 3
 
 
 def test_evaluation(spark):
@@ -234,5 +331,7 @@ def test_registry_rules(spark):
     got = {r.job_id: (r.status, r.requeue_count, r.queue_position) for r in records.after_restart(jobs).collect()}
     assert got == {1: ("queued", 1, 3), 2: ("failed", 2, 6), 3: ("queued", 0, 4)}
     assert records.params_hash({"b": 2, "a": 1}) == records.params_hash({"a": 1, "b": 2}) != records.params_hash({"a": 1, "b": 3})
-    r = one(spark, records.within_phase(F.lit("phase2"), F.lit(54.0)).alias("a"), records.json_safe(F.lit("a\x00b")).alias("b"))
-    assert (r.a, r.b) == (50.0, "ab")
+    assert one(spark, records.within_phase(F.lit("phase2"), F.lit(54.0)).alias("a")).a == 50.0
+    dirty = spark.createDataFrame([("a\x00b", [("c\x00",)], {"k": "\x00"}, None)], "a string, b array<struct<x:string>>, c map<string,string>, d struct<y:string>")
+    r = records.json_safe(dirty).first()
+    assert (r.a, r.b[0].x, r.c["k"], r.d) == ("ab", "c", "", None)

@@ -49,10 +49,22 @@ def test_latest_rows_are_kept_over_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(src))
         q = live.keep_latest(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "t"), str(tmp_path / "c"), ["document", "page"], "v", "note")
         q.awaitTermination(120)
-    got = {r.page: r.note for r in spark.read.parquet(str(tmp_path / "t" / "v1")).collect()}
+    got = {r.page: r.note for r in live.kept_table(spark, str(tmp_path / "t"), schema).collect()}
     assert got == {1: "full", 2: "stub"}
 
 
+def test_batches_rewrite_their_own_parts_and_keep_two_versions(spark, tmp_path):
+    src, table = tmp_path / "pages", tmp_path / "t"
+    schema = "document long, page long, v long, note string"
+    for i in range(4):
+        spark.createDataFrame([(1, 1, i, f"n{i}")] + ([(2, 7, 1, "once")] if not i else []), schema).write.mode("append").parquet(str(src))
+        live.keep_latest(spark.readStream.schema(schema).parquet(str(src)), str(table), str(tmp_path / "c"), ["document", "page"], "v", "note", 16).awaitTermination(120)
+    versions = {p.name: sorted(v.name for v in p.iterdir() if v.is_dir()) for p in table.iterdir()}
+    assert sorted(versions.values()) == [["v0"], ["v2", "v3"]]
+    assert {(r.document, r.note) for r in live.kept_table(spark, str(table), schema).collect()} == {(1, "n3"), (2, "once")}
+    assert live.kept_table(spark, str(tmp_path / "none"), schema).count() == 0
+
+
 def test_progress_feed_equals_batch(spark, tmp_path):
     schema = "job_id long, event_id long, ts long, pct long, status string"
     rows = [(1, 1, 1, 5, "running"), (1, 2, 2, 5, "running"), (1, 3, 3, 9, "running"), (1, 4, 4, 9, "completed"), (2, 5, 1, 5, "running")]
