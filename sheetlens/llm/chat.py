@@ -45,8 +45,9 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, chun
     turn of a conversation if its role is system; later ones are turns like others. New turns get the budget less history
     and system turn, a quarter of the budget at least.
 
-    Turns are ordered by turn, role and text, null turns first; null roles and texts are empty; a null conv_id is a
-    conversation of its own; repeated rows are turns of their own.
+    Turns are ordered by turn (a number), role and text, null turns first; null roles and texts are empty; a null conv_id is
+    a conversation of its own; repeated rows are turns of their own; more columns are ignored; an empty table gives an empty
+    result.
     """
     history = min(history, budget // 4)
     t = turns.select(

@@ -385,12 +385,33 @@ def test_pipeline_stages_against_brute_force(spark):
     assert max(fill.values()) <= 4096
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op4_exact_dedup"])
+def test_pipeline_bears_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mix_topic string, _sha string, raw_sha256 string, node long"
+    words = " ".join(f"w{i}" for i in range(80))
+    texts = [(1, None), (2, ""), (2, ""), (3, words), (4, words.upper()), (5, words + " more"), (None, "alone here"), (None, "alone here"), (6, "x y z " * 5000), (6, "other text of one id")]
+    rows = [(i, t, None if k % 2 else "en", None if k % 3 else "s", 0, "a", "b", "c", 1) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.where("false"), SF)
+        assert empty.count() == 0
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF))
+        kept[name] = docs.collect()
+        if name != "best-fit packing":
+            assert docs.columns == empty.columns == [f.split()[0] for f in schema.split(", ")]
+            assert {r.raw_sha256 for r in kept[name]} <= {"c"}
+    assert len(kept["toxicity"]) == 10
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept["exact dedup"]) == sorted([(0, 10), (2, 0), (4, len(words)), (5, len(words) + 5), (6, 30000), (6, 20)])
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept["SimHash near-dedup"]) == sorted([(0, 10), (2, 0), (4, len(words)), (6, 30000), (6, 20)])
+    assert len(kept["best-fit packing"]) >= len(kept["mixing sources to target weights"])
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op4_exact_dedup", "op10_chat_formatting"])
 def test_queries_agree_with_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     want = con.execute(registry.ORACLES[name])
     names = [d[0] for d in want.description]

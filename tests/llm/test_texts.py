@@ -45,6 +45,38 @@ def test_archives_come_back_whole(spark):
     assert all((r.record_type == "revisit") == (r.refers_to is not None) for r in got)
 
 
+def test_captures_keep_one_request_whole(spark):
+    names = ["type", "record_id", "concurrent_to", "refers_to", "target_uri", "date", "payload_digest", "http_length", "payload_bytes", "payload_sha1", "block", "payload"]
+    of = lambda **x: tuple(x.get(n) for n in names)
+    rows = [
+        of(type="response", record_id="r1", payload=bytearray(b"x"), target_uri="u"), of(type="request", record_id="q1", concurrent_to="r1", block="Z"),
+        of(type="request", record_id="q9", concurrent_to="r1", block="A"), of(type="metadata", record_id="m1", concurrent_to="r1", block="page-id: 5\r\n"),
+        of(type="request", record_id="q2", concurrent_to="gone", block="lost"), of(type="revisit", record_id="r2", refers_to="r0"), of(type="warcinfo"),
+    ]
+    df = spark.createDataFrame(rows, warc._RECORD).selectExpr("*", "'x' AS capture_id", "'y' AS response")
+    got = {c.capture_id: c for c in warc.captures(df).collect()}
+    assert set(got) == {"r1", "r2"}
+    assert (got["r1"].request.record_id, got["r1"].request.block, got["r1"].metadata.record_id) == ("q9", "A", "m1")
+    assert got["r2"].request is None and got["r2"].metadata is None
+    assert warc.captures(df.where("false")).collect() == []
+    found = {r.url: (r.page_id, r.refers_to) for r in warc.page_digests(warc.captures(df)).collect()}
+    assert found == {"u": (5, None), None: (None, None)}
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "SIZE_CLASSES", (4000, 20_000))
+    path = work_dir(spark)
+    rows = [(i, "u", "z" * n) for i, n in enumerate([10] * 40 + [5000] * 9 + [100_000] * 2)]
+    warc.write_archives(pages(spark, rows).coalesce(1), path)
+    import gzip
+    from pathlib import Path
+
+    sizes = sorted(len(gzip.decompress(p.read_bytes())) for p in Path(path.removeprefix("file://")).glob("*.gz"))
+    assert len([s for s in sizes if s > 40_000]) == 2 and len(sizes) > 5  # the two captures that are larger themselves
+    assert warc.captures(warc.read_records(spark, path)).count() == 51
+
+
 def test_no_pages_give_no_captures(spark):
     path = work_dir(spark)
     warc.write_archives(pages(spark, []), path)
