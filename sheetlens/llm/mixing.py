@@ -20,7 +20,7 @@ from sheetlens.llm.common import free_names, materialize
 MARGINS = ("source", "lang", "topic")
 #: A number a is a target share in proportion to tokens^a; a mapping gives shares by name, scaled over the names that occur.
 TARGETS: dict[str, float | dict[str, float]] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-BUDGET, SEED, TOLERANCE, MAX_ROUNDS = 0.5, 11, 1e-4, 200
+BUDGET, SEED, TOLERANCE, MAX_ROUNDS, PATIENCE = 0.5, 11, 1e-4, 200, 3
 TOPICS, COMMON, TOPIC_LETTERS, OTHER = 32, 0.05, 5, "other"
 #: Cells up to this number are sent to the documents (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_CELLS = 20_000
@@ -78,6 +78,7 @@ def rake(
     budget: float = BUDGET,
     tolerance: float = TOLERANCE,
     max_rounds: int = MAX_ROUNDS,
+    patience: int = PATIENCE,
 ) -> tuple[DataFrame, float]:
     """``cells`` (margins and tokens) with ``weight``, the tokens that each is expected to give, and the largest difference
     that is left between a marginal share of the weights and its target.
@@ -85,15 +86,15 @@ def rake(
     A cell can't give more tokens than it has. Each step multiplies the free weights of a margin's value so that, together
     with the cells that give all they have, they meet the target; a cell is full while its free weight is at least its
     tokens. The total is ``budget`` (a share of all tokens). Rounds end when every share is within ``tolerance`` of its
-    target, or when another round doesn't bring them nearer (targets that no weights meet, as through empty or full
-    cells), or after ``max_rounds``; the difference tells which. Sums are partial per task, so the largest value of a
+    target, or when ``patience`` rounds in turn bring them nearer by less than a twentieth (targets that no weights meet, as
+    through empty or full cells), or after ``max_rounds``; the difference tells which. Sums are partial per task, so the largest value of a
     margin is no single task's work.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0])
     wanted = budget * total
     shares = {m: _shares(cells, m, t) for m, t in targets.items()}
     weight, full = F.least("free", "tokens"), F.col("free") >= F.col("tokens")
-    out, gap, best = cells.withColumn("free", F.col("tokens") * F.lit(float(budget))), 0.0, float("inf")
+    out, gap, last, slow = cells.withColumn("free", F.col("tokens") * F.lit(float(budget))), 0.0, float("inf"), 0
 
     def sums(df: DataFrame, m: str, share: DataFrame) -> DataFrame:
         per = df.groupBy(m).agg(
@@ -102,7 +103,7 @@ def rake(
         )
         return per.join(share, m)
 
-    for done in range(max_rounds):
+    for _ in range(max_rounds):
         for m, share in shares.items():
             goal = F.col("share") * F.lit(wanted)
             # Full cells give no more: the loose ones fill the target, or all shrink where it is below what the full ones give.
@@ -114,10 +115,10 @@ def rake(
         out = materialize(out)
         off = [sums(out, m, s).agg(F.max(F.abs(F.col("now") / F.lit(wanted) - F.col("share"))).alias("gap")) for m, s in shares.items()]
         gap = max(r["gap"] or 0.0 for r in functools.reduce(DataFrame.unionByName, off).collect())  # a row for each margin
-        if gap <= tolerance or (done % 10 == 9 and gap > 0.99 * best):
+        slow = slow + 1 if gap > 0.95 * last else 0
+        if gap <= tolerance or slow >= patience:
             break
-        if done % 10 == 9:
-            best = gap
+        last = gap
     return out.select(*cells.columns, weight.cast("double").alias("weight")), gap
 
 
