@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_128_digest
 
 from sheetlens.llm.common import materialize
 
@@ -37,54 +37,64 @@ _CACHE_WORDS = 200_000
 
 
 class Words:
-    """Numbers for words as they come, with their hashes and index vectors; forgets all when it's full."""
+    """Numbers for words as they come; index vectors, and vectors by a sketch or room for context sums, once ``settle`` is
+    called. ``full`` tells when to begin anew."""
 
-    def __init__(self, vectors: Sketch | None = None):
+    def __init__(self, sketch: Sketch | None = None):
         self.known: dict[str, int] = {}
-        self.sketch = vectors
-        self.index = np.zeros((1024, DIM), np.int8)
-        self.hashes = np.zeros((1024, TABLES), np.uint64)
-        self.vectors = np.zeros((1024 if vectors else 0, 2 * DIM), np.float32)
+        self.pending: list[str] = []
+        self.sketch = sketch
+        self.digests = np.zeros((0, 2), np.uint64)
+        self.index = np.zeros((0, DIM), np.int8)
+        self.vectors = np.zeros((0, 2 * DIM), np.float32)
+        self.sums = np.zeros((0, DIM), np.int32)
 
     def ids(self, text: str | None) -> np.ndarray:
         """Numbers of the tokens of ``text``: runs of letters and digits as written, runs of signs."""
-        words = _TOKEN.findall(text or "")
-        new = [w for w in set(words) if w not in self.known]
+        words, known = _TOKEN.findall(text or ""), self.known
+        new = [w for w in set(words) if w not in known]
         if new:
-            self._add(new)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.pending += new
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def full(self) -> bool:
         return len(self.known) > _CACHE_WORDS
 
-    def _add(self, new: list[str]) -> None:
-        at, n = len(self.known), len(new)
-        if at + n > len(self.index):
-            more = max(len(self.index), n)
-            grow = lambda a: np.concatenate([a, np.zeros((more, a.shape[1]), a.dtype)])
-            self.index, self.hashes = grow(self.index), grow(self.hashes)
-            self.vectors = grow(self.vectors) if self.sketch else self.vectors
-        self.known.update(zip(new, range(at, at + n)))
-        data = [w.encode() for w in new]
-        self.hashes[at : at + n] = np.array([[xxh3_64_intdigest(w, k) for k in range(TABLES)] for w in data], np.uint64)
-        self.index[at : at + n] = index_vectors(np.array([xxh3_64_intdigest(w, TABLES) for w in data], np.uint64))
+    def settle(self) -> None:
+        if not self.pending:
+            return
+        data, self.pending = b"".join([xxh3_128_digest(w.encode()) for w in self.pending]), []
+        new = np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, 2)
+        index, at = index_vectors(new), len(self.known) - len(new)
+        self.digests, self.index = _put(self.digests, at, new), _put(self.index, at, index)
         if self.sketch:
-            self.vectors[at : at + n] = self.sketch.vectors(self.index[at : at + n], self.hashes[at : at + n])
+            self.vectors = _put(self.vectors, at, self.sketch.vectors(index, new))
+        else:
+            self.sums = _put(self.sums, at, np.zeros((len(new), DIM), np.int32))
 
 
-def index_vectors(hashes: np.ndarray) -> np.ndarray:
-    """NONZERO places of DIM, as a word's hash gives them, half of them +1 and half -1; places that meet add up."""
-    out = np.zeros((len(hashes), DIM), np.int8)
-    rows = np.arange(len(hashes))
+def _put(a: np.ndarray, at: int, rows: np.ndarray) -> np.ndarray:
+    """``a`` with ``rows`` from ``at`` on, longer by half if there is no room."""
+    if at + len(rows) > len(a):
+        a = np.concatenate([a, np.zeros((max(len(a) // 2, at + len(rows) - len(a)), a.shape[1]), a.dtype)])
+    a[at : at + len(rows)] = rows
+    return a
+
+
+def index_vectors(digests: np.ndarray) -> np.ndarray:
+    """NONZERO places of DIM, as a word's digest gives them, half of them +1 and half -1; places that meet add up."""
+    out = np.zeros((len(digests), DIM), np.int8)
+    rows, h = np.arange(len(digests)), digests[:, 0] ^ (digests[:, 1] >> np.uint64(5))
     for k in range(NONZERO):
-        out[rows, ((hashes >> np.uint64(10 * k)) % np.uint64(DIM)).astype(np.int64)] += (1, -1)[k % 2]
+        out[rows, ((h >> np.uint64(10 * k)) % np.uint64(DIM)).astype(np.int64)] += (1, -1)[k % 2]
     return out
 
 
-def _rows(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _rows(digests: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of table k, numbered through all tables, and signs."""
-    h = hashes[:, k]
-    return (h % np.uint64(ROWS)).astype(np.int64) + k * ROWS, np.where(h >> np.uint64(63), 1, -1)
+    h = digests[:, 0] + np.uint64(k) * digests[:, 1]
+    return ((h >> np.uint64(8)) % np.uint64(ROWS)).astype(np.int64) + k * ROWS, np.where(h >> np.uint64(63), 1, -1)
 
 
 @dataclass
@@ -93,18 +103,25 @@ class Sketch:
 
     sums: np.ndarray
 
-    def vectors(self, index: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    def vectors(self, index: np.ndarray, digests: np.ndarray) -> np.ndarray:
         """Index vectors beside context vectors, both of length one (zero where there is none)."""
         found = []
         for k in range(TABLES):
-            at, sign = _rows(hashes, k)
+            at, sign = _rows(digests, k)
             found.append(self.sums[at] * sign[:, None])
-        both = np.concatenate([index, np.median(np.stack(found), axis=0)], axis=1).astype(np.float32).reshape(-1, 2, DIM)
+        both = np.concatenate([index, _median(found)], axis=1).astype(np.float32).reshape(-1, 2, DIM)
         return (both / np.maximum(np.linalg.norm(both, axis=2, keepdims=True), 1e-9)).reshape(-1, 2 * DIM)
 
 
-def _contexts(ids: np.ndarray, doc: np.ndarray, words: Words, total: np.ndarray) -> None:
-    """Add to ``total`` the index vectors of the neighbours, within one document, of each token."""
+def _median(parts: list[np.ndarray]) -> np.ndarray:
+    if len(parts) == 3:
+        a, b, c = parts
+        return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+    return np.median(np.stack(parts), axis=0)
+
+
+def _contexts(ids: np.ndarray, doc: np.ndarray, words: Words) -> None:
+    """Add to each word's sums the index vectors of the neighbours, within one document, of its tokens."""
     own = words.index[ids].astype(np.int16)
     around = np.zeros_like(own)
     for k in range(1, WINDOW + 1):
@@ -114,12 +131,17 @@ def _contexts(ids: np.ndarray, doc: np.ndarray, words: Words, total: np.ndarray)
     order = np.argsort(ids, kind="stable")
     at = ids[order]
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    sums, hashes = np.add.reduceat(around[order], starts, axis=0, dtype=np.int64), words.hashes[at[starts]]
+    words.sums[at[starts]] += np.add.reduceat(around[order], starts, axis=0, dtype=np.int32)
+
+
+def _tabled(words: Words, total: np.ndarray) -> None:
+    """Add all words' sums to the tables of ``total``."""
+    n = len(words.known)
     for k in range(TABLES):
-        rows, sign = _rows(hashes, k)
+        rows, sign = _rows(words.digests[:n], k)
         order = np.argsort(rows, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
-        total[rows[order][first]] += np.add.reduceat((sums * sign[:, None])[order], first, axis=0)
+        total[rows[order][first]] += np.add.reduceat((words.sums[:n] * sign[:, None])[order], first, axis=0, dtype=np.int64)
 
 
 def _emit(total: np.ndarray, group: int) -> Iterator[pd.DataFrame]:
@@ -142,7 +164,8 @@ def context_sketch(docs: DataFrame) -> Sketch:
         size = 0
 
         def flush() -> None:
-            _contexts(np.concatenate(held), np.repeat(np.arange(len(held)), list(map(len, held))), words, total)
+            words.settle()
+            _contexts(np.concatenate(held), np.repeat(np.arange(len(held)), list(map(len, held))), words)
 
         for part in parts:
             for text in part["text"]:
@@ -150,6 +173,7 @@ def context_sketch(docs: DataFrame) -> Sketch:
                     if size:
                         flush()
                         held, size = [], 0
+                    _tabled(words, total)
                     words = Words()
                 ids = words.ids(text)
                 for at in range(0, len(ids), _CHUNK):
@@ -160,6 +184,8 @@ def context_sketch(docs: DataFrame) -> Sketch:
                         held, size = [], 0
         if size:
             flush()
+        if words.known:
+            _tabled(words, total)
         yield from _emit(total, TaskContext.get().partitionId() % GROUPS)
 
     def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,12 +269,22 @@ def train(x: np.ndarray, y: np.ndarray, calibration: np.ndarray, hidden: int = H
     return net
 
 
+def _pooled_texts(texts: pd.Series, words: Words) -> list[np.ndarray]:
+    """The pooled vectors of ``texts``; new words get their vectors together, some texts at a time."""
+    out: list[np.ndarray] = []
+    for at in range(0, len(texts), 500):
+        found = [words.ids(t) for t in texts.iloc[at : at + 500]]
+        words.settle()
+        out += [pooled(ids, words.vectors) for ids in found]
+    return out
+
+
 def _pooled_rows(df: DataFrame, sketch: Sketch, schema: str) -> DataFrame:
     def pool(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(sketch)
         for part in parts:
+            x = [v.tobytes() for v in _pooled_texts(part["text"], words)]
             words = Words(sketch) if words.full() else words
-            x = [pooled(ids, words.vectors).tobytes() for ids in map(words.ids, part["text"])]
             yield part.drop(columns="text").assign(x=pd.Series(x, index=part.index, dtype=object))
 
     return df.mapInPandas(pool, schema)
@@ -303,9 +339,8 @@ def score(docs: DataFrame, sketch: Sketch, net: Network | None) -> DataFrame:
             if net is None or not len(part):
                 yield pd.Series(np.full(len(part), 0.5))
             else:
+                yield pd.Series(net.probabilities(np.stack(_pooled_texts(part, words))).astype(float))
                 words = Words(sketch) if words.full() else words
-                x = np.stack([pooled(ids, words.vectors) for ids in map(words.ids, part)])
-                yield pd.Series(net.probabilities(x).astype(float))
 
     out = docs.select("doc_id", (F.coalesce(fold(docs), F.lit(-1)) == HELD_OUT).alias("held_out"), probability("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -144,7 +144,7 @@ def test_raking_meets_every_marginal(spark, budget, steep):
     cells = p.groupBy("source", "lang", "topic").sum("tokens").withColumnRenamed("sum(tokens)", "tokens")
     cells = cells.selectExpr("source", "'=' || lang AS lang", "topic", "tokens")
     targets = {"source": steep, "lang": {"en": 0.6, "de": 0.25, "fr": 0.15}, "topic": 0.8}
-    raked, gap = mixing.rake(cells, targets, budget, 1e-6)
+    raked, gap = mixing.rake(cells, targets, budget, 1e-6, patience=100)
     raked = raked.toPandas()
     total = raked.tokens.sum()
     assert gap <= 1e-6 and abs(raked.weight.sum() - budget * total) < 1e-4 * total and (raked.weight <= raked.tokens).all()
@@ -303,7 +303,8 @@ def brute_contexts(texts):
     for t in texts:
         words = re.findall(r"[^\W_]+|[^\w\s]+|_+", t or "")
         for w in words:
-            index[w] = quality.index_vectors(np.array([quality.xxh3_64_intdigest(w.encode(), quality.TABLES)], np.uint64))[0].astype(int)
+            digest = np.frombuffer(quality.xxh3_128_digest(w.encode()), ">u8").astype(np.uint64).reshape(1, 2)
+            index[w] = quality.index_vectors(digest)[0].astype(int)
         for k, w in enumerate(words):
             for j in range(max(0, k - quality.WINDOW), min(len(words), k + quality.WINDOW + 1)):
                 if j != k:
@@ -319,6 +320,7 @@ def test_contexts_equal_brute_force(spark, monkeypatch):
     words = quality.Words(quality.context_sketch(docs))
     for w, own in index.items():
         (k,) = words.ids(w)
+        words.settle()
         v = words.vectors[k]
         assert np.allclose(v[: quality.DIM], own / np.linalg.norm(own), atol=1e-6)
         c = want.get(w, np.zeros(quality.DIM))
