@@ -734,9 +734,22 @@ def telemetry_problems(spark, d):
 
 
 SWEEP = [(3.0, 15.0), (8.0, 15.0)]
-
-
-@query(None)
+# A parameter set has pages of its own: number * 1000000 + page.
+SETS = "SELECT * FROM (VALUES (0, 3.0::DOUBLE, 15.0::DOUBLE), (1, 8.0::DOUBLE, 15.0::DOUBLE)) t(param, distance, degrees)"
+SET_ENDS = """SELECT param * 1000000 + page AS page, line_idx, px, py, flat, distance FROM (SELECT page, line_idx, x0 AS px, y0 AS py, y0 = y1 AS flat FROM fx_vlines UNION ALL SELECT page, line_idx, x1, y1, y0 = y1 FROM fx_vlines), sets"""
+SET_EDGES = """SELECT DISTINCT a.page, a.line_idx AS a, b.line_idx AS b FROM set_ends a JOIN set_ends b ON a.page = b.page AND a.flat = b.flat AND a.line_idx <> b.line_idx AND abs(a.px - b.px) < a.distance
+    AND sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) < a.distance"""
+SET_REACH = "SELECT page, a AS start, b AS node FROM set_edges UNION SELECT r.page, r.start, e.b FROM set_reach r JOIN set_edges e ON e.page = r.page AND e.a = r.node"
+SET_SHAPES = """SELECT param, page, run, bx0, by0, bx1, by1 FROM (SELECT param, page, run, count(*) AS n, sum(length_pts) AS pts, min(x0) AS bx0, min(y0) AS by0, max(x1) AS bx1, max(y1) AS by1 FROM (
+    SELECT param, v.page, v.line_idx, v.length_pts, v.x0, v.y0, v.x1, v.y1, least(v.line_idx, coalesce(min(r.node), v.line_idx)) AS run FROM fx_vlines v CROSS JOIN sets LEFT JOIN set_reach r
+    ON r.page = param * 1000000 + v.page AND r.start = v.line_idx GROUP BY param, v.page, v.line_idx, v.length_pts, v.x0, v.y0, v.x1, v.y1) GROUP BY param, page, run)
+    WHERE n >= 2 AND pts >= 20 AND greatest(bx1 - bx0, by1 - by0) / (least(bx1 - bx0, by1 - by0) + 0.01) >= 1"""
+
+
+@query("""SELECT distance, degrees, regions, hits, recall, row_number() OVER (ORDER BY recall DESC, regions, distance, degrees) AS rank FROM (SELECT distance, degrees, coalesce(regions, 0) AS regions, coalesce(hits, 0) AS hits,
+    coalesce(hits, 0) / (SELECT count(*) FROM fx_gold) AS recall FROM sets t LEFT JOIN (SELECT param, count(*) AS regions FROM set_shapes GROUP BY param) r ON r.param = t.param LEFT JOIN (SELECT param, count(DISTINCT gold_id) AS hits
+    FROM set_shapes s JOIN fx_gold o ON o.page = s.page AND (gx0 + gx1) / 2 BETWEEN bx0 - 100 AND bx1 + 100 AND (gy0 + gy1) / 2 BETWEEN by0 - 100 AND by1 + 100 GROUP BY param) h ON h.param = t.param)""",
+    sets=SETS, set_ends=SET_ENDS, set_edges=SET_EDGES, set_reach=SET_REACH, set_shapes=SET_SHAPES)
 def parameter_sweep(spark, d):
     return voting.sweep(fx.vlines(spark, d), fx.gold(spark, d), SWEEP)
 
