@@ -1,7 +1,7 @@
 """Exact duplicates by deterministic block naming.
 
-Every text is cut into blocks of a fixed number of bytes. All distinct blocks are sorted and numbered, so equal blocks
-have equal integer names. Then adjacent names are paired, the distinct pairs are sorted and numbered in turn, and so on
+Every text is cut into blocks of a fixed number of bytes. All distinct blocks are numbered in the order of their 64-bit
+hashes, and of their contents where hashes clash, so equal blocks, and no others, have equal integer names. Then adjacent names are paired, the distinct pairs are sorted and numbered in turn, and so on
 until each document has one name. Two documents have equal (number of blocks, name) exactly when their texts are equal:
 names are given to contents, never to hashes alone.
 
