@@ -11,6 +11,7 @@ document's topic is the rarest of them that it holds.
 from __future__ import annotations
 
 import functools
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ BUDGET, SEED, TOLERANCE, MAX_ROUNDS, PATIENCE = 0.5, 11, 1e-4, 200, 3
 TOPICS, COMMON, TOPIC_LETTERS, OTHER = 32, 0.05, 5, "other"
 #: Cells up to this number are sent to the documents (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_CELLS = 20_000
+#: Values of a margin whose factors are kept beside the plan; with more, factors are tables that are joined to the cells.
+FEW_VALUES = 500
 
 
 def _words(text: Column) -> Column:
@@ -93,6 +96,8 @@ def rake(
     total = float(cells.agg(F.sum("tokens")).first()[0])
     wanted = budget * total
     shares = {m: _shares(cells, m, t) for m, t in targets.items()}
+    if all(share.count() <= FEW_VALUES for share in shares.values()):
+        return _rake_by_factors(cells, shares, wanted, budget, tolerance, max_rounds, patience)
     weight, full = F.least("free", "tokens"), F.col("free") >= F.col("tokens")
     out, gap, last, slow = cells.withColumn("free", F.col("tokens") * F.lit(float(budget))), 0.0, float("inf"), 0
 
@@ -122,6 +127,42 @@ def rake(
     return out.select(*cells.columns, weight.cast("double").alias("weight")), gap
 
 
+def _rake_by_factors(
+    cells: DataFrame, shares: dict[str, DataFrame], wanted: float, budget: float, tolerance: float, max_rounds: int, patience: int
+) -> tuple[DataFrame, float]:
+    """``rake`` for margins of FEW_VALUES values at most: a free weight is the product of a factor for each of the cell's
+    values, so only the factors change, and a step is one sum over the cells as they are."""
+    share = {m: {r[m]: r["share"] for r in df.collect()} for m, df in shares.items()}  # FEW_VALUES rows each
+    factor = {m: dict.fromkeys(values, 1.0) for m, values in share.items()}
+
+    def free() -> Column:
+        parts = [F.from_json(F.lit(json.dumps(f)), "map<string,double>")[F.col(m)] for m, f in factor.items()]
+        return functools.reduce(lambda a, b: a * b, parts, F.col("tokens") * F.lit(float(budget)))
+
+    gap, last, slow = 0.0, float("inf"), 0
+    for _ in range(max_rounds):
+        gap = 0.0
+        for m in share:
+            held = F.col("free") >= F.col("tokens")
+            sums = cells.withColumn("free", free()).groupBy(m).agg(
+                F.sum(F.least("free", "tokens")).alias("now"), F.coalesce(F.sum(F.when(held, F.col("tokens"))), F.lit(0)).alias("held"),
+                F.coalesce(F.sum(F.when(~held, F.col("free"))), F.lit(0.0)).alias("loose"),
+            )
+            for r in sums.collect():  # FEW_VALUES rows
+                goal = share[m][r[m]] * wanted
+                gap = max(gap, abs(r["now"] - goal) / wanted)
+                if r["loose"] > 0 and goal > r["held"]:
+                    step = (goal - r["held"]) / r["loose"]
+                else:
+                    step = min(goal / r["now"], 1.0) if r["now"] else 1.0
+                factor[m][r[m]] = min(factor[m][r[m]] * step, 1e15)
+        slow = slow + 1 if gap > 0.95 * last else 0
+        if gap <= tolerance or slow >= patience:
+            break
+        last = gap
+    return cells.withColumn("weight", F.least(free(), F.col("tokens")).cast("double")), gap
+
+
 def probabilities(cells: DataFrame) -> DataFrame:
     """Raked ``cells`` with ``probability``: the share of its tokens that a cell is to give."""
     return cells.withColumn("probability", F.col("weight") / F.col("tokens"))

@@ -137,8 +137,9 @@ def bounded_brute(raked, targets, budget, rounds=2000):
     return np.minimum(tokens, free)
 
 
-@pytest.mark.parametrize("budget, steep", [(0.3, 0.8), (0.6, 0.4)])
-def test_raking_meets_every_marginal(spark, budget, steep):
+@pytest.mark.parametrize("budget, steep, few", [(0.3, 0.8, 0), (0.6, 0.4, 500)])
+def test_raking_meets_every_marginal(spark, monkeypatch, budget, steep, few):
+    monkeypatch.setattr(mixing, "FEW_VALUES", few)
     docs = mix_table(spark)
     p = docs.select("source", "lang", (docs["doc_id"] % 4).cast("string").alias("topic"), mixing.tokens_of(docs["text"]).alias("tokens"))
     cells = p.groupBy("source", "lang", "topic").sum("tokens").withColumnRenamed("sum(tokens)", "tokens")
