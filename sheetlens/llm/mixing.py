@@ -132,6 +132,8 @@ def _rake_by_factors(
 ) -> tuple[DataFrame, float]:
     """``rake`` for margins of FEW_VALUES values at most: a free weight is the product of a factor for each of the cell's
     values, so only the factors change, and a step is one sum over the cells as they are."""
+    if cells.count() <= BROADCAST_CELLS:
+        cells = cells.coalesce(1)  # so few rows are summed where they are read, without a shuffle
     share = {m: {r[m]: r["share"] for r in df.collect()} for m, df in shares.items()}  # FEW_VALUES rows each
     factor = {m: dict.fromkeys(values, 1.0) for m, values in share.items()}
 
