@@ -67,7 +67,7 @@ def test_files_are_bounded_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
     monkeypatch.setattr(warc, "SIZE_CLASSES", (4000, 20_000))
     path = work_dir(spark)
-    rows = [(i, "u", "z" * n) for i, n in enumerate([10] * 40 + [5000] * 9 + [100_000] * 2)]
+    rows = [(i, "u", str(i) + "z" * n) for i, n in enumerate([10] * 40 + [5000] * 9 + [100_000] * 2)]
     warc.write_archives(pages(spark, rows).coalesce(1), path)
     import gzip
     from pathlib import Path
