@@ -11,22 +11,25 @@ document's topic is the rarest of them that it holds.
 from __future__ import annotations
 
 import functools
-import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sheetlens.llm.common import free_names, materialize
 
 MARGINS = ("source", "lang", "topic")
 #: A number a is a target share in proportion to tokens^a; a mapping gives shares by name, scaled over the names that occur.
 TARGETS: dict[str, float | dict[str, float]] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-BUDGET, SEED, TOLERANCE, MAX_ROUNDS, PATIENCE = 0.5, 11, 1e-4, 200, 3
+BUDGET, SEED, TOLERANCE, MAX_ROUNDS = 0.5, 11, 1e-4, 3000
+#: Rounds that must bring the shares nearer by GAIN together.
+PATIENCE, GAIN = 20, 1e-6
 TOPICS, COMMON, TOPIC_LETTERS, OTHER = 32, 0.05, 5, "other"
 #: Cells up to this number are sent to the documents (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_CELLS = 20_000
-#: Values of a margin whose factors are kept beside the plan; with more, factors are tables that are joined to the cells.
-FEW_VALUES = 500
+#: Cells up to this number are raked on the driver (some 20 MB of rows).
+DRIVER_CELLS = 20_000
 
 
 def _words(text: Column) -> Column:
@@ -61,18 +64,31 @@ def _named(value: str | None) -> str:
     return "" if value is None else "=" + value
 
 
-def _shares(cells: DataFrame, margin: str, target: float | dict[str, float]) -> DataFrame:
-    """Target shares by value, over the values that occur; values that a mapping lacks keep their share of tokens."""
-    sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t"))
-    total = F.lit(float(cells.agg(F.sum("tokens")).first()[0]))
+def _shares(sums: list[tuple[str, float]], target: float | dict[str, float]) -> dict[str, float]:
+    """Target shares by value of a margin, over the values that occur, from their tokens; values that a mapping lacks keep
+    their share of tokens."""
+    total = sum(t for _, t in sums)
     if isinstance(target, dict):
-        named = F.create_map(*[F.lit(x) for k, v in target.items() for x in (_named(k), v)]) if target else None
-        raw = F.coalesce(named[F.col(margin)], F.col("t") / total) if named is not None else F.col("t") / total
+        named = {_named(k): v for k, v in target.items()}
+        raw = {v: named.get(v, t / total) for v, t in sums}
     else:
-        raw = F.pow("t", F.lit(float(target)))
-    wanted = materialize(sums.select(margin, raw.alias("share")))
-    whole = wanted.agg(F.sum("share")).first()[0]
-    return materialize(wanted.withColumn("share", F.col("share") / F.lit(whole)))
+        raw = {v: t ** float(target) for v, t in sums}
+    whole = sum(raw.values())
+    return {v: r / whole for v, r in raw.items()}
+
+
+class _Stop:
+    """When rounds end: all shares are within ``tolerance`` of their targets, or the best gap of the last ``PATIENCE`` rounds
+    is no nearer than the best before by ``GAIN``."""
+
+    def __init__(self, tolerance: float) -> None:
+        self.tolerance, self.gaps = tolerance, []
+
+    def __call__(self, gap: float) -> bool:
+        self.gaps.append(gap)
+        if gap <= self.tolerance:
+            return True
+        return len(self.gaps) > PATIENCE and min(self.gaps[:-PATIENCE]) - min(self.gaps[-PATIENCE:]) < GAIN
 
 
 def rake(
@@ -81,25 +97,70 @@ def rake(
     budget: float = BUDGET,
     tolerance: float = TOLERANCE,
     max_rounds: int = MAX_ROUNDS,
-    patience: int = PATIENCE,
 ) -> tuple[DataFrame, float]:
     """``cells`` (margins and tokens) with ``weight``, the tokens that each is expected to give, and the largest difference
-    that is left between a marginal share of the weights and its target.
+    that is left between a marginal share of these weights and its target.
 
     A cell can't give more tokens than it has. Each step multiplies the free weights of a margin's value so that, together
     with the cells that give all they have, they meet the target; a cell is full while its free weight is at least its
-    tokens. The total is ``budget`` (a share of all tokens). Rounds end when every share is within ``tolerance`` of its
-    target, or when ``patience`` rounds in turn bring them nearer by less than a twentieth (targets that no weights meet, as
-    through empty or full cells), or after ``max_rounds``; the difference tells which. Sums are partial per task, so the largest value of a
-    margin is no single task's work.
+    tokens. The total is ``budget`` (a share of all tokens). Rounds end by one rule (``_Stop``), or after ``max_rounds``;
+    the difference tells which targets no weights meet, as through empty or full cells.
+
+    Up to DRIVER_CELLS cells are raked as arrays on the driver; more of them are raked by the same steps as joins of tables,
+    whose sums are partial per task.
     """
+    if cells.count() <= DRIVER_CELLS:
+        return _rake_arrays(cells, targets, budget, tolerance, max_rounds)
+    return _rake_tables(cells, targets, budget, tolerance, max_rounds)
+
+
+def _rake_arrays(cells, targets, budget, tolerance, max_rounds) -> tuple[DataFrame, float]:
+    rows = cells.collect()  # DRIVER_CELLS rows at most
+    tokens = np.array([r["tokens"] for r in rows], float)
+    wanted, free, margins = budget * tokens.sum(), tokens * float(budget), []
+    for m, target in targets.items():
+        values = {v: k for k, v in enumerate(sorted({r[m] for r in rows}))}
+        at = np.array([values[r[m]] for r in rows])
+        share = _shares(list(zip(values, np.bincount(at, tokens, len(values)))), target)
+        margins.append((at, np.array([share[v] for v in values])))
+
+    def sums(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(at, x, n)
+
+    stop, gap = _Stop(tolerance), 0.0
+    for _ in range(max_rounds):
+        for at, share in margins:
+            n, full = len(share), free >= tokens
+            held, loose = sums(at, np.where(full, tokens, 0.0), n), sums(at, np.where(full, 0.0, free), n)
+            goal, now = share * wanted, held + loose
+            # Full cells give no more: the loose ones fill the target, or all shrink where it is below what the full ones give.
+            fill = (loose > 0) & (goal > held)
+            step = np.where(fill, (goal - held) / np.where(fill, loose, 1.0), np.minimum(goal / np.where(now > 0, now, 1.0), 1.0))
+            free = free * np.where(fill | (now > 0), step, 1.0)[at]
+        weight = np.minimum(free, tokens)
+        gap = max(float(np.abs(sums(at, weight, len(share)) / wanted - share).max()) for at, share in margins)
+        if stop(gap):
+            break
+    schema = StructType([*cells.schema, StructField("weight", DoubleType())])
+    out = [(*r, float(w)) for r, w in zip(rows, np.minimum(free, tokens))]
+    return cells.sparkSession.createDataFrame(out, schema), gap
+
+
+def _rake_tables(cells, targets, budget, tolerance, max_rounds) -> tuple[DataFrame, float]:
     total = float(cells.agg(F.sum("tokens")).first()[0])
-    wanted = budget * total
-    shares = {m: _shares(cells, m, t) for m, t in targets.items()}
-    if all(share.count() <= FEW_VALUES for share in shares.values()):
-        return _rake_by_factors(cells, shares, wanted, budget, tolerance, max_rounds, patience)
+    wanted, shares = budget * total, {}
+    for m, target in targets.items():
+        own = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("t"))
+        if isinstance(target, dict):
+            named = F.create_map(*[F.lit(x) for k, v in target.items() for x in (_named(k), float(v))]) if target else None
+            kept = F.col("t") / F.lit(total)
+            raw = kept if named is None else F.coalesce(named[F.col(m)], kept)
+        else:
+            raw = F.pow("t", F.lit(float(target)))
+        own = materialize(own.select(m, raw.alias("share")))
+        shares[m] = materialize(own.withColumn("share", F.col("share") / F.lit(own.agg(F.sum("share")).first()[0])))
     weight, full = F.least("free", "tokens"), F.col("free") >= F.col("tokens")
-    out, gap, last, slow = cells.withColumn("free", F.col("tokens") * F.lit(float(budget))), 0.0, float("inf"), 0
+    out = cells.withColumn("free", F.col("tokens") * F.lit(float(budget)))
 
     def sums(df: DataFrame, m: str, share: DataFrame) -> DataFrame:
         per = df.groupBy(m).agg(
@@ -108,10 +169,10 @@ def rake(
         )
         return per.join(share, m)
 
+    stop, gap = _Stop(tolerance), 0.0
     for _ in range(max_rounds):
         for m, share in shares.items():
             goal = F.col("share") * F.lit(wanted)
-            # Full cells give no more: the loose ones fill the target, or all shrink where it is below what the full ones give.
             fill = (F.col("loose") > 0) & (goal > F.col("held"))
             factor = F.when(fill, F.try_divide(goal - F.col("held"), "loose"))
             factor = F.coalesce(factor, F.least(F.try_divide(goal, "now"), F.lit(1.0)), F.lit(1.0))
@@ -120,51 +181,11 @@ def rake(
         out = materialize(out)
         off = [sums(out, m, s).agg(F.max(F.abs(F.col("now") / F.lit(wanted) - F.col("share"))).alias("gap")) for m, s in shares.items()]
         gap = max(r["gap"] or 0.0 for r in functools.reduce(DataFrame.unionByName, off).collect())  # a row for each margin
-        slow = slow + 1 if gap > 0.95 * last else 0
-        if gap <= tolerance or slow >= patience:
+        if stop(gap):
             break
-        last = gap
     return out.select(*cells.columns, weight.cast("double").alias("weight")), gap
 
 
-def _rake_by_factors(
-    cells: DataFrame, shares: dict[str, DataFrame], wanted: float, budget: float, tolerance: float, max_rounds: int, patience: int
-) -> tuple[DataFrame, float]:
-    """``rake`` for margins of FEW_VALUES values at most: a free weight is the product of a factor for each of the cell's
-    values, so only the factors change, and a step is one sum over the cells as they are."""
-    if cells.count() <= BROADCAST_CELLS:
-        cells = cells.coalesce(1)  # so few rows are summed where they are read, without a shuffle
-    share = {m: {r[m]: r["share"] for r in df.collect()} for m, df in shares.items()}  # FEW_VALUES rows each
-    factor = {m: dict.fromkeys(values, 1.0) for m, values in share.items()}
-
-    def free() -> Column:
-        parts = [F.from_json(F.lit(json.dumps(f)), "map<string,double>")[F.col(m)] for m, f in factor.items()]
-        return functools.reduce(lambda a, b: a * b, parts, F.col("tokens") * F.lit(float(budget)))
-
-    gap, last, slow = 0.0, float("inf"), 0
-    for _ in range(max_rounds):
-        gap = 0.0
-        for m in share:
-            held = F.col("free") >= F.col("tokens")
-            sums = cells.withColumn("free", free()).groupBy(m).agg(
-                F.sum(F.least("free", "tokens")).alias("now"), F.coalesce(F.sum(F.when(held, F.col("tokens"))), F.lit(0)).alias("held"),
-                F.coalesce(F.sum(F.when(~held, F.col("free"))), F.lit(0.0)).alias("loose"),
-            )
-            for r in sums.collect():  # FEW_VALUES rows
-                goal = share[m][r[m]] * wanted
-                gap = max(gap, abs(r["now"] - goal) / wanted)
-                if r["loose"] > 0 and goal > r["held"]:
-                    step = (goal - r["held"]) / r["loose"]
-                else:
-                    step = min(goal / r["now"], 1.0) if r["now"] else 1.0
-                factor[m][r[m]] = min(factor[m][r[m]] * step, 1e15)
-        slow = slow + 1 if gap > 0.95 * last else 0
-        if gap <= tolerance or slow >= patience:
-            break
-        last = gap
-    return cells.withColumn("weight", F.least(free(), F.col("tokens")).cast("double")), gap
-
-
 def probabilities(cells: DataFrame) -> DataFrame:
     """Raked ``cells`` with ``probability``: the share of its tokens that a cell is to give."""
     return cells.withColumn("probability", F.col("weight") / F.col("tokens"))

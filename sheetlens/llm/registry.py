@@ -51,7 +51,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_probability", "mix_sampled")
+    return mixed.select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_probability", "mix_gap", "mix_sampled")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,9 +79,11 @@ class Chain:
         return at, _value(n, len(words))
 
     def predict(self, text: str | None) -> list[float]:
-        if not self.weights:
-            return [0.0] * len(self.names)
+        """Probabilities of the categories. A text without any known feature gives no evidence: 0 for all of them, whatever
+        the models' intercepts are."""
         at, x = self.features(text)
+        if not self.weights or not len(at):
+            return [0.0] * len(self.names)
         out: list[float] = []
         for w in self.weights:
             z = w[at] @ x + w[-1] + (w[len(self.vocabulary) : -1] @ np.array(out) if out else 0.0)
@@ -220,7 +222,7 @@ def is_toxic(scores: Column, chain: Chain) -> Column:
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, the probability of each category, toxic (boolean).
 
-    The whole text is read; null counts as empty, which is clean. Every row comes back, repeated ones and those with a
+    The whole text is read; null counts as empty. Texts without words or with unknown words only are never toxic. Every row comes back, repeated ones and those with a
     null doc_id too; an empty table gives an empty result; more columns are ignored.
     """
     out = docs.select("doc_id", probabilities(chain)("text").alias("scores"))
@@ -228,5 +230,6 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def clean(docs: DataFrame, chain: Chain) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with all their columns."""
+    """The rows of ``docs`` (text) that aren't toxic, with all their columns. Null and empty texts stay; repeated rows go or
+    stay together; an empty table gives an empty result."""
     return docs.where(~is_toxic(probabilities(chain)(docs["text"]), chain))

@@ -139,13 +139,13 @@ def bounded_brute(raked, targets, budget, rounds=2000):
 
 @pytest.mark.parametrize("budget, steep, few", [(0.3, 0.8, 0), (0.6, 0.4, 500)])
 def test_raking_meets_every_marginal(spark, monkeypatch, budget, steep, few):
-    monkeypatch.setattr(mixing, "FEW_VALUES", few)
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", few)
     docs = mix_table(spark)
     p = docs.select("source", "lang", (docs["doc_id"] % 4).cast("string").alias("topic"), mixing.tokens_of(docs["text"]).alias("tokens"))
     cells = p.groupBy("source", "lang", "topic").sum("tokens").withColumnRenamed("sum(tokens)", "tokens")
     cells = cells.selectExpr("source", "'=' || lang AS lang", "topic", "tokens")
     targets = {"source": steep, "lang": {"en": 0.6, "de": 0.25, "fr": 0.15}, "topic": 0.8}
-    raked, gap = mixing.rake(cells, targets, budget, 1e-4, patience=100)
+    raked, gap = mixing.rake(cells, targets, budget, 1e-4)
     raked = raked.toPandas()
     total = raked.tokens.sum()
     assert gap <= 1e-4 and abs(raked.weight.sum() - budget * total) < 1e-3 * total and (raked.weight <= raked.tokens).all()
@@ -155,6 +155,36 @@ def test_raking_meets_every_marginal(spark, monkeypatch, budget, steep, few):
     assert np.allclose(bounded_brute(raked, named, budget, 100), raked.weight, rtol=1e-2, atol=1e-2 * total / len(raked))
 
 
+def test_raking_by_arrays_and_by_tables_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"={a}", f"={b}", int(rng.integers(1, 5000))) for a in range(6) for b in range(4) if rng.random() < 0.6]
+    cells = spark.createDataFrame(rows, "source string, lang string, tokens long")
+    got = []
+    for few in (0, 500):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", few)
+        raked, gap = mixing.rake(cells, {"source": {"1": 0.4, "2": 0.6}, "lang": 0.3}, 0.7, max_rounds=5)
+        got.append((gap, sorted(map(tuple, raked.collect()))))
+    assert abs(got[0][0] - got[1][0]) < 1e-9 and [r[:3] for r in got[0][1]] == [r[:3] for r in got[1][1]]
+    assert np.allclose([r[3] for r in got[0][1]], [r[3] for r in got[1][1]], rtol=1e-9)
+    # the gap is that of the returned weights
+    sums, total = Counter(), sum(r[2] for r in rows)
+    for r in got[1][1]:
+        sums[r[1]] += r[3]
+    share = {v: sum(r[2] for r in rows if r[1] == v) ** 0.3 for v in sums}
+    assert max(abs(sums[v] / (0.7 * total) - share[v] / sum(share.values())) for v in sums) <= got[1][0] + 1e-9
+
+
+def test_raking_goes_on_while_it_gains(spark):
+    """Slow gains add up: rounds go on far beyond the point where one of them gains a twentieth."""
+    rng = np.random.default_rng(9)
+    rows = [(f"={a}", f"={b}", int(10 ** rng.uniform(0, 5))) for a in range(20) for b in range(30) if rng.random() < 0.5]
+    cells = spark.createDataFrame(rows, "source string, topic string, tokens long")
+    _, early = mixing.rake(cells, {"source": 0.5, "topic": 0.8}, 0.5, max_rounds=20)
+    _, gap = mixing.rake(cells, {"source": 0.5, "topic": 0.8}, 0.5)
+    _, long = mixing.rake(cells, {"source": 0.5, "topic": 0.8}, 0.5, max_rounds=20_000)
+    assert gap <= early and gap - long < 1e-4
+
+
 def test_raking_says_what_it_cannot_meet(spark):
     cells = spark.createDataFrame([("a", "x", 100), ("b", "x", 900)], "source string, lang string, tokens long")
     raked, gap = mixing.rake(cells, {"source": {}, "lang": 1.0}, 0.5)
@@ -249,6 +279,21 @@ def test_toxicity_on_rows_it_has_not_seen(spark):
     assert clean.columns == docs.columns and clean.count() == sum(not r.toxic for r in got.values())
 
 
+@pytest.mark.parametrize("toxic", [0.5, 0.05, 0.95])
+def test_texts_without_evidence_are_never_toxic(spark, toxic):
+    """Whatever the shares of the labels, and so the intercept and the threshold, are."""
+    docs, labels = classifier_table(spark)
+    wanted = {True: int(toxic * 80), False: 80 - int(toxic * 80)}
+    some = [r for r in labels.orderBy("doc_id").collect() if wanted.__setitem__(r.toxic == 1, wanted[r.toxic == 1] - 1) or wanted[r.toxic == 1] >= 0]
+    chain = toxicity.fit(docs, spark.createDataFrame(some, labels.schema))
+    assert chain.weights
+    odd = [(None, None, ""), (1, "", ""), (2, " \n\t", ""), (3, "123 !? __", ""), (4, "unheard words only", ""), (4, "unheard words only", "")]
+    odd = spark.createDataFrame(odd, docs.schema)
+    got = toxicity.score(odd, chain).collect()
+    assert len(got) == 6 and not any(r.toxic for r in got) and {r.p_toxic for r in got} == {0.0}
+    assert toxicity.clean(odd, chain).count() == 6
+
+
 def test_kinds_are_groups_by_direction():
     x = np.array([[3, 0.1, 0], [0.2, 0, 5], [1, 0, 0], [9, 1, 0], [0, 0.1, 1]])
     assert toxicity.kinds(x).tolist() == [0, 1, 0, 0, 1]
