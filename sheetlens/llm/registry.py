@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from sheetlens.llm import (
     chat,
+    collocations,
+    decontaminate,
     exact_dedup,
     fingerprints,
     licenses,
@@ -19,6 +21,7 @@ from sheetlens.llm import (
     packing,
     quality,
     simhash_dedup,
+    spelling,
     toxicity,
     warc,
 )
@@ -83,6 +86,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(fixed)))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_license_scan": op2_license_scan,
@@ -94,8 +109,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_collocations": op11_collocations,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_decontamination": op13_decontamination,
 }
 
+
 def _escaped(column: str) -> str:
     out = f"replace({column}, '\\', '\\\\')"
     for control in (chat.OPEN, chat.CLOSE, chat.TEXT, chat.END_TEXT):
@@ -155,4 +174,63 @@ ORACLES: dict[str, str] = {
                sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
     "op10_chat_formatting": _CHAT_SQL,
+    "op11_collocations": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents),
+        pieces AS (
+            SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^ \t]+') AS w FROM d),
+        total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+        grams AS (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f
+            FROM places, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w) GROUP BY lang, phrase, m),
+        often AS (SELECT * FROM grams WHERE f >= 100),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.m, c.f AS a, k, string_split(c.phrase, ' ') AS w
+            FROM often c, (SELECT unnest(range(1, 5)) AS k) WHERE k < c.m),
+        scored AS (
+            SELECT c.lang, c.phrase, c.m, c.a, c.k, x.f AS l, y.f AS r, t.n,
+                   (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score
+            FROM cuts c JOIN total t ON t.lang = c.lang
+            JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+            JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')),
+        lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        kept AS (
+            SELECT * FROM lowest p WHERE NOT EXISTS (
+                SELECT 1 FROM often q WHERE q.lang = p.lang AND q.f = p.a AND q.m > p.m
+                AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' ')))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+               a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM kept QUALIFY rank <= 2000""",
+    "op13_decontamination": r"""
+        WITH words AS (
+            SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        items AS (
+            SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        sized AS (SELECT item_id, w, least(len(w), 10) AS m FROM items WHERE len(w) > 0),
+        starts AS (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized),
+        windows AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS body FROM starts),
+        lengths AS (SELECT DISTINCT m FROM windows),
+        places AS (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+        spans AS (
+            SELECT row, m, i, array_to_string(w[i:i + m - 1], ' ') AS body FROM places, lengths WHERE i + m - 1 <= len(w)),
+        hits AS (SELECT DISTINCT row, i, s.m, item_id FROM spans s JOIN windows USING (m, body)),
+        hit_words AS (
+            SELECT row, count(DISTINCT p) AS n_hit
+            FROM (SELECT row, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT row, i, m FROM hits)) GROUP BY row),
+        hit_items AS (
+            SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+            FROM (SELECT DISTINCT row, item_id FROM hits) GROUP BY row)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM words LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)""",
 }
