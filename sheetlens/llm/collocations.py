@@ -9,8 +9,9 @@ any phrase with an end that isn't open could; else more words are opened. So the
 frontier, not on the phrases of common words.
 
 Passes over the texts are told by bit maps of fixed size which words are frequent and open, and which pairs and triples of
-words may be frequent: counters, summed over all texts, say so for all phrases that share a counter, and a phrase is counted only if all
-pairs and triples in it may be. Bits let too many phrases through, never too few; exact counts of the phrases themselves decide.
+words may be frequent: counters, summed over all texts, say so for all phrases that share a counter, and a phrase is counted
+only if all pairs and triples in it may be. Bits let too many phrases through, never too few; exact counts of the phrases
+themselves decide.
 """
 
 from __future__ import annotations
@@ -95,35 +96,36 @@ def _word_hash(lang: str, word: bytes) -> int:
     return xxh64_intdigest(word, xxh64_intdigest(lang, 11))
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes ^ (hashes >> np.uint64(29))) * _PLACES[0] >> np.uint64(64 - BITS)
+def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes ^ (hashes >> np.uint64(29))) * _PLACES[0] >> np.uint64(64 - bits)
 
 
-def bit_map(slots: DataFrame) -> np.ndarray:
-    """A map of 2^BITS bits with those in ``slots`` (slot) set; pieces of it are made in tasks."""
+def bit_map(slots: DataFrame, bits: int) -> np.ndarray:
+    """A map of 2^``bits`` bits with those in ``slots`` (slot) set; pieces of it are made in tasks."""
+    own = min(PIECE, bits)
 
     def piece(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << PIECE, np.uint8)
-        bits[part["slot"].to_numpy() & ((1 << PIECE) - 1)] = 1
-        return pd.DataFrame({"piece": [keys[0]], "bits": [np.packbits(bits).tobytes()]})
-
-    made = slots.select(F.shiftright("slot", PIECE).alias("piece"), "slot").distinct().groupBy("piece")
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    size = 1 << (PIECE - 3)
-    for r in made.applyInPandas(piece, "piece int, bits binary").collect():  # 2^(BITS - PIECE) rows of 8 KB at most
+        on = np.zeros(1 << own, np.uint8)
+        on[part["slot"].to_numpy() & ((1 << own) - 1)] = 1
+        return pd.DataFrame({"piece": [keys[0]], "bits": [np.packbits(on).tobytes()]})
+
+    made = slots.select(F.shiftright("slot", own).alias("piece"), "slot").distinct().groupBy("piece")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (own - 3)
+    for r in made.applyInPandas(piece, "piece int, bits binary").collect():  # 2^(bits - PIECE) rows of 8 KB at most
         out[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def word_map(words: DataFrame) -> np.ndarray:
+def word_map(words: DataFrame, bits: int) -> np.ndarray:
     """The bit map of ``words`` (lang, phrase)."""
 
     def slots(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = np.array([_word_hash(g, w.encode()) for g, w in zip(part["lang"], part["phrase"])], np.uint64)
-            yield pd.DataFrame({"slot": _slot(found).astype(np.int32)})
+            yield pd.DataFrame({"slot": _slot(found, bits).astype(np.int32)})
 
-    return bit_map(words.select("lang", "phrase").mapInPandas(slots, "slot int"))
+    return bit_map(words.select("lang", "phrase").mapInPandas(slots, "slot int"), bits)
 
 
 def _has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -136,6 +138,7 @@ class _Windows:
 
     def __init__(self, frequent: np.ndarray, opened: np.ndarray) -> None:
         self.frequent, self.opened, self.known = frequent, opened, {}
+        self.bits = (8 * len(frequent)).bit_length() - 1
 
     def of(self, lang: str, words: list[bytes]) -> None:
         known = self.known.setdefault(lang, {_STOP: 0})
@@ -144,7 +147,7 @@ class _Windows:
         self.hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if len(known) > _KEPT:
             self.known.clear()
-        slots, stop = _slot(self.hashes), self.hashes == 0
+        slots, stop = _slot(self.hashes, self.bits), self.hashes == 0
         frequent = _has(self.frequent, slots) & ~stop
         opened = _has(self.opened, slots) & frequent
         # wanted[m][i]: the m words from i on are frequent, and the first or the last is open.
@@ -158,7 +161,7 @@ class _Windows:
         sums = np.full(n, m, np.uint64)
         for k in range(m):
             sums += self.hashes[k : k + n] * _PLACES[k]
-        return _slot(sums)
+        return _slot(sums, self.bits)
 
     def parts(self, m: int) -> np.ndarray:
         """Where runs of m words start that lie in a wanted run."""
@@ -170,7 +173,7 @@ class _Windows:
         return out
 
 
-def _may_be_frequent(texts: DataFrame, frequent, opened) -> list[np.ndarray]:
+def _may_be_frequent(texts: DataFrame, frequent, opened, bits: int) -> list[np.ndarray]:
     """Bit maps of the pairs and triples in wanted runs whose counter has LEAST or more."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,13 +181,13 @@ def _may_be_frequent(texts: DataFrame, frequent, opened) -> list[np.ndarray]:
 
         def rows() -> pd.DataFrame:
             slot, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
-            return pd.DataFrame({"m": (slot >> BITS).astype(np.int32), "slot": (slot & ((1 << BITS) - 1)).astype(np.int32), "n": n})
+            return pd.DataFrame({"m": (slot >> bits).astype(np.int32), "slot": (slot & ((1 << bits) - 1)).astype(np.int32), "n": n})
 
         for lang, words in _chunks(parts):
             windows.of(lang, words)
             for m in (2, 3):
                 at = windows.slots(m)[windows.parts(m)].astype(np.int64)
-                held.append(at + (m << BITS))
+                held.append(at + (m << bits))
                 size += len(at)
             if size > 10 * _KEPT:
                 yield rows()
@@ -194,7 +197,7 @@ def _may_be_frequent(texts: DataFrame, frequent, opened) -> list[np.ndarray]:
 
     sums = texts.mapInPandas(count, "m int, slot int, n long").groupBy("m", "slot").agg(F.sum("n").alias("n"))
     sums = materialize(sums.where(F.col("n") >= LEAST).select("m", "slot"))
-    return [bit_map(sums.where(F.col("m") == m).select("slot")) for m in (2, 3)]
+    return [bit_map(sums.where(F.col("m") == m).select("slot"), bits) for m in (2, 3)]
 
 
 def phrase_counts(texts: DataFrame, frequent, opened, pairs, triples) -> DataFrame:
@@ -266,7 +269,7 @@ def frontier(words: DataFrame, total: DataFrame, wanted: int) -> DataFrame:
     return ends.join(F.broadcast(total), "lang").select("lang", "last", F.expr("1000 * n div shut").alias("bound"))
 
 
-def mine(docs: DataFrame, top: int = TOP, opens: int = OPEN) -> DataFrame:
+def mine(docs: DataFrame, top: int = TOP, opens: int = OPEN, bits: int = BITS) -> DataFrame:
     """The ``top`` phrases of each language of ``docs`` (lang, text): lang, rank, phrase, a, l, r, n, score.
 
     Texts are cut at ``.,;:!?`` and line breaks, and the pieces at spaces and tabs; A-Z count as lower case. Phrases have 2 to
@@ -280,14 +283,14 @@ def mine(docs: DataFrame, top: int = TOP, opens: int = OPEN) -> DataFrame:
     total = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")))
     words = materialize(words.where(F.col("n") >= LEAST))
     context = docs.sparkSession.sparkContext
-    frequent = context.broadcast(word_map(words))
+    frequent = context.broadcast(word_map(words, bits))
     done, left = None, texts
     while True:
         ends = materialize(frontier(words, total, opens))
         inside = words.join(F.broadcast(ends), "lang").where(_step(F.col("n")) <= F.col("last"))  # a row for each language
         inside = materialize(inside.select("lang", "phrase"))
-        opened = context.broadcast(word_map(inside))
-        pairs, triples = map(context.broadcast, _may_be_frequent(left, frequent, opened))
+        opened = context.broadcast(word_map(inside, bits))
+        pairs, triples = map(context.broadcast, _may_be_frequent(left, frequent, opened, bits))
         counts = materialize(phrase_counts(left, frequent, opened, pairs, triples))
         found = materialize(scored(counts, words, inside, total))
         over = found.join(F.broadcast(ends), "lang").where(F.col("score") > F.col("bound")).groupBy("lang").count()

@@ -62,9 +62,9 @@ def counted(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bounds(length: Column | int, part: int, parts: int = PARTS):
+def bounds(length: Column, part: int) -> Column:
     """Where ``part`` of a word of ``length`` code points starts; the last part ends where the one after it would start."""
-    return F.floor(length * part / parts).cast("int") if isinstance(length, Column) else length * part // parts
+    return F.floor(length * part / PARTS).cast("int")
 
 
 def buckets(words: DataFrame) -> DataFrame:
@@ -80,11 +80,11 @@ def buckets(words: DataFrame) -> DataFrame:
     return words.select("id", "word", F.explode(F.array(*out)).alias("b")).select("id", "word", "b.kind", "b.key")
 
 
-def tiles(words: list[str], starts: np.ndarray, sizes: np.ndarray, left: np.ndarray, longer: np.ndarray, part: np.ndarray):
+def tiles(words: list[str], starts: np.ndarray, sizes: np.ndarray, left: np.ndarray, longer: np.ndarray, part: np.ndarray, pairs: int = PAIRS):
     """Pairs (i, j) of places in ``words`` that differ by one edit, which lies in the group's part.
 
     Group g has the words from starts[g] on, sizes[g] of them; its first left[g] are compared with the others, or all with
-    each other where left[g] is 0. Groups are cut into slices of about PAIRS pairs.
+    each other where left[g] is 0. Groups are cut into slices of about ``pairs`` pairs.
     """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     width = int(lengths.max())
@@ -96,7 +96,7 @@ def tiles(words: list[str], starts: np.ndarray, sizes: np.ndarray, left: np.ndar
     group = np.repeat(np.arange(len(starts)), np.where(left > 0, left, sizes))
     first = np.where(left[group] > 0, starts[group] + left[group], rows + 1)
     many = starts[group] + sizes[group] - first
-    cuts = np.searchsorted(np.cumsum(many), np.arange(PAIRS, many.sum() + PAIRS, PAIRS), side="right")
+    cuts = np.searchsorted(np.cumsum(many), np.arange(pairs, many.sum() + pairs, pairs), side="right")
     found, at = [], 0
     for cut in [*np.maximum.accumulate(cuts), len(rows)]:
         cut = min(max(int(cut), at + 1), len(rows))
@@ -108,12 +108,12 @@ def tiles(words: list[str], starts: np.ndarray, sizes: np.ndarray, left: np.ndar
         at = cut
         a, b, top = lengths[i], lengths[j], longer[g]
         fit = np.maximum(a, b) == top
-        i, j, g, top, same = i[fit], j[fit], g[fit], top[fit], (a == b)[fit]
+        i, j, g, top = i[fit], j[fit], g[fit], top[fit]
         suffix = _run(ends, i, j, width)
         edit = top - 1 - suffix  # the place of the edit in the longer word, if there is one only
         lo, hi = top * part[g] // PARTS, top * (part[g] + 1) // PARTS
         fit = (edit >= lo) & (edit < hi)
-        i, j, edit, same = i[fit], j[fit], edit[fit], same[fit]
+        i, j, edit = i[fit], j[fit], edit[fit]
         fit = _run(heads, i, j, width) >= edit
         found.append((i[fit], j[fit]))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
@@ -127,7 +127,8 @@ def _run(matrix: np.ndarray, i: np.ndarray, j: np.ndarray, width: int) -> np.nda
 
 
 def near_counts(members: DataFrame) -> DataFrame:
-    """``members`` (id, word, kind, key, blocks: block pair or null) to id, n_near, best (the least id of those near)."""
+    """``members`` (id, word, kind, key, i, j: a pair of blocks, side: 1 in its second one) to id, n_near, best (the least id of
+    those near)."""
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -135,7 +136,7 @@ def near_counts(members: DataFrame) -> DataFrame:
             ids = np.concatenate(part["ids"].tolist())
             words = [w for ws in part["words"] for w in ws]
             kind = part["kind"].to_numpy(np.int64)
-            i, j = tiles(words, np.cumsum(sizes) - sizes, sizes, left, kind // PARTS, kind % PARTS)
+            i, j = tiles(words, np.cumsum(sizes) - sizes, sizes, left, kind // PARTS, kind % PARTS, PAIRS)
             x, y = np.concatenate([ids[i], ids[j]]), np.concatenate([ids[j], ids[i]])
             order = np.lexsort((y, x))
             x, y = x[order], y[order]
