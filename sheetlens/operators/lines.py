@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheetlens.functions import geometry as g
-from sheetlens.plans.graph import connected
+from sheetlens.plans.near import near_components
 from sheetlens.plans.spatial import grid_join
 
 #: Words in the names of layers that matter, and the limits beyond which a page isn't measured.
@@ -113,38 +113,17 @@ def nearest_line(lines: DataFrame, points: DataFrame, x: str, y: str, point_id:
     )
 
 
-def runs(lines: DataFrame, tolerance: float = 2.0, keys: tuple[str, ...] = ("page",), same: Column | None = None) -> DataFrame:
-    """``lines`` with run: the least line_idx of the lines that ends closer than ``tolerance`` connect, within ``keys``.
+def runs(
+    lines: DataFrame, tolerance: Column | float = 2.0, keys: tuple[str, ...] = ("page",), degrees: Column | float | None = None
+) -> DataFrame:
+    """``lines`` with run: the least line_idx of the lines that ends closer than ``tolerance`` connect, within ``keys``; with
+    ``degrees`` only ends of lines whose directions differ by less. Both may be columns that are constant within ``keys``.
 
-    ``same`` is a further condition on a pair, over the columns of ``lines`` with the prefixes a_ and b_. Without it, ends
-    in one square whose diagonal is shorter than ``tolerance`` are connected whatever else: they are linked to the first of
-    them, so any number of ends at one place gives as many links. Then only ends of neighbouring squares are compared.
+    Any number of ends in one spot gives as many links: see ``plans.near``.
     """
-    ends = endpoints(lines)
-    if same is None:
-        small = tolerance / 1.5
-        sub = ends.withColumns({"_sx": F.floor(F.col("px") / small), "_sy": F.floor(F.col("py") / small)})
-        # Equal places need one point only.
-        points = sub.groupBy(*keys, "_sx", "_sy", "px", "py").agg(F.min("line_idx").alias("first"))
-        firsts = sub.groupBy(*keys, "_sx", "_sy").agg(F.min("line_idx").alias("head"))
-        inner = sub.join(firsts, [*keys, "_sx", "_sy"]).where(F.col("line_idx") != F.col("head"))
-        inner = inner.select(*keys, F.col("head").alias("a"), F.col("line_idx").alias("b"))
-        spread = points.withColumn("_d", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("_e", F.explode(F.sequence(F.lit(-2), F.lit(2))))
-        spread = spread.where("_d > 0 OR (_d = 0 AND _e > 0)")  # each pair of squares once
-        a = spread.select(*keys, (F.col("_sx") + F.col("_d")).alias("_sx"), (F.col("_sy") + F.col("_e")).alias("_sy"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("first").alias("other"))
-        near = g.distance(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")) < tolerance
-        met = points.join(a, [*keys, "_sx", "_sy"]).where(near & (F.col("first") != F.col("other")))
-        outer = met.select(*keys, F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"))
-        edges = inner.unionByName(outer).distinct()
-    else:
-        a = ends.select(*[F.col(c).alias(f"a_{c}") for c in ends.columns], *[F.col(k).alias(f"k_{k}") for k in keys])
-        b = ends.select(*[F.col(c).alias(f"b_{c}") for c in ends.columns], *[F.col(k).alias(f"k_{k}") for k in keys])
-        near = g.distance(F.col("a_px"), F.col("a_py"), F.col("b_px"), F.col("b_py")) < tolerance
-        cond = near & (F.col("a_line_idx") < F.col("b_line_idx")) & same
-        pt = lambda s: (F.col(f"{s}_px"), F.col(f"{s}_py"), F.col(f"{s}_px"), F.col(f"{s}_py"))
-        met = grid_join(a, b, pt("a"), pt("b"), cond, [f"k_{k}" for k in keys], tolerance, max(tolerance, 5.0))
-        edges = met.select(*[F.col(f"k_{k}").alias(k) for k in keys], F.col("a_line_idx").alias("a"), F.col("b_line_idx").alias("b")).distinct()
-    found = connected(edges, list(keys)).withColumnsRenamed({"node": "line_idx", "component": "run"})
+    way = lines if degrees is None else lines.withColumn("deg", g.angle(g.box()))
+    ends = endpoints(way).withColumnRenamed("line_idx", "node")
+    found = near_components(ends, list(keys), tolerance, degrees).withColumnsRenamed({"node": "line_idx", "component": "run"})
     return lines.join(found, [*keys, "line_idx"], "left").withColumn("run", F.coalesce("run", "line_idx"))
 
 
