@@ -481,26 +481,39 @@ DIRECTED = """SELECT page, layer, line_idx, x0 AS px, y0 AS py, y0 = y1 AS flat
 SHAPES = """SELECT page, run, lines, pts, bx0, by0, bx1, by1, greatest(w, h) / (least(w, h) + 0.01) AS aspect, CASE WHEN w > 3 * h THEN 'horizontal' WHEN h > 3 * w THEN 'vertical'
     ELSE 'mixed' END AS orientation FROM (SELECT *, bx1 - bx0 AS w, by1 - by0 AS h FROM (SELECT page, run, count(*) AS lines, sum(length_pts) AS pts, min(least(x0, x1)) AS bx0,
     min(least(y0, y1)) AS by0, max(greatest(x0, x1)) AS bx1, max(greatest(y0, y1)) AS by1 FROM reached GROUP BY page, run))"""
-_CLUSTERS = with_reach(near_ends(8, "AND a.flat = b.flat"), ends=DIRECTED)
 
 
-@query("SELECT * FROM shapes WHERE lines >= 2 AND pts >= 50 AND aspect >= 1", **_CLUSTERS, shapes=SHAPES)
+def with_clusters(far: float, name: str = "", lines: str = "fx_vlines") -> dict[str, str]:
+    """CTEs that end in shapes, the clusters of ``lines`` (level or upright ones) by ends closer than ``far``; least labels
+    spread over the edges until none changes."""
+    comps = f"""SELECT page, line_idx, line_idx FROM {lines} UNION (SELECT e.page, e.b, min(c.run) FROM comps{name} c JOIN edges{name} e ON e.page = c.page AND e.a = c.node
+        JOIN recurring.comps{name} r ON r.page = e.page AND r.node = e.b WHERE c.run < r.run GROUP BY e.page, e.b)"""
+    return {
+        f"ends{name}": DIRECTED.replace("fx_vlines", lines), f"edges{name}": near_ends(far, "AND a.flat = b.flat").replace("FROM ends a JOIN ends b", f"FROM ends{name} a JOIN ends{name} b"),
+        f"comps{name}(page, node, run) USING KEY (page, node)": comps,
+        f"reached{name}": f"SELECT v.*, c.run FROM {lines} v JOIN comps{name} c ON c.page = v.page AND c.node = v.line_idx", f"shapes{name}": SHAPES.replace("FROM reached", f"FROM reached{name}"),
+    }
+
+
+@query("SELECT * FROM shapes WHERE lines >= 3 AND pts >= 100 AND aspect >= 3", **with_clusters(30))
 def cluster_regions(spark, d):
-    return voting.fence_like(voting.cluster_shapes(voting.clusters(fx.vlines(spark, d), 8.0, 15.0)), 2, 50.0, 1.0)
+    return voting.fence_like(voting.cluster_shapes(voting.clusters(fx.vlines(spark, d))))
 
 
 @query("""SELECT s.page, s.run, arg_min(indicator, inst_ord) AS indicator FROM shapes s JOIN fx_instances i ON i.page = s.page AND sqrt(((bx0 + bx1) / 2 - (ix0 + ix1) / 2) ** 2
-    + ((by0 + by1) / 2 - (iy0 + iy1) / 2) ** 2) <= 100 GROUP BY s.page, s.run""", **_CLUSTERS, shapes=SHAPES)
+    + ((by0 + by1) / 2 - (iy0 + iy1) / 2) ** 2) <= 100 GROUP BY s.page, s.run""", **with_clusters(8))
 def clusters_near_indicators(spark, d):
     return voting.clusters_near(voting.cluster_shapes(voting.clusters(fx.vlines(spark, d), 8.0, 15.0)), fx.instances(spark, d))
 
 
-PRESETS = {"wide": (8.0, 15.0, 2, 100.0, 2.0), "narrow": (3.0, 15.0, 2, 50.0, 1.0)}
+_PRESETS = {name: (f"_{name}", *values) for name, values in voting.PRESETS.items()}
 
 
-@query("SELECT * FROM (SELECT *, 'wide' AS method FROM shapes WHERE lines >= 2 AND pts >= 100 AND aspect >= 2)", **_CLUSTERS, shapes=SHAPES)
+@query(" UNION ALL ".join(f"SELECT *, '{name}' AS method FROM shapes{k} WHERE lines >= {n} AND pts >= {pts} AND aspect >= {aspect}" for name, (k, _, _, n, pts, aspect) in _PRESETS.items()),
+    **{c: t_ for k, far, *_ in _PRESETS.values() for c, t_ in with_clusters(far, k).items()})
 def preset_regions(spark, d):
-    return voting.preset_regions(fx.vlines(spark, d), {"wide": PRESETS["wide"]})
+    """The three fixed presets; lines are level or upright, so that their angles don't tell them apart."""
+    return voting.preset_regions(fx.vlines(spark, d))
 
 
 FIRST = """SELECT page, line_idx, min(inst_ord) AS inst_ord FROM fx_vlines JOIN fx_instances USING (page) WHERE
@@ -528,10 +541,13 @@ def indicator_regions(spark, d):
     return _claimed(spark, d)[2]
 
 
-@query("""SELECT page, run, lines, pts FROM (SELECT page, run, count(*) AS lines, sum(length_pts) AS pts FROM reached r WHERE NOT EXISTS (SELECT 1 FROM walk w JOIN claims c ON c.page = w.page
-    AND c.inst_ord = w.inst_ord AND w.lines > 0 WHERE w.page = r.page AND list_contains(list_transform(c.runs, lambda x: x.run), r.run)) GROUP BY page, run) WHERE lines >= 1 AND pts >= 80""", **_CLAIMED)
+FREE = """SELECT page, line_idx, layer, length_pts, x0, y0, x1, y1 FROM reached r WHERE NOT EXISTS (SELECT 1 FROM walk w JOIN claims c ON c.page = w.page
+    AND c.inst_ord = w.inst_ord AND w.lines > 0 WHERE w.page = r.page AND list_contains(list_transform(c.runs, lambda x: x.run), r.run))"""
+
+
+@query("SELECT page, run, lines, pts FROM shapes_free WHERE lines >= 4 AND pts >= 200 AND aspect >= 1.5", **_CLAIMED, free=FREE, **with_clusters(25, "_free", "free"))
 def unclaimed_regions(spark, d):
-    return voting.unclaimed_regions(*_claimed(spark, d), (1, 80.0, 0.0)).select("page", "run", "lines", "pts")
+    return voting.unclaimed_regions(*_claimed(spark, d), 25.0, 20.0, (4, 200.0, 1.5)).select("page", "run", "lines", "pts")
 
 
 @query("SELECT * FROM first_lines", first_lines=FIRST)

@@ -60,7 +60,8 @@ VIEWS: dict[str, str] = {
 
 
 def over(sql: str, **more: str) -> str:
-    """``sql`` with the views that it names, and those that these name, as common table expressions; ``more`` come last."""
+    """``sql`` with the views that it names, and those that these name, as common table expressions; ``more`` come last. A name
+    of ``more`` may have a list of columns and a key behind it."""
     need: list[str] = []
 
     def visit(text: str) -> None:
@@ -72,5 +73,5 @@ def over(sql: str, **more: str) -> str:
     for text in (*more.values(), sql):
         visit(text)
     parts = [f"{n} AS ({VIEWS[n]})" for n in need] + [f"{n} AS ({t})" for n, t in more.items()]
-    recursive = "RECURSIVE " if any(re.search(rf"\bUNION\b.*\b(FROM|JOIN) {n}\b", t, re.S) for n, t in more.items()) else ""
+    recursive = "RECURSIVE " if any(re.search(rf"\bUNION\b.*\b(FROM|JOIN) {re.match('[a-z_]+', n)[0]}\b", t, re.S) for n, t in more.items()) else ""
     return f"WITH {recursive}{', '.join(parts)} {sql}" if parts else sql
