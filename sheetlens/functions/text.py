@@ -8,6 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EDGE = r"[^\p{L}\p{N}_]"
+#: The characters that count as white space at either end of a text.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """``c`` without white space at either end: not spaces only, but tabs, line breaks and the rest too."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def alnum_lower(c: Column) -> Column:
@@ -20,7 +27,7 @@ def confusable(c: Column) -> Column:
 
 
 def plain_spaces(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(c, r"[-\s]+", " ")))
+    return F.lower(stripped(F.regexp_replace(c, r"[-\s]+", " ")))
 
 
 def upper_no_signs(c: Column) -> Column:

@@ -13,12 +13,12 @@ MIN_NATIVE_CHARS, CONFIDENT = 50, 0.5
 
 
 def text_lines(pages: DataFrame, source: str) -> DataFrame:
-    """Non-blank lines of plain text, with an empty box."""
+    """The lines of plain text that aren't blank, as they are, with an empty box."""
     p = pages.select(*PAGE, F.posexplode(F.split("text", "\n")).alias("ord", "raw"))
     zero = F.lit(0.0)
     return p.select(
-        *PAGE, "ord", F.trim("raw").alias("text"), zero.alias("x0"), zero.alias("y0"), zero.alias("x1"), zero.alias("y1"), F.lit(source).alias("source")
-    ).where("text <> ''")
+        *PAGE, "ord", F.col("raw").alias("text"), zero.alias("x0"), zero.alias("y0"), zero.alias("x1"), zero.alias("y1"), F.lit(source).alias("source")
+    ).where(t.stripped(F.col("text")) != "")
 
 
 def keyword_lines(lines: DataFrame, keywords: list[str]) -> DataFrame:
@@ -77,22 +77,24 @@ def needs_reading(pages: DataFrame, policy: str = "short_text") -> DataFrame:
         return pages.where((F.col("matches") < FEW_MATCHES) | (F.col("tokens") < FEW_TOKENS) | image)
     if policy != "short_text":
         raise ValueError(f"no policy {policy!r}")
-    return pages.where(F.length(F.trim("text")) < MIN_NATIVE_CHARS)
+    return pages.where(F.length(t.stripped(F.coalesce("text", F.lit("")))) < MIN_NATIVE_CHARS)
 
 
 def merged_text(native: DataFrame, read: DataFrame) -> DataFrame:
-    """Native text and, where there is some, the text read from the image, joined by a line break."""
+    """Native text and, where there is some, the text read from the image, joined by a line break and without white space
+    around the whole. A page without read text keeps its native text as it is."""
     j = native.join(read.select(*PAGE, F.col("text").alias("_r")), list(PAGE), "left")
-    both = F.when(F.coalesce("_r", F.lit("")) != "", F.trim(F.concat_ws("\n", "text", "_r"))).otherwise(F.col("text"))
+    both = F.when(F.coalesce("_r", F.lit("")) != "", t.stripped(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), "_r"))).otherwise(F.col("text"))
     return j.withColumn("text", both).drop("_r")
 
 
 def health(pages: DataFrame) -> DataFrame:
-    """``pages`` (width, height, text) with ok and reason."""
+    """``pages`` (page_idx, width, height, contents) with ok and reason. ``contents`` tells whether the page has any, null
+    counts as none; a scanned page has contents but no text, and is healthy. Null sizes count as none."""
     reason = (
         F.when(F.col("page_idx") < 0, "page index out of range")
-        .when((F.col("width") <= 0) | (F.col("height") <= 0), "no size")
-        .when(F.coalesce(F.trim("text"), F.lit("")) == "", "no contents")
+        .when((F.coalesce("width", F.lit(0.0)) <= 0) | (F.coalesce("height", F.lit(0.0)) <= 0), "no size")
+        .when(~F.coalesce("contents", F.lit(False)), "no contents")
     )
     return pages.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 

@@ -602,26 +602,48 @@ def page_decisions_any_keyword(spark, d):
     return pages.decide(_page_keywords(spark, d), fx.scores(spark, d), [], "any_keyword")
 
 
-@query("SELECT doc_id, page_idx FROM fx_pages WHERE length(trim(text)) < 50")
+#: White space at the ends, as the SQL of queries writes it.
+WHITE_SQL = " || ".join(f"chr({ord(c)})" for c in t.WHITE)
+#: Every text cut to about the length that decides, with white space of several kinds around it.
+SHORT = r"SELECT doc_id, page_idx, chr(9) || substr(replace(text, chr(10), ' '), 1, (46 + page_key % 8)::INT) || chr(13) || chr(10) || chr(160) AS text FROM fx_pages"
+
+
+def _short(spark, d):
+    short = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(1), (46 + F.col("page_key") % 8).cast("int"))
+    return fx.pages(spark, d).select("doc_id", "page_idx", F.concat(F.lit("\t"), short, F.lit("\r\n\xa0")).alias("text"))
+
+
+@query(f"SELECT doc_id, page_idx, text FROM short WHERE length(trim(text, {WHITE_SQL})) < 50", short=SHORT)
 def pages_to_read(spark, d):
-    return pages.needs_reading(fx.pages(spark, d)).select("doc_id", "page_idx")
+    return pages.needs_reading(_short(spark, d))
 
 
-SICK = """SELECT doc_id, CASE WHEN page_key % 13 = 5 THEN -1 ELSE page_idx END AS page_idx, page_key, text, CASE WHEN page_key % 11 = 3 THEN 0 ELSE width END AS width, height FROM fx_pages"""
+SICK = """SELECT doc_id, CASE WHEN page_key % 13 = 5 THEN -1 ELSE page_idx END AS page_idx, page_key, text, CASE WHEN page_key % 11 = 3 THEN 0 ELSE width END AS width, height,
+    CASE page_key % 5 WHEN 1 THEN NULL WHEN 2 THEN false ELSE true END AS contents FROM fx_pages"""
 
 
 def _sick(spark, d):
     p, k = fx.pages(spark, d), F.col("page_key")
-    return p.withColumn("page_idx", F.when(k % 13 == 5, -1).otherwise(F.col("page_idx"))).withColumn("width", F.when(k % 11 == 3, 0.0).otherwise(F.col("width")))
+    contents = F.when(k % 5 == 2, False).when(k % 5 != 1, True)
+    p = p.withColumn("contents", contents).withColumn("width", F.when(k % 11 == 3, 0.0).otherwise(F.col("width")))
+    return p.withColumn("page_idx", F.when(k % 13 == 5, -1).otherwise(F.col("page_idx")))
 
 
 @query("""SELECT doc_id, page_key, reason IS NULL AS ok, reason FROM (SELECT doc_id, page_key, CASE WHEN page_idx < 0 THEN 'page index out of range' WHEN width <= 0 THEN 'no size'
-    WHEN trim(text) = '' THEN 'no contents' END AS reason FROM sick)""", sick=SICK)
+    WHEN NOT coalesce(contents, false) THEN 'no contents' END AS reason FROM sick)""", sick=SICK)
 def page_health(spark, d):
     return pages.health(_sick(spark, d)).select("doc_id", "page_key", "ok", "reason")
 
 
-@query("SELECT page_key, CASE WHEN page_idx < 0 THEN 'page index out of range' WHEN width <= 0 THEN 'no size' ELSE 'no contents' END AS reason FROM sick WHERE page_idx < 0 OR width <= 0 OR trim(text) = ''", sick=SICK)
+@query(f"""SELECT page_key FROM (SELECT page_key, page_idx, width, contents, CASE WHEN page_key % 3 = 0 THEN chr(9) || chr(10) ELSE text END AS text FROM sick)
+    WHERE page_idx >= 0 AND width > 0 AND contents AND length(trim(text, {WHITE_SQL})) < 50""", sick=SICK)
+def scanned_pages(spark, d):
+    """Healthy pages to read as images: every third has contents but no text."""
+    scanned = _sick(spark, d).withColumn("text", F.when(F.col("page_key") % 3 == 0, F.lit("\t\n")).otherwise(F.col("text")))
+    return pages.needs_reading(pages.split_broken(pages.health(scanned))[0]).select("page_key")
+
+
+@query("SELECT page_key, CASE WHEN page_idx < 0 THEN 'page index out of range' WHEN width <= 0 THEN 'no size' ELSE 'no contents' END AS reason FROM sick WHERE page_idx < 0 OR width <= 0 OR NOT coalesce(contents, false)", sick=SICK)
 def broken_pages(spark, d):
     return pages.split_broken(pages.health(_sick(spark, d)))[1].select("page_key", "reason")
 
@@ -1079,7 +1101,7 @@ def runs_at_instances(spark, d):
 
 @query(f"""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(relevant, 0) AS relevant, coalesce(other, 0) AS other, coalesce(broken, 0) AS broken FROM (SELECT doc_id, count(*) FILTER (yes) AS relevant,
     count(*) FILTER (NOT yes) AS other FROM (SELECT k.doc_id, len(keywords) > 0 OR coalesce(is_relevant, false) AS yes FROM kw k LEFT JOIN {_SCORE} s USING (doc_id, page_idx)) GROUP BY doc_id) a
-    FULL JOIN (SELECT doc_id, count(*) AS broken FROM sick WHERE page_idx < 0 OR width <= 0 OR trim(text) = '' GROUP BY doc_id) b ON b.doc_id = a.doc_id""", kw=PAGE_KW, sick=SICK)
+    FULL JOIN (SELECT doc_id, count(*) AS broken FROM sick WHERE page_idx < 0 OR width <= 0 OR NOT coalesce(contents, false) GROUP BY doc_id) b ON b.doc_id = a.doc_id""", kw=PAGE_KW, sick=SICK)
 def page_count_report(spark, d):
     decided = pages.decide(_page_keywords(spark, d), fx.scores(spark, d), [], "any_keyword")
     return pages.page_counts(decided, pages.split_broken(pages.health(_sick(spark, d)))[1])

@@ -12,7 +12,7 @@ from sheetlens.functions import scale as sc
 from sheetlens.functions import text as t
 from sheetlens.operators import edits, evaluation, layout, legend, lines, pages, records, reports, voting
 from sheetlens.plans.graph import shared_dir
-from sheetlens.queries import EDITS, MAPPED, NAMED, NUMBERED, SCALED, SPECS, TOKENS, WORDS, _edits, _mapped, _numbered, _scales, _specs, _tokens, export_rows, query
+from sheetlens.queries import EDITS, MAPPED, NAMED, NUMBERED, SCALED, SPECS, TOKENS, WHITE_SQL, WORDS, _edits, _mapped, _numbered, _scales, _specs, _tokens, export_rows, query
 from sheetlens.sources import fixtures as fx
 from sheetlens.sources import readers
 
@@ -93,10 +93,15 @@ def layout_chunks(spark, d):
     return layout.page_chunks(r, sizes).select("doc_id", "id", "type", "text", *[F.round(c_, 6).alias(c_) for c_ in ("x0", "y0", "x1", "y1")])
 
 
-@query("SELECT doc_id, page_idx, ord, text, 0.0::DOUBLE AS x0, 'text' AS source FROM fx_lines")
+#: Lines of all kinds of white space among those of the pages.
+BLANKS = r"SELECT doc_id, page_idx, chr(9) || chr(10) || text || chr(13) || chr(10) || chr(160) || chr(13) || chr(10) || ' x' || chr(9) AS text FROM fx_pages"
+
+
+@query(f"""SELECT doc_id, page_idx, ord::BIGINT AS ord, text, 0.0::DOUBLE AS x0, 'text' AS source FROM (SELECT doc_id, page_idx, unnest(string_split(text, chr(10))) AS text,
+    unnest(range(len(string_split(text, chr(10))))) AS ord FROM blanks) WHERE trim(text, {WHITE_SQL}) <> ''""", blanks=BLANKS)
 def plain_text_lines(spark, d):
-    out = pages.text_lines(fx.pages(spark, d), "text")
-    return out.select("doc_id", "page_idx", F.col("ord").cast("long").alias("ord"), "text", "x0", "source")
+    p = fx.pages(spark, d).withColumn("text", F.concat(F.lit("\t\n"), "text", F.lit("\r\n\xa0\r\n x\t")))
+    return pages.text_lines(p, "text").select("doc_id", "page_idx", F.col("ord").cast("long").alias("ord"), "text", "x0", "source")
 
 
 @query("""SELECT page, line_idx, CASE page % 4 WHEN 1 THEN 792 - y0 WHEN 2 THEN 612 - x0 WHEN 3 THEN y0 ELSE x0 END AS x0, CASE page % 4 WHEN 1 THEN x1 WHEN 2 THEN 792 - y1 WHEN 3 THEN 612 - x1 ELSE y1 END AS y1,
@@ -250,21 +255,27 @@ def evaluation_files(spark, d):
 # Pages
 
 
-@query("SELECT doc_id, page_idx, CASE WHEN page_idx % 3 = 0 AND text <> '' THEN trim(text || chr(10) || 'read ' || page_idx) WHEN page_idx % 3 = 0 THEN trim(chr(10) || 'read ' || page_idx) ELSE text END AS text FROM fx_pages")
+#: Native text with white space around it, some of it empty; read text, empty or missing for some pages.
+READ = r"""SELECT doc_id, page_idx, CASE WHEN page_key % 7 = 3 THEN '' WHEN page_key % 7 = 4 THEN NULL ELSE chr(9) || text || chr(10) END AS text,
+    CASE page_idx % 4 WHEN 0 THEN 'read ' || page_idx || chr(10) WHEN 1 THEN '' WHEN 2 THEN chr(13) || chr(160) END AS said FROM fx_pages"""
+
+
+@query(f"SELECT doc_id, page_idx, CASE WHEN coalesce(said, '') <> '' THEN trim(coalesce(text, '') || chr(10) || said, {WHITE_SQL}) ELSE text END AS text FROM two", two=READ)
 def merged_page_texts(spark, d):
-    p = fx.pages(spark, d).select("doc_id", "page_idx", "text")
-    k = F.col("page_idx") % 3
-    read = p.where("page_idx % 3 < 2").select("doc_id", "page_idx", F.when(k == 0, F.concat(F.lit("read "), "page_idx")).otherwise("").alias("text"))
-    out = pages.merged_text(p, read)
-    return out.select("doc_id", "page_idx", F.regexp_replace("text", r"^\n+", "").alias("text"))
+    p, k = fx.pages(spark, d), F.col("page_idx") % 4
+    own = F.when(F.col("page_key") % 7 == 3, "").when(F.col("page_key") % 7 != 4, F.concat(F.lit("\t"), "text", F.lit("\n")))
+    said = F.when(k == 0, F.concat(F.lit("read "), F.col("page_idx").cast("string"), F.lit("\n"))).when(k == 1, "").otherwise("\r\xa0")
+    read = p.where(k < 3).select("doc_id", "page_idx", said.alias("text"))
+    return pages.merged_text(p.select("doc_id", "page_idx", own.alias("text")), read)
 
 
-@query("""SELECT doc_id, page_idx FROM (SELECT doc_id, page_idx, (length(text) - length(replace(lower(text), 'license', ''))) // 7 AS matches, len(string_split(text, ' ')) AS tokens, (page_key % 50) / 500.0 AS share FROM fx_pages)
-    WHERE matches < 5 AND (tokens < 40 OR share >= 0.05 OR matches < 5)""")
+@query("""SELECT doc_id, page_idx FROM (SELECT doc_id, page_idx, page_key % 11 AS matches, page_key % 83 AS tokens, CASE WHEN page_key % 5 <> 0 THEN (page_key % 17) / 200.0 END AS share FROM fx_pages)
+    WHERE matches < 5 OR tokens < 40 OR coalesce(share, 0) >= 0.05""")
 def sparse_pages(spark, d):
-    m = F.floor((F.length("text") - F.length(F.replace(F.lower("text"), F.lit("license"), F.lit("")))) / 7)
-    p = fx.pages(spark, d).select("doc_id", "page_idx", m.alias("matches"), F.size(F.split("text", " ")).alias("tokens"), (F.col("page_key") % 50 / 500.0).alias("image_share"))
-    return pages.needs_reading(p, "sparse").where("matches < 5").select("doc_id", "page_idx")
+    """Matches, tokens and image share vary apart from each other, so that each of them decides on some pages."""
+    k = F.col("page_key")
+    p = fx.pages(spark, d).select("doc_id", "page_idx", (k % 11).alias("matches"), (k % 83).alias("tokens"), F.when(k % 5 != 0, k % 17 / 200.0).alias("image_share"))
+    return pages.needs_reading(p, "sparse").select("doc_id", "page_idx")
 
 
 @query("""SELECT page, chunk_ord, CASE WHEN contains(lower(said), 'legend') THEN 'legend' WHEN kind = 'figure' THEN 'figure' WHEN kind <> '' THEN 'legend' ELSE 'other' END AS segment FROM (
