@@ -34,7 +34,7 @@ OPEN, GROWTH = 4000, 8
 #: Counters, and bits of a map (2 MB), as a power of two; bits of one piece of a map.
 BITS, PIECE = 24, 16
 #: Words of texts that are handled together, and phrases counted before partial counts are handed on.
-TOKENS, _KEPT = 200_000, 300_000
+TOKENS, _KEPT = 100_000, 150_000
 #: Counts up to this are told apart when words are opened; above, it's 64 steps for each doubling.
 FINE = 1024
 _STOP = b"."
