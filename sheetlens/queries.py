@@ -85,13 +85,15 @@ def page_category_matrix(spark, d):
     return reports.page_category_matrix(_per_page(spark, d), ["Auto-detected", "F-5: IRAQ"])
 
 
-EDITS = """SELECT page, line_idx, CASE WHEN line_idx % 2 = 0 THEN 'Chain Link' ELSE 'Wood' END AS category, length_pts,
-    line_idx % 10 = 0 AS manual FROM fx_vlines WHERE page % 3 = 0 AND line_idx % 5 = 0"""
+#: Pages of suppliers in credit have all their lines assigned by hand; those on one layer were drawn.
+EDITS = """SELECT page, line_idx, CASE WHEN length_pts < 100 THEN 'Chain Link' ELSE 'Wood' END AS category, length_pts, layer = 'R-F' AS manual
+    FROM fx_vlines JOIN supplier ON s_suppkey = page WHERE s_acctbal >= 0"""
 
 
 def _edits(spark, d):
-    v = fx.vlines(spark, d).where("page % 3 = 0 AND line_idx % 5 = 0")
-    return v.select("page", "line_idx", F.when(F.col("line_idx") % 2 == 0, "Chain Link").otherwise("Wood").alias("category"), "length_pts", (F.col("line_idx") % 10 == 0).alias("manual"))
+    credit = fx.read(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("page"))
+    v = fx.vlines(spark, d).join(credit, "page")
+    return v.select("page", "line_idx", F.when(F.col("length_pts") < 100, "Chain Link").otherwise("Wood").alias("category"), "length_pts", (F.col("layer") == "R-F").alias("manual"))
 
 
 @query(
@@ -188,12 +190,19 @@ def layer_overview(spark, d):
     return reports.layer_overview(v)
 
 
-@query("""SELECT page, line_idx, category, length_pts FROM (SELECT e.page, e.line_idx, e.category, v.length_pts, row_number() OVER
-    (PARTITION BY e.page ORDER BY e.line_idx) AS r FROM edits e JOIN fx_vlines v USING (page, line_idx)) WHERE r <= 20""", edits=EDITS)
+# Pages put together to ever larger sheets, so that all limits are met: sheet n holds pages 2^n - 1 to 2^(n+1) - 2.
+SHEET = "floor(log2({} + 1))::BIGINT"
+
+
+@query(f"""SELECT page, line_idx, category, length_pts FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY line_idx) AS r FROM (
+    SELECT {SHEET.format("v.page")} AS page, v.page * 100000 + v.line_idx AS line_idx, layer AS category, length_pts FROM fx_vlines v)) WHERE r <= 5000""")
 def capped_assignments(spark, d):
-    e = _edits(spark, d).select("page", F.col("line_idx").cast("string").alias("idx"), "category")
+    """Every line of a sheet has an assignment; those beyond the cap and one that is no number are left out."""
+    sheet = F.floor(F.log2(F.col("page") + 1))
+    v = fx.vlines(spark, d).withColumn("line_idx", F.col("page") * 100000 + F.col("line_idx")).withColumn("page", sheet)
+    e = v.select("page", F.col("line_idx").cast("string").alias("idx"), F.col("layer").alias("category"))
     bad = e.limit(1).select("page", F.lit("not-an-int").alias("idx"), "category")
-    return reports.export_assignments(e.unionByName(bad), fx.vlines(spark, d), 20)
+    return reports.export_assignments(e.unionByName(bad), v)
 
 
 # Lines
@@ -342,12 +351,11 @@ def dimension_lines(spark, d):
     return lines.dimension_lines(fx.vlines(spark, d), dims, 360.0).select("page", "dim_id", "value_ft", "line_idx", "actual_ft")
 
 
-FOUND = "SELECT page, line_idx AS found_id, x1 AS x0, y1 AS y0, x0 AS x1, y0 AS y1 FROM fx_vlines WHERE line_idx % 4 = 0"
+FOUND = "SELECT page, line_idx AS found_id, x1 AS x0, y1 AS y0, x0 AS x1, y0 AS y1 FROM fx_vlines"
 
 
 def _found(spark, d):
-    v = fx.vlines(spark, d).where("line_idx % 4 = 0")
-    return v.select("page", F.col("line_idx").alias("found_id"), F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    return fx.vlines(spark, d).select("page", F.col("line_idx").alias("found_id"), F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
 
 
 @query("""SELECT f.page, f.found_id, min(v.line_idx) AS line_idx FROM found f JOIN fx_vlines v ON f.page = v.page AND ((f.x0 = v.x0 AND f.y0 = v.y0 AND f.x1 = v.x1 AND f.y1 = v.y1)
@@ -364,16 +372,14 @@ def lines_by_distance(spark, d):
     return lines.match_by_distance(_found(spark, d), fx.vlines(spark, d)).select("page", "found_id", "line_idx")
 
 
-@query("""SELECT page, min(found_id) AS found_id FROM found f WHERE NOT EXISTS (SELECT 1 FROM fx_vlines v WHERE v.page = f.page AND v.line_idx % 8 = 0 AND v.x0 = f.x1 AND v.y0 = f.y1
+@query("""SELECT page, min(found_id) AS found_id FROM found f WHERE NOT EXISTS (SELECT 1 FROM fx_vlines v WHERE v.page = f.page AND v.layer = 'A-F' AND v.x0 = f.x1 AND v.y0 = f.y1
     AND v.x1 = f.x0 AND v.y1 = f.y0) GROUP BY page, x0, y0, x1, y1""", found=FOUND)
 def new_dimension_lines(spark, d):
-    v = fx.vlines(spark, d).where("line_idx % 8 = 0")
+    v = fx.vlines(spark, d).where("layer = 'A-F'")
     final = v.select("page", F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
     return lines.not_already_in(_found(spark, d), final)
 
 
-# Pages put together to ever larger sheets, so that all limits are met: sheet n holds pages 2^n - 1 to 2^(n+1) - 2.
-SHEET = "floor(log2({} + 1))::BIGINT"
 SHEETS = f"""SELECT sheet AS page, CASE WHEN sheet = 2 THEN layer || x0 WHEN sheet % 2 = 1 AND layer < 'N-P' THEN layer || ' Fence' ELSE layer END AS layer
     FROM (SELECT {SHEET.format("page")} AS sheet, layer, x0::INT AS x0 FROM fx_vlines)"""
 
@@ -649,16 +655,20 @@ def broken_pages(spark, d):
 
 
 @query(f"""SELECT doc_id, page_idx, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx, has ORDER BY ord) AS r FROM (
-    SELECT doc_id, page_idx, ord, {' OR '.join(_HAS.values())} AS has FROM fx_lines)) WHERE has OR r <= 2""")
+    SELECT doc_id, 0 AS page_idx, page_idx * 100000 + ord AS ord, {' OR '.join(_HAS.values())} AS has FROM fx_lines)) WHERE has OR r <= 50""")
 def keyword_lines_first(spark, d):
-    return pages.keyword_first(fx.lines(spark, d), WORDS, 2).select("doc_id", "page_idx", "ord")
+    """A document's lines as those of one page, so that it has more than the limit."""
+    whole = fx.lines(spark, d).withColumn("ord", F.col("page_idx") * 100000 + F.col("ord")).withColumn("page_idx", F.lit(0))
+    return pages.keyword_first(whole, WORDS).select("doc_id", "page_idx", "ord")
 
 
-@query("""SELECT doc_id, page_idx, (row_number() OVER (PARTITION BY doc_id ORDER BY page_idx) - 1) // 3 AS batch, substr(text, 1, 1200) AS excerpt,
-    array_to_string(keywords[1:8], ',') AS keywords FROM kw""", kw=PAGE_KW)
+@query("""SELECT doc_id // 8 AS doc_id, (doc_id % 8 * 8 + page_idx)::INT AS page_idx, (row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id % 8 * 8 + page_idx) - 1) // 10 AS batch,
+    substr(text, 1, 1200) AS excerpt, array_to_string(keywords[1:8], ',') AS keywords FROM kw""", kw=PAGE_KW)
 def model_batches(spark, d):
+    """Eight documents as one, so that it takes several batches."""
     texts = pages.page_text(fx.lines(spark, d)).join(_page_keywords(spark, d).select("doc_id", "page_idx", "keywords"), ["doc_id", "page_idx"])
-    return pages.model_batches(texts, per_batch=3).withColumn("keywords", F.array_join("keywords", ","))
+    texts = texts.withColumn("page_idx", (F.col("doc_id") % 8 * 8 + F.col("page_idx")).cast("int")).withColumn("doc_id", F.floor(F.col("doc_id") / 8))
+    return pages.model_batches(texts).withColumn("keywords", F.array_join("keywords", ","))
 
 
 @query("SELECT doc_id, substr(string_agg(substr(text, 1, 6000), chr(10) ORDER BY page_idx), 1, 20000) AS corpus FROM fx_pages GROUP BY doc_id")
@@ -666,9 +676,13 @@ def spec_corpus(spark, d):
     return pages.spec_corpus(fx.pages(spark, d))
 
 
-@query("SELECT doc_id, page_idx, substr(text, greatest(instr(lower(text), 'license') - 50, 1), instr(lower(text), 'license') - greatest(instr(lower(text), 'license') - 50, 1) + 57) AS snippet FROM fx_pages WHERE contains(lower(text), 'license')")
+_AT = lambda k: f"instr(lower(text), '{k}')"
+
+
+@query(f"""SELECT doc_id, page_idx, CASE {' '.join(f"WHEN {_AT(k)} > 0 THEN substr(text, greatest({_AT(k)} - 50, 1), {_AT(k)} - greatest({_AT(k)} - 50, 1) + {50 + len(k)})" for k in WORDS)} END AS snippet
+    FROM fx_pages WHERE {' OR '.join(f"{_AT(k)} > 0" for k in WORDS)}""")
 def keyword_snippets(spark, d):
-    return pages.snippets(fx.pages(spark, d), ["license"])
+    return pages.snippets(fx.pages(spark, d), WORDS)
 
 
 @query("""SELECT doc_id, page_idx, CASE rotation WHEN 90 THEN 792 - y0 WHEN 180 THEN 612 - x0 WHEN 270 THEN y0 ELSE x0 END AS rx,
@@ -1063,9 +1077,13 @@ def sheet_sizes(spark, d):
     return fx.read(spark, d, "supplier").select(F.col("s_suppkey").alias("page"), g.sheet_size(w, h)["sheet"].alias("sheet"))
 
 
-@query("SELECT doc_id, page_idx, ord, lower(regexp_replace(text, '[^0-9a-zA-Z]', '', 'g')) AS norm FROM fx_lines")
+@query(rf"""SELECT doc_id, page_idx, ord, lower(regexp_replace(text, '[^0-9a-zA-Z]', '', 'g')) AS norm, lower(translate(regexp_replace(text, '\s+', '', 'g'), 'OoIlBS', '001185')) AS confusable,
+    lower(trim(regexp_replace(text, '[-\s]+', ' ', 'g'), {WHITE_SQL})) AS plain, upper(replace(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), 'ß', 'SS')) AS upper_ FROM fx_lines""")
 def normal_forms(spark, d):
-    return fx.lines(spark, d).select("doc_id", "page_idx", "ord", t.alnum_lower(F.col("text")).alias("norm"))
+    x = F.col("text")
+    return fx.lines(spark, d).select(
+        "doc_id", "page_idx", "ord", t.alnum_lower(x).alias("norm"), t.confusable(x).alias("confusable"), t.plain_spaces(x).alias("plain"), t.upper_no_signs(x).alias("upper_")
+    )
 
 
 # Edits, remaining measures

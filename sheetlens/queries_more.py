@@ -551,10 +551,12 @@ def page_regions(spark, d):
     return voting.page_regions(p, SHARES).select("page", "region", F.round("rx0", 6).alias("rx0"), F.round("ry1", 6).alias("ry1"))
 
 
-@query("""SELECT page, line_no, text, line_idx FROM (SELECT page, inst_ord AS line_no, indicator AS text, inst_ord AS line_idx FROM fx_instances WHERE lower(indicator) LIKE '%f-1%')""")
+@query("""SELECT page, inst_ord AS line_no, indicator AS text, inst_ord AS line_idx, CASE WHEN contains(lower(indicator), 'f-12') THEN 'f-12' WHEN contains(lower(indicator), 'f-1') THEN 'f-1'
+    WHEN contains(lower(indicator), '2') THEN '2' END AS keyword FROM fx_instances WHERE contains(lower(indicator), 'f-1') OR contains(indicator, '2')""")
 def keyword_indicators(spark, d):
+    """The first keyword of the list counts, not the longest or the first in the text."""
     i = fx.instances(spark, d).select("page", F.col("inst_ord").alias("line_no"), F.col("indicator").alias("text"), F.col("inst_ord").alias("line_idx"))
-    return pages.first_keyword(i, ["f-1", "f-12"]).where("keyword = 'f-1'").select("page", "line_no", "text", "line_idx")
+    return pages.first_keyword(i, ["f-12", "f-1", "2"]).select("page", "line_no", "text", "line_idx", "keyword")
 
 
 @query("""SELECT page, k AS chunk_ord, string_agg(text, ' ' ORDER BY rank, tok_ord) AS text FROM (SELECT t.page, c.chunk_ord AS k, t.text, t.tok_ord, t.rank FROM (SELECT *, 1 AS rank FROM tokens UNION ALL SELECT page, tok_ord, 'read ' || text, tx0, ty0, tx1, ty1, 0 FROM tokens) t
