@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetlens.functions import geometry as g
-from sheetlens.plans.fold import greedy_match
+from sheetlens.plans.greedy import greedy_match
 from sheetlens.plans.spatial import grid_join
 
 

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from sheetlens.functions import geometry as g
 from sheetlens.functions import text as t
-from sheetlens.plans.fold import greedy_keep
+from sheetlens.plans.graph import stored
+from sheetlens.plans.greedy import rejected
 from sheetlens.plans.spatial import grid_join
 
 #: What stands for no indicator.
@@ -76,16 +77,34 @@ def outside_legend(tokens: DataFrame, legend_boxes: DataFrame, margin: float = L
     return tokens.join(hit.select("page", "tok_ord").distinct(), ["page", "tok_ord"], "left_anti")
 
 
+def _first_kept(items: DataFrame, keys: list[str], order: str, box: tuple[Column, ...], margin: float, cell: float, clash: Column) -> DataFrame:
+    """``items`` (keys, order, columns) that clash with none kept before, in order. ``clash`` is the test on the columns of
+    two items, with the prefixes k_ (the earlier one) and i_. Equal items must clash: only the first of them goes further."""
+    same = [c for c in items.columns if c not in (*keys, order)]
+    own = stored(items.groupBy(*keys, *same).agg(F.min(order).alias(order)))
+    side = lambda p: own.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in (order, *same)])
+    at = lambda p: tuple(F.col(f"{p}_{c}") for c in box)
+    later = F.col(f"k_{order}") < F.col(f"i_{order}")
+    met = grid_join(side("k"), side("i"), at("k"), at("i"), later & clash, keys, margin, cell, large=True)
+    gone = rejected(met.select(*keys, F.col(f"k_{order}").cast("long").alias("a"), F.col(f"i_{order}").cast("long").alias("b")), keys)
+    gone = gone.select(*keys, F.col("node").cast(items.schema[order].dataType).alias(order))
+    return own.join(gone, [*keys, order], "left_anti").select(*items.columns)
+
+
 def apart(items: DataFrame, keys: list[str], order: str, x: str, y: str, near: float = NEAR) -> DataFrame:
     """Of the items of one indicator, in order, those not within ``near`` (both axes) of one kept before."""
-    close = lambda k, i: (F.abs(k[x] - i[x]) < near) & (F.abs(k[y] - i[y]) < near)
-    return greedy_keep(items, keys, order, [order, x, y], close)
+    close = (F.abs(F.col(f"k_{x}") - F.col(f"i_{x}")) < near) & (F.abs(F.col(f"k_{y}") - F.col(f"i_{y}")) < near)
+    items, placed = items.select(*keys, order, x, y), F.col(x).isNotNull() & F.col(y).isNotNull()
+    return _first_kept(items.where(placed), keys, order, (x, y, x, y), near, near, close).unionByName(items.where(~placed))
 
 
 def distinct_boxes(boxes: DataFrame, keys: list[str], order: str, least: float = 0.85) -> DataFrame:
-    """Boxes x0..y1, in order, that have an IoU under ``least`` with all kept before."""
-    of = lambda s: tuple(s[c] for c in ("x0", "y0", "x1", "y1"))
-    return greedy_keep(boxes, keys, order, [order, "x0", "y0", "x1", "y1"], lambda k, i: g.iou(of(k), of(i)) >= least)
+    """Boxes x0..y1, in order, that have an IoU under ``least`` with all kept before. A box without an area has none with any."""
+    of = lambda p: tuple(F.col(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1"))
+    boxes = boxes.select(*keys, order, "x0", "y0", "x1", "y1")
+    solid = F.coalesce((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), F.lit(False))
+    kept = _first_kept(boxes.where(solid), keys, order, ("x0", "y0", "x1", "y1"), 0.0, 50.0, g.iou(of("k"), of("i")) >= least)
+    return kept.unionByName(boxes.where(~solid))
 
 
 def located(entries: DataFrame, lines: DataFrame, target: Column, margin: float = 15.0, page_wide: float = 5000.0) -> DataFrame:

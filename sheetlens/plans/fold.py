@@ -1,56 +1,11 @@
-"""Ordered folds: greedy choices that depend on the order of a group's rows, as one native expression per group."""
+"""Ordered folds: batches that depend on the order of a group's rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def greedy_keep(df: DataFrame, keys: list[str], order: str, fields: list[str], clashes: Callable[[Column, Column], Column]) -> DataFrame:
-    """Of each group the rows, in order, that clash with none kept before. A group is one page's items of one kind."""
-    item = F.struct(order, *[f for f in fields if f != order])
-    ordered = F.array_sort(F.collect_list(item))
-    empty = F.filter("items", lambda x: F.lit(False))
-    kept = F.aggregate(
-        "items", empty, lambda acc, x: F.when(F.exists(acc, lambda k: clashes(k, x)), acc).otherwise(F.array_append(acc, x))
-    )
-    return df.groupBy(*keys).agg(ordered.alias("items")).select(*keys, F.explode(kept).alias("k")).select(*keys, "k.*")
-
-
-def greedy_match(candidates: DataFrame, keys: list[str], claim: str, target: str, score: str) -> DataFrame:
-    """One-to-one matching: claims, in order, take their best-scoring target that none before took.
-
-    ``candidates`` has a row per possible pair. Ties go to the smaller target.
-    """
-    per = candidates.groupBy(*keys, claim).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("neg"), F.col(target).alias("target")))).alias("options")
-    )
-    grouped = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(claim).alias("claim"), "options"))).alias("claims"))
-    pick = lambda acc, c: F.get(
-        F.filter(c["options"], lambda o: ~F.exists(acc, lambda a: a["target"] == o["target"])), F.lit(0)
-    )
-    start = F.array().cast("array<struct<claim:bigint,target:bigint,score:double>>")
-    made = F.aggregate(
-        "claims",
-        start,
-        lambda acc, c: F.when(pick(acc, c).isNull(), acc).otherwise(
-            F.array_append(
-                acc,
-                F.struct(
-                    c["claim"].cast("bigint").alias("claim"),
-                    pick(acc, c)["target"].cast("bigint").alias("target"),
-                    (-pick(acc, c)["neg"]).cast("double").alias("score"),
-                ),
-            )
-        ),
-    )
-    return grouped.select(*keys, F.explode(made).alias("m")).select(
-        *keys, F.col("m.claim").alias(claim), F.col("m.target").alias(target), F.col("m.score").alias(score)
-    )
-
-
 def packed(df: DataFrame, keys: list[str], order: str, size: str, cap: float, most: int, alone_over: float | None = None) -> DataFrame:
     """Batches in order, filled up to ``cap`` and ``most`` items: keys, order, size, batch. An item over ``alone_over`` (or
     over ``cap``) has a batch to itself."""
