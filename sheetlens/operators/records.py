@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 from pyspark.sql.window import Window
 
+from sheetlens.plans import keyed
 from sheetlens.plans.graph import stored
 
 TELEMETRY = (
@@ -31,18 +33,27 @@ def spend_records(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, SPEND).withColumn("ts", F.timestamp_micros(F.round(F.col("ts") * 1_000_000).cast("long")))
 
 
-def of_day(records: DataFrame, day: str, date: str | None, today: Column | None = None) -> DataFrame:
-    """Records of one day: ``date`` (yyyy-mm-dd), or today's if it's not given; "all" gives every day's."""
+def day_files(spark: SparkSession, folder: str, date: str | None = None, days: int | None = None, today: str | None = None) -> list[str]:
+    """The paths in ``folder`` whose name holds a date (yyyy-mm-dd), in order of the date: that of ``date`` ("all": every
+    one), the ``days`` latest dates that have a file, or else those of ``today``. Only names are looked at, so that files
+    of other days are never opened."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(f.getPath().toString()) for f in fs.listStatus(at)] if fs.exists(at) else []
+    dated = sorted((m[0], n) for n in names if (m := re.search(r"\d{4}-\d{2}-\d{2}", n.rsplit("/", 1)[-1])))
+    if days is not None:
+        latest_ = sorted({d for d, _ in dated})[-days:] if days > 0 else []
+        return [n for d, n in dated if d in latest_]
     if date == "all":
-        return records
-    wanted = F.lit(date).cast("date") if date else (F.current_date() if today is None else today)
-    return records.where(F.col(day) == wanted)
+        return [n for _, n in dated]
+    return [n for d, n in dated if d == (date or today)]
 
 
-def recent_days(records: DataFrame, day: str, n: int) -> DataFrame:
-    """Records of the ``n`` latest days that occur."""
-    last = records.select(day).distinct().orderBy(F.desc(day)).limit(n)
-    return records.join(last, day, "left_semi")
+def day_records(spark: SparkSession, paths: list[str], schema: str = TELEMETRY) -> DataFrame:
+    """The JSON lines of ``paths``, as ``day_files`` gives them; no paths give an empty table."""
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths)
 
 
 def latest(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
@@ -166,18 +177,52 @@ def job_counts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("user_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("queued", "running", "completed")])
 
 
-def nearest_ranks(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """Per ``keys`` the values of rank round(p/100 * (n-1)), half to even, from zero, for each name and p of ``wanted``.
+#: Size of the sketches that bracket ranks, and how far from the wanted share the brackets reach on either side.
+SKETCH, REACH = 2000, 0.01
 
-    Equal values are counted first, then counts are cumulated in ranges of values, so that a label with very many records
-    is no single task's work. Keys without a value are left out.
+
+def nearest_ranks(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Per ``keys`` the values of rank round(p/100 * (n-1)), half to even, from zero, for each name of ``wanted`` with its
+    measure and p. Null values don't count; keys (null is one) without any value are left out, a measure without one is null.
+
+    All measures go through together. A sketch for each key and measure says between which two values the rank lies; a
+    second pass counts what is below them and sorts what lies between, about a fiftieth. Counts show whether the rank is
+    there: where a sketch was wrong, all values are sorted.
     """
-    per = stored(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")))
-    n = stored(per.groupBy(*keys).agg(F.sum("_n").alias("_all")))
-    placed = _cumulated(per, value, "_n", keys).join(n, keys)
-    at = lambda p: F.bround(F.lit(p / 100) * (F.col("_all") - 1), 0)
-    hit = lambda p: (F.col("before") <= at(p)) & (at(p) < F.col("before") + F.col("_n"))
-    return placed.groupBy(*keys).agg(*[F.max(F.when(hit(p), F.col(value))).alias(name) for name, p in wanted.items()])
+    measures = dict.fromkeys(m for m, _ in wanted.values())
+    each = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("v")) for m in measures])
+    long = df.select(*keys, F.explode(each).alias("x")).select(*keys, "x.m", "x.v").where("v is not null")
+    sketch = long.groupBy(*keys, "m").agg(F.count("*").alias("n"), F.kll_sketch_agg_double("v", SKETCH).alias("s"))
+
+    def bracket(name: str, measure: str, p: float) -> Column:
+        rank = F.bround(F.lit(p) * (F.col("n") - 1), 0).cast("long")
+        at = lambda share: F.kll_sketch_get_quantile_double("s", F.lit(share)) if 0 < share < 1 else F.lit(None).cast("double")
+        own = F.struct(F.lit(name).alias("name"), rank.alias("rank"), at(p - REACH).alias("lo"), at(p + REACH).alias("hi"))
+        return F.when(F.col("m") == measure, own)
+
+    asked = F.array_compact(F.array(*[bracket(name, m, p / 100) for name, (m, p) in wanted.items()]))
+    left = stored(sketch.select(*keys, "m", F.explode(asked).alias("w")).select(*keys, "m", "w.*"))
+    found = None
+    while True:
+        own = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("m").alias("_m"), "name", "rank", "lo", "hi")
+        cond = [F.col("m") == F.col("_m"), F.col("hi").isNull() | (F.col("v") <= F.col("hi"))] + [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        inside = F.when(F.col("lo").isNull() | (F.col("v") >= F.col("lo")), F.col("v")).alias("v")
+        seen = long.join(own, cond).groupBy(*keys, "name", "rank", inside).agg(F.count("*").alias("n"))
+        order = Window.partitionBy(*keys, "name").orderBy(F.asc_nulls_first("v"))
+        seen = seen.withColumn("upto", F.sum("n").over(order)).where("v is not null and upto - n <= rank and rank < upto")
+        hit = stored(seen.select(*keys, "name", "v"))
+        found = hit if found is None else found.unionByName(hit)
+        missed = left.alias("l").join(hit.alias("h"), [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in (*keys, "name")], "left_anti")
+        left = stored(missed.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")}))
+        if left.isEmpty():
+            break
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in wanted])
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join in which null keys are equal."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return left.join(right, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], "left").drop(*[f"_r_{k}" for k in keys])
 
 
 def timed_report(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -185,9 +230,8 @@ def timed_report(records: DataFrame, keys: list[str]) -> DataFrame:
     largest sum of cpu_s first. Values of a field that no record has are null."""
     t = records.where("kind = 'timed'")
     out = t.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.round(F.sum("cpu_s"), 6), F.lit(0.0)).alias("cpu_sum"))
-    for value, wanted in (("wall_s", {"wall_p50": 50, "wall_p95": 95}), ("rss_delta_mb", {"rss_delta_p95": 95}), ("peak_rss_mb", {"peak_rss_p95": 95})):
-        out = out.join(nearest_ranks(t, keys, value, wanted), keys, "left")
-    return out.orderBy(F.desc("cpu_sum"), *[F.desc(k) for k in keys])
+    wanted = {"wall_p50": ("wall_s", 50), "wall_p95": ("wall_s", 95), "rss_delta_p95": ("rss_delta_mb", 95), "peak_rss_p95": ("peak_rss_mb", 95)}
+    return _beside(out, nearest_ranks(t, keys, wanted), keys).orderBy(F.desc("cpu_sum"), *[F.desc(k) for k in keys])
 
 
 def event_counts(records: DataFrame) -> DataFrame:
@@ -198,7 +242,7 @@ def checkpoint_report(records: DataFrame) -> DataFrame:
     """Per checkpoint label: n and p50, p95, maximum of rss_mb (missing ones count as 0), in order of label."""
     c = records.where("kind = 'checkpoint'").select("label", F.coalesce("rss_mb", F.lit(0.0)).alias("rss_mb"))
     n = c.groupBy("label").agg(F.count("*").alias("n"), F.max("rss_mb").alias("rss_max"))
-    return n.join(nearest_ranks(c, ["label"], "rss_mb", {"rss_p50": 50, "rss_p95": 95}), "label").orderBy("label")
+    return _beside(n, nearest_ranks(c, ["label"], {"rss_p50": ("rss_mb", 50), "rss_p95": ("rss_mb", 95)}), ["label"]).orderBy("label")
 
 
 def checkpoint_memory(records: DataFrame) -> DataFrame:
@@ -212,6 +256,26 @@ def headline(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("records"), F.countDistinct("session").alias("sessions"), F.countDistinct("label").alias("labels"))
 
 
+def daily_sketches(records: DataFrame) -> DataFrame:
+    """Per day of ``records`` (ts, session, label): the number of records and sketches of the sessions and labels, to be kept
+    and merged over any span of days."""
+    sketch = lambda c: F.hll_sketch_agg(F.col(c).cast("string"), 14)
+    day = records.groupBy(F.to_date("ts").alias("day"))
+    return day.agg(F.count("*").alias("records"), sketch("session").alias("sessions"), sketch("label").alias("labels"))
+
+
+def headline_of_days(daily: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """``headline`` over days from ``first`` to ``last`` (each of them included, or open), from kept sketches. Distinct counts
+    have a standard error of about 0.8 per cent."""
+    span = daily
+    if first is not None:
+        span = span.where(F.col("day") >= F.lit(first).cast("date"))
+    if last is not None:
+        span = span.where(F.col("day") <= F.lit(last).cast("date"))
+    many = lambda c: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c)
+    return span.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), many("sessions"), many("labels"))
+
+
 def user_activity(spend: DataFrame, n: int = 50) -> DataFrame:
     per = spend.groupBy("user_id").agg(F.count("*").alias("runs"), F.sum("tokens_in").alias("tokens"), F.max("ts").alias("last_seen"))
     return per.orderBy(F.desc("runs"), "user_id").limit(n)
@@ -362,10 +426,19 @@ def problems(records: DataFrame, rss_limit: float = 6500.0, worker: str = "subpr
     return records.withColumn("problem", F.explode(found))
 
 
-def without_document(store: DataFrame, sha: str) -> DataFrame:
-    """The phase store without one document's phases."""
-    return store.where(F.col("sha") != sha)
+def store_phases(results: DataFrame, path: str, parts: int = keyed.PARTS) -> None:
+    """Put ``results`` (sha, phase, params, page, stored_at, more) into the phase store under ``path``; of equal keys the
+    latest stays. A document's rows lie in one part."""
+    one = lambda both: latest(both, ["sha", "phase", "params", "page"], "stored_at", "stored_at")
+    keyed.merged(results, path, ["sha"], one, parts)
+
+
+def purge_document(spark: SparkSession, path: str, schema, sha: str, parts: int = keyed.PARTS) -> None:
+    """Take one document's phases out of the store: its part alone is read and overwritten."""
+    own = F.pmod(F.xxhash64(F.lit(sha)), F.lit(parts)).cast("int")
+    keyed.removed(spark, path, schema, F.col("sha") == sha, own)
 
 
-def not_expired(store: DataFrame, now: Column, keep_s: int) -> DataFrame:
-    return store.where(F.unix_timestamp("stored_at") >= F.unix_timestamp(now) - keep_s)
+def sweep_expired(spark: SparkSession, path: str, schema, now: Column, keep_s: int) -> None:
+    """Take out what was stored more than ``keep_s`` seconds before ``now``; parts without such rows stay as they are."""
+    keyed.removed(spark, path, schema, F.unix_timestamp("stored_at") < F.unix_timestamp(now) - keep_s)

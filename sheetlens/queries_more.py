@@ -11,10 +11,12 @@ from sheetlens.functions import geometry as g
 from sheetlens.functions import scale as sc
 from sheetlens.functions import text as t
 from sheetlens.operators import edits, evaluation, layout, legend, lines, pages, records, reports, voting
+from sheetlens.plans import keyed
 from sheetlens.plans.graph import shared_dir
 from sheetlens.queries import EDITS, MAPPED, NAMED, NUMBERED, SCALED, SPECS, TOKENS, WHITE_SQL, WORDS, _edits, _mapped, _numbered, _scales, _specs, _tokens, export_rows, query
 from sheetlens.sources import fixtures as fx
 from sheetlens.sources import readers
+from sheetlens.streaming import live
 
 # Readers
 
@@ -134,14 +136,92 @@ def telemetry_lines(spark, d):
     return records.json_lines(spark, path, records.TELEMETRY).select("ts", "kind", "label", "wall_s", "cpu_s")
 
 
-@query("SELECT event_id FROM fx_telemetry WHERE CAST(ts AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) FROM fx_telemetry ORDER BY 1 DESC LIMIT 3)")
+def _day_files(spark, d):
+    """Telemetry as a folder of files for each day, named after it."""
+    path = shared_dir(spark)
+    ts = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1_000_000
+    _as_files(spark, fx.telemetry(spark, d).select(F.to_date("ts").alias("day"), ts.alias("ts"), F.col("event_id").alias("pid"), "kind", "label"), path, "day")
+    return path
+
+
+@query("SELECT event_id, label FROM fx_telemetry WHERE CAST(ts AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) FROM fx_telemetry ORDER BY 1 DESC LIMIT 3)")
 def latest_days(spark, d):
-    return records.recent_days(fx.telemetry(spark, d).withColumn("day", F.to_date("ts")), "day", 3).select("event_id")
+    files = records.day_files(spark, _day_files(spark, d), days=3)
+    return records.day_records(spark, files).select(F.col("pid").alias("event_id"), "label")
 
 
-@query("SELECT event_id FROM fx_telemetry WHERE CAST(ts AS DATE) = DATE '2024-01-02'")
+@query("SELECT event_id, label FROM fx_telemetry WHERE CAST(ts AS DATE) = DATE '2024-01-02'")
 def records_of_day(spark, d):
-    return records.of_day(fx.telemetry(spark, d).withColumn("day", F.to_date("ts")), "day", "2024-01-02").select("event_id")
+    files = records.day_files(spark, _day_files(spark, d), "2024-01-02")
+    return records.day_records(spark, files).select(F.col("pid").alias("event_id"), "label")
+
+
+@query("""SELECT records, sessions, labels, true AS sessions_close, true AS labels_close FROM (SELECT count(*) AS records, count(DISTINCT session) AS sessions, count(DISTINCT label) AS labels
+    FROM fx_telemetry WHERE CAST(ts AS DATE) >= DATE '2024-01-03')""")
+def headline_of_days(spark, d):
+    """Counts of a span of days from kept daily sketches, beside the exact ones; they are off by less than four standard errors."""
+    t = fx.telemetry(spark, d)
+    path = shared_dir(spark)
+    records.daily_sketches(t).write.parquet(path)
+    near = records.headline_of_days(spark.read.parquet(path), "2024-01-03")
+    exact = records.headline(t.where(F.to_date("ts") >= F.lit("2024-01-03").cast("date")))
+    both = near.toDF("records", "s", "l").join(exact, "records")
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.ceil(4 * 0.0081 * F.col(b))
+    return both.select("records", "sessions", "labels", close("s", "sessions").alias("sessions_close"), close("l", "labels").alias("labels_close"))
+
+
+def _phases(spark, d):
+    j = fx.jobs(spark, d)
+    return j.select(F.col("document").cast("string").alias("sha"), F.col("status").alias("phase"), F.col("trade").alias("params"), F.col("job_id").alias("page"), F.col("created_at").cast("timestamp").alias("stored_at"))
+
+
+def _phase_store(spark, d):
+    """All phases, stored in two changes, of which the second repeats a part of the first."""
+    path, p = shared_dir(spark), _phases(spark, d)
+    records.store_phases(p.where("stored_at < '1996-01-01'"), path)
+    records.store_phases(p.where("stored_at >= '1995-01-01'"), path)
+    return path, p.schema
+
+
+@query("SELECT document::VARCHAR AS sha, status AS phase, job_id AS page FROM fx_jobs WHERE document <> 7")
+def phase_store_purged(spark, d):
+    path, schema = _phase_store(spark, d)
+    records.purge_document(spark, path, schema, "7")
+    return keyed.kept(spark, path, schema).select("sha", "phase", "page")
+
+
+@query("SELECT document::VARCHAR AS sha, status AS phase, job_id AS page FROM fx_jobs WHERE created_at >= TIMESTAMP '1995-07-01 00:00:00'")
+def phase_store_swept(spark, d):
+    path, schema = _phase_store(spark, d)
+    records.sweep_expired(spark, path, schema, F.lit("1998-01-01 00:00:00").cast("timestamp"), 915 * 86400)
+    return keyed.kept(spark, path, schema).select("sha", "phase", "page")
+
+
+def _batches(spark, rows, when: str, path: str):
+    """``rows`` as the input of a stream, in two batches before and after ``when``."""
+    for part in (rows.where(f"NOT ({when})"), rows.where(when)):
+        part.write.mode("append").parquet(path)
+        yield spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query("SELECT user_id, arg_max(job_id, (created_at, job_id)) AS job_id, max(created_at) AS created_at FROM fx_jobs GROUP BY user_id")
+def latest_results_of_stream(spark, d):
+    """The latest job of each user, kept in a table by a stream of two batches."""
+    base, rows = shared_dir(spark), fx.jobs(spark, d).select("user_id", "job_id", "created_at", "status")
+    for stream in _batches(spark, rows, "created_at >= '1995-01-01'", f"{base}/in"):
+        live.keep_latest(stream, f"{base}/table", f"{base}/log", ["user_id"], "created_at", "job_id").awaitTermination()
+    return live.kept_table(spark, f"{base}/table", rows.schema).select("user_id", "job_id", "created_at")
+
+
+@query("""SELECT event_id, session FROM (SELECT *, lag(bucket) OVER (PARTITION BY session ORDER BY ts, event_id) AS before FROM (SELECT *, floor(wall_s / 10) AS bucket FROM fx_telemetry))
+    WHERE before IS NULL OR bucket <> before""")
+def progress_feed_of_stream(spark, d):
+    """Changes of progress that a stream of two batches gives, with the last event of each job as its state."""
+    base, t_ = shared_dir(spark), fx.telemetry(spark, d)
+    rows = t_.select(F.col("session").alias("job_id"), "event_id", "ts", F.floor(F.col("wall_s") / 10).alias("pct"), F.lit("running").alias("status"))
+    for stream in _batches(spark, rows, "ts >= '2024-01-10'", f"{base}/in"):
+        live.progress_feed(stream, f"{base}/state", f"{base}/out", f"{base}/log").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", F.col("job_id").alias("session"))
 
 
 @query("SELECT ts, user_id::VARCHAR AS user_id, provider, tokens_in, cost_usd FROM fx_spend")

@@ -124,8 +124,3 @@ def with_profile(df: DataFrame, profiles: DataFrame, default: str = DEFAULT_TRAD
     known = profiles.select(F.col("trade").alias("_known")).distinct()
     j = df.join(known, F.col("trade") == F.col("_known"), "left")
     return j.withColumn("trade", F.coalesce("_known", F.lit(default))).drop("_known")
-
-
-def day_of_file() -> Column:
-    """The date in the name of the file that a row was read from."""
-    return F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1))

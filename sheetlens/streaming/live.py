@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetlens.operators.records import latest, problems
+from sheetlens.plans import keyed
 
 
 def telemetry_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -32,75 +33,28 @@ def heartbeats(records: DataFrame, every: str = "300 seconds", late: str = "10 m
 
 
 def rolling_spend(records: DataFrame, length: str = "24 hours", step: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Per user and sliding window: calls, tokens in and out, cost. Missing amounts count as none."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     per = records.withWatermark("ts", late).groupBy("user_id", F.window("ts", length, step)).agg(
-        F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("cost_usd").alias("cost_usd")
+        F.count("*").alias("calls"), total("tokens_in"), total("tokens_out"), total("cost_usd")
     )
-    return per.select("user_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "calls", "tokens_in", "cost_usd")
-
-
-#: Parts that a kept table has; a batch rewrites those parts that its keys fall in.
-PARTS = 64
-
-
-def _part(keys: list[str], parts: int):
-    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
-
-
-def _versions(spark: SparkSession, path: str) -> dict[int, int]:
-    """The last version of each part, from the folders' names: part=<p>/v<n>."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    out: dict[int, int] = {}
-    if fs.exists(fs_path):
-        for d in fs.listStatus(fs_path):
-            name = d.getPath().getName()
-            if name.startswith("part="):
-                done = [int(v.getPath().getName()[1:]) for v in fs.listStatus(d.getPath()) if v.getPath().getName().startswith("v")]
-                done = [v for v in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/v{v}/_SUCCESS"))]
-                if done:
-                    out[int(name[5:])] = max(done)
-    return out
+    return per.select("user_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "calls", "tokens_in", "tokens_out", "cost_usd")
 
 
 def kept_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table that ``keep_latest`` keeps under ``path``, empty where there is none."""
-    now = _versions(spark, path)
-    if not now:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{path}/part={p}/v{v}" for p, v in sorted(now.items())])
-
-
-def _replace(spark: SparkSession, path: str, n: int, parts: list[int], merged: DataFrame, columns: list[str]) -> None:
-    """Write version n of ``parts`` from ``merged`` (_part and columns) and drop all but the last two versions of each."""
-    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    held = merged.persist()
-    for p in parts:
-        held.where(F.col("_part") == p).select(*columns).write.mode("overwrite").parquet(f"{path}/part={p}/v{n}")
-        versions = sorted(int(d.getPath().getName()[1:]) for d in fs.listStatus(at(f"{path}/part={p}")))
-        for v in versions[:-2]:
-            fs.delete(at(f"{path}/part={p}/v{v}"), True)
-    held.unpersist()
-
-
-def keep_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, tie: str, parts: int = PARTS):
+    return keyed.kept(spark, path, schema)
+
+
+def keep_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, tie: str, parts: int = keyed.PARTS):
     """Keep a table of the latest row per key under ``path``; ``kept_table`` reads it. Returns the query.
 
-    Keys are dealt into ``parts`` parts by hash, and batch n writes version n of those parts alone that its rows fall in,
-    from their versions before n; so a batch that runs again after a failure gives the same table. Each part keeps its last
-    two versions.
+    A batch overwrites those parts of the table that its keys fall in, all of them in one write. A batch that runs again
+    after a failure gives the same table.
     """
 
-    def merge(batch: DataFrame, n: int) -> None:
-        spark, schema = batch.sparkSession, batch.schema
-        new = batch.withColumn("_part", _part(keys, parts))
-        touched = [r["_part"] for r in new.select("_part").distinct().collect()]  # parts at most
-        before = {p: v for p, v in _versions(spark, path).items() if p in touched and v < n}
-        old = [f"{path}/part={p}/v{v}" for p, v in sorted(before.items())]
-        both = new
-        if old:
-            both = spark.read.schema(schema).parquet(*old).withColumn("_part", _part(keys, parts)).unionByName(new)
-        _replace(spark, path, n, touched, latest(both, keys, order, tie), batch.columns)
+    def merge(batch: DataFrame, _: int) -> None:
+        keyed.merged(batch, path, keys, lambda both: latest(both, keys, order, tie), parts)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -114,19 +68,21 @@ def progress_changes(events: DataFrame) -> DataFrame:
     return events.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("pct") != F.col("_b")) | F.col("status").isin("completed", "failed")).drop("_b")
 
 
-def progress_feed(stream: DataFrame, state: str, out: str, checkpoint: str, parts: int = PARTS):
-    """Stream form: changes are appended to ``out``; the last event of each job is kept in parts under ``state``, of which a
-    batch rewrites those alone that its jobs fall in."""
+def progress_feed(stream: DataFrame, state: str, out: str, checkpoint: str, parts: int = keyed.PARTS):
+    """Stream form: changes are appended to ``out``; the last events of each job are kept under ``state``.
+
+    Of each job the last event of its latest batch is kept, and the last one before that batch: a batch that runs again
+    after a failure compares with the latter and gives the same changes.
+    """
 
     def step(batch: DataFrame, n: int) -> None:
-        spark, schema = batch.sparkSession, batch.schema
-        new = batch.withColumn("_old", F.lit(False))
-        touched = [r["_part"] for r in batch.select(_part(["job_id"], parts).alias("_part")).distinct().collect()]  # parts at most
-        before = {p: v for p, v in _versions(spark, state).items() if p in touched and v < n}
-        old = [f"{state}/part={p}/v{v}" for p, v in sorted(before.items())]
-        both = spark.read.schema(schema).parquet(*old).withColumn("_old", F.lit(True)).unionByName(new) if old else new
-        progress_changes(both).where("not _old").drop("_old").write.mode("overwrite").parquet(f"{out}/batch={n}")
-        last = latest(both.drop("_old"), ["job_id"], "ts", "event_id").select(*batch.columns).withColumn("_part", _part(["job_id"], parts))
-        _replace(spark, state, n, touched, last, batch.columns)
+        new = batch.withColumn("_batch", F.lit(n).cast("long"))
+        earlier = F.col("_batch") < n
+        old = latest(keyed.beside(new, state, ["job_id"], parts).where(earlier), ["job_id"], "ts", "event_id")
+        both = old.withColumn("_old", F.lit(True)).unionByName(new.withColumn("_old", F.lit(False)))
+        changes = progress_changes(both.drop("_batch")).where("not _old").select(*batch.columns)
+        changes.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        two = lambda rows: latest(rows.withColumn("_before", earlier), ["job_id", "_before"], "ts", "event_id")
+        keyed.merged(new, state, ["job_id"], two, parts)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

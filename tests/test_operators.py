@@ -194,16 +194,24 @@ def test_crowded_ends_give_few_links(spark):
     assert [found[i] for i in range(60)] == want
 
 
-def test_ranks_equal_sorting(spark):
+@pytest.mark.parametrize("sketch, reach", [(2000, 0.01), (8, 1e-5)])
+def test_ranks_equal_sorting(spark, monkeypatch, sketch, reach):
+    """With a good sketch, and with one that's wrong about most ranks."""
     import random
 
+    monkeypatch.setattr(records, "SKETCH", sketch)
+    monkeypatch.setattr(records, "REACH", reach)
     rng = random.Random(3)
-    rows = [(k, float(rng.randint(0, 30)) if rng.random() < 0.9 else None) for k in "abc" for _ in range(rng.randint(1, 200))] + [("d", None)]
-    got = records.nearest_ranks(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p50": 50, "p95": 95}).collect()
+    rows = [(k, float(rng.randint(0, 30)) if rng.random() < 0.9 else None, None) for k in "abc" for _ in range(rng.randint(1, 200))] + [("d", None, None)]
+    rows += [("e", rng.gauss(0, 5), rng.random()) for _ in range(3000)] + [(None, 7.0, float(n)) for n in range(1001)]
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    got = records.nearest_ranks(df, ["k"], {"p50": ("v", 50), "p95": ("v", 95), "w99": ("w", 99.5), "w0": ("w", 0)}).collect()
+    at = lambda own, p: own[round(p / 100 * (len(own) - 1))] if own else None
     for r in got:
-        own = sorted(v for k, v in rows if k == r.k and v is not None)
-        assert (r.p50, r.p95) == tuple(own[round(p / 100 * (len(own) - 1))] for p in (50, 95))
-    assert len(got) == 3
+        v, w = (sorted(x[c] for x in rows if x[0] == r.k and x[c] is not None) for c in (1, 2))
+        assert tuple(r)[1:] == (at(v, 50), at(v, 95), at(w, 99.5), at(w, 0))
+    assert len(got) == 5
+
 
 
 def test_large_boxes_lie_on_coarser_grids(spark):
