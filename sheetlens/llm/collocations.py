@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sheetlens.llm.common import materialize
+from sheetlens.llm.common import gives_back, materialize
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words that a language opens in the first round, and how many times as many in each further round.
@@ -80,6 +80,7 @@ def _summed(chunks: Iterator[tuple[str, Counter]]) -> Iterator[pd.DataFrame]:
 def word_counts(texts: DataFrame) -> DataFrame:
     """lang, phrase (one word) and n of ``texts`` (lang, text)."""
 
+    @gives_back
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
             for lang, words in _chunks(parts):
@@ -176,6 +177,7 @@ class _Windows:
 def _may_be_frequent(texts: DataFrame, frequent, opened, bits: int) -> list[np.ndarray]:
     """Bit maps of the pairs and triples in wanted runs whose counter has LEAST or more."""
 
+    @gives_back
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         windows, held, size = _Windows(frequent.value, opened.value), [], 0
 
@@ -203,6 +205,7 @@ def _may_be_frequent(texts: DataFrame, frequent, opened, bits: int) -> list[np.n
 def phrase_counts(texts: DataFrame, frequent, opened, pairs, triples) -> DataFrame:
     """lang, phrase, m (words) and n of the phrases of 2 words or more that have an open end and occur LEAST times."""
 
+    @gives_back
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         windows = _Windows(frequent.value, opened.value)
 

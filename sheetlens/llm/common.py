@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetlens.plans.graph import shared_dir as work_dir
 from sheetlens.plans.graph import stored as materialize
 
-__all__ = ["free_names", "keep_rows", "materialize", "safe_join", "work_dir"]
+__all__ = ["free_names", "gives_back", "keep_rows", "materialize", "safe_join", "work_dir"]
 
 
 def safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -50,3 +55,25 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     if repeats:
         out = out.dropDuplicates(["doc_id", own])
     return out.select(*[out[c] for c in docs.columns])
+
+
+def gives_back(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task``, a generator over batches, so that memory which it has held goes back to the system behind each batch and at
+    its end. Python workers outlive their tasks: what one stage has held would count against the next."""
+
+    @functools.wraps(task)
+    def run(parts):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+        def give() -> None:
+            pyarrow.default_memory_pool().release_unused()
+            if trim is not None:
+                trim(0)
+
+        for out in task(parts):
+            yield out
+            del out
+            give()
+        give()
+
+    return run

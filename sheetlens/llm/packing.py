@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheetlens.llm.common import materialize
+from sheetlens.llm.common import gives_back, materialize
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length that are numbered together, about; a length with more is numbered in parts, so that none is one task.
@@ -115,6 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """One row per piece: doc_id, piece, start, length, ids_crc32. Only documents over ``capacity`` ids are cut."""
     path = tokenizer or default_tokenizer()
 
+    @gives_back
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path)
         for part in parts:

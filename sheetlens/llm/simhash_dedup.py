@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
-from sheetlens.llm.common import materialize
+from sheetlens.llm.common import gives_back, materialize
 from sheetlens.llm.graph import components
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
@@ -48,6 +48,7 @@ def fingerprint(data: bytes, width: int = SHINGLE_WORDS) -> int:
 
 
 @F.pandas_udf(LongType())
+@gives_back
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield pd.Series(np.array([fingerprint((t or "").encode()) for t in part], np.uint64).view(np.int64))

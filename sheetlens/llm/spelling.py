@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetlens.llm.common import materialize
+from sheetlens.llm.common import gives_back, materialize
 
 LETTERS, OCCURRENCES, MODULUS, RATIO = 7, 2, 31, 10
 PARTS = 3
@@ -43,6 +43,7 @@ def counted(docs: DataFrame) -> DataFrame:
     """word and n of ``docs`` (doc_id, text): partial counts of tasks, then sums. Null text has no words, a null doc_id counts
     as an empty text."""
 
+    @gives_back
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter[str] = Counter()
         for part in parts:
@@ -130,6 +131,7 @@ def near_counts(members: DataFrame) -> DataFrame:
     """``members`` (id, word, kind, key, i, j: a pair of blocks, side: 1 in its second one) to id, n_near, best (the least id of
     those near)."""
 
+    @gives_back
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             sizes, left = part["ids"].map(len).to_numpy(), part["m"].to_numpy(np.int64)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sheetlens.llm.common import materialize
+from sheetlens.llm.common import gives_back, materialize
 
 #: Labelled rows to train on, at most; a third of them toxic if there are as many.
 SAMPLE_ROWS, FEATURES, MIN_DOCS, FOLDS, STEPS = 6000, 512, 5, 3, 100
@@ -34,7 +34,7 @@ LABEL = "toxic"
 #: F1 that a threshold may lack to the best and still count as one of the best.
 NEAR_BEST = 0.002
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 
 
 def word_features(word: str) -> list[str]:
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     some = one.where("y = 1").orderBy(*order).limit(sample_rows // 3)
     some = some.unionByName(one.where("y = 0").orderBy(*order).limit(sample_rows - sample_rows // 3))
 
+    @gives_back
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             got = [rates(t) for t in part["text"]]
@@ -208,6 +209,7 @@ def probabilities(chain: Chain):
     fields = StructType([StructField(f"p_{c}", DoubleType()) for c in chain.names])
 
     @F.pandas_udf(fields)
+    @gives_back
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame([chain.predict(t) for t in part], columns=fields.names, dtype=float)
