@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sheetlens.functions import geometry as g
 from sheetlens.functions import text as t
+from sheetlens.plans.contain import either_way, holding
 from sheetlens.plans.graph import stored
 from sheetlens.plans.greedy import rejected
 from sheetlens.plans.spatial import grid_join
@@ -113,7 +114,8 @@ def located(entries: DataFrame, lines: DataFrame, target: Column, margin: float
     e = entries.withColumn("_t", t.alnum_lower(target)).where("_t <> ''").select("page", "leg_ord", "_t", "cx0", "cy0", "cx1", "cy1")
     x, y = g.center(g.box())
     inside = (F.col("cx1") > page_wide) | g.point_in_box(x, y, g.box("c"), margin)
-    met = e.join(lines, "page").where(F.contains(t.alnum_lower(F.col("text")), F.col("_t")) & inside)
+    said = lines.withColumn("_n", t.alnum_lower(F.col("text")))
+    met = e.join(holding(said, e, ["page"], "_n", "_t"), ["page", "_t"]).join(said, ["page", "_n"]).where(inside)
     best = met.groupBy("page", "leg_ord").agg(F.min(F.struct("source_rank", "ord", "x0", "y0", "x1", "y1")).alias("m"))
     return best.select("page", "leg_ord", "m.x0", "m.y0", "m.x1", "m.y1")
 
@@ -274,10 +276,9 @@ def span_boxes(found: DataFrame, tokens: DataFrame, pad: float = 1.0, most_heigh
 
 def known_layers(answers: DataFrame, layers: DataFrame) -> DataFrame:
     """Layer names from answers (page, name): those that exist, else those that hold or are held by the name."""
-    j = answers.join(layers, "page")
-    exact = F.col("name") == F.col("layer")
-    part = F.contains(F.upper("layer"), F.upper("name")) | F.contains(F.upper("name"), F.upper("layer"))
-    met = j.where(exact | part).withColumn("exact", exact)
+    a, b = answers.withColumn("_a", F.upper("name")), layers.withColumn("_b", F.upper("layer"))
+    j = a.join(either_way(a, b, ["page"], "_a", "_b"), ["page", "_a"]).join(b, ["page", "_b"])
+    met = j.withColumn("exact", F.col("name") == F.col("layer"))
     has = met.where("exact").select("page", "name").distinct().withColumn("has", F.lit(True))
     out = met.join(has, ["page", "name"], "left").where(F.col("exact") | F.col("has").isNull())
     return out.select("page", "layer").distinct()
@@ -287,10 +288,13 @@ def known_names(answers: DataFrame, known: DataFrame, fallback_first: bool = Fal
     """Answers (``by``, name) to the known names (``by``, known, known_ord) of their own document or page: equal in any
     case, else containing either way, else with ``fallback_first`` the first known name, else none."""
     by = list(by)
-    a, b = F.lower("name"), F.lower("known")
-    rank = F.when(a == b, 0).when(F.contains(a, b) | F.contains(b, a), 1)
-    met = answers.select(*by, "name").distinct().join(known, by).withColumn("rank", rank)
+    own = answers.select(*by, "name").distinct()
+    a, b = own.withColumn("_a", F.lower("name")), known.withColumn("_b", F.lower("known"))
+    met = a.join(either_way(a, b, by, "_a", "_b"), [*by, "_a"]).join(b, [*by, "_b"])
+    best = met.groupBy(*by, "name").agg(F.min(F.struct((F.col("_a") != F.col("_b")).alias("part"), "known_ord", "known")).alias("m"))
+    best = best.select(*by, "name", F.col("m.known").alias("known"))
     if not fallback_first:
-        met = met.where("rank is not null")
-    best = met.groupBy(*by, "name").agg(F.min(F.struct(F.coalesce("rank", F.lit(2)).alias("rank"), "known_ord", "known")).alias("m"))
-    return best.select(*by, "name", F.col("m.known").alias("known"))
+        return best
+    first = known.groupBy(*by).agg(F.min(F.struct("known_ord", "known")).alias("f")).select(*by, F.col("f.known").alias("_first"))
+    out = own.join(best, [*by, "name"], "left").join(first, by)  # a row for each group
+    return out.select(*by, "name", F.coalesce("known", "_first").alias("known"))

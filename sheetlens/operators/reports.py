@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheetlens.functions import geometry as g
+from sheetlens.plans.contain import either_way
+from sheetlens.plans.graph import stored
 
 FALLBACK, PALETTE_SIZE, MIN_LINE_PTS, MAX_ASSIGNED = "Auto-detected", 8, 10.0, 5000
 
@@ -19,10 +21,11 @@ def category_of_layer(lines: DataFrame, layer_map: DataFrame, by: tuple[str, ...
     Layers, not lines, are matched, and only with names of their own page or document.
     """
     by = list(by)
-    names = lines.select(*by, F.coalesce("layer", F.lit("")).alias("layer")).distinct()
+    names = stored(lines.select(*by, F.coalesce("layer", F.lit("")).alias("layer")).distinct())
     exact = F.col("layer") == F.col("map_layer")
-    part = (F.col("layer") != "") & (F.col("map_layer") != "") & (F.contains("layer", "map_layer") | F.contains("map_layer", "layer"))
-    met = names.join(layer_map, by).where(exact | part)
+    pairs = either_way(names.where("layer <> ''"), layer_map.where("map_layer <> ''"), by, "layer", "map_layer")
+    same = names.where("layer = ''").select(*by, "layer", F.lit("").alias("map_layer"))
+    met = pairs.unionByName(same).join(layer_map, [*by, "map_layer"])
     best = met.groupBy(*by, "layer").agg(F.min(F.struct((~exact).alias("far"), "map_ord", "category")).alias("m"))
     best = best.select(*by, "layer", F.col("m.category").alias("_category"))
     mapped = layer_map.select(*by).distinct().withColumn("_mapped", F.lit(True))
@@ -132,10 +135,9 @@ def lookup_specs(categories: DataFrame, specs: DataFrame, by: tuple[str, ...] =
     """Each category's spec (``by``, name, spec_ord) in its own document: exact, then case-insensitive, then containing
     either way; first in order."""
     by = list(by)
-    a, b = F.lower("category"), F.lower("name")
-    exact, same = F.col("category") == F.col("name"), a == b
-    rank = F.when(exact, 0).when(same, 1).when(F.contains(a, b) | F.contains(b, a), 2)
-    met = categories.join(specs, by).withColumn("rank", rank).where("rank is not null")
+    a, b = categories.withColumn("_a", F.lower("category")), specs.withColumn("_b", F.lower("name"))
+    rank = F.when(F.col("category") == F.col("name"), 0).when(F.col("_a") == F.col("_b"), 1).otherwise(2)
+    met = a.join(either_way(a, b, by, "_a", "_b"), [*by, "_a"]).join(b, [*by, "_b"]).withColumn("rank", rank)
     best = met.groupBy(*by, "category").agg(F.min(F.struct("rank", "spec_ord", "name")).alias("m"))
     return best.select(*by, "category", F.col("m.name").alias("name"))
 
