@@ -78,21 +78,32 @@ def letter_similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(letters(a), letters(b))) / most
 
 
-def variants(keyword: str) -> list[str]:
-    """Spellings of a phrase: hyphen and space, for phrases of several words singular and plural, two words as one."""
-    k = keyword.lower().strip()
-    words = k.split()
-    out = {k, k.replace("-", " "), k.replace(" ", "-")}
-    if len(words) >= 2:
-        other = " ".join([*words[:-1], words[-1][:-1] if words[-1].endswith("s") else words[-1] + "s"])
-        out |= {other, other.replace(" ", "-")}
-    if len(words) == 2:
-        out.add(k.replace(" ", ""))
-    return sorted(out)
-
-
-def code_patterns(prefix: str = "F", count: int = 19) -> list[str]:
-    return [f"{prefix.lower()}-{i}" for i in range(1, count + 1)]
+def spellings(keyword: Column) -> Column:
+    """The ways to write a phrase, as an array in order: with spaces or hyphens between its words; of several words also with
+    the last one in the other number (with or without an s); of two words also as one word. Case doesn't count."""
+    base = F.lower(stripped(F.coalesce(keyword, F.lit(""))))
+    words = F.filter(F.split(base, r"\s+"), lambda w: w != "")
+    last = F.element_at(words, -1)
+    turned = F.when(F.endswith(last, F.lit("s")), F.left(last, F.length(last) - 1)).otherwise(F.concat(last, F.lit("s")))
+    turned = F.concat_ws(" ", F.slice(words, F.lit(1), F.size(words) - 1), turned)
+    hyphened = lambda c: F.replace(c, F.lit(" "), F.lit("-"))
+    one, two = F.array(base, F.replace(base, F.lit("-"), F.lit(" ")), hyphened(base)), F.array(turned, hyphened(turned))
+    several = F.when(F.size(words) >= 2, two).otherwise(F.array().cast("array<string>"))
+    joined = F.when(F.size(words) == 2, F.array(F.array_join(words, ""))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(one, several, joined), lambda k: k != "")))
+
+
+#: How codes in a legend begin, and the highest number behind.
+CODE_STARTS, CODE_NUMBERS = ("f", "fn", "fe"), 19
+
+
+def code_spellings(starts: tuple[str, ...] = CODE_STARTS, most: int = CODE_NUMBERS) -> Column:
+    """Codes of a legend, each written with a hyphen, with nothing and with a space between letters and number."""
+    def numbered(start: str) -> Column:
+        gaps = lambda n: F.array(*[F.concat(F.lit(start + gap), n.cast("string")) for gap in ("-", "", " ")])
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), gaps))
+
+    return F.concat(*[numbered(s) for s in starts])
 
 
 def snippet(text: Column, keyword: str, around: int = 50) -> Column:

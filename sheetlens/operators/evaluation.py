@@ -71,6 +71,22 @@ def page_confusion(flags: DataFrame) -> DataFrame:
     return out.withColumn("accuracy", F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
 
 
+def retrieval_confusion(flags: DataFrame) -> DataFrame:
+    """``page_confusion``'s counts and scores beside those of the text alone (text_found in place of is_pred), and the pages
+    read by each method, per document and over all (document null). ``flags``: document, page_idx, is_gt, is_pred, text_found,
+    method. A score without anything to divide by is 0."""
+    a, b, c = F.col("is_gt"), F.col("is_pred"), F.col("text_found")
+    counts = {"tp": a & b, "fp": ~a & b, "fn": a & ~b, "tn": ~a & ~b, "tp_text": a & c, "fp_text": ~a & c, "fn_text": a & ~c}
+    counts |= {f"{m}_pages": F.col("method") == m for m in ("comprehensive", "fallback")}
+    out = flags.rollup("document").agg(F.count("*").alias("total_pages"), *[F.count_if(x).alias(n) for n, x in counts.items()])
+    share = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    for end in ("", "_text"):
+        tp, fp, fn = (F.col(f"{n}{end}") for n in ("tp", "fp", "fn"))
+        p, r = share(tp, tp + fp), share(tp, tp + fn)
+        out = out.withColumns({f"precision{end}": p, f"recall{end}": r, f"f1{end}": share(2 * p * r, p + r)})
+    return out.withColumn("accuracy", share(F.col("tp") + F.col("tn"), F.col("total_pages")))
+
+
 def page_sets(flags: DataFrame) -> DataFrame:
     """Pages found, wrongly found and missed."""
     gt, pr = flags.where("is_gt").select("document", "page_idx"), flags.where("is_pred").select("document", "page_idx")
@@ -116,6 +132,28 @@ def detection_metrics(regions: DataFrame, gold: DataFrame, margin: float = 100.0
     )
 
 
+def found_metrics(regions: DataFrame, gold: DataFrame, margin: float = 100.0) -> DataFrame:
+    """Per method and page of ``regions`` (method, page, region, length_ft, bx0..by1): how many ``gold`` boxes with a length
+    have their centre in any region, widened by ``margin`` (one region may hold several), recall, and length accuracy and
+    error of the totals. Every method is held against all gold, also on pages where it found nothing."""
+    sound = gold.where("length_ft is not null")
+    x, y = g.center(g.box("g"))
+    inside = g.point_in_box(x, y, g.box("b"), margin)
+    hit = grid_join(sound.select("page", "gold_id", "gx0", "gy0", "gx1", "gy1"), regions.drop("length_ft"), (x, y, x, y), g.box("b"), inside, ["page"], margin, 150.0, large=True)
+    hits = hit.groupBy("method", "page").agg(F.countDistinct("gold_id").alias("matched"))
+    found = regions.groupBy("method", "page").agg(F.count("*").alias("regions"), F.sum("length_ft").alias("found_ft"))
+    n = sound.groupBy("page").agg(F.count("*").alias("golds"), F.sum("length_ft").alias("gold_ft"))
+    methods = regions.select("method").distinct()  # a few names
+    every = n.select("page").unionByName(regions.select("page")).distinct().crossJoin(F.broadcast(methods))
+    out = every.join(n, "page", "left").join(found, ["method", "page"], "left").join(hits, ["method", "page"], "left").na.fill(0)
+    error = F.abs(F.col("found_ft") - F.col("gold_ft")) / F.col("gold_ft") * 100
+    known = F.col("gold_ft") > 0
+    return out.select(
+        "method", "page", "regions", "golds", "matched", F.coalesce(F.try_divide("matched", "golds"), F.lit(0.0)).alias("recall"),
+        F.when(known, F.greatest(F.lit(0.0), 1 - error / 100)).otherwise(0.0).alias("length_accuracy"), F.when(known, error).otherwise(0.0).alias("length_error_pct"),
+    )
+
+
 def method_metrics(results: DataFrame) -> DataFrame:
     """Mean accuracy, error and recall per method; best marks the highest mean accuracy. ``results``: method, found_ft,
     gold_ft, matched, golds."""

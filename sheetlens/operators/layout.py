@@ -113,6 +113,16 @@ def tag_quality(tagged: DataFrame) -> DataFrame:
     )
 
 
+#: Tags with less overlap of the token or a smaller IoU are doubtful.
+DOUBTFUL_OVERLAP, DOUBTFUL_IOU = 0.3, 0.2
+
+
+def doubtful_tags(tagged: DataFrame) -> DataFrame:
+    """Tagged tokens (of ``best_chunk``) whose tag is doubtful: little overlap, a small IoU, or the token's centre outside."""
+    weak = (F.col("token_overlap") < DOUBTFUL_OVERLAP) | (F.col("iou") < DOUBTFUL_IOU) | (F.col("inside") == 0)
+    return tagged.where(F.col("chunk_type").isNotNull() & weak)
+
+
 def merged_readings(pdf: DataFrame, read: DataFrame, overlap: float = 0.3, alike: float = 0.7) -> DataFrame:
     """Two readings (page, tok_ord, text, box) as one: a read token joins the first pdf token that it overlaps and
     resembles enough; a pdf token takes the union box and the longest text of those that join it; the rest stay."""

@@ -28,6 +28,58 @@ def keyword_lines(lines: DataFrame, keywords: list[str]) -> DataFrame:
     return lines.withColumn("keyword", F.explode(hits))
 
 
+def keyword_forms(keywords: DataFrame, codes: bool = False) -> DataFrame:
+    """``keywords`` (keyword) with each of their spellings: keyword, form; with ``codes`` also the codes of a legend, which are
+    their own keywords."""
+    out = keywords.select("keyword", F.explode(t.spellings(F.col("keyword"))).alias("form"))
+    if codes:
+        own = keywords.sparkSession.range(1).select(F.explode(t.code_spellings()).alias("form"))
+        out = out.unionByName(own.select(F.col("form").alias("keyword"), "form"))
+    return out.distinct()
+
+
+#: Endings that a keyword's last word may have beside its own.
+ENDINGS = ("s", "es", "ing")
+
+
+def _with_runs(lines: DataFrame, most: int) -> DataFrame:
+    """``lines`` with _runs: all runs of one to ``most`` words of the text, in lower case, with what stands between the words,
+    and each run without an ending of ENDINGS too. Arrays that lambdas look into are columns of their own."""
+    word = r"[\p{L}\p{N}_]+"
+    none = F.array().cast("array<string>")
+    df = lines.withColumn("_low", F.lower(F.coalesce("text", F.lit(""))))
+    df = df.withColumns({"_words": F.regexp_extract_all("_low", F.lit(f"({word})"), F.lit(1)), "_gaps": F.split("_low", word)})
+
+    def runs(n: int) -> Column:
+        one = lambda i: F.concat(F.get("_words", i), *[x for k in range(1, n) for x in (F.get("_gaps", i + k), F.get("_words", i + k))])
+        count = F.size("_words") - (n - 1)
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(none)
+
+    df = df.withColumn("_every", F.concat(*[runs(n) for n in range(1, most + 1)]))
+    bare = lambda end: F.transform(F.filter("_every", lambda r: F.endswith(r, F.lit(end))), lambda r: F.left(r, F.length(r) - len(end)))
+    return df.withColumn("_runs", F.array_distinct(F.concat("_every", *[bare(e) for e in ENDINGS]))).drop("_low", "_words", "_gaps", "_every")
+
+
+def dictionary_hits(lines: DataFrame, forms: DataFrame) -> DataFrame:
+    """Lines with each keyword of ``forms`` (keyword, form) that they hold in one of its forms as whole words, s, es or ing
+    allowed: the columns of ``lines`` and keyword, each pair once.
+
+    A line's runs of words meet the forms by equality, so a keyword more costs no further pass. Runs have as many words as
+    the longest form, which begins and ends with a letter, digit or underscore; the few forms with other signs at an end
+    are looked for as patterns.
+    """
+    edge = r"^[\p{L}\p{N}_](.*[\p{L}\p{N}_])?$"
+    low = forms.select("keyword", F.lower("form").alias("_form")).where("_form <> ''").distinct()
+    most = low.where(F.col("_form").rlike(edge)).agg(F.max(F.size(F.regexp_extract_all("_form", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))))).first()[0] or 1
+    names = lines.columns
+    # The outer form: for the other, Spark would put a filter on the arrays below all that makes them, and make them there.
+    met = _with_runs(lines, most).select(*names, F.explode_outer("_runs").alias("_form")).join(low, "_form").select(*names, "keyword")
+    odd = [r for r in low.where(~F.col("_form").rlike(edge)).select("keyword", "_form").collect()]  # forms with signs at an end
+    for r in odd:
+        met = met.unionByName(lines.where(t.has_keyword(F.col("text"), r["_form"])).withColumn("keyword", F.lit(r["keyword"])))
+    return met.distinct()
+
+
 def page_text(lines: DataFrame) -> DataFrame:
     """A page's lines in order, joined by one space, so that phrases may span lines."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"])
@@ -132,6 +184,14 @@ def model_batches(pages: DataFrame, chars: int = 1200, keywords: int = 8, per_ba
     )
 
 
+def chunk_batches(chunks: DataFrame, chars: int = 4000, per_batch: int = 6) -> DataFrame:
+    """Layout chunks (page, chunk_ord, chunk_text) for a model: per page batches of ``per_batch`` chunks with a text, in order,
+    each text cut: page, chunk_ord, batch, excerpt."""
+    told = chunks.where(t.stripped(F.coalesce("chunk_text", F.lit(""))) != "")
+    rank = F.row_number().over(Window.partitionBy("page").orderBy("chunk_ord"))
+    return told.select("page", "chunk_ord", F.floor((rank - 1) / per_batch).alias("batch"), F.substring("chunk_text", 1, chars).alias("excerpt"))
+
+
 def spec_corpus(pages: DataFrame, per_page: int = 6000, total: int = 20000) -> DataFrame:
     """Per document the pages' texts in order, each cut, together cut."""
     item = F.collect_list(F.struct("page_idx", F.substring("text", 1, per_page).alias("t")))

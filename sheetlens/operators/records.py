@@ -19,6 +19,16 @@ TELEMETRY = (
     "peak_rss_mb double, rss_mb double, session_id string, status string, worker string, page_idx long"
 )
 SPEND = "ts double, user_id string, provider string, tokens_in long, tokens_out long, cost_usd double, phase_wall_s map<string,double>"
+#: The shapes of the operational tables.
+OPERATIONAL = {
+    "documents": "id string, user_id string, original_filename string, storage_path string, status string, total_pages int, created_at timestamp, pdf_hash string",
+    "jobs": "id string, document_id string, user_id string, status string, current_phase string, progress_percent int, error_message string, "
+    "started_at timestamp, finished_at timestamp, created_at timestamp, phase_started_at timestamp, trade string",
+    "page_results": "id string, document_id string, job_id string, page_number int, is_fence_page boolean, result_json string, created_at timestamp, updated_at timestamp",
+    "artifacts": "id string, document_id string, job_id string, type string, storage_path string, created_at timestamp",
+}
+#: Values of columns that a row leaves out.
+DEFAULTS = {("documents", "status"): "uploaded", ("jobs", "status"): "queued", ("jobs", "progress_percent"): 0, ("page_results", "is_fence_page"): False}
 DAY, MAX_REQUEUES, STALE_S = 86_400, 2, 7200
 #: Phases and the share of a run's progress that they take.
 PHASES = {"init": (0, 8), "phase1a": (8, 15), "phase1b": (18, 30), "phase1c": (33, 45), "phase2": (48, 60), "phase3": (63, 93), "highlight": (93, 95), "details": (95, 99)}
@@ -29,6 +39,18 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def operational_table(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` in the shape of the operational table ``name``: its columns in order and of its types, those that are missing
+    or null by default where there is one, else null; values that don't fit are null; other columns go."""
+    schema = rows.sparkSession.createDataFrame([], OPERATIONAL[name]).schema
+    out = []
+    for f in schema:
+        own = F.col(f.name).try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)
+        default = DEFAULTS.get((name, f.name))
+        out.append((own if default is None else F.coalesce(own, F.lit(default))).alias(f.name))
+    return rows.select(*out)
+
+
 def spend_records(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, SPEND).withColumn("ts", F.timestamp_micros(F.round(F.col("ts") * 1_000_000).cast("long")))
 

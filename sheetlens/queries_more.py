@@ -13,7 +13,7 @@ from sheetlens.functions import text as t
 from sheetlens.operators import edits, evaluation, layout, legend, lines, pages, records, reports, voting
 from sheetlens.plans import keyed
 from sheetlens.plans.graph import shared_dir
-from sheetlens.queries import EDITS, MAPPED, NAMED, NUMBERED, SCALED, SPECS, TOKENS, WHITE_SQL, WORDS, _edits, _mapped, _numbered, _scales, _specs, _tokens, export_rows, query
+from sheetlens.queries import EDITS, MAPPED, NAMED, NUMBERED, OVERLAP, SCALED, SPECS, TAGGED, TOKENS, WHITE_SQL, WORDS, _edits, _mapped, _numbered, _scales, _specs, _tokens, export_rows, query
 from sheetlens.sources import fixtures as fx
 from sheetlens.sources import readers
 from sheetlens.streaming import live
@@ -224,6 +224,87 @@ def progress_feed_of_stream(spark, d):
     return spark.read.parquet(f"{base}/out").select("event_id", F.col("job_id").alias("session"))
 
 
+# Keywords
+
+
+_SPELL = """SELECT DISTINCT lower(p_name) AS k, string_split(lower(p_name), ' ') AS w FROM part UNION SELECT DISTINCT lower(o_orderpriority), string_split(lower(o_orderpriority), ' ') FROM orders"""
+_TURNED = "array_to_string(w[1:len(w) - 1], ' ') || ' ' || CASE WHEN ends_with(w[-1], 's') THEN left(w[-1], length(w[-1]) - 1) ELSE w[-1] || 's' END"
+
+
+@query(f"""SELECT DISTINCT k AS keyword, unnest(list_concat([k, replace(k, '-', ' '), replace(k, ' ', '-')], CASE WHEN len(w) >= 2 THEN [{_TURNED}, replace({_TURNED}, ' ', '-')] ELSE [] END,
+    CASE WHEN len(w) = 2 THEN [array_to_string(w, '')] ELSE [] END)) AS form FROM spell UNION SELECT f, f FROM (SELECT s || g || n AS f FROM (VALUES ('f'), ('fn'), ('fe')) a(s), (VALUES ('-'), (''), (' ')) b(g), range(1, 20) c(n))""", spell=_SPELL)
+def keyword_forms(spark, d):
+    names = fx.read(spark, d, "part").select(F.lower("p_name").alias("keyword")).union(fx.read(spark, d, "orders").select(F.lower("o_orderpriority")))
+    return pages.keyword_forms(names.distinct(), codes=True)
+
+
+@query(r"""SELECT DISTINCT l.doc_id, l.page_idx, l.ord, k.word AS keyword FROM (SELECT DISTINCT doc_id, page_idx, ord, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM fx_lines) l
+    JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM benchmark) k ON l.w = k.word OR l.w = k.word || 's' OR l.w = k.word || 'es' OR l.w = k.word || 'ing'""")
+def dictionary_hits(spark, d):
+    """Every word of the benchmark table as a keyword: thousands of them, in one pass over the lines."""
+    words = fx.read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("keyword")).distinct()
+    return pages.dictionary_hits(fx.lines(spark, d).select("doc_id", "page_idx", "ord", "text"), words.withColumn("form", F.col("keyword"))).drop("text")
+
+
+@query("""SELECT page, chunk_ord, (row_number() OVER (PARTITION BY page ORDER BY chunk_ord) - 1) // 6 AS batch, substr(said, 1, 4000) AS excerpt FROM (
+    SELECT doc_id AS page, page_idx * 100000 + ord AS chunk_ord, repeat(text || ' ', 20) AS said FROM fx_lines)""")
+def chunk_batches(spark, d):
+    """Lines, each repeated, as a document's chunks, so that texts are cut and a page takes several batches."""
+    c = fx.lines(spark, d).select(F.col("doc_id").alias("page"), (F.col("page_idx") * 100000 + F.col("ord")).alias("chunk_ord"), F.repeat(F.concat("text", F.lit(" ")), 20).alias("chunk_text"))
+    return pages.chunk_batches(c)
+
+
+@query("""SELECT document, total_pages, tp, fp, fn, tn, tp_text, fp_text, fn_text, comprehensive_pages, fallback_pages, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1,
+    precision_text, recall_text, coalesce(2 * precision_text * recall_text / nullif(precision_text + recall_text, 0), 0) AS f1_text, (tp + tn) / total_pages AS accuracy FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision,
+    coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(tp_text / nullif(tp_text + fp_text, 0), 0) AS precision_text, coalesce(tp_text / nullif(tp_text + fn_text, 0), 0) AS recall_text FROM (SELECT document, count(*) AS total_pages,
+    count(*) FILTER (is_gt AND is_pred) AS tp, count(*) FILTER (NOT is_gt AND is_pred) AS fp, count(*) FILTER (is_gt AND NOT is_pred) AS fn, count(*) FILTER (NOT is_gt AND NOT is_pred) AS tn,
+    count(*) FILTER (is_gt AND found) AS tp_text, count(*) FILTER (NOT is_gt AND found) AS fp_text, count(*) FILTER (is_gt AND NOT found) AS fn_text, count(*) FILTER (m = 1) AS comprehensive_pages, count(*) FILTER (m = 2) AS fallback_pages
+    FROM (SELECT *, page_idx % 2 = 0 AS found, (document + page_idx) % 3 AS m FROM fx_page_flags) GROUP BY ROLLUP (document)))""")
+def retrieval_confusion(spark, d):
+    m = (F.col("document") + F.col("page_idx")) % 3
+    f = fx.page_flags(spark, d).withColumns({"text_found": F.col("page_idx") % 2 == 0, "method": F.when(m == 1, "comprehensive").when(m == 2, "fallback")})
+    return evaluation.retrieval_confusion(f)
+
+
+@query("""SELECT page, tok_ord, chunk_ord, chunk_type FROM tagged WHERE token_overlap < 0.3 OR iou < 0.2 OR inside = 0""", tokens=TOKENS, overlap=OVERLAP, tagged=TAGGED)
+def doubtful_tags(spark, d):
+    return layout.doubtful_tags(layout.best_chunk(_tokens(spark, d), fx.chunks(spark, d))).select("page", "tok_ord", "chunk_ord", "chunk_type")
+
+
+@query("""SELECT page, line_no, string_agg(text, ' ' ORDER BY tx0, tok_ord) AS text, min(tx0) AS x0, min(ty0) AS y0, max(tx1) AS x1, max(ty1) AS y1 FROM (
+    SELECT *, sum(j) OVER (PARTITION BY page ORDER BY ty0, tx0, tok_ord)::BIGINT AS line_no FROM (SELECT *, coalesce(ty0 - lag(ty0) OVER (PARTITION BY page ORDER BY ty0, tx0, tok_ord) > 5, false)::INT AS j FROM tokens)) GROUP BY page, line_no""", tokens=TOKENS)
+def row_texts(spark, d):
+    return layout.row_text(layout.text_rows(_tokens(spark, d)))
+
+
+@query("SELECT DISTINCT page, layer FROM fx_named_vlines WHERE layer <> ''")
+def layer_names(spark, d):
+    return lines.layer_names(fx.named_vlines(spark, d), ["page"])
+
+
+_OPERATIONAL = """SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS user_id, NULL::VARCHAR AS original_filename, NULL::VARCHAR AS storage_path, CASE WHEN o_orderstatus = 'O' THEN 'uploaded' ELSE o_orderstatus END AS status,
+    CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::INT END AS total_pages, o_orderdate AS created_at, NULL::VARCHAR AS pdf_hash FROM orders"""
+
+
+@query(_OPERATIONAL)
+def operational_documents(spark, d):
+    """Rows with a missing status, page numbers that are none, a column too many and some too few."""
+    o = fx.read(spark, d, "orders")
+    pages_ = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise("n/a")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("status"), pages_.alias("total_pages"),
+                    F.col("o_orderdate").alias("created_at"), F.lit(1).alias("extra"))
+    return records.operational_table(rows, "documents")
+
+
+@query("""SELECT l_orderkey::VARCHAR || '-' || l_linenumber AS id, l_orderkey::VARCHAR AS document_id, NULL::VARCHAR AS job_id, l_linenumber::INT AS page_number, CASE WHEN l_returnflag = 'N' THEN false ELSE l_returnflag = 'A' END AS is_fence_page,
+    '{"q":' || l_quantity::INT || '}' AS result_json, l_shipdate::TIMESTAMP AS created_at, NULL::TIMESTAMP AS updated_at FROM lineitem""")
+def operational_page_results(spark, d):
+    li = fx.read(spark, d, "lineitem")
+    rows = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_number"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "A").alias("is_fence_page"),
+                     F.concat(F.lit('{"q":'), F.col("l_quantity").cast("int").cast("string"), F.lit("}")).alias("result_json"), F.col("l_shipdate").alias("created_at"))
+    return records.operational_table(rows, "page_results")
+
+
 @query("SELECT ts, user_id::VARCHAR AS user_id, provider, tokens_in, cost_usd FROM fx_spend")
 def spend_lines(spark, d):
     path = shared_dir(spark)
@@ -462,6 +543,37 @@ def located_entries(spark, d):
     return legend.located_entries(*_locate(spark, d)).select("page", "leg_ord", "attempt", "x0")
 
 
+LOCATE_CODES = """SELECT g.page, leg_ord, indicator, CASE WHEN leg_ord % 3 = 0 THEN 9999.0 ELSE 500.0 END AS cx1 FROM fx_page_legend g"""
+CODE_LINES = """SELECT page, leg_ord AS ord, leg_ord % 2 AS source_rank, 'see ' || replace(indicator, '-', ' ') AS text, (leg_ord * 40)::DOUBLE AS x0, (leg_ord * 40 + 10)::DOUBLE AS x1 FROM fx_page_legend"""
+
+
+def _codes(spark, d):
+    p, k = fx.page_legend(spark, d), F.col("leg_ord")
+    e = p.select("page", "leg_ord", "indicator", F.lit(0.0).alias("cx0"), F.lit(0.0).alias("cy0"), F.when(k % 3 == 0, 9999.0).otherwise(500.0).alias("cx1"), F.lit(800.0).alias("cy1"))
+    text = F.concat(F.lit("see "), F.replace("indicator", F.lit("-"), F.lit(" ")))
+    return e, p.select("page", k.alias("ord"), (k % 2).alias("source_rank"), text.alias("text"), (k * 40).cast("double").alias("x0"), F.lit(10.0).alias("y0"), (k * 40 + 10).cast("double").alias("x1"), F.lit(20.0).alias("y1"))
+
+
+_LOCATED_CODES = """SELECT page, leg_ord, attempt, x0 FROM (SELECT *, row_number() OVER (PARTITION BY page, leg_ord ORDER BY attempt, source_rank, ord) AS r FROM (
+    SELECT e.page, e.leg_ord, l.x0, l.ord, l.source_rank, CASE WHEN cx1 > 5000 OR (l.x0 + l.x1) / 2 BETWEEN -15 AND cx1 + 15 THEN 0 ELSE 1 END AS attempt FROM codes e JOIN code_lines l ON l.page = e.page
+    AND contains(lower(regexp_replace(l.text, '[^0-9a-zA-Z]', '', 'g')), lower(regexp_replace(e.indicator, '[^0-9a-zA-Z]', '', 'g'))))) WHERE r = 1"""
+_CODE_CTES = {"codes": LOCATE_CODES, "code_lines": CODE_LINES, "located_codes": _LOCATED_CODES}
+
+
+@query("SELECT page, leg_ord, attempt, x0 FROM located_codes", **_CODE_CTES)
+def located_indicators(spark, d):
+    return legend.located_indicators(*_codes(spark, d)).select("page", "leg_ord", "attempt", "x0")
+
+
+@query("SELECT page, leg_ord, x0 FROM located_codes WHERE NOT (abs(x0 - (leg_ord * 40 + leg_ord % 10)) < 5)", **_CODE_CTES)
+def indicators_without_description(spark, d):
+    """Descriptions stand at a distance that grows with the entry's number, so that some are in the place of the indicator."""
+    boxes = legend.located_indicators(*_codes(spark, d)).select("page", "leg_ord", "x0", "y0")
+    k = F.col("leg_ord")
+    text = fx.page_legend(spark, d).select("page", "leg_ord", (k * 40 + k % 10).cast("double").alias("x0"), F.lit(10.0).alias("y0"))
+    return legend.without_own_description(boxes, text).select("page", "leg_ord", "x0")
+
+
 @query("""SELECT page, line_no, target, min(x0)::DOUBLE AS x0, max(x1)::DOUBLE AS x1 FROM (SELECT page, leg_ord AS line_no, 0 AS target, 10.0 AS x0, 70.0 AS x1 FROM fx_page_legend WHERE leg_ord % 3 = 0 UNION ALL SELECT page, leg_ord, 0, 30.0, 40.0 FROM fx_page_legend WHERE leg_ord % 3 = 1
     UNION ALL SELECT page, leg_ord, 1, 80.0, 90.0 FROM fx_page_legend) GROUP BY page, line_no, target""")
 def row_matches(spark, d):
@@ -588,6 +700,22 @@ def _regions(spark, d):
     return r.drop("q"), gold
 
 
+FOUND_BY = "SELECT 'all' AS method, * FROM regions UNION ALL SELECT 'long', * FROM regions WHERE length_ft >= 60"
+
+
+@query("""SELECT method, page, coalesce(regions, 0) AS regions, coalesce(golds, 0) AS golds, coalesce(matched, 0) AS matched, coalesce(matched / nullif(golds, 0), 0.0) AS recall,
+    CASE WHEN gold_ft > 0 THEN greatest(0.0, 1 - abs(coalesce(found_ft, 0) - gold_ft) / gold_ft) ELSE 0.0 END AS length_accuracy, CASE WHEN gold_ft > 0 THEN abs(coalesce(found_ft, 0) - gold_ft) / gold_ft * 100 ELSE 0.0 END AS length_error_pct
+    FROM (SELECT DISTINCT page FROM (SELECT page FROM golds WHERE length_ft IS NOT NULL UNION SELECT page FROM found_by)) p CROSS JOIN (VALUES ('all'), ('long')) m(method)
+    LEFT JOIN (SELECT page, count(*) AS golds, sum(length_ft) AS gold_ft FROM golds WHERE length_ft IS NOT NULL GROUP BY page) n USING (page)
+    LEFT JOIN (SELECT method, page, count(*) AS regions, sum(length_ft) AS found_ft FROM found_by GROUP BY method, page) f USING (method, page)
+    LEFT JOIN (SELECT method, o.page, count(DISTINCT gold_id) AS matched FROM golds o JOIN found_by r ON r.page = o.page AND o.length_ft IS NOT NULL AND (gx0 + gx1) / 2 BETWEEN bx0 - 100 AND bx1 + 100
+    AND (gy0 + gy1) / 2 BETWEEN by0 - 100 AND by1 + 100 GROUP BY method, o.page) h USING (method, page)""", **_REGIONS, found_by=FOUND_BY)
+def found_metrics(spark, d):
+    r, gold = _regions(spark, d)
+    both = r.withColumn("method", F.lit("all")).unionByName(r.where("length_ft >= 60").withColumn("method", F.lit("long")))
+    return evaluation.found_metrics(both, gold)
+
+
 @query("SELECT page, region, gold_id FROM taken WHERE gold_id IS NOT NULL", **_REGIONS)
 def region_matches(spark, d):
     r, gold = _regions(spark, d)

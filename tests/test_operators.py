@@ -94,9 +94,12 @@ def test_text_forms(spark):
         t.snippet(F.lit("abc fence def"), "fence", 2).alias("j"),
     )
     assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g, r.h, r.i, r.j) == ("2.3", "0.A1.0", "2.9", "f1b", "01185", 0.8, True, False, False, "c fence d")
-    assert t.variants("chain-link") == ["chain link", "chain-link"]
-    assert t.variants("screen wall") == ["screen wall", "screen walls", "screen-wall", "screen-walls", "screenwall"]
-    assert len(t.code_patterns()) == 19
+    rows = spark.createDataFrame([("Chain-Link",), (" screen wall ",), ("rail posts",), ("gate",), ("",), (None,)], "keyword string")
+    got = [r.s for r in rows.select(t.spellings(F.col("keyword")).alias("s")).collect()]
+    assert got[:2] == [["chain link", "chain-link"], ["screen wall", "screen walls", "screen-wall", "screen-walls", "screenwall"]]
+    assert got[2:] == [["rail post", "rail posts", "rail-post", "rail-posts", "railposts"], ["gate"], [], []]
+    codes = spark.range(1).select(t.code_spellings().alias("c")).first().c
+    assert len(codes) == len(set(codes)) == 171 and {"f-1", "fn19", "fe 7"} < set(codes)
 
 
 def test_grid_join_equals_brute_force(spark):
