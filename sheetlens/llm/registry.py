@@ -25,7 +25,7 @@ from sheetlens.llm import (
     toxicity,
     warc,
 )
-from sheetlens.llm.common import work_dir
+from sheetlens.llm.common import materialize, work_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,7 +35,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
     warc.write_archives(_read(spark, sf_dir, "pages"), path)
-    return warc.page_digests(warc.captures(warc.read_records(spark, path, payloads=False)))
+    records = materialize(warc.read_records(spark, path, payloads=False))  # without payloads, a few hundred bytes each
+    return warc.page_digests(warc.captures(records))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetlens.llm.common import materialize
+from sheetlens.llm.common import gives_back, materialize
+from sheetlens.llm.graph import components
 
 MIN_REVISIT_BYTES = 1000
 #: Bytes of one archive file before it's compressed, at most, unless a single capture is larger.
@@ -32,7 +33,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 CRLF = "\r\n"
 
 _RECORD = (
-    "type string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, "
+    "type string, record_id string, concurrent_to array<string>, refers_to string, target_uri string, date string, "
     "payload_digest string, http_length long, payload_bytes long, payload_sha1 string, block string, payload binary"
 )
 
@@ -129,8 +130,9 @@ def write_archives(
         some.option("maxRecordsPerFile", 3 * most).text(path)
 
 
-def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of one archive file, plain or gzip, read bit by bit."""
+def _records(data: bytes) -> Iterator[tuple[dict[str, str], list[str], bytes]]:
+    """Headers, identifiers named as concurrent (a header that may be repeated) and block of each record of one archive
+    file, plain or gzip, read bit by bit."""
     source = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     with source as f:
         while True:
@@ -142,17 +144,20 @@ def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             if not line.startswith(b"WARC/"):
                 raise ValueError(f"no record starts at {line[:40]!r}")
             headers: dict[str, str] = {}
+            named: list[str] = []
             while (line := f.readline()) not in (b"\r\n", b"\n", b""):
                 name, _, value = line.decode("utf-8", "replace").partition(":")
                 headers[name.strip().lower()] = value.strip()
+                if name.strip().lower() == "warc-concurrent-to":
+                    named.append(value.strip())
             size = int(headers["content-length"])
             block = f.read(size)
             if len(block) != size:
                 raise ValueError(f"record {headers.get('warc-record-id')} is cut short")
-            yield headers, block
+            yield headers, named, block
 
 
-def _row(h: dict[str, str], block: bytes, payloads: bool) -> tuple:
+def _row(h: dict[str, str], named: list[str], block: bytes, payloads: bool) -> tuple:
     payload = length = None
     text = block
     if "msgtype=response" in h.get("content-type", ""):
@@ -165,7 +170,7 @@ def _row(h: dict[str, str], block: bytes, payloads: bool) -> tuple:
     return (
         h["warc-type"],
         h["warc-record-id"],
-        h.get("warc-concurrent-to"),
+        named,
         h.get("warc-refers-to"),
         h.get("warc-target-uri"),
         h.get("warc-date"),
@@ -182,17 +187,19 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     """One row per record of the archives under ``path``; without ``payloads`` the bytes stay behind in the reader.
 
     Files are read whole, one at a time; records inside are read in turn and handed on in bounded parts. Null where a
-    header is missing; a file that breaks off inside a record is an error.
+    header is missing, concurrent_to has all identifiers that a record names; a file that breaks off inside a record is an
+    error.
     """
     names = [x.split()[0] for x in _RECORD.split(", ")]
 
+    @gives_back
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for data in part["content"]:
                 rows: list[tuple] = []
                 size = 0
-                for h, block in _records(data):
-                    rows.append(_row(h, block, payloads))
+                for h, named, block in _records(data):
+                    rows.append(_row(h, named, block, payloads))
                     size += len(block) + 500
                     if size > PART_BYTES:
                         yield pd.DataFrame(rows, columns=names, dtype=object)
@@ -204,22 +211,55 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     return files.select("content").mapInPandas(parse, _RECORD)
 
 
+def _groups(ids: DataFrame) -> DataFrame | None:
+    """Which records belong together where names lead further than one step: key (hash of a record_id), group. None if every
+    record names one other at most, and none that names another itself."""
+    own = ids.where(F.col("record_id").isNotNull())
+    links = own.select("record_id", F.explode("concurrent_to").alias("to")).where("to is not null and to <> record_id").distinct()
+    links = materialize(links)
+    chained = links.join(links.select(F.col("record_id").alias("to")), "to", "left_semi")
+    several = links.groupBy("record_id").count().where("count > 1")
+    if chained.isEmpty() and several.isEmpty():
+        return None
+    found = components(links.select(F.xxhash64("record_id").alias("a"), F.xxhash64("to").alias("b")))
+    return found.withColumnsRenamed({"node": "key", "component": "group"})
+
+
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, response, request, metadata.
+    """One nested row per capture: capture_id (the response's record_id), response, request, metadata.
 
-    Records meet under the identifier that requests and metadata name as concurrent to theirs. A capture may lack a request
-    or metadata (null struct); records whose response is missing give no row. Of several requests for one response the one
-    with the greatest record_id stays, as a whole; the same goes for metadata and for responses that share their
-    identifier. Records without an identifier are left out; more columns are ignored; an empty table gives an empty result.
+    Records belong together that name one another as concurrent, directly or through others, whichever of them does the
+    naming. A capture may lack a request or metadata (null struct); records whose response is missing give no row. Of
+    several requests of a capture the one with the greatest record_id stays, as a whole; the same goes for metadata and for
+    responses that share their identifier. Different responses that belong together give a row each, with the same request
+    and metadata. Records without an identifier are left out; more columns are ignored; an empty table gives an empty
+    result. ``records`` is read twice: identifiers first.
     """
     own = ["record_id", "type", "refers_to", "target_uri", "date", "payload_digest", "http_length"]
     own += ["payload_bytes", "payload_sha1", "payload"]
-    kinds = {"response": (F.col("type").isin("response", "revisit"), own)}
-    kinds |= {n: (F.col("type") == n, ["record_id", "block"]) for n in ("request", "metadata")}
-    met = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
-        *[F.max(F.when(is_it & F.col("record_id").isNotNull(), F.struct(*names))).alias(n) for n, (is_it, names) in kinds.items()]
-    )
-    return met.where("response is not null")
+    is_response = F.col("type").isin("response", "revisit")
+    sound = records.where(F.col("record_id").isNotNull()).select(*[c.split()[0] for c in _RECORD.split(", ")])
+    ids = materialize(sound.select("record_id", "concurrent_to", is_response.alias("response")))
+    groups = _groups(ids)
+    named = F.coalesce(F.get("concurrent_to", F.lit(0)), F.col("record_id"))
+
+    def grouped(df: DataFrame) -> DataFrame:
+        if groups is None:
+            return df.withColumn("group", F.xxhash64(named))
+        found = df.withColumn("key", F.xxhash64("record_id")).join(groups, "key", "left")
+        return found.withColumn("group", F.coalesce("group", "key")).drop("key")
+
+    rows = grouped(sound)
+    kinds = {n: (F.col("type") == n, ["record_id", "block"]) for n in ("request", "metadata")}
+    parts = [F.max(F.when(is_it, F.struct(*names))).alias(n) for n, (is_it, names) in kinds.items()]
+    one = F.max(F.when(is_response, F.struct(*own))).alias("response")
+    crowded = grouped(ids).where("response").groupBy("group").agg(F.countDistinct("record_id").alias("n")).where("n > 1")
+    if crowded.isEmpty():
+        met = rows.groupBy("group").agg(one, *parts).where("response is not null")
+    else:
+        others = rows.where(~is_response).groupBy("group").agg(*parts)
+        met = rows.where(is_response).groupBy("group", "record_id").agg(one).join(others, "group", "left")
+    return met.select(F.col("response.record_id").alias("capture_id"), "response", "request", "metadata")
 
 
 def page_digests(caps: DataFrame) -> DataFrame:

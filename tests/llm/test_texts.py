@@ -49,9 +49,9 @@ def test_captures_keep_one_request_whole(spark):
     names = ["type", "record_id", "concurrent_to", "refers_to", "target_uri", "date", "payload_digest", "http_length", "payload_bytes", "payload_sha1", "block", "payload"]
     of = lambda **x: tuple(x.get(n) for n in names)
     rows = [
-        of(type="response", record_id="r1", payload=bytearray(b"x"), target_uri="u"), of(type="request", record_id="q1", concurrent_to="r1", block="Z"),
-        of(type="request", record_id="q9", concurrent_to="r1", block="A"), of(type="metadata", record_id="m1", concurrent_to="r1", block="page-id: 5\r\n"),
-        of(type="request", record_id="q2", concurrent_to="gone", block="lost"), of(type="revisit", record_id="r2", refers_to="r0"), of(type="warcinfo"),
+        of(type="response", record_id="r1", payload=bytearray(b"x"), target_uri="u"), of(type="request", record_id="q1", concurrent_to=["r1"], block="Z"),
+        of(type="request", record_id="q9", concurrent_to=["r1"], block="A"), of(type="metadata", record_id="m1", concurrent_to=["r1"], block="page-id: 5\r\n"),
+        of(type="request", record_id="q2", concurrent_to=["gone"], block="lost"), of(type="revisit", record_id="r2", refers_to="r0"), of(type="warcinfo"),
     ]
     df = spark.createDataFrame(rows, warc._RECORD).selectExpr("*", "'x' AS capture_id", "'y' AS response")
     got = {c.capture_id: c for c in warc.captures(df).collect()}
@@ -63,6 +63,27 @@ def test_captures_keep_one_request_whole(spark):
     assert found == {"u": (5, None), None: (None, None)}
 
 
+def test_captures_follow_names_any_way_round(spark):
+    names = [c.split()[0] for c in warc._RECORD.split(", ")]
+    of = lambda type_, id_, *to: tuple({"type": type_, "record_id": id_, "concurrent_to": list(to), "block": f"{id_} block"}.get(n) for n in names)
+    rows = [
+        of("response", "r1", "q1"), of("request", "q1"), of("metadata", "m1", "r1"),  # metadata names the response, which names its request
+        of("response", "r2"), of("request", "q2", "r2"), of("metadata", "m2", "q2"),  # metadata names the request
+        of("metadata", "m3", "q3", "r3"), of("response", "r3"), of("request", "q3"),  # one record names both
+        of("response", "r4"), of("revisit", "r5", "r4"), of("request", "q4", "r5"),  # two that answer one request
+        of("response", "r6", "r6"), of("request", "q7", "m7"), of("metadata", "m7", "q7"), of("response", "r8", None),
+    ]
+    df = spark.createDataFrame(rows, warc._RECORD).selectExpr("*", "1 AS group", "2 AS key").repartition(3)
+    got = {c.capture_id: (c.request and c.request.record_id, c.metadata and c.metadata.record_id) for c in warc.captures(df).collect()}
+    assert got == {"r1": ("q1", "m1"), "r2": ("q2", "m2"), "r3": ("q3", "m3"), "r4": ("q4", None), "r5": ("q4", None), "r6": (None, None), "r8": (None, None)}
+
+
+def test_repeated_headers_name_several_records():
+    head = "WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <m>\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    ((headers, named, block),) = warc._records(head.encode())
+    assert named == ["<a>", "<b>"] and block == b"x" and warc._row(headers, named, block, False)[2] == ["<a>", "<b>"]
+
+
 def test_files_are_bounded_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
     monkeypatch.setattr(warc, "SIZE_CLASSES", (4000, 20_000))
@@ -85,7 +106,7 @@ def test_no_pages_give_no_captures(spark):
 
 def test_reader_takes_plain_files_and_refuses_broken_ones():
     good = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <x>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
-    assert [b for _, b in warc._records(good * 2)] == [b"hi", b"hi"]
+    assert [b for *_, b in warc._records(good * 2)] == [b"hi", b"hi"]
     with pytest.raises(ValueError):
         list(warc._records(good[:-6]))
     with pytest.raises(ValueError):
