@@ -3,9 +3,9 @@
 Each word has a fixed sparse index vector of a few +1 and -1, made from the word itself. A word's context vector is the
 sum of the index vectors of its neighbours over the whole corpus. Context vectors are kept in a count sketch: each word
 adds its sums, with a sign of its own, to one row of each of TABLES tables, and is read back as the median of these rows.
-So every word of every document counts and has a vector of its own, the size is set by parameters at any number of words,
-and what other words leave in a row shrinks with ROWS and is ruled out by the median; common words come out exactly but
-for small noise. A document is the mean and the spread of its words' index and context vectors. The network is trained on
+So every word of every document counts. The tables get more rows with the corpus, up to a stated memory, so that words in
+tens of occurrences come out nearly exactly and rarer ones with the noise of those that share their rows; the median rules
+out most of what common words leave there. A document is the mean and the spread of its words' index and context vectors. The network is trained on
 a bounded sample of labelled rows and its probabilities are calibrated by a temperature on rows that it wasn't trained on.
 """
 
@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from sheetlens.llm.common import materialize
+from sheetlens.llm.common import gives_back, materialize
 
-#: The sketch has TABLES tables of ROWS rows; vectors have DIM entries, NONZERO of them set; WINDOW neighbours on each side.
-TABLES, ROWS, DIM, NONZERO, WINDOW = 3, 8192, 32, 6, 2
+#: The sketch has TABLES tables; vectors have DIM entries, NONZERO of them set; WINDOW neighbours on each side.
+TABLES, DIM, NONZERO, WINDOW = 3, 32, 6, 2
+#: Rows of a table: the power of two next to a row for each so many bytes of text, within these bounds; at the upper one the
+#: three tables take 25 MB in a task and 50 MB as sums.
+ROW_BYTES, LEAST_ROWS, MOST_ROWS = 512, 1024, 65_536
 #: Parts of the sketch that are summed apart, and groups of tasks that are summed first.
 BLOCKS, GROUPS = 24, 64
 #: Labelled rows to train on, at most, half of either kind if there are as many.
@@ -91,15 +94,15 @@ def index_vectors(digests: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(digests: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of table k, numbered through all tables, and signs."""
+def _rows(digests: np.ndarray, k: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of table k of ``rows``, numbered through all tables, and signs."""
     h = digests[:, 0] + np.uint64(k) * digests[:, 1]
-    return ((h >> np.uint64(8)) % np.uint64(ROWS)).astype(np.int64) + k * ROWS, np.where(h >> np.uint64(63), 1, -1)
+    return ((h >> np.uint64(8)) % np.uint64(rows)).astype(np.int64) + k * rows, np.where(h >> np.uint64(63), 1, -1)
 
 
 @dataclass
 class Sketch:
-    """Context vectors of all words: TABLES * ROWS rows of DIM whole numbers."""
+    """Context vectors of all words: TABLES tables, one behind the other, with rows of DIM numbers."""
 
     sums: np.ndarray
 
@@ -107,7 +110,7 @@ class Sketch:
         """Index vectors beside context vectors, both of length one (zero where there is none)."""
         found = []
         for k in range(TABLES):
-            at, sign = _rows(digests, k)
+            at, sign = _rows(digests, k, len(self.sums) // TABLES)
             found.append(self.sums[at] * sign[:, None])
         both = np.concatenate([index, _median(found)], axis=1).astype(np.float32).reshape(-1, 2, DIM)
         return (both / np.maximum(np.linalg.norm(both, axis=2, keepdims=True), 1e-9)).reshape(-1, 2 * DIM)
@@ -138,10 +141,10 @@ def _tabled(words: Words, total: np.ndarray) -> None:
     """Add all words' sums to the tables of ``total``."""
     n = len(words.known)
     for k in range(TABLES):
-        rows, sign = _rows(words.digests[:n], k)
+        rows, sign = _rows(words.digests[:n], k, len(total) // TABLES)
         order = np.argsort(rows, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
-        total[rows[order][first]] += np.add.reduceat((words.sums[:n] * sign[:, None])[order], first, axis=0, dtype=np.int64)
+        total[rows[order][first]] += np.add.reduceat((words.sums[:n] * sign[:, None])[order], first, axis=0, dtype=np.int32)
 
 
 def _emit(total: np.ndarray, group: int) -> Iterator[pd.DataFrame]:
@@ -157,9 +160,11 @@ def context_sketch(docs: DataFrame) -> Sketch:
     A task sends its sums in BLOCKS blocks. They are added up per block and group of tasks first, then per block, row after
     row in constant memory, so that no task reads what all tasks of a large input send.
     """
+    size_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (size_ // ROW_BYTES).bit_length()))
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, words = np.zeros((TABLES * ROWS, DIM), np.int64), Words()
+        total, words = np.zeros((TABLES * rows, DIM), np.int32), Words()
         held: list[np.ndarray] = []
         size = 0
 
@@ -188,19 +193,25 @@ def context_sketch(docs: DataFrame) -> Sketch:
             _tabled(words, total)
         yield from _emit(total, TaskContext.get().partitionId() % GROUPS)
 
-    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for part in parts:
-            for group, block, data in zip(part["part"], part["block"], part["data"]):
-                found = np.frombuffer(data, np.int64)
-                sums[group, block] = sums[group, block] + found if (group, block) in sums else found
-        for (group, block), data in sums.items():
-            yield pd.DataFrame([(group, block, data.tobytes())], columns=["part", "block", "data"])
+    def adding(kind: type):
+        def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for part in parts:
+                for group, block, data in zip(part["part"], part["block"], part["data"]):
+                    found = np.frombuffer(data, kind)
+                    if (group, block) in sums:
+                        sums[group, block] += found
+                    else:
+                        sums[group, block] = found.astype(np.int64)
+            for (group, block), data in sums.items():
+                yield pd.DataFrame([(group, block, data.tobytes())], columns=["part", "block", "data"])
+
+        return gives_back(add)
 
     schema = "part int, block int, data binary"
-    parts = docs.select("text").mapInPandas(count, schema).repartition("part", "block").mapInPandas(add, schema)
-    parts = parts.withColumn("part", F.lit(0)).repartition(BLOCKS, "block").mapInPandas(add, schema)
-    out = np.array_split(np.zeros((TABLES * ROWS, DIM), np.int64), BLOCKS)
+    parts = docs.select("text").mapInPandas(gives_back(count), schema).repartition("part", "block").mapInPandas(adding(np.int32), schema)
+    parts = parts.withColumn("part", F.lit(0)).repartition(BLOCKS, "block").mapInPandas(adding(np.int64), schema)
+    out = np.array_split(np.zeros((TABLES * rows, DIM), np.float32), BLOCKS)
     for r in parts.collect():  # BLOCKS rows
         out[r["block"]][:] = np.frombuffer(r["data"], np.int64).reshape(-1, DIM)
     return Sketch(np.concatenate(out))
@@ -280,6 +291,7 @@ def _pooled_texts(texts: pd.Series, words: Words) -> list[np.ndarray]:
 
 
 def _pooled_rows(df: DataFrame, sketch: Sketch, schema: str) -> DataFrame:
+    @gives_back
     def pool(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(sketch)
         for part in parts:
@@ -333,6 +345,7 @@ def score(docs: DataFrame, sketch: Sketch, net: Network | None) -> DataFrame:
     """
 
     @F.pandas_udf("double")
+    @gives_back
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = Words(sketch)
         for part in parts:

@@ -373,6 +373,29 @@ def test_contexts_equal_brute_force(spark, monkeypatch):
         assert np.allclose(v[quality.DIM :], c / max(np.linalg.norm(c), 1e-9), atol=1e-6)
 
 
+def test_contexts_of_a_hundred_thousand_words(spark):
+    """Words in tens of occurrences are read back nearly as they are, among very many others."""
+    rng = np.random.default_rng(6)
+    p = 1 / np.arange(1, 120_001)
+    tokens = np.concatenate([rng.choice(120_000, 900_000, p=p / p.sum()), rng.permutation(120_000)])
+    docs = np.array_split(tokens, 400)
+    df = spark.createDataFrame([(" ".join(f"w{k}" for k in part),) for part in docs], "text string").repartition(4)
+    sketch = quality.context_sketch(df)
+    counts, found = np.bincount(tokens, minlength=120_000), []
+    asked = [int(k) for k in rng.choice(np.flatnonzero((counts >= 20) & (counts < 100)), 40, replace=False)]
+    digest = lambda k: np.frombuffer(quality.xxh3_128_digest(f"w{k}".encode()), ">u8").astype(np.uint64).reshape(1, 2)
+    for k in asked:
+        want = np.zeros(quality.DIM)
+        for part in docs:
+            for at in np.flatnonzero(part == k):
+                for j in range(max(0, at - quality.WINDOW), min(len(part), at + quality.WINDOW + 1)):
+                    if j != at:
+                        want += quality.index_vectors(digest(part[j]))[0]
+        own = sketch.vectors(quality.index_vectors(digest(k)), digest(k))[0, quality.DIM :]
+        found.append(own @ want / np.linalg.norm(want))
+    assert len(np.unique(tokens)) == 120_000 and np.median(found) > 0.9
+
+
 def test_quality_scores_equal_brute_force(spark):
     docs, labels = classifier_table(spark, 120)
     sketch, net = quality.fit(docs, labels)
