@@ -144,7 +144,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, chun
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Per row of ``windows``: conv_id, window, turns (role and text of the new ones), loss_text, formatted_chars."""
+    """Per row of ``windows``: conv_id, window, turns (role and text of the new ones), loss_text, formatted_chars. Null texts and
+    roles were written as empty and come back as that; repeated turns come back as often; no rows give none."""
     raw = F.split("formatted", r"</s>")
     raw = F.slice(raw, F.col("n_repeated") + 1, F.size(raw) - 1 - F.col("n_repeated"))
 
@@ -168,7 +169,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def digests(formatted: DataFrame) -> DataFrame:
     """Per conversation, read back from ``windows``: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    A digest is over all text of a conversation, so here, and only here, a conversation's text meets in one row.
+    A digest is over all text of a conversation, so here, and only here, a conversation's text meets in one row. A null conv_id
+    is a conversation like any other; one without assistant turns has the digest of the empty text; no rows give none.
     """
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     parts = read_back(formatted).select(

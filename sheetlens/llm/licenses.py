@@ -194,7 +194,8 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, t
 def inherit(files: DataFrame) -> DataFrame:
     """The second half of ``scan``: ``files`` (doc_id, path, own, score, line) with licenses from ancestor directories.
 
-    Directories, not files, look for their ancestors: a directory with very many files is looked up once.
+    Directories, not files, look for their ancestors: a directory with very many files is looked up once. A file with a null
+    path inherits nothing; repeated rows come out as often as they come in; an empty table gives an empty result.
     """
     name = F.regexp_extract("path", r"[^/]*$", 0)
     at = F.regexp_replace("path", r"/?[^/]*$", "")
@@ -227,7 +228,9 @@ def inherit(files: DataFrame) -> DataFrame:
 def tree_paths(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, source, lang) as files of a source tree: doc_id, path, text.
 
-    Ids that divide by 1000 are the license file of a project, those that divide by 100 that of a directory in it.
+    Ids that divide by 1000 are the license file of a project, those that divide by 100 that of a directory in it. doc_id must
+    be a whole number; a null one gives a null path, a null source counts as none. Every row comes out as it comes in, with
+    its text, null or not; an empty table gives an empty result; more columns are left out.
     """
     i = F.col("doc_id")
     project = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("p"), F.floor(i / 1000).cast("string")))

@@ -112,7 +112,8 @@ def _encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32. Only documents over ``capacity`` ids are cut."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32. Only documents over ``capacity`` ids are cut. Null text is
+    empty and gives a piece of one id; repeated rows and null doc_ids give pieces of their own; no rows give none."""
     path = tokenizer or default_tokenizer()
 
     @gives_back

@@ -158,7 +158,8 @@ def context_sketch(docs: DataFrame) -> Sketch:
     """Context vectors of all words over all of ``docs`` (text).
 
     A task sends its sums in BLOCKS blocks. They are added up per block and group of tasks first, then per block, row after
-    row in constant memory, so that no task reads what all tasks of a large input send.
+    row in constant memory, so that no task reads what all tasks of a large input send. Null and empty texts add nothing;
+    repeated rows count as often as they come; an empty table gives a sketch of zeros.
     """
     size_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (size_ // ROW_BYTES).bit_length()))
