@@ -570,11 +570,6 @@ PAGE_KW = "SELECT doc_id, page_idx, text, list_filter([" + ", ".join(f"CASE WHEN
     FROM (SELECT doc_id, page_idx, string_agg(text, ' ' ORDER BY ord) AS text FROM fx_lines GROUP BY doc_id, page_idx)"""
 
 
-@query("SELECT doc_id, page_idx, ord, text, source FROM fx_lines")
-def native_lines(spark, d):
-    return fx.lines(spark, d).select("doc_id", "page_idx", "ord", "text", "source")
-
-
 @query("SELECT doc_id, page_idx, ord, keyword FROM hits", hits=HITS)
 def keyword_lines(spark, d):
     return pages.keyword_lines(fx.lines(spark, d), WORDS).select("doc_id", "page_idx", "ord", "keyword")

@@ -13,7 +13,7 @@ from sheetlens.functions import text as t
 from sheetlens.operators import edits, evaluation, layout, legend, lines, pages, records, reports, voting
 from sheetlens.plans import keyed
 from sheetlens.plans.graph import shared_dir
-from sheetlens.queries import EDITS, MAPPED, NAMED, NUMBERED, OVERLAP, SCALED, SPECS, TAGGED, TOKENS, WHITE_SQL, WORDS, _edits, _mapped, _numbered, _scales, _specs, _tokens, export_rows, query
+from sheetlens.queries import EDITS, MAPPED, NUMBERED, OVERLAP, SCALED, SPECS, TAGGED, TOKENS, WHITE_SQL, WORDS, _edits, _numbered, _scales, _specs, _tokens, export_rows, query
 from sheetlens.sources import fixtures as fx
 from sheetlens.sources import readers
 from sheetlens.streaming import live
@@ -603,13 +603,23 @@ def indicator_words(spark, d):
     return legend.indicator_words(read, tk, "F-1").select("page", "source", "x0", "y0")
 
 
-@query("""SELECT doc_id, ord AS line_no, start, "end" FROM (SELECT doc_id, ord, i AS start, i + 1 AS "end" FROM (SELECT doc_id, ord, w, unnest(range(1, len(w))) AS i FROM (SELECT page_key AS doc_id, ord, string_split(lower(l.text), ' ') AS w FROM fx_lines l JOIN fx_pages USING (doc_id, page_idx)))
+KEYWORD_SPANS = """SELECT doc_id, ord AS line_no, start, "end" FROM (SELECT doc_id, ord, i AS start, i + 1 AS "end" FROM (SELECT doc_id, ord, w, unnest(range(1, len(w))) AS i FROM (SELECT page_key AS doc_id, ord, string_split(lower(l.text), ' ') AS w FROM fx_lines l JOIN fx_pages USING (doc_id, page_idx)))
     WHERE w[i] = 'the' AND w[i + 1] = 'that' UNION ALL SELECT doc_id, ord, i, i FROM (SELECT doc_id, ord, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT page_key AS doc_id, ord, string_split(lower(l.text), ' ') AS w FROM fx_lines l JOIN fx_pages USING (doc_id, page_idx)))
-    WHERE w[i] = 'that' AND (i = 1 OR w[i - 1] <> 'the'))""")
+    WHERE w[i] = 'that' AND (i = 1 OR w[i - 1] <> 'the'))"""
+
+
+@query("SELECT * FROM keyword_spans", keyword_spans=KEYWORD_SPANS)
 def keyword_spans(spark, d):
     return legend.spans(_span_lines(spark, d), ["that", "the that"]).select(F.col("page").alias("doc_id"), "line_no", "start", "end")
 
 
+@query("""SELECT k.doc_id, line_no, greatest(start - 2, 1) AS start, least("end" + 2, n)::BIGINT AS "end" FROM keyword_spans k JOIN (SELECT page_key AS doc_id, ord, len(string_split(lower(l.text), ' ')) AS n
+    FROM fx_lines l JOIN fx_pages USING (doc_id, page_idx)) w ON w.doc_id = k.doc_id AND w.ord = k.line_no""", keyword_spans=KEYWORD_SPANS)
+def widened_spans(spark, d):
+    rows = _span_lines(spark, d)
+    return legend.widened_spans(legend.spans(rows, ["that", "the that"]), rows).select(F.col("page").alias("doc_id"), "line_no", "start", "end")
+
+
 def _span_lines(spark, d):
     p = fx.pages(spark, d).select("doc_id", "page_idx", "page_key")
     l = fx.lines(spark, d).join(p, ["doc_id", "page_idx"])
