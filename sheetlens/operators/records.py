@@ -304,9 +304,10 @@ def user_activity(spend: DataFrame, n: int = 50) -> DataFrame:
 
 
 def rolling_spend(spend: DataFrame, now: Column) -> DataFrame:
-    """Per user over the 24 hours before ``now``: calls, tokens, cost (4 decimals)."""
+    """Per user over the 24 hours before ``now``: calls, tokens in and out, cost (4 decimals). Missing amounts count as none."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     live = spend.where(F.unix_timestamp("ts") >= F.unix_timestamp(now) - DAY)
-    return live.groupBy("user_id").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
+    return live.groupBy("user_id").agg(F.count("*").alias("calls"), total("tokens_in").alias("tokens_in"), total("tokens_out").alias("tokens_out"), F.round(total("cost_usd"), 4).alias("cost_usd"))
 
 
 def phase_stats(runs: DataFrame, n: int = 20) -> DataFrame:

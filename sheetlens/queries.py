@@ -1017,11 +1017,11 @@ def user_activity(spark, d):
     return records.user_activity(fx.spend(spark, d))
 
 
-@query("""SELECT user_id, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in FROM fx_spend WHERE epoch(date_trunc('second', ts)) >= epoch(date_trunc('second', (SELECT max(ts) FROM fx_spend))) - 86400 GROUP BY user_id""")
+@query("""SELECT user_id, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, coalesce(sum(tokens_out), 0)::BIGINT AS tokens_out, round(coalesce(sum(cost_usd), 0), 4) AS cost_usd FROM fx_spend WHERE epoch(date_trunc('second', ts)) >= epoch(date_trunc('second', (SELECT max(ts) FROM fx_spend))) - 86400 GROUP BY user_id""")
 def rolling_spend(spark, d):
     s = fx.spend(spark, d)
     last = s.agg(F.max("ts")).first()[0]  # one value
-    return records.rolling_spend(s, F.lit(last)).select("user_id", "calls", "tokens_in")
+    return records.rolling_spend(s, F.lit(last))
 
 
 @query("""SELECT time_bucket(INTERVAL '300 seconds', ts) AS start, count(*) AS records, count(*) FILTER (wall_s > 50) AS problems FROM fx_telemetry GROUP BY 1""")

@@ -947,11 +947,11 @@ def phase_progress(spark, d):
     return fx.telemetry(spark, d).select("event_id", F.round(records.within_phase(phase, F.col("wall_s")), 9).alias("inside"), records.iso_time(F.col("event_id") * 1000).alias("stamp"))
 
 
-@query("""SELECT user_id, date_trunc('hour', ts) + to_hours(1 + k::INT) AS "end", count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in FROM (SELECT user_id, ts, tokens_in, unnest(range(0, 24)) AS k FROM fx_spend) GROUP BY ALL""")
+@query("""SELECT user_id, date_trunc('hour', ts) + to_hours(1 + k::INT) AS "end", count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, coalesce(sum(tokens_out), 0)::BIGINT AS tokens_out FROM (SELECT user_id, ts, tokens_in, tokens_out, unnest(range(0, 24)) AS k FROM fx_spend) GROUP BY ALL""")
 def sliding_spend(spark, d):
     from sheetlens.streaming import live
 
-    return live.rolling_spend(fx.spend(spark, d)).select("user_id", "end", "calls", "tokens_in")
+    return live.rolling_spend(fx.spend(spark, d)).select("user_id", "end", "calls", "tokens_in", "tokens_out")
 
 
 @query("""SELECT event_id, problem FROM (SELECT event_id, unnest(list_filter([CASE WHEN rss_mb > 6500 THEN 'high_rss' END, CASE WHEN kind = 'event' AND label = 'click' THEN 'slot_rejected' END, CASE WHEN kind = 'event' AND label = 'view' AND event_id % 4 > 0 THEN 'page_status' END,

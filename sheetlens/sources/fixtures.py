@@ -177,7 +177,8 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", F.col("event_type").alias("provider"), (F.col("event_id") % 1000).alias("tokens_in"), F.col("value").alias("cost_usd")
+        "event_id", "ts", "user_id", F.col("event_type").alias("provider"), (F.col("event_id") % 1000).alias("tokens_in"), F.col("value").alias("cost_usd"),
+        F.when(F.col("event_id") % 6 != 0, F.col("event_id") * 7 % 500).alias("tokens_out"),
     )
 
 

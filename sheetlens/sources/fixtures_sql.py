@@ -52,7 +52,8 @@ VIEWS: dict[str, str] = {
         THEN 'timed' WHEN 1 THEN 'checkpoint' ELSE 'event' END AS kind, (event_id % 97)::DOUBLE AS cpu_s,
         CASE WHEN event_id % 5 <> 0 THEN (event_id % 89 - 40)::DOUBLE END AS rss_delta_mb, (1000 + event_id % 7001)::DOUBLE AS peak_rss_mb,
         CASE WHEN event_id % 4 <> 0 THEN (500 + event_id % 6500)::DOUBLE END AS rss_mb FROM events""",
-    "fx_spend": """SELECT event_id, ts, user_id, event_type AS provider, event_id % 1000 AS tokens_in, value AS cost_usd
+    "fx_spend": """SELECT event_id, ts, user_id, event_type AS provider, event_id % 1000 AS tokens_in, value AS cost_usd,
+        CASE WHEN event_id % 6 <> 0 THEN event_id * 7 % 500 END AS tokens_out
         FROM events""",
     "fx_page_flags": """SELECT doc_id // 8 AS document, (doc_id % 8)::INT AS page_idx, quality = 1 AS is_gt, toxic = 1 AS is_pred
         FROM labels""",
