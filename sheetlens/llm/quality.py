@@ -27,10 +27,10 @@ from sheetlens.llm.common import gives_back, materialize
 #: The sketch has TABLES tables; vectors have DIM entries, NONZERO of them set; WINDOW neighbours on each side.
 TABLES, DIM, NONZERO, WINDOW = 3, 32, 6, 2
 #: Rows of a table: the power of two next to a row for each so many bytes of text, within these bounds; at the upper one the
-#: three tables take 25 MB in a task and 50 MB as sums.
-ROW_BYTES, LEAST_ROWS, MOST_ROWS = 512, 1024, 65_536
+#: three tables take 13 MB in a task and 25 MB as sums.
+ROW_BYTES, LEAST_ROWS, MOST_ROWS = 512, 1024, 32_768
 #: Parts of the sketch that are summed apart, and groups of tasks that are summed first.
-BLOCKS, GROUPS = 24, 64
+BLOCKS, GROUPS = 24, 8
 #: Labelled rows to train on, at most, half of either kind if there are as many.
 SAMPLE_ROWS, HIDDEN, EPOCHS = 9000, 48, 60
 FOLDS, HELD_OUT = 3, 1
