@@ -28,11 +28,10 @@ def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, and of these no two with 5-word Jaccard 0.8 or more. It's the
-    one with the smallest doc_id, then text hash; repeated rows count once. Texts without words have one fingerprint, so one
-    of them stays."""
-    linked = materialize(simhash_dedup.representatives(docs))
-    return keep_rows(docs, shingles.representatives(docs, linked))
+    """One document stays of each component that links of fingerprints and pairs of 5-word Jaccard 0.8 or more join together.
+    It's the one with the smallest doc_id, then text hash; repeated rows count once. Texts without words have one
+    fingerprint, so one of them stays."""
+    return keep_rows(docs, shingles.representatives(docs, materialize(simhash_dedup.groups(docs))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

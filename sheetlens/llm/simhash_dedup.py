@@ -125,3 +125,10 @@ def representatives(docs: DataFrame) -> DataFrame:
     rows = materialize(rows.select("doc_id", F.sha2("text", 256).alias("raw_sha256"), _fingerprints("text").alias("fp")))
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "raw_sha256")).alias("first")
     return linked(rows).groupBy("component").agg(first).select("first.doc_id", "first.raw_sha256")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """Per different text of ``docs`` (doc_id, text) the number of its group of near-duplicates: raw_sha256, component."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = materialize(rows.select("doc_id", F.sha2("text", 256).alias("raw_sha256"), _fingerprints("text").alias("fp")))
+    return linked(rows).select("raw_sha256", "component").distinct()

@@ -70,3 +70,68 @@ def test_stage_leaves_no_edited_copies(spark):
     of = [sets(r.text) for r in got.collect()]
     assert not [1 for k, a in enumerate(of) for b in of[:k] if jaccard(a, b) >= 0.8]
     assert len(of) >= 39
+
+
+def crowd(rng, n=240):
+    """Copies of one text with so many edits that most pairs of them, but not all links between them, are under the threshold."""
+    base = [rng.choice(WORDS) for _ in range(300)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(1, 7)):
+            copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+        out.append(" ".join(copy))
+    return out
+
+
+def first_of_each_component(texts):
+    of, root = [sets(t) for t in texts], list(range(len(texts)))
+    for j in range(len(of)):
+        for i in range(j):
+            if root[i] != root[j] and jaccard(of[i], of[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return set(root)
+
+
+def test_one_text_of_each_component_stays(spark):
+    texts = crowd(random.Random(6))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = first_of_each_component(texts)
+    assert 1 < len(want) < len(texts) / 2
+    assert {r.doc_id for r in shingles.representatives(df, pairwise=4).collect()} == want
+
+
+def test_large_buckets_by_blocks_and_rounds_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK", 7)
+    texts = crowd(random.Random(8))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for all_pairs in (0, 10**6):  # by a limit that grows, and all at once
+        monkeypatch.setattr(shingles, "ALL_PAIRS", all_pairs)
+        assert {r.doc_id for r in shingles.representatives(df, pairwise=2).collect()} == first_of_each_component(texts)
+
+
+def test_pairs_within_components_are_not_compared(spark, monkeypatch):
+    rng, compared, alike = random.Random(9), [], shingles._alike
+    base = [rng.choice(WORDS) for _ in range(150)]
+    texts = []
+    for _ in range(400):
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(shingles, "_alike", lambda pairs, *a: compared.append(pairs.count()) or alike(pairs, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in shingles.representatives(df).collect()} == first_of_each_component(texts)
+    assert sum(compared) < 400 * 399 / 2 / 5
+
+
+def test_links_of_both_kinds_join(spark):
+    rng, seven = random.Random(10), "p q r s t u v "
+    a, b = (" ".join(rng.sample(WORDS, 40)) for _ in range(2))
+    rows = [(0, seven * 200 + a, "en"), (1, seven * 200 + b, "en"), (2, seven + b, "en"), (3, "by itself", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # 0 and 1 have one fingerprint, 1 and 2 are alike by shingles, 0 and 2 are neither.
+    assert jaccard(sets(rows[1][1]), sets(rows[2][1])) >= 0.8 > jaccard(sets(rows[0][1]), sets(rows[2][1]))
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == [0, 3]
