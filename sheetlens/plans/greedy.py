@@ -18,7 +18,7 @@ PART, ROUNDS, MAX_ROUNDS = 1000, 4, 10_000
 
 def _parts(pairs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``pairs`` (keys, a, b, ...) of small parts with their part, of large parts, and the parts of nodes (keys, node, part)."""
-    found = stored(connected(pairs.select(*keys, "a", "b"), keys)).withColumnRenamed("component", "part")
+    found = connected(pairs.select(*keys, "a", "b"), keys).withColumnRenamed("component", "part")
     small = stored(found.groupBy(*keys, "part").agg(F.count("*").alias("n")).where(F.col("n") <= PART).select(*keys, "part"))
     tagged = pairs.join(found.withColumnRenamed("node", "a"), [*keys, "a"])
     few = stored(tagged.join(small, [*keys, "part"], "left_semi"))
