@@ -45,3 +45,13 @@ def test_lines_take_few_cells(spark):
     """The boxes are widened, not the lines: a line has a row for each cell of its points, not for all around them."""
     _, frame, _, _ = sample(spark)
     assert spatial.cells_of_points(frame, [(F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))], 300.0).count() < 2 * 150
+
+
+def test_dimension_lines_bring_the_lines_columns(spark):
+    """So that a page's measure needs no second join of all its lines."""
+    _, frame, _, _ = sample(spark)
+    dims = spark.createDataFrame([(0, 1, 100.0, 100.0, 12.0), (1, 2, 300.0, 500.0, 7.0)], "page long, dim_id long, dx double, dy double, value_ft double")
+    plain = lines.dimension_lines(frame, dims, 360.0, 900.0, None)
+    more = lines.dimension_lines(frame, dims, 360.0, 900.0, None, ("length_pts", "x0", "y1"))
+    want = plain.join(frame, ["page", "line_idx"]).select(*plain.columns, "length_pts", "x0", "y1")
+    assert more.count() == 2 and sorted(more.collect()) == sorted(want.collect())
