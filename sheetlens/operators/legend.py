@@ -115,7 +115,8 @@ def located(entries: DataFrame, lines: DataFrame, target: Column, margin: float
     x, y = g.center(g.box())
     inside = (F.col("cx1") > page_wide) | g.point_in_box(x, y, g.box("c"), margin)
     said = lines.withColumn("_n", t.alnum_lower(F.col("text")))
-    met = e.join(holding(said, e, ["page"], "_n", "_t"), ["page", "_t"]).join(said, ["page", "_n"]).where(inside)
+    # Shuffled: entries and lines of all pages are much larger in memory than the files they come from.
+    met = e.hint("merge").join(holding(said, e, ["page"], "_n", "_t"), ["page", "_t"]).hint("merge").join(said, ["page", "_n"]).where(inside)
     best = met.groupBy("page", "leg_ord").agg(F.min(F.struct("source_rank", "ord", "x0", "y0", "x1", "y1")).alias("m"))
     return best.select("page", "leg_ord", "m.x0", "m.y0", "m.x1", "m.y1")
 

@@ -33,10 +33,10 @@ def holding(holders: DataFrame, targets: DataFrame, keys: list[str], text: str,
     posts = h.select(*keys, text, F.explode(each).alias("_gram"))
     posts = stored(posts.join(asked.select(*keys, "_gram").distinct(), [*keys, "_gram"], "left_semi"))
     often = posts.groupBy(*keys, "_gram").agg(F.count("*").alias("_n"))
-    rare = asked.join(often, [*keys, "_gram"], "left").groupBy(*keys, target).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r"))
+    rare = asked.hint("merge").join(often, [*keys, "_gram"], "left").groupBy(*keys, target).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r"))
     rare = rare.where("_r.n > 0").select(*keys, target, F.col("_r._gram").alias("_gram"))
-    met = posts.join(rare, [*keys, "_gram"]).where(F.contains(text, target)).select(*keys, text, target)
-    return met.unionByName(h.join(own.where(F.col(target) == ""), keys).select(*keys, text, target))
+    met = posts.hint("merge").join(rare, [*keys, "_gram"]).where(F.contains(text, target)).select(*keys, text, target)
+    return met.unionByName(h.hint("merge").join(own.where(F.col(target) == ""), keys).select(*keys, text, target))
 
 
 def either_way(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
