@@ -60,9 +60,10 @@ def _with_runs(lines: DataFrame, most: int) -> DataFrame:
     return df.withColumn("_runs", F.array_distinct(F.concat("_every", *[bare(e) for e in ENDINGS]))).drop("_low", "_words", "_gaps", "_every")
 
 
-def dictionary_hits(lines: DataFrame, forms: DataFrame) -> DataFrame:
+def dictionary_hits(lines: DataFrame, forms: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Lines with each keyword of ``forms`` (keyword, form) that they hold in one of its forms as whole words, s, es or ing
-    allowed: the columns of ``lines`` and keyword, each pair once.
+    allowed: the columns of ``lines``, or those to ``keep``, and keyword, each pair once. Every hit carries these columns, so a
+    line's text is best left out where it isn't needed.
 
     A line's runs of words meet the forms by equality, so a keyword more costs no further pass. Runs have as many words as
     the longest form, which begins and ends with a letter, digit or underscore; the few forms with other signs at an end
@@ -71,12 +72,12 @@ def dictionary_hits(lines: DataFrame, forms: DataFrame) -> DataFrame:
     edge = r"^[\p{L}\p{N}_](.*[\p{L}\p{N}_])?$"
     low = forms.select("keyword", F.lower("form").alias("_form")).where("_form <> ''").distinct()
     most = low.where(F.col("_form").rlike(edge)).agg(F.max(F.size(F.regexp_extract_all("_form", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))))).first()[0] or 1
-    names = lines.columns
+    names = lines.columns if keep is None else keep
     # The outer form: for the other, Spark would put a filter on the arrays below all that makes them, and make them there.
     met = _with_runs(lines, most).select(*names, F.explode_outer("_runs").alias("_form")).join(low, "_form").select(*names, "keyword")
     odd = [r for r in low.where(~F.col("_form").rlike(edge)).select("keyword", "_form").collect()]  # forms with signs at an end
     for r in odd:
-        met = met.unionByName(lines.where(t.has_keyword(F.col("text"), r["_form"])).withColumn("keyword", F.lit(r["keyword"])))
+        met = met.unionByName(lines.where(t.has_keyword(F.col("text"), r["_form"])).select(*names, F.lit(r["keyword"]).alias("keyword")))
     return met.distinct()
 
 

@@ -243,7 +243,7 @@ def keyword_forms(spark, d):
 def dictionary_hits(spark, d):
     """Every word of the benchmark table as a keyword: thousands of them, in one pass over the lines."""
     words = fx.read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("keyword")).distinct()
-    return pages.dictionary_hits(fx.lines(spark, d).select("doc_id", "page_idx", "ord", "text"), words.withColumn("form", F.col("keyword"))).drop("text")
+    return pages.dictionary_hits(fx.lines(spark, d).select("doc_id", "page_idx", "ord", "text"), words.withColumn("form", F.col("keyword")), ["doc_id", "page_idx", "ord"])
 
 
 @query("""SELECT page, chunk_ord, (row_number() OVER (PARTITION BY page ORDER BY chunk_ord) - 1) // 6 AS batch, substr(said, 1, 4000) AS excerpt FROM (

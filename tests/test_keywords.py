@@ -63,3 +63,12 @@ def test_one_region_may_hold_several_boxes(spark):
     got = {(r.method, r.page): r for r in evaluation.found_metrics(regions, gold).collect()}
     assert len(got) == 4 and (got["m", 1].matched, got["m", 1].golds, got["m", 1].length_accuracy) == (2, 3, 0.5)
     assert (got["n", 1].matched, got["n", 1].length_error_pct, got["n", 2].recall) == (0, 100.0, 0.0)
+
+
+def test_hits_carry_only_the_columns_asked_for(spark):
+    """A hit is a row; with the line's text in each, hits take the square of the text. Lines that differ in the text alone are one."""
+    lines = spark.createDataFrame([(1, "red doors and red door"), (1, "a red one"), (2, "-red- blue")], "ord long, text string")
+    forms = spark.createDataFrame([("door", "door"), ("red", "red"), ("-red-", "-red-")], "keyword string, form string")
+    hits = pages.dictionary_hits(lines, forms, ["ord"])
+    assert hits.columns == ["ord", "keyword"]
+    assert sorted(map(tuple, hits.collect())) == [(1, "door"), (1, "red"), (2, "-red-"), (2, "red")]
